@@ -32,9 +32,48 @@ def hours_minutes(seconds: Column) -> Column:
     return F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m"))
 
 
-def _py_round(x: Column, digits: int) -> Column:
-    """Format a double with fixed decimals (round-half-even like Python's format)."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+def _two_product(a: Column, b: float) -> tuple[Column, Column]:
+    """Dekker's exact product: ``a * b == p + err`` exactly (IEEE doubles)."""
+    split = 134217729.0  # 2**27 + 1
+    p = a * F.lit(b)
+    t = a * F.lit(split)
+    ah = t - (t - a)
+    al = a - ah
+    tb = b * split
+    bh = tb - (tb - b)
+    bl = b - bh
+    err = ((ah * F.lit(bh) - p) + ah * F.lit(bl) + al * F.lit(bh)) + al * F.lit(bl)
+    return p, err
+
+
+def py_fixed(x: Column, digits: int) -> Column:
+    """Python's ``format(x, f'.{digits}f')`` for a double column: round half to
+    even on the *exact* binary value (Java's formatter rounds the shortest
+    decimal text half-up, which differs on near-ties such as 1.15)."""
+    scale = float(10**digits)
+    mag = F.abs(x)
+    p, err = _two_product(mag, scale)
+    fl = F.floor(p)
+    frac = p - fl
+    up = (
+        F.when(frac > 0.5, 1)
+        .when(frac < 0.5, 0)
+        .when(err > 0, 1)
+        .when(err < 0, 0)
+        .when(F.pmod(fl, F.lit(2)) == 1, 1)
+        .otherwise(0)
+    )
+    n = (fl + up).cast("decimal(38,0)")
+    if digits == 0:
+        body = n.cast("string")
+    else:
+        body = F.concat(
+            F.floor(n / F.lit(int(scale))).cast("string"),
+            F.lit("."),
+            F.lpad(F.pmod(n, F.lit(int(scale))).cast("bigint").cast("string"), digits, "0"),
+        )
+    sign = F.when((x < 0) | x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, body)
 
 
 def age_text(seconds: Column) -> Column:
@@ -43,9 +82,9 @@ def age_text(seconds: Column) -> Column:
     hours = minutes / F.lit(60.0)
     return (
         F.when(seconds.isNull(), F.lit("N/A"))
-        .when(hours < 1.0, F.concat(_py_round(minutes, 0), F.lit(" min")))
-        .when(hours < 48.0, F.concat(_py_round(hours, 1), F.lit(" h")))
-        .otherwise(F.concat(_py_round(hours / F.lit(24.0), 1), F.lit(" días")))
+        .when(hours < 1.0, F.concat(py_fixed(minutes, 0), F.lit(" min")))
+        .when(hours < 48.0, F.concat(py_fixed(hours, 1), F.lit(" h")))
+        .otherwise(F.concat(py_fixed(hours / F.lit(24.0), 1), F.lit(" días")))
     )
 
 

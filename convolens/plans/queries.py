@@ -192,3 +192,379 @@ def lead_snapshot_plan(leads: DataFrame, messages: DataFrame, as_of: str = AS_OF
 def lead_snapshot(spark, sf_dir):
     """Flagship: every lead with temporal + metadata features and the digest."""
     return lead_snapshot_plan(A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir))
+
+
+# --------------------------------------------------------------- lead selection
+from convolens.functions.emails import clean_email, clean_email_sql  # noqa: E402
+from convolens.functions.phones import (  # noqa: E402
+    is_strict_phone,
+    phone_first10,
+    phone_last10,
+    phone_last10_strict,
+    phone_right10,
+)
+from convolens.functions.text import redact_pii  # noqa: E402
+from convolens.functions.timefmt import age_text, iso_in_zone, seconds_between  # noqa: E402
+from convolens.operators import leads as LD  # noqa: E402
+from convolens.operators import messages as MS  # noqa: E402
+from convolens.operators import report as RP  # noqa: E402
+from convolens.operators.prompt import SYSTEM_MESSAGE, render, token_estimate, as_py_text  # noqa: E402
+from convolens.operators.transcript import PROMPT, conversation_text  # noqa: E402
+from convolens.sources.tables import read_table  # noqa: E402
+
+EXCLUDED_STATUS = "F"  # driver orders: status 'F' plays the role of a rejected profile
+
+
+def _p10(e: str) -> str:
+    return (f"lower(CASE WHEN position('+' IN {e}) > 0 THEN substr({e}, 1, position('+' IN {e}) - 1) || "
+            f"CASE WHEN position('@' IN {e}) > 0 THEN substr({e}, position('@' IN {e})) ELSE {e} END ELSE {e} END)")
+
+
+def _p9(e: str) -> str:
+    dom = f"substr({e}, position('@' IN {e}) + 1)"
+    return (f"CASE WHEN {e} IS NULL OR {e} = '' THEN '' "
+            f"WHEN position('@' IN {e}) > 0 AND length({dom}) > 0 "
+            f"THEN lower(split_part(split_part({e}, '@', 1), '+', 1)) || '@' || lower({dom}) "
+            f"ELSE lower({e}) END")
+
+
+_ELIGIBLE_CTES = [
+    f"""ld AS (
+  SELECT o.o_orderkey AS lead_id, o.o_custkey AS user_id,
+         {_p10(O.synthetic_email('c.c_name', 'o.o_orderkey'))} AS clean_email,
+         o.o_orderdate AS lead_created_at, o.o_orderstatus AS profiling_status
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)""",
+    """eh AS (SELECT DISTINCT l_orderkey AS lead_id FROM lineitem WHERE l_returnflag = 'R')""",
+    f"""el AS (
+  SELECT ld.* FROM ld LEFT JOIN eh USING (lead_id)
+  WHERE eh.lead_id IS NULL AND (profiling_status IS NULL OR right(profiling_status, 1) <> '{EXCLUDED_STATUS}')
+)""",
+    """lle AS (
+  SELECT lead_id, user_id, clean_email, lead_created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY clean_email ORDER BY lead_created_at DESC, lead_id DESC) AS rn FROM el
+  ) WHERE rn = 1
+)""",
+]
+
+
+@register("eligible_leads", _with(*_ELIGIBLE_CTES) + "SELECT * FROM lle")
+def eligible_leads(spark, sf_dir):
+    """P13 + J3 + W1: leads not in hand-off, eligible status, latest per e-mail."""
+    return LD.eligible_leads(
+        A.financing_leads(spark, sf_dir), A.leads_audit(spark, sf_dir), excluded_suffix=EXCLUDED_STATUS
+    )
+
+
+@register(
+    "lead_contact",
+    _with(*_ELIGIBLE_CTES, f"""ic AS (
+  SELECT o.o_orderkey AS id, {_p10(O.synthetic_email('c.c_name', 'o.o_orderkey + 1'))} AS cleaned_email,
+         c.c_name AS name, c.c_mktsegment AS last_name,
+         right('521' || CAST({A.PHONE_BASE} + c.c_custkey AS VARCHAR), 10) AS cleaned_phone_number,
+         o.o_orderdate AS updated_at
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)""", """li AS (
+  SELECT cleaned_email, name, last_name, cleaned_phone_number FROM (
+    SELECT *, row_number() OVER (PARTITION BY cleaned_email ORDER BY updated_at DESC, id DESC) AS rn
+    FROM ic WHERE cleaned_email IN (SELECT clean_email FROM lle)
+  ) WHERE rn = 1
+)""") + """SELECT lle.lead_id, lle.user_id, lle.clean_email, li.name, li.last_name, li.cleaned_phone_number, lle.lead_created_at
+FROM lle LEFT JOIN li ON lle.clean_email = li.cleaned_email
+WHERE li.cleaned_phone_number IS NOT NULL
+ORDER BY lle.lead_created_at DESC""",
+)
+def lead_contact(spark, sf_dir):
+    """S1 lead query: P10 e-mails, W1/W2 latest rows, J2 semi-join, J4, O2 order."""
+    latest = LD.eligible_leads(
+        A.financing_leads(spark, sf_dir), A.leads_audit(spark, sf_dir), excluded_suffix=EXCLUDED_STATUS
+    )
+    return LD.leads_with_contact(latest, A.intents(spark, sf_dir))
+
+
+# --------------------------------------------------------------- message selection
+TARGET_SEGMENT = "AUTOMOBILE"
+MESSAGE_END = "2024-01-04 12:00:00"
+LOOKBACK_DAYS = 90
+
+
+@register(
+    "messages_for_targets",
+    _with(O.messages_cte())
+    + f"""SELECT right('521' || CAST({A.PHONE_BASE} + m.conv_id AS VARCHAR), 10) AS cleaned_phone_number,
+       m.src_ord, m.creation_time, m.msg_from,
+       CASE WHEN m.msg_from = 'operator' THEN 'agent' END AS operator_alias, m.message
+FROM msgs m
+WHERE right('521' || CAST({A.PHONE_BASE} + m.conv_id AS VARCHAR), 10) IN
+      (SELECT CAST({A.PHONE_BASE} + c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = '{TARGET_SEGMENT}')
+  AND m.creation_time >= {O.AS_OF} - INTERVAL {LOOKBACK_DAYS} DAY
+  AND m.creation_time <= TIMESTAMP '{MESSAGE_END}'
+ORDER BY cleaned_phone_number, creation_time""",
+)
+def messages_for_targets(spark, sf_dir):
+    """Message ⋈ session (J1), semi-join to target phones (J2), absolute
+    and relative time bounds (P11, P12), ordered by phone and time (O1)."""
+    j = MS.messages_with_sessions(A.raw_message_metrics(spark, sf_dir), A.session_metrics(spark, sf_dir))
+    cust = read_table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == TARGET_SEGMENT)
+    targets = cust.select(A.phone_of(F.col("c_custkey")).alias("cleaned_phone_number"))
+    j = MS.for_targets(j, targets, "cleaned_phone_number")
+    j = MS.time_bounds(j, end=MESSAGE_END, as_of=AS_OF_DEFAULT, lookback_days=LOOKBACK_DAYS)
+    return j.orderBy("cleaned_phone_number", "creation_time")
+
+
+@register(
+    "phase_start_messages",
+    """WITH fs AS (SELECT user_id, min(ts) AS phase_start FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT e.user_id, e.event_id, e.ts, e.event_type, fs.phase_start
+FROM events e JOIN fs ON e.user_id = fs.user_id
+WHERE e.ts >= fs.phase_start""",
+)
+def phase_start_messages(spark, sf_dir):
+    """A2 + J5: per user the first purchase, then every event from it on."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return MS.from_phase_start(e, F.col("event_type") == "purchase", key="user_id", time_col="ts")
+
+
+# --------------------------------------------------------------- cleaning functions
+def _raw_phones_spark(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    p = A.phone_of(k)
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit("+52 1 "), p))
+        .when(k % 5 == 1, F.concat(F.lit("521"), p))
+        .when(k % 5 == 2, F.concat(F.substring(p, 1, 2), F.lit("-"), F.substring(p, 3, 4), F.lit("-"), F.substring(p, 7, 4)))
+        .when(k % 5 == 3, k.cast("string"))
+        .otherwise(F.concat(F.lit(" "), p, F.lit(" ")))
+    )
+    cust = c.select(F.lit("customer").alias("source"), k.alias("id"), raw.alias("raw"))
+    d = read_table(spark, sf_dir, "documents")
+    run = F.regexp_extract(F.col("text"), "[0-9][0-9 ()+-]{8,}[0-9]", 0)
+    docs = d.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), run.alias("raw")).where(F.col("raw") != "")
+    return cust.unionByName(docs)
+
+
+@register(
+    "phone_variants",
+    f"""WITH r AS (
+  SELECT 'customer' AS source, c_custkey AS id,
+         CASE c_custkey % 5
+           WHEN 0 THEN '+52 1 ' || CAST({A.PHONE_BASE} + c_custkey AS VARCHAR)
+           WHEN 1 THEN '521' || CAST({A.PHONE_BASE} + c_custkey AS VARCHAR)
+           WHEN 2 THEN substr(CAST({A.PHONE_BASE} + c_custkey AS VARCHAR), 1, 2) || '-' ||
+                       substr(CAST({A.PHONE_BASE} + c_custkey AS VARCHAR), 3, 4) || '-' ||
+                       substr(CAST({A.PHONE_BASE} + c_custkey AS VARCHAR), 7, 4)
+           WHEN 3 THEN CAST(c_custkey AS VARCHAR)
+           ELSE ' ' || CAST({A.PHONE_BASE} + c_custkey AS VARCHAR) || ' ' END AS raw
+  FROM customer
+  UNION ALL
+  SELECT 'document', doc_id, regexp_extract(text, '[0-9][0-9 ()+-]{{8,}}[0-9]', 0)
+  FROM documents WHERE regexp_extract(text, '[0-9][0-9 ()+-]{{8,}}[0-9]', 0) <> ''
+)
+SELECT source, id, raw,
+       nullif(regexp_extract(trim(raw), '([0-9]{{10}})', 1), '') AS phone_a,
+       CASE WHEN raw IS NULL OR raw = '' THEN '' ELSE right(regexp_replace(raw, '[^0-9]', '', 'g'), 10) END AS phone_b,
+       CASE WHEN length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 10
+            THEN right(regexp_replace(raw, '[^0-9]', '', 'g'), 10) ELSE '' END AS phone_c,
+       right(raw, 10) AS phone_d,
+       coalesce(regexp_matches(trim(raw), '^[0-9]{{10}}$'), false) AS strict_ok
+FROM r""",
+)
+def phone_variants(spark, sf_dir):
+    """The four phone rules side by side, plus the strict 10-digit test."""
+    r = _raw_phones_spark(spark, sf_dir)
+    return r.select(
+        "source", "id", "raw",
+        phone_first10("raw").alias("phone_a"),
+        phone_last10("raw").alias("phone_b"),
+        phone_last10_strict("raw").alias("phone_c"),
+        phone_right10("raw").alias("phone_d"),
+        is_strict_phone("raw").alias("strict_ok"),
+    )
+
+
+def _raw_email_sql() -> str:
+    n = "replace(c_name, '#', '.')"
+    return f"""CASE c_custkey % 6
+      WHEN 0 THEN {n} || '+o' || CAST(c_custkey % 3 AS VARCHAR) || '@Example.com'
+      WHEN 1 THEN {n} || '@Example.com'
+      WHEN 2 THEN 'Foo.' || CAST(c_custkey AS VARCHAR) || '@ex+ample.com'
+      WHEN 3 THEN {n} || '+x'
+      WHEN 4 THEN NULL
+      ELSE '' END"""
+
+
+@register(
+    "clean_emails",
+    f"""WITH e AS (SELECT c_custkey, {_raw_email_sql()} AS raw_email FROM customer)
+SELECT c_custkey, raw_email, {_p9('raw_email')} AS email_app, {_p10('raw_email')} AS email_sql FROM e""",
+)
+def clean_emails(spark, sf_dir):
+    """P9 vs P10 on synthetic addresses (alias, '+' in domain, no '@', null, '')."""
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    n = F.regexp_replace(F.col("c_name"), "#", ".")
+    raw = (
+        F.when(k % 6 == 0, F.concat(n, F.lit("+o"), (k % 3).cast("string"), F.lit("@Example.com")))
+        .when(k % 6 == 1, F.concat(n, F.lit("@Example.com")))
+        .when(k % 6 == 2, F.concat(F.lit("Foo."), k.cast("string"), F.lit("@ex+ample.com")))
+        .when(k % 6 == 3, F.concat(n, F.lit("+x")))
+        .when(k % 6 == 4, F.lit(None).cast("string"))
+        .otherwise(F.lit(""))
+    )
+    e = c.select(k, raw.alias("raw_email"))
+    return e.select("c_custkey", "raw_email", clean_email("raw_email").alias("email_app"),
+                    clean_email_sql("raw_email").alias("email_sql"))
+
+
+@register(
+    "redact_documents",
+    f"""SELECT doc_id,
+       regexp_replace(regexp_replace(text, '\\b[0-9]{{10,}}\\b', {O.q(P.PII_PHONE_TOKEN)}, 'g'),
+                      {O.q(P.PII_EMAIL)}, {O.q(P.PII_EMAIL_TOKEN)}, 'g') AS redacted_text
+FROM documents""",
+)
+def redact_documents(spark, sf_dir):
+    """F4 over whole document texts: phone runs first, then e-mail addresses."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", redact_pii("text").alias("redacted_text"))
+
+
+# --------------------------------------------------------------- transcripts
+_DIGEST_SQL = """SELECT cleaned_phone,
+       md5(trim(regexp_replace(string_agg(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,
+                                          chr(10) ORDER BY creation_time, src_ord), '\\s+', ' ', 'g'))) AS conversation_digest,
+       count(*) AS n_messages
+FROM {src} GROUP BY cleaned_phone"""
+
+
+@register("conversation_digest", _with(O.messages_cte()) + _DIGEST_SQL.format(src="msgs"))
+def conversation_digest_q(spark, sf_dir):
+    """F6 + F7: MD5 of the normalised newline-joined transcript per conversation."""
+    return conversation_digest(_msgs(spark, sf_dir))
+
+
+# FIXED VALUES — the prompt template used by the prompt_render query.
+PROMPT_TEMPLATE = (
+    "Hoy es {HOY_ES}. Ultimo mensaje: {LAST_QUERY_TIMESTAMP} (hace {delta_real_time_formateado}).\n"
+    "Sin mensajes del usuario: {NO_USER_MESSAGES_EXIST}; desde el ultimo del usuario: "
+    "{HOURS_MINUTES_SINCE_LAST_USER_MESSAGE}; desde el ultimo: {HOURS_MINUTES_SINCE_LAST_MESSAGE}.\n"
+    "Conversacion:\n{conversation_text}\n"
+    "Responde solo en YAML con las llaves {{summary}} y {{next_action_code}}."
+)
+
+
+def prompt_plan(messages: DataFrame, template: str = PROMPT_TEMPLATE, as_of: str = AS_OF_DEFAULT,
+                tz: str = "America/Mexico_City") -> DataFrame:
+    """Render one prompt per conversation and estimate its tokens."""
+    feats = FT.conversation_features(messages, [FT.Temporal({"timezone": tz})], as_of=as_of)
+    last = messages.groupBy("cleaned_phone").agg(F.max("creation_time").alias("__last"))
+    text = conversation_text(messages, style=PROMPT)
+    j = text.join(feats, "cleaned_phone").join(last, "cleaned_phone")
+    as_of_ts = F.to_timestamp(F.lit(as_of))
+    values = {
+        "conversation_text": F.col("conversation_text"),
+        "HOY_ES": iso_in_zone(as_of_ts, tz),
+        "LAST_QUERY_TIMESTAMP": F.coalesce(iso_in_zone(F.col("__last"), "UTC"), F.lit("N/A")),
+        "delta_real_time_formateado": age_text(seconds_between(as_of_ts, F.col("__last"))),
+        "NO_USER_MESSAGES_EXIST": as_py_text(F.col("NO_USER_MESSAGES_EXIST"), "boolean"),
+        "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE": as_py_text(F.col("HOURS_MINUTES_SINCE_LAST_USER_MESSAGE"), "string"),
+        "HOURS_MINUTES_SINCE_LAST_MESSAGE": as_py_text(F.col("HOURS_MINUTES_SINCE_LAST_MESSAGE"), "string"),
+    }
+    prompt = render(template, values)
+    out = j.select(
+        "cleaned_phone", "n_messages",
+        values["delta_real_time_formateado"].alias("age_text"),
+        prompt.alias("prompt"),
+    )
+    return out.withColumn("token_estimate", token_estimate(F.col("prompt")))
+
+
+def _prompt_oracle() -> str:
+    age_h = f"(({O.secs_since('t.last_ts')}) / 60.0 / 60.0)"
+    age_m = f"(({O.secs_since('t.last_ts')}) / 60.0)"
+    age = (f"CASE WHEN t.last_ts IS NULL THEN 'N/A' WHEN {age_h} < 1.0 THEN printf('%.0f', {age_m}) || ' min' "
+           f"WHEN {age_h} < 48.0 THEN printf('%.1f', {age_h}) || ' h' "
+           f"ELSE printf('%.1f', {age_h} / 24.0) || ' días' END")
+    sel = O.temporal_select("t")
+    vals = {
+        "HOY_ES": O.iso_tz(O.AS_OF),
+        "LAST_QUERY_TIMESTAMP": O.iso_tz("t.last_ts", "UTC"),
+        "delta_real_time_formateado": age,
+        "NO_USER_MESSAGES_EXIST": "CASE WHEN f.NO_USER_MESSAGES_EXIST THEN 'True' ELSE 'False' END",
+        "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE": "coalesce(f.HOURS_MINUTES_SINCE_LAST_USER_MESSAGE, 'None')",
+        "HOURS_MINUTES_SINCE_LAST_MESSAGE": "coalesce(f.HOURS_MINUTES_SINCE_LAST_MESSAGE, 'None')",
+        "conversation_text": "x.conversation_text",
+    }
+    import string as _s
+
+    parts = []
+    for lit, field, _, _ in _s.Formatter().parse(PROMPT_TEMPLATE):
+        if lit:
+            parts.append(O.q(lit))
+        if field is not None:
+            parts.append(f"({vals[field]})")
+    prompt = " || ".join(parts)
+    sys_bytes = len(SYSTEM_MESSAGE.encode("utf-8"))
+    return _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(name="t"),
+                 """x AS (SELECT cleaned_phone, count(*) AS n_messages,
+       string_agg('[' || strftime(creation_time, '%Y-%m-%d %H:%M:%S') || '] ' || msg_from || ': ' || message,
+                  '\\n' ORDER BY creation_time, src_ord) AS conversation_text
+  FROM msgs GROUP BY cleaned_phone)""",
+                 f"f AS (SELECT t.cleaned_phone, {sel} FROM t)",
+                 f"""p AS (SELECT x.cleaned_phone, x.n_messages, {age} AS age_text, {prompt} AS prompt
+  FROM x JOIN t USING (cleaned_phone) JOIN f USING (cleaned_phone))""") + f"""
+SELECT cleaned_phone, n_messages, age_text, prompt, CAST(strlen(prompt) + {sys_bytes} + 11 AS BIGINT) AS token_estimate FROM p"""
+
+
+@register("prompt_render", _prompt_oracle())
+def prompt_render(spark, sf_dir):
+    """Prompt text per conversation, age text and token estimate."""
+    return prompt_plan(_msgs(spark, sf_dir))
+
+
+# --------------------------------------------------------------- runs over subsets of conversations
+@register(
+    "no_conversation_leads",
+    _with(O.messages_cte(), O.leads_cte())
+    + f"""SELECT lead_id, name, cleaned_phone, {O.q(P.NO_CONVERSATION_SUMMARY)} AS summary,
+       {O.q(P.NO_CONVERSATION_DIGEST)} AS conversation_digest
+FROM leads WHERE cleaned_phone NOT IN (SELECT cleaned_phone FROM msgs)""",
+)
+def no_conversation_leads(spark, sf_dir):
+    """Leads without any message get the default result row."""
+    return RP.no_conversation_rows(
+        A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir),
+        summary=P.NO_CONVERSATION_SUMMARY, conversation_digest=P.NO_CONVERSATION_DIGEST,
+    )
+
+
+LIMIT_CONVERSATIONS = 25
+
+
+@register(
+    "limited_run",
+    _with(O.messages_cte(), O.leads_cte(),
+          f"k AS (SELECT DISTINCT cleaned_phone FROM msgs ORDER BY cleaned_phone LIMIT {LIMIT_CONVERSATIONS})",
+          "n AS (SELECT cleaned_phone, count(*) AS n_messages FROM msgs WHERE cleaned_phone IN (SELECT cleaned_phone FROM k) GROUP BY cleaned_phone)")
+    + "SELECT l.lead_id, l.cleaned_phone, n.n_messages FROM leads l LEFT JOIN n USING (cleaned_phone)",
+)
+def limited_run(spark, sf_dir):
+    """Only the first N conversations (key order) are processed, but
+    every lead is still reported (the others with no result)."""
+    m = MS.limit_conversations(_msgs(spark, sf_dir), LIMIT_CONVERSATIONS)
+    n = m.groupBy("cleaned_phone").agg(F.count(F.lit(1)).alias("n_messages"))
+    leads = A.leads_from_customers(spark, sf_dir)
+    return leads.join(n, "cleaned_phone", "left").select("lead_id", "cleaned_phone", "n_messages")
+
+
+@register(
+    "template_conversations",
+    _with(O.messages_cte(),
+          f"k AS (SELECT cleaned_phone FROM msgs GROUP BY cleaned_phone HAVING bool_or(message = {O.q(A.BOT_OFFER)}))")
+    + "SELECT cleaned_phone, src_ord, msg_from, message FROM msgs WHERE cleaned_phone IN (SELECT cleaned_phone FROM k)",
+)
+def template_conversations(spark, sf_dir):
+    """Whole conversations that contain the given template message."""
+    m = MS.content_filter(_msgs(spark, sf_dir), F.col("message") == A.BOT_OFFER)
+    return m.select("cleaned_phone", "src_ord", "msg_from", "message")
