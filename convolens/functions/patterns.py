@@ -134,17 +134,41 @@ NEXT_ACTIONS = [
     "INSISTIR", "ENVIAR_PLANTILLA_RECUPERACION",
 ]
 
-# Campaign engagement -> action.
+# Campaign engagement -> action, context.
 CAMPAIGN_ACTION = [
-    ("IGNORED_NO_RESPONSE", "CLOSE_IGNORED"),
-    ("CLICKED_BUTTON_ONLY", "MONITOR"),
-    ("PROCESS_STARTED_ACTIVE", "WAIT"),
-    ("PROCESS_STARTED_UNFINISHED", "RESPOND_FOLLOW_UP"),
-    ("EXPLICITLY_NO", "ACKNOWLEDGE_CLOSE"),
-    ("NOT_ELIGIBLE_BUREAU", "ACKNOWLEDGE_CLOSE"),
-    ("TECHNICAL_ISSUE", "RESPOND_ISSUE"),
+    ("IGNORED_NO_RESPONSE", "CLOSE_IGNORED", "Sin reacción al blast"),
+    ("CLICKED_BUTTON_ONLY", "MONITOR", "Dio clic, sin chat"),
+    ("PROCESS_STARTED_ACTIVE", "WAIT", "Proceso en marcha (<48 h)"),
+    ("PROCESS_STARTED_UNFINISHED", "RESPOND_FOLLOW_UP", "Retomar proceso estancado"),
+    ("EXPLICITLY_NO", "ACKNOWLEDGE_CLOSE", "Lead no interesado"),
+    ("TECHNICAL_ISSUE", "RESPOND_ISSUE", "Resolver inconveniente"),
+    ("NOT_ELIGIBLE_BUREAU", "ACKNOWLEDGE_CLOSE", "Lead no elegible (Buró)"),
 ]
 
+# Engagement-recipe action codes for recontact scheduling.
+RECONTACT_CODES = ["PROBLEMA_TERMINOS", "ADEUDO_VEHICULAR_MULTAS", "PROBLEMA_SEGUNDA_LLAVE"]
+ESCALATE_CODES = ["OTRO_PROCESO_DE_NEGOCIO", "ERROR_PROCESO_INTERNO"]
+
+# Smart-summary texts (formalisation report), in rule order.
+SUMMARY_NO_CONVERSATION = "Sin conversación registrada"
+SUMMARY_GPS_DONE = "Proceso fluido: documentos validados y GPS completado"
+SUMMARY_VALIDATION_GPS_SCHEDULED = "Documentos en validación, GPS agendado"
+SUMMARY_VALIDATION_GPS_PENDING = "Documentos en validación, GPS pendiente"
+SUMMARY_VALIDATION = "Documentos en validación"
+SUMMARY_STUCK = "Cliente atascado: documentos sin validar, atención deficiente"
+SUMMARY_MISSING_DOCS = "Cliente necesita enviar documentos faltantes"
+SUMMARY_DOCS_GPS_SCHEDULED = "Documentos completos, GPS agendado"
+SUMMARY_DOCS_GPS_PENDING = "Documentos completos, GPS pendiente"
+SUMMARY_IN_PROGRESS = "Proceso en curso"
+
+# Label keys of the hand-off recipe and the critical enum keys.
+HANDOFF_LABEL_KEYS = [
+    "summary", "primary_stall_reason_code", "transfer_context_analysis", "next_action_code",
+    "suggested_message_es",
+]
+OPTIONAL_LABEL_KEYS = ["conversation_digest", "last_message_ts"]
+CRITICAL_ENUM_KEYS = ["primary_stall_reason_code", "next_action_code"]
+
 # Stall codes that make a lead ineligible (engagement recipe next action).
 INELIGIBLE_CODES = [
     "FINANCIAMIENTO_ACTIVO", "VEHICULO_ANTIGUO_KM", "NO_PROPIETARIO", "VIN_EXTRANJERO",

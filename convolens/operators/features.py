@@ -380,6 +380,62 @@ class ConversationState(Feature):
         return {"conversation_state": state}
 
 
+# ------------------------------------------------------------------- rule inputs
+class TransferContext(Feature):
+    """B12 input: the last user message before the first transfer message."""
+
+    name = "TransferContextFeature"
+    alias = "transfer_context"
+    columns = [("transfer_user_context", T.StringType())]
+    known_params = frozenset()
+
+    def anchors(self, m):
+        hit = rlike_any(strip_accents(m.text), literal_regex(P.HUMAN_TRANSFER), ignore_case=True)
+        return {f"{self.prefix}first": F.min(F.when(m.is_bot & hit, m.ord))}
+
+    def aggregates(self, m):
+        first = _anchor(self, "first")
+        return {f"{self.prefix}ctx": F.max_by(m.text, F.when(m.is_user & (m.ord < first), m.ord))}
+
+    def outputs(self, a, prior, as_of):
+        return {"transfer_user_context": a("ctx")}
+
+
+class Recency(Feature):
+    """Rule input: hours (double) since the last message and last user message."""
+
+    name = "RecencyFeature"
+    alias = "recency"
+    columns = [("hours_since_last_message", T.DoubleType()), ("hours_since_last_user_message", T.DoubleType())]
+    known_params = frozenset()
+
+    def aggregates(self, m):
+        return {f"{self.prefix}last": F.max(m.t), f"{self.prefix}last_user": F.max(F.when(m.is_user_l, m.t))}
+
+    def outputs(self, a, prior, as_of):
+        return {
+            "hours_since_last_message": seconds_between(as_of, a("last")) / F.lit(3600.0),
+            "hours_since_last_user_message": seconds_between(as_of, a("last_user")) / F.lit(3600.0),
+        }
+
+
+class FollowUps(Feature):
+    """B11 input: manual (operator) messages since the campaign start."""
+
+    name = "FollowUpFeature"
+    alias = "follow_ups"
+    columns = [("follow_up_attempts", T.LongType())]
+    known_params = frozenset({"campaign_start"})
+
+    def aggregates(self, m):
+        start = F.to_timestamp(F.lit(self.p("campaign_start", "1970-01-01 00:00:00")))
+        is_op = F.coalesce(m.sender_l == "operator", F.lit(False))
+        return {f"{self.prefix}n": F.count_if(is_op & (m.t >= start))}
+
+    def outputs(self, a, prior, as_of):
+        return {"follow_up_attempts": F.coalesce(a("n"), F.lit(0)).cast("bigint")}
+
+
 # ------------------------------------------------------------------- registry
 FEATURES: dict[str, type[Feature]] = {}
 
@@ -393,7 +449,8 @@ def register_feature(cls: type[Feature]) -> type[Feature]:
     return cls
 
 
-for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, ConversationState):
+for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, ConversationState,
+             TransferContext, Recency, FollowUps):
     register_feature(_cls)
 
 # The reference's default chain order.

@@ -234,3 +234,80 @@ def handoff_select(a: str = "h_agg") -> str:
     return f"""{a}.inv IS NOT NULL AS handoff_invitation_detected,
        {resp} AS handoff_response,
        ({resp}) = 'STARTED_HANDOFF' AND {a}.done AS handoff_finalized"""
+
+
+def pick_sql(expr: str, values: list) -> str:
+    parts = " ".join(
+        f"WHEN {i} THEN {('NULL' if v is None else q(v))}" for i, v in enumerate(values)
+    )
+    return f"CAST(CASE ({expr}) {parts} END AS VARCHAR)"
+
+
+def labels_cte(name: str = "lab") -> str:
+    """Twin of ``adapters.label_rows``."""
+    c = "conv_id"
+    return f"""{name} AS (
+  SELECT CAST({A.PHONE_BASE} + {c} AS VARCHAR) AS cleaned_phone, {c} AS conv_id,
+         CASE WHEN {c} % 17 = 5 THEN NULL ELSE 'Resumen de la conversación ' || CAST({c} AS VARCHAR) END AS summary,
+         {pick_sql(f"{c} % {len(A.STALL_VARIANTS)}", A.STALL_VARIANTS)} AS primary_stall_reason_code,
+         {pick_sql(f"({c} * 7) % {len(A.ACTION_VARIANTS)}", A.ACTION_VARIANTS)} AS next_action_code,
+         CASE WHEN {c} % 4 = 0 THEN 'N/A' ELSE 'Pidió hablar con una persona' END AS transfer_context_analysis,
+         'Hola, ¿seguimos con tu solicitud? #' || CAST({c} AS VARCHAR) AS suggested_message_es,
+         {pick_sql(f"{c} % 3", A.STAGE_VARIANTS)} AS inferred_stall_stage,
+         {c} % 9 = 4 AS explicit_disinterest,
+         {c} % 11 = 5 AS technical_issue,
+         {pick_sql(f"{c} % {len(A.CAMPAIGN_VARIANTS)}", A.CAMPAIGN_VARIANTS)} AS campaign_label,
+         {pick_sql(f"{c} % {len(A.DOCUMENT_VARIANTS)}", A.DOCUMENT_VARIANTS)} AS documentos_enviados_analisis,
+         {pick_sql(f"({c} // 5) % {len(A.VALIDATION_VARIANTS)}", A.VALIDATION_VARIANTS)} AS enviado_a_validacion,
+         {pick_sql(f"{c} % {len(A.QUALITY_VARIANTS)}", A.QUALITY_VARIANTS)} AS calidad_atencion_agente,
+         {pick_sql(f"({c} // 2) % {len(A.GPS_VARIANTS)}", A.GPS_VARIANTS)} AS gps_instalacion_agendada,
+         {pick_sql(f"{c} % {len(A.OBJECTION_VARIANTS)}", A.OBJECTION_VARIANTS)} AS objecion_principal_cliente,
+         CASE WHEN {c} % 13 = 6 THEN 'ERROR_PROCESSING' WHEN {c} % 29 = 11 THEN 'ERROR_LLM_NONE'
+              WHEN {c} % 31 = 30 THEN 'ERROR_UNEXPECTED' END AS error_kind
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+)"""
+
+
+def recency_cte(src: str = "om", name: str = "rec") -> str:
+    return f"""{name} AS (
+  SELECT cleaned_phone,
+         {secs_since('max(creation_time)')} / 3600.0 AS hours_since_last_message,
+         {secs_since("max(creation_time) FILTER (WHERE lower(msg_from) = 'user')")} / 3600.0 AS hours_since_last_user_message
+  FROM {src} GROUP BY cleaned_phone
+)"""
+
+
+def in_list(expr: str, values: list[str]) -> str:
+    return f"{expr} IN (" + ", ".join(q(v) for v in values) + ")"
+
+
+def repair_sql(src: str, required: list[str], enums: dict[str, list[str]], critical: list[str]) -> str:
+    """L8-L12 as one SELECT over ``src`` (label columns + NO_USER + HOURS)."""
+    missing = " OR ".join(f"{k} IS NULL" for k in required)
+    invalid = " OR ".join(f"({k} IS NOT NULL AND NOT {in_list(k, v)})" for k, v in enums.items())
+    err = f"(({missing}) OR ({invalid}))"
+    nu = "coalesce(NO_USER_MESSAGES_EXIST, false)"
+    recent = "(starts_with(coalesce(HOURS_MINUTES_SINCE_LAST_MESSAGE, ''), '0h') OR starts_with(coalesce(HOURS_MINUTES_SINCE_LAST_MESSAGE, ''), '1h'))"
+    keys = list(dict.fromkeys(list(required) + list(enums)))
+    cols = []
+    for k in keys:
+        rep = f"coalesce({k}, 'N/A')" if k in required else k
+        if k in enums:
+            s = f"regexp_replace({rep}, '^\\s+|\\s+$', '', 'g')"
+            unq = (f"CASE WHEN length({s}) > 0 AND ((starts_with({s}, '''') AND ends_with({s}, '''')) OR "
+                   f"(starts_with({s}, '\"') AND ends_with({s}, '\"'))) THEN substring({s}, 2, length({s}) - 2) ELSE {s} END")
+            fb = "'N/A'" if k in critical else q(enums[k][0])
+            rep = f"CASE WHEN {rep} IS NULL THEN NULL WHEN {in_list(unq, enums[k])} THEN {unq} ELSE {fb} END"
+        if k == "primary_stall_reason_code":
+            nuv = f"CASE WHEN {k} IS NOT NULL THEN 'NUNCA_RESPONDIO' END"
+        elif k == "next_action_code":
+            nuv = f"CASE WHEN {k} IS NOT NULL THEN CASE WHEN {recent} THEN 'ESPERAR' ELSE 'LLAMAR_LEAD_NUNCA_RESPONDIO' END END"
+        else:
+            nuv = k
+        v = f"CASE WHEN NOT {err} THEN {k} WHEN {nu} THEN {nuv} ELSE {rep} END"
+        if k in critical and k in enums:
+            v = f"CASE WHEN {err} AND ({v}) IS NOT NULL AND NOT {in_list(f'({v})', enums[k])} THEN 'N/A' ELSE {v} END"
+        cols.append(f"{v} AS {k}")
+    cols.append(f"CASE WHEN {err} AND {nu} THEN 'PRE_VALIDACION' ELSE inferred_stall_stage END AS inferred_stall_stage")
+    cols.append(f"{err} AS had_errors")
+    return f"SELECT cleaned_phone, " + ",\n       ".join(cols) + f"\nFROM {src}"

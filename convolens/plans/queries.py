@@ -568,3 +568,364 @@ def template_conversations(spark, sf_dir):
     """Whole conversations that contain the given template message."""
     m = MS.content_filter(_msgs(spark, sf_dir), F.col("message") == A.BOT_OFFER)
     return m.select("cleaned_phone", "src_ord", "msg_from", "message")
+
+
+# --------------------------------------------------------------- decision rules
+from convolens.operators import incremental as INC  # noqa: E402
+from convolens.operators import labels as LB  # noqa: E402
+from convolens.operators import rules as RU  # noqa: E402
+
+CAMPAIGN_START = "2024-01-02 00:00:00"
+
+
+def _rule_features(spark, sf_dir, extra=()):
+    specs = FT.chain(["temporal", "metadata", "recency", *extra])
+    return FT.conversation_features(_msgs(spark, sf_dir), specs)
+
+
+def _transfer_ctx_sql() -> str:
+    import re as _re
+
+    hit = O.regex_any(O.strip_acc("message"), [_re.escape(p) for p in P.HUMAN_TRANSFER], ignore_case=True)
+    return f"""tr AS (SELECT cleaned_phone, min(i) FILTER (WHERE msg_from = 'bot' AND {hit}) AS first_tr FROM om GROUP BY cleaned_phone),
+tc AS (SELECT o.cleaned_phone, arg_max(coalesce(o.message, ''), o.i) FILTER (WHERE o.msg_from = 'user' AND o.i < tr.first_tr) AS ctx,
+              {O.transfer_expr()} AS human_transfer
+       FROM om o JOIN tr USING (cleaned_phone) GROUP BY o.cleaned_phone)"""
+
+
+def _initial_sql(expr: str) -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = {O.q(c)} THEN {O.q(a)}" for c, a in P.STALL_INITIAL_ACTION) + " END"
+
+
+@register(
+    "next_action",
+    _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.recency_cte(), O.labels_cte(), _transfer_ctx_sql(),
+          f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
+          f"""b AS (SELECT f.cleaned_phone, lab.primary_stall_reason_code, lab.suggested_message_es AS msg,
+       CASE WHEN f.NO_USER_MESSAGES_EXIST THEN 'NUNCA_RESPONDIO' WHEN rec.hours_since_last_user_message < 6 THEN 'PROCESO_EN_CURSO'
+            WHEN rec.hours_since_last_user_message >= 12 THEN 'GHOSTING' ELSE 'OTRO' END AS silence_band,
+       {_initial_sql('lab.primary_stall_reason_code')} AS initial_action,
+       f.IS_RECOVERY_PHASE_ELIGIBLE AS elig, tc.human_transfer, tc.ctx
+  FROM f JOIN rec USING (cleaned_phone) JOIN lab USING (cleaned_phone) JOIN tc USING (cleaned_phone))""",
+          """c AS (SELECT *, CASE WHEN coalesce(elig, false) AND initial_action IS NOT NULL AND initial_action NOT IN ('CERRAR', 'LLAMAR_LEAD')
+                         THEN 'ENVIAR_PLANTILLA_RECUPERACION' ELSE initial_action END AS next_action_code FROM b)""")
+    + f"""SELECT cleaned_phone, primary_stall_reason_code, silence_band, initial_action, next_action_code,
+       CASE WHEN {O.in_list('next_action_code', P.MESSAGE_ACTIONS)} THEN msg ELSE 'N/A' END AS suggested_message_es,
+       CASE WHEN coalesce(human_transfer, false) THEN coalesce(ctx, 'N/A') ELSE 'N/A' END AS transfer_context_analysis
+FROM c""",
+)
+def next_action(spark, sf_dir):
+    """B1-B5 + B12 + J9: silence band, stall -> initial action (lookup),
+    recovery override, message and transfer-context gating."""
+    feats = _rule_features(spark, sf_dir, ["human_transfer", "transfer_context"])
+    lab = A.label_rows(spark, sf_dir).select("cleaned_phone", "primary_stall_reason_code", "suggested_message_es")
+    dim = RU.lookup_table(spark, P.STALL_INITIAL_ACTION, ["primary_stall_reason_code", "initial_action"])
+    j = RU.code_lookup(feats.join(lab, "cleaned_phone"), dim, "primary_stall_reason_code")
+    action = RU.next_action("initial_action", "IS_RECOVERY_PHASE_ELIGIBLE")
+    return j.select(
+        "cleaned_phone", "primary_stall_reason_code",
+        RU.silence_band("NO_USER_MESSAGES_EXIST", "hours_since_last_user_message").alias("silence_band"),
+        "initial_action",
+        action.alias("next_action_code"),
+        RU.suggested_message(action, "suggested_message_es").alias("suggested_message_es"),
+        RU.transfer_context("human_transfer", "transfer_user_context").alias("transfer_context_analysis"),
+    )
+
+
+def _engagement_sql() -> str:
+    u, m = "rec.hours_since_last_user_message", "rec.hours_since_last_message"
+    return f"""CASE WHEN coalesce(f.NO_USER_MESSAGES_EXIST, true) THEN 'IGNORED_INITIAL_CONTACT'
+            WHEN coalesce(lab.explicit_disinterest, false) THEN 'EXPLICIT_DISINTEREST'
+            WHEN coalesce(lab.technical_issue, false) THEN 'TECHNICAL_ISSUE_REPORTED'
+            WHEN mm.last_message_sender = 'user' AND {u} < 6.0 THEN 'KUNA_PENDING_RESPONSE'
+            WHEN mm.last_message_sender = 'kuna' AND {m} >= 6.0 THEN 'STALLED_AFTER_RESPONSE'
+            WHEN mm.last_message_sender = 'kuna' AND {m} < 6.0 THEN 'USER_PENDING_RESPONSE'
+            WHEN {m} < 6.0 THEN 'ENGAGED_ACTIVE_CONVO' ELSE 'N/A' END"""
+
+
+@register(
+    "engagement_status",
+    _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.metadata_agg_sql(), O.recency_cte(), O.labels_cte(),
+          f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
+          f"mm AS (SELECT m_agg.cleaned_phone, {O.metadata_select()} FROM m_agg)",
+          f"""e AS (SELECT f.cleaned_phone, lab.primary_stall_reason_code AS st, {_engagement_sql()} AS current_engagement_status,
+       rec.hours_since_last_message AS mh, rec.hours_since_last_user_message AS uh
+  FROM f JOIN mm USING (cleaned_phone) JOIN rec USING (cleaned_phone) JOIN lab USING (cleaned_phone))""")
+    + f"""SELECT cleaned_phone, current_engagement_status,
+       CASE WHEN st = 'NUNCA_RESPONDIO' THEN 'LLAMAR_LEAD_NUNCA_RESPONDIO'
+            WHEN {O.in_list('st', P.INELIGIBLE_CODES)} THEN 'CERRAR_CASO'
+            WHEN st = 'DESINTERES_EXPLICITO' THEN 'CERRAR_CASO'
+            WHEN current_engagement_status = 'TECHNICAL_ISSUE_REPORTED' THEN 'ESCALAR_CASO_A_HUMANO'
+            WHEN current_engagement_status = 'KUNA_PENDING_RESPONSE' THEN 'RESPONDER_AL_CLIENTE'
+            WHEN st = 'PROCESO_EN_CURSO' AND current_engagement_status IN ('ENGAGED_ACTIVE_CONVO', 'KUNA_PENDING_RESPONSE') THEN 'MONITOREAR_CONVERSACION'
+            WHEN current_engagement_status = 'USER_PENDING_RESPONSE' THEN 'PROGRAMAR_RECONTACTO_AUTOMATICO'
+            WHEN current_engagement_status = 'STALLED_AFTER_RESPONSE' OR st = 'GHOSTING' THEN
+                 CASE WHEN (CASE WHEN current_engagement_status = 'STALLED_AFTER_RESPONSE' THEN mh ELSE uh END) > 24.0
+                      THEN 'PROGRAMAR_RECONTACTO_ESPECIAL' ELSE 'PROGRAMAR_RECONTACTO_AUTOMATICO' END
+            WHEN {O.in_list('st', P.RECONTACT_CODES)} THEN 'PROGRAMAR_RECONTACTO_AUTOMATICO'
+            WHEN {O.in_list('st', P.ESCALATE_CODES)} THEN 'ESCALAR_CASO_A_HUMANO'
+            ELSE 'REVISAR_MANUALMENTE' END AS next_action_code
+FROM e""",
+)
+def engagement_status(spark, sf_dir):
+    """B6 + B7: engagement status and the engagement recipe's next action."""
+    feats = _rule_features(spark, sf_dir)
+    lab = A.label_rows(spark, sf_dir)
+    j = feats.join(lab, "cleaned_phone")
+    status = RU.engagement_status("NO_USER_MESSAGES_EXIST", "last_message_sender", "hours_since_last_user_message",
+                                  "hours_since_last_message", "explicit_disinterest", "technical_issue")
+    action = RU.engagement_action("primary_stall_reason_code", status, "hours_since_last_message",
+                                  "hours_since_last_user_message", silence_hours=24.0)
+    return j.select("cleaned_phone", status.alias("current_engagement_status"), action.alias("next_action_code"))
+
+
+@register(
+    "campaign_action",
+    _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.recency_cte(), O.labels_cte(),
+          f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
+          f"""fu AS (SELECT cleaned_phone, count(*) FILTER (WHERE lower(msg_from) = 'operator' AND creation_time >= TIMESTAMP '{CAMPAIGN_START}') AS follow_up_attempts
+  FROM msgs GROUP BY cleaned_phone)""",
+          "dim(current_engagement_status, next_action_code, next_action_context) AS (VALUES "
+          + ", ".join(f"({O.q(s)}, {O.q(a)}, {O.q(c)})" for s, a, c in P.CAMPAIGN_ACTION) + ")",
+          """s AS (SELECT f.cleaned_phone, lab.suggested_message_es AS msg, fu.follow_up_attempts,
+       CASE WHEN coalesce(f.NO_USER_MESSAGES_EXIST, true) AND starts_with(lab.campaign_label, 'PROCESS_STARTED') THEN 'IGNORED_NO_RESPONSE'
+            WHEN starts_with(lab.campaign_label, 'PROCESS_STARTED') AND rec.hours_since_last_user_message > 48.0 THEN 'PROCESS_STARTED_UNFINISHED'
+            WHEN starts_with(lab.campaign_label, 'PROCESS_STARTED') THEN 'PROCESS_STARTED_ACTIVE'
+            ELSE lab.campaign_label END AS current_engagement_status
+  FROM f JOIN rec USING (cleaned_phone) JOIN lab USING (cleaned_phone) JOIN fu USING (cleaned_phone))""")
+    + """SELECT s.cleaned_phone, s.current_engagement_status, dim.next_action_code, dim.next_action_context,
+       CASE WHEN starts_with(dim.next_action_code, 'RESPOND_') THEN s.msg ELSE 'N/A' END AS suggested_message_es,
+       s.follow_up_attempts
+FROM s LEFT JOIN dim USING (current_engagement_status)""",
+)
+def campaign_action(spark, sf_dir):
+    """B8 + B9 + B11 + J9: campaign status split at 48 h of user silence,
+    status -> action + context lookup, RESPOND_* messages, follow-up count."""
+    feats = _rule_features(spark, sf_dir, [("follow_ups", {"campaign_start": CAMPAIGN_START})])
+    lab = A.label_rows(spark, sf_dir).select("cleaned_phone", "campaign_label", "suggested_message_es")
+    j = feats.join(lab, "cleaned_phone").withColumn(
+        "current_engagement_status",
+        RU.campaign_status("campaign_label", "NO_USER_MESSAGES_EXIST", "hours_since_last_user_message"),
+    )
+    j = RU.code_lookup(j, RU.campaign_table(spark), "current_engagement_status")
+    return j.select(
+        "cleaned_phone", "current_engagement_status", "next_action_code", "next_action_context",
+        RU.campaign_message("next_action_code", "suggested_message_es").alias("suggested_message_es"),
+        "follow_up_attempts",
+    )
+
+
+def _smart_summary_sql(d="documentos_enviados_analisis", v="enviado_a_validacion", qq="calidad_atencion_agente",
+                       g="gps_instalacion_agendada") -> str:
+    dl, vl, ql, gl = (f"lower(coalesce({x}, 'nan'))" for x in (d, v, qq, g))
+    return f"""CASE WHEN {d} IS NULL OR {d} = '' THEN {O.q(P.SUMMARY_NO_CONVERSATION)}
+            WHEN contains({gl}, 'gps completado') OR contains({gl}, 'completado') THEN {O.q(P.SUMMARY_GPS_DONE)}
+            WHEN contains({vl}, 'sí') THEN CASE WHEN contains({gl}, 'agendado') THEN {O.q(P.SUMMARY_VALIDATION_GPS_SCHEDULED)}
+                                                WHEN contains({gl}, 'pendiente') THEN {O.q(P.SUMMARY_VALIDATION_GPS_PENDING)}
+                                                ELSE {O.q(P.SUMMARY_VALIDATION)} END
+            WHEN contains({dl}, 'faltan') THEN CASE WHEN contains({ql}, 'mala') OR contains({ql}, 'regular') THEN {O.q(P.SUMMARY_STUCK)}
+                                                    ELSE {O.q(P.SUMMARY_MISSING_DOCS)} END
+            WHEN contains({dl}, 'documentos completos') THEN CASE WHEN contains({gl}, 'agendado') THEN {O.q(P.SUMMARY_DOCS_GPS_SCHEDULED)}
+                                                                  ELSE {O.q(P.SUMMARY_DOCS_GPS_PENDING)} END
+            ELSE {O.q(P.SUMMARY_IN_PROGRESS)} END"""
+
+
+def _curated_sql() -> str:
+    blank = lambda e: f"CASE WHEN CAST({e} AS VARCHAR) IS NULL OR CAST({e} AS VARCHAR) IN ('nan', 'None', 'NaN') THEN '' ELSE CAST({e} AS VARCHAR) END"
+    src = {
+        "agente": "''", "asset_id": "''", "nombre": "l.name", "correo": "''", "cleaned_phone": "l.cleaned_phone",
+        "lead_created_at": "''", "resumen_general": _smart_summary_sql(*[f"lab.{c}" for c in (
+            "documentos_enviados_analisis", "enviado_a_validacion", "calidad_atencion_agente", "gps_instalacion_agendada")]),
+    }
+    for c in ["documentos_enviados_analisis", "enviado_a_validacion", "calidad_atencion_agente",
+              "objecion_principal_cliente", "gps_instalacion_agendada"]:
+        src[c] = f"lab.{c}"
+    cols = ",\n       ".join(f"{blank(src[c])} AS {c}" for c in P.CURATED_COLUMNS)
+    return (_with(O.labels_cte(), f"""l AS (SELECT c_name AS name, CAST({A.PHONE_BASE} + c_custkey AS VARCHAR) AS cleaned_phone FROM customer)""")
+            + f"SELECT {cols}\nFROM l LEFT JOIN lab USING (cleaned_phone)")
+
+
+@register("smart_summary", _curated_sql())
+def smart_summary(spark, sf_dir):
+    """B10 + P18 + F15: smart summary per lead and the curated 12-column report."""
+    leads = A.leads_from_customers(spark, sf_dir).select(F.col("name").alias("nombre"), "cleaned_phone")
+    lab = A.label_rows(spark, sf_dir)
+    j = leads.join(lab, "cleaned_phone", "left").withColumn(
+        "resumen_general",
+        RU.smart_summary("documentos_enviados_analisis", "enviado_a_validacion", "calidad_atencion_agente",
+                         "gps_instalacion_agendada"),
+    )
+    return RP.curated_projection(j)
+
+
+# --------------------------------------------------------------- label repair
+_ENUMS = {"primary_stall_reason_code": P.STALL_REASONS, "next_action_code": P.NEXT_ACTIONS}
+
+
+@register(
+    "label_repair",
+    _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.labels_cte(),
+          f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
+          "x AS (SELECT lab.*, f.NO_USER_MESSAGES_EXIST, f.HOURS_MINUTES_SINCE_LAST_MESSAGE FROM lab JOIN f USING (cleaned_phone))")
+    + O.repair_sql("x", P.HANDOFF_LABEL_KEYS, _ENUMS, P.CRITICAL_ENUM_KEYS),
+)
+def label_repair(spark, sf_dir):
+    """Validate labels against the recipe keys / enums and repair them."""
+    feats = FT.conversation_features(_msgs(spark, sf_dir), [FT.Temporal()])
+    lab = A.label_rows(spark, sf_dir)
+    j = lab.join(feats.select("cleaned_phone", "NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE"), "cleaned_phone")
+    r = LB.repair_labels(j, P.HANDOFF_LABEL_KEYS, _ENUMS, P.CRITICAL_ENUM_KEYS)
+    return r.select("cleaned_phone", *P.HANDOFF_LABEL_KEYS, "inferred_stall_stage", "had_errors")
+
+
+# FIXED VALUES — raw response shapes the label_parse query derives per conversation.
+RESPONSE_SHAPES = [
+    "```yaml\nsummary: Resumen {id}\nprimary_stall_reason_code: GHOSTING\nnext_action_code: INSISTIR\n```",
+    'summary: "Cliente dijo "no sé" ayer"\nprimary_stall_reason_code: OTRO\nnext_action_code: ESPERAR',
+    "summary: Valor con: dos puntos {id}\nprimary_stall_reason_code: GHOSTING",
+    "summary: primera linea\nsegunda linea {id}\nnext_action_code: CERRAR\nprimary_stall_reason_code: OTRO",
+    "- a\n- b {id}",
+    "```\nsummary: ok {id}\ntransfer_context_analysis: nada\nprimary_stall_reason_code: PROCESO_EN_CURSO\n"
+    "next_action_code: ESPERAR\nsuggested_message_es: hola\n```",
+]
+
+
+def raw_responses(spark, sf_dir) -> DataFrame:
+    """A raw model response per conversation (shape by conversation id)."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = F.col("conv_id")
+    shapes = F.array(*[F.lit(s) for s in RESPONSE_SHAPES])
+    shape = F.element_at(shapes, (c % len(RESPONSE_SHAPES) + 1).cast("int"))
+    return conv.select(A.phone_of(c).alias("cleaned_phone"),
+                       F.replace(shape, F.lit("{id}"), c.cast("string")).alias("raw_response"))
+
+
+@register("label_parse")
+def label_parse(spark, sf_dir):
+    """Clean and parse raw responses (Arrow pandas UDF), required keys."""
+    p = LB.parse_labels(raw_responses(spark, sf_dir))
+    return p.select(
+        "cleaned_phone", "error",
+        F.array_join("missing_keys", ",").alias("missing_keys"),
+        F.col("labels")["summary"].alias("summary"),
+        F.col("labels")["primary_stall_reason_code"].alias("primary_stall_reason_code"),
+        F.col("labels")["next_action_code"].alias("next_action_code"),
+        F.col("labels")["transfer_context_analysis"].alias("transfer_context_analysis"),
+    )
+
+
+# --------------------------------------------------------------- incremental
+def _versions(spark, sf_dir):
+    m = A.message_rows(spark, sf_dir, keep_conv_id=True)
+    current = conversation_digest(m)
+    old_msgs = INC.without_last_message(m, F.col("conv_id") % 3 == 0)
+    old = conversation_digest(old_msgs)
+    return current, old
+
+
+def _cache(old: DataFrame) -> DataFrame:
+    conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
+    as_of = F.to_timestamp(F.lit(AS_OF_DEFAULT))
+    base = old.select("cleaned_phone", "conversation_digest", "n_messages", conv.alias("conv_id"))
+    v1 = base.select("cleaned_phone", "conversation_digest",
+                     F.concat(F.lit("v1:"), F.col("n_messages").cast("string")).alias("payload"),
+                     (as_of - F.expr("INTERVAL 1 DAY")).alias("scored_at"))
+    v2 = base.where(F.col("conv_id") % 4 == 0).select(
+        "cleaned_phone", "conversation_digest",
+        F.concat(F.lit("v2:"), F.col("n_messages").cast("string")).alias("payload"),
+        (as_of - F.expr("INTERVAL 1 HOUR")).alias("scored_at"))
+    bad = base.where(F.col("conv_id") % 5 == 1).select(
+        "cleaned_phone", "conversation_digest", F.lit(None).cast("string").alias("payload"), as_of.alias("scored_at"))
+    return v1.unionByName(v2).unionByName(bad)
+
+
+_DIGEST_AGG = """md5(trim(regexp_replace(string_agg(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,
+                                          chr(10) ORDER BY creation_time, src_ord), '\\s+', ' ', 'g')))"""
+_VERSION_CTES = [
+    O.messages_cte(), O.ordinal_cte(),
+    "mx AS (SELECT cleaned_phone, max(i) AS last_i FROM om GROUP BY cleaned_phone)",
+    f"cur AS (SELECT cleaned_phone, any_value(conv_id) AS conv_id, {_DIGEST_AGG} AS conversation_digest, count(*) AS n FROM om GROUP BY cleaned_phone)",
+    f"""old AS (SELECT cleaned_phone, any_value(conv_id) AS conv_id, {_DIGEST_AGG} AS conversation_digest, count(*) AS n
+  FROM om JOIN mx USING (cleaned_phone) WHERE NOT (conv_id % 3 = 0 AND i = last_i) GROUP BY cleaned_phone)""",
+    f"""cache AS (
+  SELECT cleaned_phone, conversation_digest, 'v1:' || CAST(n AS VARCHAR) AS payload, {O.AS_OF} - INTERVAL 1 DAY AS scored_at FROM old
+  UNION ALL SELECT cleaned_phone, conversation_digest, 'v2:' || CAST(n AS VARCHAR), {O.AS_OF} - INTERVAL 1 HOUR FROM old WHERE conv_id % 4 = 0
+  UNION ALL SELECT cleaned_phone, conversation_digest, NULL, {O.AS_OF} FROM old WHERE conv_id % 5 = 1)""",
+]
+
+
+@register(
+    "score_needed",
+    _with(*_VERSION_CTES) + """SELECT cur.cleaned_phone, cur.conversation_digest FROM cur
+WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.payload IS NOT NULL AND c.cleaned_phone = cur.cleaned_phone
+                  AND c.conversation_digest = cur.conversation_digest)""",
+)
+def score_needed(spark, sf_dir):
+    """C2 + J8: conversations whose current digest has no usable cache entry."""
+    current, old = _versions(spark, sf_dir)
+    return INC.score_needed(current.select("cleaned_phone", "conversation_digest"), _cache(old))
+
+
+@register(
+    "cache_latest",
+    _with(*_VERSION_CTES) + """SELECT conversation_digest, cleaned_phone, payload, strftime(scored_at, '%Y-%m-%d %H:%M:%S') AS scored_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY conversation_digest ORDER BY scored_at DESC) AS rn FROM cache WHERE payload IS NOT NULL
+) WHERE rn = 1""",
+)
+def cache_latest(spark, sf_dir):
+    """Newest usable cache entry per digest (corrupt entries skipped)."""
+    _, old = _versions(spark, sf_dir)
+    latest = INC.latest_cache(_cache(old))
+    return latest.select("conversation_digest", "cleaned_phone", "payload",
+                         F.date_format("scored_at", "yyyy-MM-dd HH:mm:ss").alias("scored_at"))
+
+
+def _completion(spark, sf_dir):
+    current, old = _versions(spark, sf_dir)
+    conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
+    recipe = F.concat(F.lit("campaign_"), (conv % 3).cast("string"))
+    log = old.where(conv % 2 == 0).select(
+        "cleaned_phone", recipe.alias("recipe"), F.col("conversation_digest").alias("digest"),
+        F.concat(F.lit("agent_"), (conv % 5).cast("string")).alias("completed_by"),
+        F.lit("follow-up done").alias("notes"),
+        (F.to_timestamp(F.lit(AS_OF_DEFAULT)) - F.expr("INTERVAL 2 HOURS")).alias("completed_at"),
+    )
+    cur = current.select("cleaned_phone", recipe.alias("recipe"), "conversation_digest")
+    return INC.completion_status(cur, log)
+
+
+_COMPLETION_CTES = _VERSION_CTES + [
+    """st AS (SELECT cur.cleaned_phone, 'campaign_' || CAST(cur.conv_id % 3 AS VARCHAR) AS recipe,
+       CASE WHEN old.cleaned_phone IS NULL THEN 'ACTIVE' WHEN old.conversation_digest = cur.conversation_digest THEN 'COMPLETED'
+            ELSE 'REACTIVATED' END AS status,
+       CASE WHEN old.cleaned_phone IS NOT NULL THEN 'agent_' || CAST(cur.conv_id % 5 AS VARCHAR) END AS completed_by
+  FROM cur LEFT JOIN old ON old.cleaned_phone = cur.cleaned_phone AND old.conv_id % 2 = 0)""",
+]
+
+
+@register(
+    "completion_status",
+    _with(*_COMPLETION_CTES) + "SELECT cleaned_phone, recipe, status, completed_by, status <> 'COMPLETED' AS needs_processing FROM st",
+)
+def completion_status(spark, sf_dir):
+    """C4 + C6: ACTIVE / COMPLETED / REACTIVATED per lead and campaign; skip rule."""
+    s = _completion(spark, sf_dir)
+    return s.select("cleaned_phone", "recipe", "status", "completed_by", "needs_processing")
+
+
+@register(
+    "completion_stats",
+    _with(*_COMPLETION_CTES) + """SELECT recipe,
+       count(*) FILTER (WHERE status <> 'ACTIVE') AS total_tracked,
+       count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
+       count(*) FILTER (WHERE status = 'REACTIVATED') AS reactivated,
+       count(*) FILTER (WHERE status = 'ACTIVE') AS active,
+       count(*) FILTER (WHERE status <> 'COMPLETED') AS processed,
+       count(*) FILTER (WHERE status = 'COMPLETED') AS skipped,
+       round(CASE WHEN count(*) FILTER (WHERE status <> 'ACTIVE') > 0
+             THEN count(*) FILTER (WHERE status = 'COMPLETED') / count(*) FILTER (WHERE status <> 'ACTIVE') ELSE 0.0 END, 6) AS completion_rate
+FROM st GROUP BY recipe""",
+)
+def completion_stats(spark, sf_dir):
+    """A6 + A7: per campaign completion statistics and processed/skipped counts."""
+    return INC.completion_stats(_completion(spark, sf_dir))

@@ -168,3 +168,63 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et.isin("click", "purchase"), "user").when(et == "view", "operator").otherwise("bot").alias("msg_from"),
         et.alias("message"),
     )
+
+
+# FIXED VALUES — label variants the adapter assigns by conversation id
+# (valid codes, plus quoted, padded, unknown and missing ones).
+STALL_VARIANTS = [
+    "NUNCA_RESPONDIO", "FINANCIAMIENTO_ACTIVO", "VEHICULO_ANTIGUO_KM", "NO_PROPIETARIO",
+    "VIN_EXTRANJERO", "ZONA_NO_CUBIERTA", "USUARIO_SIN_AUTO", "RECHAZADO_POR_KUNA",
+    "PRODUCTO_INCORRECTO_COMPRADOR", "OTRO_PROCESO_DE_NEGOCIO", "DESINTERES_EXPLICITO",
+    "ADEUDO_VEHICULAR_MULTAS", "PROBLEMA_SEGUNDA_LLAVE", "PROBLEMA_TERMINOS",
+    "ERROR_PROCESO_INTERNO", "PROCESO_EN_CURSO", "GHOSTING", "OTRO",
+    "'GHOSTING'", "  OTRO  ", "INVENTADO", None,
+]
+ACTION_VARIANTS = [
+    "CERRAR", "ESPERAR", "LLAMAR_LEAD", "CONTACTO_PRIORITARIO", "MANEJAR_OBJECION",
+    "INSISTIR", "ENVIAR_PLANTILLA_RECUPERACION", '"ESPERAR"', "NADA", None,
+]
+STAGE_VARIANTS = ["PRE_VALIDACION", "POST_VALIDACION", "HANDOFF"]
+CAMPAIGN_VARIANTS = [
+    "IGNORED_NO_RESPONSE", "CLICKED_BUTTON_ONLY", "PROCESS_STARTED", "EXPLICITLY_NO",
+    "TECHNICAL_ISSUE", "NOT_ELIGIBLE_BUREAU",
+]
+DOCUMENT_VARIANTS = ["Faltan documentos", "Documentos completos", "Parcial", None, ""]
+VALIDATION_VARIANTS = ["Sí", "No", "No claro", None]
+QUALITY_VARIANTS = ["Buena", "Regular", "Mala"]
+GPS_VARIANTS = ["GPS agendado", "Pendiente", "GPS completado", "No", None]
+OBJECTION_VARIANTS = ["Tasa alta", "Ninguna", "Plazo"]
+
+
+def pick(index: F.Column, values: list) -> F.Column:
+    """``values[index]`` for a non-negative integer column."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model labels per conversation (what a model would have returned),
+    assigned by arithmetic on the conversation id."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = F.col("conv_id")
+    return conv.select(
+        phone_of(c).alias("cleaned_phone"),
+        c.alias("conv_id"),
+        F.when(c % 17 == 5, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("Resumen de la conversación "), c.cast("string"))).alias("summary"),
+        pick(c % len(STALL_VARIANTS), STALL_VARIANTS).alias("primary_stall_reason_code"),
+        pick((c * 7) % len(ACTION_VARIANTS), ACTION_VARIANTS).alias("next_action_code"),
+        F.when(c % 4 == 0, F.lit("N/A")).otherwise(F.lit("Pidió hablar con una persona")).alias("transfer_context_analysis"),
+        F.concat(F.lit("Hola, ¿seguimos con tu solicitud? #"), c.cast("string")).alias("suggested_message_es"),
+        pick(c % 3, STAGE_VARIANTS).alias("inferred_stall_stage"),
+        (c % 9 == 4).alias("explicit_disinterest"),
+        (c % 11 == 5).alias("technical_issue"),
+        pick(c % len(CAMPAIGN_VARIANTS), CAMPAIGN_VARIANTS).alias("campaign_label"),
+        pick(c % len(DOCUMENT_VARIANTS), DOCUMENT_VARIANTS).alias("documentos_enviados_analisis"),
+        pick(F.floor(c / 5) % len(VALIDATION_VARIANTS), VALIDATION_VARIANTS).alias("enviado_a_validacion"),
+        pick(c % len(QUALITY_VARIANTS), QUALITY_VARIANTS).alias("calidad_atencion_agente"),
+        pick(F.floor(c / 2) % len(GPS_VARIANTS), GPS_VARIANTS).alias("gps_instalacion_agendada"),
+        pick(c % len(OBJECTION_VARIANTS), OBJECTION_VARIANTS).alias("objecion_principal_cliente"),
+        F.when(c % 13 == 6, F.lit("ERROR_PROCESSING"))
+        .when(c % 29 == 11, F.lit("ERROR_LLM_NONE"))
+        .when(c % 31 == 30, F.lit("ERROR_UNEXPECTED")).alias("error_kind"),
+    )
