@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convolens.functions import patterns as P
 from convolens.functions.phones import is_strict_phone, phone_first10
@@ -85,13 +86,22 @@ def backfill_columns(df: DataFrame, columns: list[str] | None, value: str = "")
     return df.withColumns(missing) if missing else df
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as report text: booleans as True/False (as the reference's
+    writer prints them), everything else cast; null -> ''."""
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.when(c, F.lit("True")).when(~c, F.lit("False")).otherwise(F.lit(""))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def export_prep(df: DataFrame, columns: list[str] | None = None, drop: tuple[str, ...] = ("timing_reasoning",)) -> DataFrame:
     """Drop internal columns, project, nulls -> '' with every column as text."""
     df = df.drop(*[c for c in drop if c in df.columns])
     df = ordered_projection(df, columns)
     if not df.columns:
         raise ValueError("nothing to export: the frame has no columns")
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    return df.select(*[as_text(df, c).alias(c) for c in df.columns])
 
 
 def curated_projection(df: DataFrame, columns: list[str] = P.CURATED_COLUMNS) -> DataFrame:
@@ -105,7 +115,7 @@ def curated_projection(df: DataFrame, columns: list[str] = P.CURATED_COLUMNS) ->
 
 def publish_frame(df: DataFrame, stamp: str) -> DataFrame:
     """K8: nulls -> '', every column as text, plus a 'last updated' stamp column."""
-    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    out = df.select(*[as_text(df, c).alias(c) for c in df.columns])
     return out.withColumn("last_updated", F.lit(stamp))
 
 

@@ -929,3 +929,83 @@ FROM st GROUP BY recipe""",
 def completion_stats(spark, sf_dir):
     """A6 + A7: per campaign completion statistics and processed/skipped counts."""
     return INC.completion_stats(_completion(spark, sf_dir))
+
+
+# --------------------------------------------------------------- recipe run and report
+from convolens.plans.recipe import get_recipe, run_recipe  # noqa: E402
+
+REPORT_RECIPE = "simulation_to_handoff"
+PUBLISH_STAMP = AS_OF_DEFAULT
+
+
+def recipe_result(spark, sf_dir, recipe: str = REPORT_RECIPE) -> DataFrame:
+    r = get_recipe(recipe)
+    return run_recipe(r, A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir), A.label_rows(spark, sf_dir))
+
+
+def _report_oracle(stamp: str | None = None) -> str:
+    r = get_recipe(REPORT_RECIPE)
+    bools = {"NO_USER_MESSAGES_EXIST", "human_transfer", "handoff_invitation_detected", "handoff_finalized",
+             "IS_WITHIN_REACTIVATION_WINDOW", "IS_RECOVERY_PHASE_ELIGIBLE"}
+    have = {"lead_id", "name", "cleaned_phone", "summary", "primary_stall_reason_code", "next_action_code",
+            "suggested_message_es", "transfer_context_analysis", "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE",
+            "HOURS_MINUTES_SINCE_LAST_MESSAGE", "handoff_response", "last_user_message_text",
+            "last_kuna_message_text", "last_message_sender"} | bools
+    cols = []
+    for c in dict.fromkeys(r.output_columns):
+        if c not in have:
+            cols.append(f"'' AS {c}")
+        elif c in bools:
+            cols.append(f"CASE WHEN {c} THEN 'True' WHEN NOT {c} THEN 'False' ELSE '' END AS {c}")
+        elif c == "summary":
+            cols.append(f"coalesce(summary, {O.q(P.NO_CONVERSATION_SUMMARY)}) AS summary")
+        else:
+            cols.append(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}")
+    if stamp:
+        cols.append(f"{O.q(stamp)} AS last_updated")
+    kinds = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in LB.ERROR_SUMMARIES.items())
+    return _with(
+        O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.metadata_agg_sql(), O.handoff_ctes(), O.labels_cte(),
+        O.leads_cte(),
+        f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
+        f"mm AS (SELECT m_agg.cleaned_phone, {O.metadata_select()} FROM m_agg)",
+        f"hh AS (SELECT h_agg.cleaned_phone, {O.handoff_select()} FROM h_agg)",
+        f"xx AS (SELECT cleaned_phone, {O.transfer_expr()} AS human_transfer FROM om GROUP BY cleaned_phone)",
+        "x AS (SELECT lab.*, f.NO_USER_MESSAGES_EXIST, f.HOURS_MINUTES_SINCE_LAST_MESSAGE FROM lab JOIN f USING (cleaned_phone))",
+        "rep AS (" + O.repair_sql("x", P.HANDOFF_LABEL_KEYS, _ENUMS, P.CRITICAL_ENUM_KEYS) + ")",
+        f"""lk AS (SELECT rep.cleaned_phone,
+       CASE WHEN lab.error_kind IS NOT NULL THEN CASE lab.error_kind {kinds} END ELSE rep.summary END AS summary,
+       coalesce(lab.error_kind, rep.primary_stall_reason_code) AS primary_stall_reason_code,
+       coalesce(lab.error_kind, rep.next_action_code) AS next_action_code,
+       rep.suggested_message_es, rep.transfer_context_analysis
+  FROM rep JOIN lab USING (cleaned_phone))""",
+        """res AS (SELECT * FROM f JOIN mm USING (cleaned_phone) JOIN hh USING (cleaned_phone) JOIN xx USING (cleaned_phone)
+  LEFT JOIN lk USING (cleaned_phone))""",
+    ) + "SELECT " + ",\n       ".join(cols) + "\nFROM leads LEFT JOIN res USING (cleaned_phone)"
+
+
+@register("report_frame", _report_oracle())
+def report_frame(spark, sf_dir):
+    """Full recipe run (simulation_to_handoff) and report step: J6 J7 L13 L14
+    P14-P17 P20 over all leads; every column as report text."""
+    r = get_recipe(REPORT_RECIPE)
+    return RP.export_prep(recipe_result(spark, sf_dir), list(r.output_columns))
+
+
+@register("publish_frame", _report_oracle(PUBLISH_STAMP))
+def publish_frame(spark, sf_dir):
+    """K8: the report as all-text columns plus a 'last updated' stamp."""
+    r = get_recipe(REPORT_RECIPE)
+    out = RP.ordered_projection(recipe_result(spark, sf_dir), list(r.output_columns))
+    return RP.publish_frame(out, PUBLISH_STAMP)
+
+
+@register(
+    "error_rows",
+    _with(O.messages_cte(), O.labels_cte())
+    + """SELECT lab.cleaned_phone, lab.error_kind AS error, 'ERROR' AS cache_status FROM lab
+WHERE lab.error_kind IS NOT NULL AND lab.cleaned_phone IN (SELECT cleaned_phone FROM msgs)""",
+)
+def error_rows(spark, sf_dir):
+    """K6 + J7: the error side-output of a recipe run."""
+    return RP.error_rows(recipe_result(spark, sf_dir))
