@@ -29,13 +29,11 @@ def eligible_status(status_col: str = "profiling_status", excluded_suffix: str =
     return s.isNull() | (F.right(s, F.lit(1)) != F.lit(excluded_suffix))
 
 
-def entered_handoff(audit: DataFrame) -> DataFrame:
-    """A4: distinct lead ids whose offer status became ENTERED."""
-    return (
-        audit.where((F.col("field") == "OFFER_STATUS") & (F.col("new_value") == "ENTERED"))
-        .select("lead_id")
-        .distinct()
-    )
+def entered_handoff(audit: DataFrame, distinct: bool = True) -> DataFrame:
+    """A4: lead ids whose offer status became ENTERED (distinct on request: an
+    anti-join does not need it, and skipping it saves an exchange)."""
+    ids = audit.where((F.col("field") == "OFFER_STATUS") & (F.col("new_value") == "ENTERED")).select("lead_id")
+    return ids.distinct() if distinct else ids
 
 
 def lead_data(
@@ -71,7 +69,7 @@ def eligible_leads(
 ) -> DataFrame:
     """P13 + J3 + W1: leads not yet in hand-off, latest per clean e-mail."""
     ld = lead_data(financing_leads, product, as_of, lookback_days)
-    eligible = ld.join(entered_handoff(audit), "lead_id", "left_anti").where(
+    eligible = ld.join(entered_handoff(audit, distinct=False), "lead_id", "left_anti").where(
         eligible_status("profiling_status", excluded_suffix)
     )
     latest = latest_per_key(eligible, ["clean_email"], ["lead_created_at", "lead_id"])
