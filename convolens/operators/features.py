@@ -41,6 +41,7 @@ from convolens.functions.text import (
     truncate_text,
 )
 from convolens.functions.timefmt import hours_minutes, iso_in_zone, seconds_between, ts_text19
+from convolens.operators.keyed import keyed_aggregate
 from convolens.session import AS_OF_DEFAULT
 
 ORD = "__ord"
@@ -515,7 +516,8 @@ def conversation_features(
     for f in specs:
         anchors.update(f.anchors(m))
     if anchors:
-        firsts = base.groupBy(key).agg(*[c.alias(n) for n, c in anchors.items()])
+        # see operators/keyed.py: keeps the join back splittable by AQE skew handling
+        firsts = keyed_aggregate(base, key, *[c.alias(n) for n, c in anchors.items()])
         base = base.join(firsts, key)
     aggs: dict[str, Column] = {}
     for f in specs:

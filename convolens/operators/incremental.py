@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolens.operators.keyed import keyed_aggregate
 from convolens.operators.leads import latest_per_key
 
 KEY = "cleaned_phone"
@@ -22,7 +23,7 @@ def without_last_message(messages: DataFrame, drop_when: Column, key: str = KEY)
     ``drop_when`` holds (a per-row condition constant within the conversation)."""
     tie = F.col("src_ord") if "src_ord" in messages.columns else F.lit(0)
     ordk = F.struct(F.col("creation_time").alias("t"), tie.alias("i"))
-    last = messages.groupBy(key).agg(F.max(ordk).alias("__last"))
+    last = keyed_aggregate(messages, key, F.max(ordk).alias("__last"))
     j = messages.join(last, key)
     return j.where(~(drop_when & (ordk == F.col("__last")))).drop("__last")
 

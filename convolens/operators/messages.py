@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions.phones import phone_right10
+from convolens.operators.keyed import keyed_aggregate
 
 
 def target_keys(leads: DataFrame, key: str = "cleaned_phone") -> DataFrame:
@@ -62,13 +63,13 @@ def from_phase_start(
 
     The start table has one row per key; a hot key on the message side is
     split by AQE's skew-join handling rather than sent to one task."""
-    starts = phase_start(df, is_start, key, time_col)
+    starts = keyed_aggregate(df.where(is_start), key, F.min(time_col).alias("phase_start"))
     return df.join(starts, key).where(F.col(time_col) >= F.col("phase_start"))
 
 
 def content_filter(messages: DataFrame, predicate: Column, key: str = "cleaned_phone") -> DataFrame:
     """Keep whole conversations that contain at least one matching message."""
-    keys = messages.groupBy(key).agg(F.bool_or(predicate).alias("__hit")).where("__hit").select(key)
+    keys = keyed_aggregate(messages, key, F.bool_or(predicate).alias("__hit")).where("__hit").select(key)
     return messages.join(keys, key, "left_semi")
 
 
