@@ -458,10 +458,28 @@ for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, C
 DEFAULT_CHAIN = ["temporal", "metadata", "handoff", "template", "validation", "conversation_state", "human_transfer"]
 
 
+def load_feature(path: str) -> type[Feature]:
+    """Import ``package.module.Class`` and register it; it must be a
+    :class:`Feature` subclass (a bad path or class is a configuration error)."""
+    import importlib
+
+    module_name, _, cls_name = path.rpartition(".")
+    if not module_name:
+        raise ValueError(f"not a dotted path: {path!r}")
+    try:
+        cls = getattr(importlib.import_module(module_name), cls_name)
+    except (ImportError, AttributeError) as exc:
+        raise ValueError(f"cannot load feature {path!r}: {exc}") from exc
+    return register_feature(cls)
+
+
 def make_feature(name: str, params: dict | None = None) -> Feature:
-    """Look a feature up by class name, alias or dotted path's last part."""
+    """Look a feature up by class name, alias or dotted path (known classes by
+    their last part; other dotted paths are imported, see :func:`load_feature`)."""
     short = name.rsplit(".", 1)[-1]
     cls = FEATURES.get(name) or FEATURES.get(short)
+    if cls is None and "." in name:
+        cls = load_feature(name)
     if cls is None:
         raise ValueError(f"unknown feature {name!r}; known: {sorted(set(c.name for c in FEATURES.values()))}")
     return cls(dict(params or {}))

@@ -28,11 +28,12 @@ def without_last_message(messages: DataFrame, drop_when: Column, key: str = KEY)
     return j.where(~(drop_when & (ordk == F.col("__last")))).drop("__last")
 
 
-def latest_cache(cache: DataFrame) -> DataFrame:
+def latest_cache(cache: DataFrame, key: str = KEY) -> DataFrame:
     """The newest usable entry per digest (a null payload is a corrupt
-    entry and counts as a miss)."""
+    entry and counts as a miss).  Identical conversations share a digest; a
+    tie on time is broken by the key so the choice is deterministic."""
     ok = cache.where(F.col("payload").isNotNull())
-    return latest_per_key(ok, ["conversation_digest"], ["scored_at"])
+    return latest_per_key(ok, ["conversation_digest"], ["scored_at", key])
 
 
 def score_needed(current: DataFrame, cache: DataFrame, key: str = KEY) -> DataFrame:

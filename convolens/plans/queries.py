@@ -869,7 +869,7 @@ def score_needed(spark, sf_dir):
 @register(
     "cache_latest",
     _with(*_VERSION_CTES) + """SELECT conversation_digest, cleaned_phone, payload, strftime(scored_at, '%Y-%m-%d %H:%M:%S') AS scored_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY conversation_digest ORDER BY scored_at DESC) AS rn FROM cache WHERE payload IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY conversation_digest ORDER BY scored_at DESC, cleaned_phone DESC) AS rn FROM cache WHERE payload IS NOT NULL
 ) WHERE rn = 1""",
 )
 def cache_latest(spark, sf_dir):

@@ -168,3 +168,13 @@ def daily_extract(spark: SparkSession, path: str, day: str, compute) -> DataFram
         raise
     except Exception:
         return stored()
+
+
+def union_chunks(chunks: list[DataFrame]) -> DataFrame:
+    """Concatenate chunks by column name (missing columns become null)."""
+    if not chunks:
+        raise ValueError("nothing to concatenate")
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c, allowMissingColumns=True)
+    return out
