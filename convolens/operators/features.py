@@ -420,6 +420,21 @@ class Recency(Feature):
         }
 
 
+class LastTimes(Feature):
+    """Rule / prompt input: the time of the last message and last user message."""
+
+    name = "LastTimesFeature"
+    alias = "last_times"
+    columns = [("last_message_time", T.TimestampType()), ("last_user_message_time", T.TimestampType())]
+    known_params = frozenset()
+
+    def aggregates(self, m):
+        return {f"{self.prefix}last": F.max(m.t), f"{self.prefix}last_user": F.max(F.when(m.is_user_l, m.t))}
+
+    def outputs(self, a, prior, as_of):
+        return {"last_message_time": a("last"), "last_user_message_time": a("last_user")}
+
+
 class FollowUps(Feature):
     """B11 input: manual (operator) messages since the campaign start."""
 
@@ -451,7 +466,7 @@ def register_feature(cls: type[Feature]) -> type[Feature]:
 
 
 for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, ConversationState,
-             TransferContext, Recency, FollowUps):
+             TransferContext, Recency, LastTimes, FollowUps):
     register_feature(_cls)
 
 # The reference's default chain order.

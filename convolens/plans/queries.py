@@ -457,10 +457,9 @@ PROMPT_TEMPLATE = (
 def prompt_plan(messages: DataFrame, template: str = PROMPT_TEMPLATE, as_of: str = AS_OF_DEFAULT,
                 tz: str = "America/Mexico_City") -> DataFrame:
     """Render one prompt per conversation and estimate its tokens."""
-    feats = FT.conversation_features(messages, [FT.Temporal({"timezone": tz})], as_of=as_of)
-    last = messages.groupBy("cleaned_phone").agg(F.max("creation_time").alias("__last"))
+    feats = FT.conversation_features(messages, [FT.Temporal({"timezone": tz}), FT.LastTimes()], as_of=as_of)
     text = conversation_text(messages, style=PROMPT)
-    j = text.join(feats, "cleaned_phone").join(last, "cleaned_phone")
+    j = text.join(feats.withColumnRenamed("last_message_time", "__last"), "cleaned_phone")
     as_of_ts = F.to_timestamp(F.lit(as_of))
     values = {
         "conversation_text": F.col("conversation_text"),
