@@ -62,3 +62,16 @@ def test_scans_are_pruned(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "l_extendedprice" not in plan
     assert "PushedFilters: [IsNotNull(o_custkey)" in plan
+
+
+def test_time_bounds_reach_the_parquet_scan(spark, tmp_path):
+    from convolens.operators import messages as MS
+    from convolens.sources.adapters import message_rows
+
+    path = str(tmp_path / "messages")
+    message_rows(spark, "/root/testdata/sf0.001").write.parquet(path)
+    m = spark.read.parquet(path)
+    bounded = MS.time_bounds(m, end="2024-01-04 12:00:00", as_of="2024-01-05 00:00:00", lookback_days=90)
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(creation_time), LessThanOrEqual(creation_time" in plan
+    assert "GreaterThanOrEqu" in plan.split("PushedFilters:")[1]  # the plan text truncates it
