@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,16 +40,13 @@ def normalise_lead_keys(leads: DataFrame, key: str = KEY) -> DataFrame:
     return drop_null_keys(df, key)
 
 
-def strict_phone_filter(df: DataFrame, col: str = KEY, name: str = "strict_phone") -> DataFrame:
+def strict_phone_filter(df: DataFrame, col: str = KEY, observation: Observation | None = None) -> DataFrame:
     """Keep rows whose trimmed phone is exactly ten digits; kept/skipped
-    counts are published through ``DataFrame.observe`` (no extra job)."""
+    counts are collected by an ``Observation`` while the job runs (no extra job)."""
     ok = is_strict_phone(col)
-    observed = df.observe(
-        name,
-        F.count_if(ok).alias("kept"),
-        F.count_if(~ok).alias("skipped"),
-    )
-    return observed.where(ok).withColumn(col, F.trim(F.col(col)))
+    if observation is not None:
+        df = df.observe(observation, F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"))
+    return df.where(ok).withColumn(col, F.trim(F.col(col)))
 
 
 def ordered_projection(df: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -168,6 +165,8 @@ def error_rows(results: DataFrame, key: str = KEY) -> DataFrame:
     return results.where(F.col("error").isNotNull()).select(key, "error", F.lit("ERROR").alias("cache_status"))
 
 
-def run_summary(df: DataFrame, name: str, key: str = KEY) -> DataFrame:
-    """K9: row and key counts of a stage, observed while the stage runs."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key).alias("keys"))
+def run_summary(df: DataFrame, name: str, key: str = KEY) -> tuple[DataFrame, Observation]:
+    """K9: row and key counts of a stage, observed while the stage runs; read
+    them with ``observation.get`` after the action."""
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key).alias("keys")), obs

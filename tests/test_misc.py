@@ -34,9 +34,16 @@ def test_age_text(spark):
 
 
 def test_strict_filter_counts(spark):
+    from pyspark.sql import Observation
+
     df = spark.createDataFrame([(" 5512345678 ",), ("55123",), ("abc5512345678",)], "cleaned_phone string")
-    out = RP.strict_phone_filter(df)
+    obs = Observation("strict")
+    out = RP.strict_phone_filter(df, observation=obs)
     assert [r.cleaned_phone for r in out.collect()] == ["5512345678"]
+    assert obs.get == {"kept": 1, "skipped": 2}
+    counted, summary = RP.run_summary(df, "leads")
+    counted.collect()
+    assert summary.get["rows"] == 3
 
 
 def test_dotted_feature_path():
