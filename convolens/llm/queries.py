@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunk_reuse, language_id, token_counts, token_files
 from .common import documents
+from .decontaminate import contamination, hit_spans
 from .exact_dedup import exact_dedup
 from .sharding import shard_documents
 from .simhash import near_groups
+from .url_reputation import judge_urls
+from .vocab import tokenizer_path
 
 #: Word shingle length and largest bit distance of the near-duplicate contract.
 SHINGLE, MAX_BITS = 3, 3
 SHARDS = 16
+SPAN = 10  # words of a benchmark window
+WORD_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+END_ID = 2
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """The fold of a row: crc32 of its id as text; a null id counts as empty text."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % folds
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +43,54 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), SHINGLE, MAX_BITS)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.filter(fold("doc_id", 4) != 2))
+    return language_id.predict(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.digests(chunk_reuse.encode_decode(documents(spark, sf_dir), tokenizer_path(WORD_BPE)))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(hit_spans(documents(spark, sf_dir), benchmark, SPAN))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(documents(spark, sf_dir), tokenizer_path(WORD_BPE), END_ID)
+    return token_files.read_documents(spark, path)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(
+        documents(spark, sf_dir), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN, ["text"]
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
+    "op5_url_reputation": op5_url_reputation,
+    "op6_chunk_bpe": op6_chunk_bpe,
+    "op7_decontamination": op7_decontamination,
+    "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE = {
