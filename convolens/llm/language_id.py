@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Per language a zstandard raw-content dictionary is made from excerpts of
-labelled texts.  A text is lower-cased, cut into blocks so that every part of
-a long text is compressed next to the dictionary, and compressed with each
+labelled texts.  A text is lower-cased, runs of other characters than letters
+become one space, and it is cut into blocks so that every part of a long text
+is compressed next to the dictionary.  Each block is compressed with each
 language's dictionary; the language with the smallest total wins.  The score
 is ``1 - smallest / second smallest`` clipped to 0..1; a text whose score is
 below ``margin`` is marked ``rejected``.
@@ -21,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,7 @@ from .common import id_and_text, id_type
 
 UNDETERMINED = "und"
 BLOCK = 8192  # code points compressed at a time
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def fit(
@@ -50,6 +53,7 @@ def fit(
     taken = texts.select("lang", F.xxhash64("text").alias("h"), "text").select(
         "lang", "h", F.substring("text", F.pmod("h", room).cast("int") + 1, F.lit(excerpt_chars)).alias("excerpt")
     )
+    taken = taken.withColumn("excerpt", F.regexp_replace("excerpt", r"\P{L}+", " "))
     once = taken.groupBy("lang", "h").agg(F.max("excerpt").alias("excerpt"))
     by_hash = Window.partitionBy("lang").orderBy("h")
     rows = once.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= excerpts)
@@ -62,14 +66,17 @@ def fit(
 
 
 class Classifier:
-    def __init__(self, model: dict[str, bytes], level: int = 3) -> None:
+    def __init__(self, model: dict[str, bytes], level: int = 9) -> None:
         import zstandard
 
         self._press = []
         for lang, content in model.items():
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            press = zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_dict_id=False)
+            params = zstandard.ZstdCompressionParameters.from_level(
+                level, source_size=BLOCK, dict_size=len(content), write_content_size=False, write_dict_id=False
+            )
+            data.precompute_compress(compression_params=params)
+            press = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
             self._press.append((lang, press.compress))
 
     def __call__(self, text: str) -> tuple[str, float]:
@@ -77,7 +84,7 @@ class Classifier:
             return UNDETERMINED, 0.0
         if len(self._press) == 1:
             return self._press[0][0], 1.0
-        text = text.lower()
+        text = _OTHER.sub(" ", text.lower())
         blocks = [text[i : i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
         sizes = sorted((sum(len(press(b)) for b in blocks), lang) for lang, press in self._press)
         (best, lang), (second, _) = sizes[:2]

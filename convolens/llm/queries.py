@@ -105,5 +105,68 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AND chars = keep_chars AS kept, sha256(norm) AS text_sha256
 FROM n JOIN w USING (norm)
+""",
+    "op5_url_reputation": r"""
+WITH parsed AS (
+  SELECT page_id,
+         CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parsed
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), judged AS (
+  SELECT s.page_id, s.host, s.path,
+         arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+         arg_max(verdict, length(rhost || rpath)) AS rule_verdict
+  FROM (SELECT *, row_number() OVER () AS row_no FROM split) s
+  LEFT JOIN rules ON (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)
+  GROUP BY s.row_no, s.page_id, s.host, s.path
+), hosts AS (
+  SELECT host, count(rule_verdict) AS n, count(*) FILTER (rule_verdict = 'block') AS bad,
+         string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS labels
+  FROM judged GROUP BY host
+), named AS (
+  SELECT host, n, bad, array_to_string(labels[-2:], '.') IN
+           ('ac.uk', 'co.jp', 'co.uk', 'com.ar', 'com.au', 'com.br', 'com.mx', 'gov.uk', 'org.uk') AS two,
+         array_to_string(CASE WHEN two THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain,
+         array_to_string(CASE WHEN two THEN labels[-2:] ELSE labels[-1:] END, '.') AS suffix
+  FROM hosts
+), base AS (
+  SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM named
+), s_units AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM base) AS m FROM named GROUP BY suffix
+), s_strength AS (
+  SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0
+           THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) ELSE 0.5 END, 0.001), 0.999) - 1 AS k
+  FROM s_units
+), s_rate AS (
+  SELECT suffix, (m * k + bad) / (k + n) AS m FROM s_units, s_strength
+), d_units AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(r.m) AS m FROM named JOIN s_rate r USING (suffix) GROUP BY domain, suffix
+), d_strength AS (
+  SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0
+           THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) ELSE 0.5 END, 0.001), 0.999) - 1 AS k
+  FROM d_units
+), d_rate AS (
+  SELECT domain, suffix, (m * k + bad) / (k + n) AS m FROM d_units, d_strength
+), h_units AS (
+  SELECT host, n, bad, r.m AS m FROM named JOIN d_rate r USING (domain, suffix)
+), h_strength AS (
+  SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0
+           THEN (sum((bad - n * m) ** 2) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) ELSE 0.5 END, 0.001), 0.999) - 1 AS k
+  FROM h_units
+), h_post AS (
+  SELECT host, n AS labelled, bad, m * k + bad AS a, (1 - m) * k + n - bad AS b FROM h_units, h_strength
+)
+SELECT page_id, host, path, rule,
+       coalesce(rule_verdict, CASE WHEN a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5
+                                   THEN 'block' ELSE 'allow' END) AS verdict,
+       labelled, bad
+FROM judged JOIN h_post USING (host)
 """,
 }
