@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_reuse, language_id, token_counts, token_files
+from . import chunk_reuse, kneser_ney, language_id, token_counts, token_files
 from .common import documents
 from .decontaminate import contamination, hit_spans
 from .exact_dedup import exact_dedup
@@ -51,6 +51,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = kneser_ney.train(docs.filter(fold("doc_id", 5) != 1))
+    return kneser_ney.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 1)
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
@@ -85,6 +91,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_url_reputation": op5_url_reputation,
     "op6_chunk_bpe": op6_chunk_bpe,
     "op7_decontamination": op7_decontamination,
