@@ -18,7 +18,7 @@ conversation key:
 No window is partitioned by the conversation key and nothing collects a
 conversation into one row, so a conversation holding a large share of all
 messages is still reduced map-side by partial aggregation.  Order-dependent
-features use the ordering key ``(creation_time, src_ord)`` with ``max_by`` /
+features use the unique ordering key of ``order_key`` with ``max_by`` /
 ``min_by`` instead of a dense message ordinal.
 """
 
@@ -42,6 +42,7 @@ from convolens.functions.text import (
 )
 from convolens.functions.timefmt import hours_minutes, iso_in_zone, seconds_between, ts_text19
 from convolens.operators.keyed import keyed_aggregate
+from convolens.operators.transcript import digest_of, digest_parts
 from convolens.session import AS_OF_DEFAULT
 
 ORD = "__ord"
@@ -171,7 +172,8 @@ class Temporal(Feature):
 
 # --------------------------------------------------------------------------- M
 class Metadata(Feature):
-    """M1-M4: last sender, last user / agent texts, raw time of the last row."""
+    """M1-M4: last sender, last user / agent texts (whole unless
+    ``max_message_length`` is given), raw time of the last row."""
 
     name = "MessageMetadataProcessor"
     alias = "metadata"
@@ -192,11 +194,12 @@ class Metadata(Feature):
         }
 
     def outputs(self, a, prior, as_of):
-        n = int(self.p("max_message_length", 150))
+        n = self.p("max_message_length")
+        cut = (lambda c: truncate_text(c, int(n))) if n is not None else (lambda c: c)
         return {
             "last_message_sender": F.when(a("sender") == "user", F.lit("user")).otherwise(F.lit("kuna")),
-            "last_user_message_text": truncate_text(F.coalesce(a("user_text"), F.lit("N/A")), n),
-            "last_kuna_message_text": truncate_text(F.coalesce(a("kuna_text"), F.lit("N/A")), n),
+            "last_user_message_text": cut(F.coalesce(a("user_text"), F.lit("N/A"))),
+            "last_kuna_message_text": cut(F.coalesce(a("kuna_text"), F.lit("N/A"))),
             "last_message_ts": ts_text19(a("ts")),
         }
 
@@ -452,6 +455,21 @@ class FollowUps(Feature):
         return {"follow_up_attempts": F.coalesce(a("n"), F.lit(0)).cast("bigint")}
 
 
+class Digest(Feature):
+    """the conversation digest, folded with the other features."""
+
+    name = "DigestFeature"
+    alias = "digest"
+    columns = [("conversation_digest", T.StringType())]
+    known_params = frozenset()
+
+    def aggregates(self, m):
+        return {f"{self.prefix}{n}": c for n, c in digest_parts().items()}
+
+    def outputs(self, a, prior, as_of):
+        return {"conversation_digest": digest_of(a("n"), a("high"), a("low"))}
+
+
 # ------------------------------------------------------------------- registry
 FEATURES: dict[str, type[Feature]] = {}
 
@@ -466,7 +484,7 @@ def register_feature(cls: type[Feature]) -> type[Feature]:
 
 
 for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, ConversationState,
-             TransferContext, Recency, LastTimes, FollowUps):
+             TransferContext, Recency, LastTimes, FollowUps, Digest):
     register_feature(_cls)
 
 # The reference's default chain order.
@@ -525,10 +543,19 @@ def feature_columns(specs: list[Feature]) -> list[tuple[str, T.DataType]]:
     return list(seen.items())
 
 
+def order_key(columns: list[str]) -> Column:
+    """The order of messages in a conversation: time, source position where
+    known, then content, so that no two different messages tie and the result
+    does not depend on the order rows arrive in."""
+    position = F.col("src_ord").cast("long") if "src_ord" in columns else F.lit(None).cast("long")
+    return F.struct(
+        F.col("creation_time").alias("t"), position.alias("i"), F.col("msg_from").alias("s"), F.col("message").alias("m")
+    )
+
+
 def with_order_key(messages: DataFrame) -> DataFrame:
-    """Attach the ordering key ``(creation_time, src_ord)`` used by order-dependent features."""
-    tie = F.col("src_ord") if "src_ord" in messages.columns else F.lit(0)
-    return messages.withColumn(ORD, F.struct(F.col("creation_time").alias("t"), tie.alias("i")))
+    """Attach the ordering key used by order-dependent features."""
+    return messages.withColumn(ORD, order_key(messages.columns))
 
 
 def conversation_features(

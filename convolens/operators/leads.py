@@ -88,17 +88,17 @@ def clean_intents(intents: DataFrame) -> DataFrame:
     )
 
 
-def leads_with_contact(latest_leads: DataFrame, intents: DataFrame, sort: bool = True) -> DataFrame:
-    """J2 + W2 + J4 (+ O2): each lead's latest intent by e-mail; leads without
-    a phone are dropped; newest leads first."""
+def leads_with_contact(latest_leads: DataFrame, intents: DataFrame) -> DataFrame:
+    """J2 + W2 + J4: each lead's latest intent by e-mail; leads without a phone
+    in it are dropped.  The leads meet the intents once: the join is the
+    semi-join, and the latest intent per lead is a partial aggregation over
+    its result.  Sort (O2) where the result is written."""
     ic = clean_intents(intents)
-    wanted = latest_leads.select(F.col("clean_email").alias("cleaned_email"))
-    ic = ic.join(wanted, "cleaned_email", "left_semi")
-    li = latest_per_key(ic, ["cleaned_email"], ["updated_at", "id"])
-    j = latest_leads.join(li, latest_leads.clean_email == li.cleaned_email, "left").where(
-        F.col("cleaned_phone_number").isNotNull()
+    met = latest_leads.join(ic, latest_leads["clean_email"] == ic["cleaned_email"])
+    keys = ["lead_id", "user_id", "clean_email", "lead_created_at"]
+    newest = latest_per_key(
+        met.select(*keys, "name", "last_name", "cleaned_phone_number", "updated_at", "id"), keys, ["updated_at", "id"]
     )
-    out = j.select(
+    return newest.where(F.col("cleaned_phone_number").isNotNull()).select(
         "lead_id", "user_id", "clean_email", "name", "last_name", "cleaned_phone_number", "lead_created_at"
     )
-    return out.orderBy(F.col("lead_created_at").desc()) if sort else out

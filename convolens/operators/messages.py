@@ -51,11 +51,6 @@ def time_bounds(
     return df
 
 
-def phase_start(df: DataFrame, is_start: Column, key: str = "cleaned_phone", time_col: str = "creation_time") -> DataFrame:
-    """A2: per key, the earliest time of a row matching ``is_start``."""
-    return df.where(is_start).groupBy(key).agg(F.min(time_col).alias("phase_start"))
-
-
 def from_phase_start(
     df: DataFrame, is_start: Column, key: str = "cleaned_phone", time_col: str = "creation_time"
 ) -> DataFrame:

@@ -33,13 +33,20 @@ def drop_null_keys(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.na.drop(subset=[key])
 
 
-def normalise_lead_keys(leads: DataFrame, key: str = KEY) -> DataFrame:
-    """P1 + P2 + P7 as the pipeline applies them to leads before merging."""
-    df = rename_key(leads)
+def normalise_keys(df: DataFrame, key: str = KEY) -> DataFrame:
+    """P1 + P2 + P7: canonical key name, its first run of ten digits, and no
+    row without one.  Leads, messages and labels pass the same rule."""
+    df = rename_key(df)
     df = df.withColumn(key, phone_first10(F.col(key).cast("string")))
     return drop_null_keys(df, key)
 
 
+def normalise_lead_keys(leads: DataFrame, key: str = KEY) -> DataFrame:
+    """The key rules with the check that the lead table has a key."""
+    require_columns(rename_key(leads), [key], "lead table")
+    return normalise_keys(leads, key)
+
+
 def strict_phone_filter(df: DataFrame, col: str = KEY, observation: Observation | None = None) -> DataFrame:
     """Keep rows whose trimmed phone is exactly ten digits; kept/skipped
     counts are collected by an ``Observation`` while the job runs (no extra job)."""
@@ -165,8 +172,25 @@ def error_rows(results: DataFrame, key: str = KEY) -> DataFrame:
     return results.where(F.col("error").isNotNull()).select(key, "error", F.lit("ERROR").alias("cache_status"))
 
 
-def run_summary(df: DataFrame, name: str, key: str = KEY) -> tuple[DataFrame, Observation]:
-    """K9: row and key counts of a stage, observed while the stage runs; read
-    them with ``observation.get`` after the action."""
+def run_summary(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """K9: the row count of a stage, observed while the stage runs; read it with
+    ``observation.get`` after the action."""
     obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key).alias("keys")), obs
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def key_counts(df: DataFrame, key: str = KEY) -> DataFrame:
+    """K9: exact counts of rows and of distinct keys, as one row."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(key).alias("keys"))
+
+
+def no_messages_result(leads: DataFrame) -> DataFrame:
+    """When there is no message at all, the leads with one constant summary."""
+    return leads.withColumn("summary", F.lit(P.NO_CONVERSATION_AVAILABLE))
+
+
+def scored_and_unscored(scored: DataFrame, leads: DataFrame, defaults: dict, key: str = KEY) -> DataFrame:
+    """Scored rows and, for every lead without one, a default row."""
+    rest = no_conversation_rows(leads.select(key).distinct(), scored, key, **defaults)
+    return scored.unionByName(rest, allowMissingColumns=True)

@@ -23,18 +23,9 @@ def lookup_table(spark: SparkSession, rows: list[tuple], columns: list[str]) ->
 
 
 def code_lookup(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
-    """Left join to a fixed code table.  The table is a code list with a
-    fixed number of rows (not data that grows), so broadcasting it is safe."""
-    return df.join(F.broadcast(dim), on=on, how="left")
-
-
-def initial_action_expr(stall: Column | str) -> Column:
-    """B1 as an expression (equivalent to the J9 lookup on the 18-row table)."""
-    s = _c(stall)
-    expr = None
-    for code, action in P.STALL_INITIAL_ACTION:
-        expr = F.when(s == code, F.lit(action)) if expr is None else expr.when(s == code, F.lit(action))
-    return expr
+    """Left join to a code table.  Spark broadcasts it if its size, known or
+    measured at run time, is below the session's limit."""
+    return df.join(dim, on=on, how="left")
 
 
 def silence_band(no_user: Column | str, user_hours: Column | str) -> Column:
@@ -108,7 +99,7 @@ def engagement_action(
     return (
         F.when(st == "NUNCA_RESPONDIO", F.lit("LLAMAR_LEAD_NUNCA_RESPONDIO"))
         .when(st.isin(*P.INELIGIBLE_CODES), F.lit("CERRAR_CASO"))
-        .when(st == "DESINTERES_EXPLICITO", F.lit("CERRAR_CASO"))
+        .when((st == "DESINTERES_EXPLICITO") & (en == "EXPLICIT_DISINTEREST"), F.lit("CERRAR_CASO"))
         .when(en == "TECHNICAL_ISSUE_REPORTED", F.lit("ESCALAR_CASO_A_HUMANO"))
         .when(en == "KUNA_PENDING_RESPONSE", F.lit("RESPONDER_AL_CLIENTE"))
         .when((st == "PROCESO_EN_CURSO") & en.isin("ENGAGED_ACTIVE_CONVO", "KUNA_PENDING_RESPONSE"),
@@ -147,11 +138,6 @@ def campaign_message(action: Column | str, message: Column | str) -> Column:
     return F.when(_c(action).startswith("RESPOND_"), _c(message)).otherwise(F.lit("N/A"))
 
 
-def follow_up_attempts(is_operator: Column, t: Column, campaign_start: str) -> Column:
-    """B11 (aggregate): manual (operator) messages inside the campaign window."""
-    return F.count_if(is_operator & (t >= F.to_timestamp(F.lit(campaign_start))))
-
-
 def smart_summary(documents: Column | str, validation: Column | str, quality: Column | str, gps: Column | str) -> Column:
     """Ordered substring rules over four label columns (lower-cased text;
     a missing value reads as 'nan', as the reference's string conversion does)."""

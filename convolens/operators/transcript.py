@@ -1,29 +1,27 @@
 """Conversation transcripts: line rendering (F7/F8) and the digest.
 
-The digest is an MD5 over the whole, ordered, whitespace-normalised
-conversation text, so it is inherently sequential per conversation.  Instead
-of collecting a conversation into one array (unbounded memory for a hot key)
-the rows are hash-partitioned by key, sorted inside each partition and hashed
-as a stream inside the task (Arrow batches into an incremental ``hashlib``
-state): memory stays bounded however long a conversation is.  Line rendering
-and whitespace normalisation stay JVM-side; Python only feeds bytes to MD5.
+The digest tells whether a conversation changed since it was last handled; it
+is only ever compared with itself.  It is built from sums over the hashes of
+the conversation's normalised lines (which carry their times), so it is a
+plain partial aggregation: a conversation holding most of all messages is
+combined map-side, and the order rows arrive in cannot matter.
+
+A transcript is assembled in two steps: the lines of one conversation and day
+become a chunk row, and only where a whole text is asked for (a prompt is one
+string) the chunks of a conversation are joined.  No step sees a conversation
+message by message in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convolens.functions.text import normalize_ws
 from convolens.functions.timefmt import ts_text19
 
 PLAIN = "plain"  # "{time19} {from}: {msg}", lines joined by a newline
-PROMPT = "prompt"  # F8: "[{time19}] {from}: {msg}", lines joined by the two characters \n
+PROMPT = "prompt"  # F8: "[{time19}] {from}: {msg}", lines joined by the two characters \\n
 PROMPT_SEPARATOR = "\\n"
 
 
@@ -37,93 +35,46 @@ def render_line(style: str = PLAIN) -> Column:
     return F.concat(t, F.lit(" "), who, F.lit(": "), msg)
 
 
-def _sorted_by_key(messages: DataFrame, key: str, payload: Column, partitions: int | None) -> DataFrame:
-    tie = F.col("src_ord") if "src_ord" in messages.columns else F.lit(0)
-    df = messages.select(F.col(key), F.col("creation_time"), tie.alias("__tie"), payload.alias("__payload"))
-    df = df.repartition(partitions, key) if partitions else df.repartition(key)
-    return df.sortWithinPartitions(key, "creation_time", "__tie").select(key, "__payload")
-
-
-def _digest_stream(key: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, md, n, started = None, None, 0, False
-        out_k, out_d, out_n = [], [], []
-        for pdf in batches:
-            for k, line in zip(pdf[key].values, pdf["__payload"].values):
-                if k != cur:
-                    if cur is not None:
-                        out_k.append(cur), out_d.append(md.hexdigest()), out_n.append(n)
-                    cur, md, n, started = k, hashlib.md5(), 0, False
-                n += 1
-                if line:
-                    if started:
-                        md.update(b" ")
-                    md.update(line.encode("utf-8"))
-                    started = True
-            if len(out_k) >= 4096:
-                yield pd.DataFrame({key: out_k, "conversation_digest": out_d, "n_messages": out_n})
-                out_k, out_d, out_n = [], [], []
-        if cur is not None:
-            out_k.append(cur), out_d.append(md.hexdigest()), out_n.append(n)
-        if out_k:
-            yield pd.DataFrame({key: out_k, "conversation_digest": out_d, "n_messages": out_n})
-
-    return run
-
-
-def conversation_digest(
-    messages: DataFrame, key: str = "cleaned_phone", partitions: int | None = None
-) -> DataFrame:
-    """``(key, conversation_digest, n_messages)`` — MD5 hex of the
-    newline-joined plain transcript after whitespace normalisation."""
-    lines = _sorted_by_key(messages, key, normalize_ws(render_line(PLAIN)), partitions)
-    schema = T.StructType([
-        T.StructField(key, T.StringType()),
-        T.StructField("conversation_digest", T.StringType()),
-        T.StructField("n_messages", T.LongType()),
-    ])
-    return lines.mapInPandas(_digest_stream(key), schema)
-
-
-def _text_stream(key: str, sep: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, parts = None, []
-        out_k, out_t, out_n = [], [], []
-        for pdf in batches:
-            for k, line in zip(pdf[key].values, pdf["__payload"].values):
-                if k != cur:
-                    if cur is not None:
-                        out_k.append(cur), out_t.append(sep.join(parts)), out_n.append(len(parts))
-                    cur, parts = k, []
-                parts.append(line)
-            if len(out_k) >= 1024:
-                yield pd.DataFrame({key: out_k, "conversation_text": out_t, "n_messages": out_n})
-                out_k, out_t, out_n = [], [], []
-        if cur is not None:
-            out_k.append(cur), out_t.append(sep.join(parts)), out_n.append(len(parts))
-        if out_k:
-            yield pd.DataFrame({key: out_k, "conversation_text": out_t, "n_messages": out_n})
-
-    return run
-
-
-def conversation_text(
-    messages: DataFrame,
-    key: str = "cleaned_phone",
-    style: str = PROMPT,
-    partitions: int | None = None,
-) -> DataFrame:
-    """``(key, conversation_text, n_messages)`` — the ordered transcript.
-
-    The output value *is* the whole conversation (it is what a prompt
-    carries), but it is assembled by streaming sorted rows, never by
-    collecting an array of rows per key.
-    """
-    sep = PROMPT_SEPARATOR if style == PROMPT else "\n"
-    lines = _sorted_by_key(messages, key, render_line(style), partitions)
-    schema = T.StructType([
-        T.StructField(key, T.StringType()),
-        T.StructField("conversation_text", T.StringType()),
-        T.StructField("n_messages", T.LongType()),
-    ])
-    return lines.mapInPandas(_text_stream(key, sep), schema)
+def digest_parts() -> dict[str, Column]:
+    """Aggregates a digest is made of: rows and two sums of line hashes."""
+    line = F.md5(normalize_ws(render_line(PLAIN)))
+    half = lambda at: F.sum(F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(20,0)"))
+    return {"n": F.count(F.lit(1)), "high": half(1), "low": half(16)}
+
+
+def digest_of(n: Column, high: Column, low: Column) -> Column:
+    return F.md5(F.concat_ws(":", n.cast("string"), high.cast("string"), low.cast("string")))
+
+
+def conversation_digest(messages: DataFrame, key: str = "cleaned_phone") -> DataFrame:
+    """``(key, conversation_digest, n_messages)``; a null key is a key."""
+    parts = messages.groupBy(key).agg(*[c.alias(f"__{n}") for n, c in digest_parts().items()])
+    digest = digest_of(F.col("__n"), F.col("__high"), F.col("__low"))
+    return parts.select(key, digest.alias("conversation_digest"), F.col("__n").alias("n_messages"))
+
+
+def conversation_chunks(messages: DataFrame, key: str = "cleaned_phone", style: str = PROMPT) -> DataFrame:
+    """``(key, day, chunk_text, n_messages)``: the ordered lines of each day."""
+    from convolens.operators.features import order_key
+
+    separator = PROMPT_SEPARATOR if style == PROMPT else "\n"
+    lines = messages.select(
+        key,
+        F.to_date("creation_time").alias("day"),
+        F.struct(order_key(messages.columns).alias("o"), render_line(style).alias("line")).alias("__row"),
+    )
+    rows = F.array_sort(F.collect_list("__row"))
+    return lines.groupBy(key, "day").agg(
+        F.array_join(F.transform(rows, lambda r: r["line"]), separator).alias("chunk_text"),
+        F.count(F.lit(1)).alias("n_messages"),
+    )
+
+
+def conversation_text(messages: DataFrame, key: str = "cleaned_phone", style: str = PROMPT) -> DataFrame:
+    """``(key, conversation_text, n_messages)``, the ordered transcript."""
+    separator = PROMPT_SEPARATOR if style == PROMPT else "\n"
+    chunks = F.array_sort(F.collect_list(F.struct("day", "chunk_text")))
+    return conversation_chunks(messages, key, style).groupBy(key).agg(
+        F.array_join(F.transform(chunks, lambda c: c["chunk_text"]), separator).alias("conversation_text"),
+        F.sum("n_messages").alias("n_messages"),
+    )

@@ -41,28 +41,29 @@ def ts_of_seconds(expr: str) -> str:
 
 # ---------------------------------------------------------------- adapters
 def messages_cte(name: str = "msgs") -> str:
-    """FIXTURES §3.1 adapter (messages from conversations), with conv_id kept."""
-    k = "(conv_id*3+turn)%7"
-    u = "(conv_id+turn)%6"
-    return f"""{name} AS (
-  SELECT CAST({A.PHONE_BASE} + conv_id AS VARCHAR) AS cleaned_phone,
-         CAST(turn AS INTEGER) AS src_ord,
+    """FIXTURES §3.1 adapter (messages from conversations), with conv_id kept:
+    every turn, and the trigger sentences as rows of their own."""
+    triggers = " UNION ALL ".join(
+        [f"SELECT 'bot', 7, {k}, {q(t)}" for k, t in enumerate(
+            [A.BOT_INVITE, A.BOT_OFFER, A.BOT_PREVALIDATION, A.BOT_TRANSFER, A.BOT_RECEIVED])]
+        + [f"SELECT 'user', 6, {k}, {q(t)}" for k, t in enumerate(
+            [A.USER_YES_WANT, A.USER_NO_THANKS, A.USER_NOT_INTERESTED, A.USER_YES])]
+    )
+    return f"""{name}_triggers(who, modulus, k, sentence) AS ({triggers}),
+{name}_turns AS (
+  SELECT *, CAST({A.PHONE_BASE} + conv_id AS VARCHAR) AS cleaned_phone,
          {ts_of_seconds(f"{A.EPOCH_BASE} + (conv_id%100)*3600 + turn*(7+conv_id%5)*60")} AS creation_time,
-         CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'bot' ELSE 'operator' END AS msg_from,
-         CASE WHEN role='assistant' AND conv_id%10=7 AND turn>=3 THEN {q(A.BOT_OFFER)}
-              WHEN role='assistant' AND {k}=0 THEN {q(A.BOT_INVITE)}
-              WHEN role='assistant' AND {k}=1 THEN {q(A.BOT_OFFER)}
-              WHEN role='assistant' AND {k}=2 THEN {q(A.BOT_PREVALIDATION)}
-              WHEN role='assistant' AND {k}=3 THEN {q(A.BOT_TRANSFER)}
-              WHEN role='assistant' AND {k}=4 THEN {q(A.BOT_RECEIVED)}
-              WHEN role='user' AND {u}=0 THEN {q(A.USER_YES_WANT)}
-              WHEN role='user' AND {u}=1 THEN {q(A.USER_NO_THANKS)}
-              WHEN role='user' AND {u}=2 THEN {q(A.USER_NOT_INTERESTED)}
-              WHEN role='user' AND {u}=3 THEN {q(A.USER_YES)}
-              ELSE text END AS message,
-         conv_id
+         CASE WHEN role='assistant' THEN 'bot' WHEN role='user' AND conv_id%10<>7 THEN 'user' ELSE 'operator' END AS msg_from
   FROM conversations
-  WHERE NOT (role='user' AND conv_id%10=7)
+),
+{name} AS (
+  SELECT cleaned_phone, CAST(turn*2 AS INTEGER) AS src_ord, creation_time, msg_from, text AS message, conv_id FROM {name}_turns
+  UNION ALL
+  SELECT cleaned_phone, CAST(turn*2+1 AS INTEGER), creation_time, msg_from,
+         CASE WHEN msg_from='bot' AND conv_id%10=7 AND turn>=3 THEN {q(A.BOT_OFFER)} ELSE sentence END, conv_id
+  FROM {name}_turns LEFT JOIN {name}_triggers
+    ON who = msg_from AND k = (CASE modulus WHEN 7 THEN conv_id*3+turn ELSE conv_id+turn END) % modulus
+  WHERE sentence IS NOT NULL OR (msg_from='bot' AND conv_id%10=7 AND turn>=3)
 )"""
 
 
@@ -98,6 +99,14 @@ def synthetic_email(name: str, key: str) -> str:
     )
 
 
+def digest_agg() -> str:
+    """Digest of a conversation: sums over its messages' line hashes."""
+    line = ("md5(trim(regexp_replace(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,"
+            " '\\s+', ' ', 'g')))")
+    half = lambda at: f"sum(CAST(CAST('0x' || substr({line}, {at}, 15) AS BIGINT) AS HUGEINT))"
+    return f"md5(concat_ws(':', count(*), {half(1)}, {half(16)}))"
+
+
 # ---------------------------------------------------------------- time text
 def hm(sec: str) -> str:
     """'{h}h {m}m' from double seconds, truncation toward zero."""
@@ -124,7 +133,9 @@ def iso_tz(ts: str, tz: str = TZ) -> str:
     return f"CASE WHEN ({ts}) IS NULL THEN NULL ELSE strftime({local}, '%Y-%m-%dT%H:%M:%S') || {frac} || {offtxt} END"
 
 
-def trunc_text(expr: str, n: int = 150) -> str:
+def trunc_text(expr: str, n: int | None) -> str:
+    if n is None:
+        return expr
     return f"CASE WHEN length({expr}) > {n} THEN substring({expr}, 1, {n}) || '...' ELSE {expr} END"
 
 
@@ -173,7 +184,7 @@ def metadata_agg_sql(src: str = "om", key: str = "cleaned_phone", name: str = "m
 )"""
 
 
-def metadata_select(a: str = "m_agg", n: int = 150) -> str:
+def metadata_select(a: str = "m_agg", n: int | None = None) -> str:
     return f"""CASE WHEN {a}.sender = 'user' THEN 'user' ELSE 'kuna' END AS last_message_sender,
        {trunc_text(f"coalesce({a}.user_text, 'N/A')", n)} AS last_user_message_text,
        {trunc_text(f"coalesce({a}.kuna_text, 'N/A')", n)} AS last_kuna_message_text,
@@ -248,11 +259,11 @@ def labels_cte(name: str = "lab") -> str:
     c = "conv_id"
     return f"""{name} AS (
   SELECT CAST({A.PHONE_BASE} + {c} AS VARCHAR) AS cleaned_phone, {c} AS conv_id,
-         CASE WHEN {c} % 17 = 5 THEN NULL ELSE 'Resumen de la conversación ' || CAST({c} AS VARCHAR) END AS summary,
+         CASE WHEN {c} % 17 = 5 THEN NULL ELSE 'Resumen: ' || text END AS summary,
          {pick_sql(f"{c} % {len(A.STALL_VARIANTS)}", A.STALL_VARIANTS)} AS primary_stall_reason_code,
          {pick_sql(f"({c} * 7) % {len(A.ACTION_VARIANTS)}", A.ACTION_VARIANTS)} AS next_action_code,
          CASE WHEN {c} % 4 = 0 THEN 'N/A' ELSE 'Pidió hablar con una persona' END AS transfer_context_analysis,
-         'Hola, ¿seguimos con tu solicitud? #' || CAST({c} AS VARCHAR) AS suggested_message_es,
+         'Hola, sobre tu mensaje: ' || text AS suggested_message_es,
          {pick_sql(f"{c} % 3", A.STAGE_VARIANTS)} AS inferred_stall_stage,
          {c} % 9 = 4 AS explicit_disinterest,
          {c} % 11 = 5 AS technical_issue,
@@ -264,7 +275,7 @@ def labels_cte(name: str = "lab") -> str:
          {pick_sql(f"{c} % {len(A.OBJECTION_VARIANTS)}", A.OBJECTION_VARIANTS)} AS objecion_principal_cliente,
          CASE WHEN {c} % 13 = 6 THEN 'ERROR_PROCESSING' WHEN {c} % 29 = 11 THEN 'ERROR_LLM_NONE'
               WHEN {c} % 31 = 30 THEN 'ERROR_UNEXPECTED' END AS error_kind
-  FROM (SELECT DISTINCT conv_id FROM conversations)
+  FROM (SELECT conv_id, coalesce(arg_max(text, turn), '') AS text FROM conversations GROUP BY conv_id)
 )"""
 
 
@@ -311,3 +322,73 @@ def repair_sql(src: str, required: list[str], enums: dict[str, list[str]], criti
     cols.append(f"CASE WHEN {err} AND {nu} THEN 'PRE_VALIDACION' ELSE inferred_stall_stage END AS inferred_stall_stage")
     cols.append(f"{err} AS had_errors")
     return f"SELECT cleaned_phone, " + ",\n       ".join(cols) + f"\nFROM {src}"
+
+
+def parse_ctes(shapes: list, keys: list[str]) -> list[str]:
+    """L1-L7 over one raw response per conversation, line by line: the lines
+    are rows, a window finds the key a line stands under."""
+    from convolens.operators import labels as LB
+
+    def re_(pattern: str) -> str:
+        return q(pattern.replace("(?md)", "(?m)").replace("(?d)", ""))
+
+    def sub(expr: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({expr}, {re_(pattern)}, {q(by)}, 'g')"
+
+    def trim_(expr: str) -> str:
+        return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+
+    quotes = lambda e: sub(e, LB.INNER_QUOTE_LINE, "\\1'\\2'\\3")
+    fences = f"regexp_replace(regexp_replace(raw, {q(LB.OPEN_FENCE)}, ''), '```$', '')"
+    colons = sub(quotes(trim_(fences)), LB.COLON_VALUE_LINE, '\\1"\\2"\\4')
+    later = quotes(sub(sub("t", LB.DOUBLED_SUMMARY, 'summary: "\\2"'), LB.LOOSE_KEY, "\\1: \\2"))
+    value = trim_("regexp_replace(v, '\\s#.*$', '')")
+    return [
+        f"""raws AS (
+  SELECT conv_id, replace({pick_sql(f"conv_id % {len(shapes)}", shapes)}, '{{text}}', coalesce(arg_max(text, turn), '')) AS raw
+  FROM conversations GROUP BY conv_id
+)""",
+        f"""moved AS (
+  SELECT conv_id, string_agg(CASE WHEN under AND NOT is_key AND regexp_matches(line, '^\\S') THEN '  ' || line ELSE line END,
+                             chr(10) ORDER BY n) AS t
+  FROM (SELECT *, regexp_matches(line, {re_(LB.KEY_LINE)}) AS is_key,
+               bool_or(regexp_matches(line, {re_(LB.KEY_LINE)})) OVER (PARTITION BY conv_id ORDER BY n) AS under
+        FROM (SELECT conv_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n
+              FROM (SELECT conv_id, string_split({colons}, chr(10)) AS lines FROM raws)))
+  GROUP BY conv_id
+)""",
+        f"""cleans AS (
+  SELECT conv_id, {trim_(f"CASE WHEN contains(u, 'transfer_context_analysis') THEN u ELSE rtrim(u, ' ' || chr(10) || chr(13) || chr(9)) || chr(10) || {q(P.TRANSFER_DEFAULT_LINE)} END")} AS cleaned
+  FROM (SELECT conv_id, {later} AS u FROM moved WHERE t IS NOT NULL)
+)""",
+        f"""pieces AS (
+  SELECT *, count(*) FILTER (WHERE is_top) OVER (PARTITION BY conv_id ORDER BY n) AS entry,
+         CASE WHEN is_top THEN regexp_extract(line, {re_(LB.TOP_KEY)}, 2) ELSE line END AS piece
+  FROM (SELECT *, regexp_matches(line, {re_(LB.TOP_KEY)}) AS is_top
+        FROM (SELECT conv_id, unnest(string_split(cleaned, chr(10))) AS line,
+                     generate_subscripts(string_split(cleaned, chr(10)), 1) AS n FROM cleans))
+)""",
+        f"""pairs AS (
+  SELECT conv_id, entry, max(regexp_extract(line, {re_(LB.TOP_KEY)}, 1)) FILTER (WHERE is_top) AS k,
+         coalesce(string_agg({trim_("piece")}, ' ' ORDER BY n) FILTER (WHERE regexp_matches(piece, '\\S')), '') AS v
+  FROM pieces WHERE entry > 0 GROUP BY conv_id, entry
+)""",
+        f"""vals AS (
+  SELECT conv_id, k, arg_max(struct_pack(x := CASE
+           WHEN length(v) > 1 AND starts_with(v, chr(39)) AND ends_with(v, chr(39)) THEN replace(substr(v, 2, length(v) - 2), chr(39) || chr(39), chr(39))
+           WHEN length(v) > 1 AND starts_with(v, '"') AND ends_with(v, '"') THEN regexp_replace(substr(v, 2, length(v) - 2), '\\\\(["\\\\])', '\\1', 'g')
+           WHEN {in_list(value, LB.NULL_WORDS)} THEN NULL
+           WHEN {in_list(value, LB.TRUE_WORDS)} THEN 'True' WHEN {in_list(value, LB.FALSE_WORDS)} THEN 'False'
+           ELSE {value} END), entry).x AS v
+  FROM pairs GROUP BY conv_id, k
+)""",
+        f"""parsed AS (
+  SELECT CAST({A.PHONE_BASE} + r.conv_id AS VARCHAR) AS cleaned_phone, any_value(c.cleaned) AS cleaned,
+         CASE WHEN any_value(r.raw) IS NULL THEN 'ERROR_LLM_NONE' WHEN count(w.k) = 0 THEN 'Expected a mapping'
+              WHEN count(DISTINCT w.k) FILTER ({in_list('w.k', keys)}) < {len(keys)} THEN 'Missing keys: ' || list_aggregate(list_sort(list_filter([{", ".join(q(k) for k in keys)}], lambda x: NOT list_contains(list(w.k), x))), 'string_agg', ', ') END AS error,
+         CASE WHEN count(w.k) > 0 THEN coalesce(list_aggregate(list_sort(list_filter([{", ".join(q(k) for k in keys)}], lambda x: NOT list_contains(list(w.k), x))), 'string_agg', ','), '') END AS missing_keys,
+         {", ".join(f"max(w.v) FILTER (w.k = {q(k)}) AS {k}" for k in keys)}
+  FROM raws r LEFT JOIN cleans c USING (conv_id) LEFT JOIN vals w USING (conv_id)
+  GROUP BY r.conv_id
+)""",
+    ]

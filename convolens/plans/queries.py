@@ -4,6 +4,7 @@ lazy DataFrame; ``ORACLE`` holds the DuckDB SQL twin of each (where one exists).
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,12 +157,7 @@ SNAPSHOT_COLUMNS = [
 
 
 def _snapshot_oracle() -> str:
-    dig = """dig AS (
-  SELECT cleaned_phone,
-         md5(trim(regexp_replace(string_agg(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,
-                                            chr(10) ORDER BY creation_time, src_ord), '\\s+', ' ', 'g'))) AS conversation_digest
-  FROM msgs GROUP BY cleaned_phone
-)"""
+    dig = f"dig AS (SELECT cleaned_phone, {O.digest_agg()} AS conversation_digest FROM msgs GROUP BY cleaned_phone)"
     return _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.metadata_agg_sql(), O.leads_cte(), dig) + f"""
 SELECT l.lead_id, l.name, l.cleaned_phone,
        t.NO_USER_MESSAGES_EXIST, t.HOURS_MINUTES_SINCE_LAST_USER_MESSAGE, t.HOURS_MINUTES_SINCE_LAST_MESSAGE,
@@ -178,9 +174,8 @@ LEFT JOIN dig d USING (cleaned_phone)"""
 
 def lead_snapshot_plan(leads: DataFrame, messages: DataFrame, as_of: str = AS_OF_DEFAULT) -> DataFrame:
     """Leads with their conversation features, digest and P20 defaults."""
-    feats = FT.conversation_features(messages, [FT.Temporal(), FT.Metadata()], as_of=as_of)
-    dig = conversation_digest(messages).drop("n_messages")
-    out = leads.join(feats, "cleaned_phone", "left").join(dig, "cleaned_phone", "left")
+    feats = FT.conversation_features(messages, [FT.Temporal(), FT.Metadata(), FT.Digest()], as_of=as_of)
+    out = leads.join(feats, "cleaned_phone", "left")
     out = out.withColumns({
         "last_message_ts": F.coalesce(F.col("last_message_ts"), F.lit(as_of[:19])),
         "conversation_digest": F.coalesce(F.col("conversation_digest"), F.lit(P.NO_CONVERSATION_DIGEST)),
@@ -228,58 +223,57 @@ def _p9(e: str) -> str:
             f"ELSE lower({e}) END")
 
 
-_ELIGIBLE_CTES = [
-    f"""ld AS (
-  SELECT o.o_orderkey AS lead_id, o.o_custkey AS user_id,
-         {_p10(O.synthetic_email('c.c_name', 'o.o_orderkey'))} AS clean_email,
-         o.o_orderdate AS lead_created_at, o.o_orderstatus AS profiling_status
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-)""",
-    """eh AS (SELECT DISTINCT l_orderkey AS lead_id FROM lineitem WHERE l_returnflag = 'R')""",
-    f"""el AS (
-  SELECT ld.* FROM ld LEFT JOIN eh USING (lead_id)
-  WHERE eh.lead_id IS NULL AND (profiling_status IS NULL OR right(profiling_status, 1) <> '{EXCLUDED_STATUS}')
-)""",
-    """lle AS (
-  SELECT lead_id, user_id, clean_email, lead_created_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY clean_email ORDER BY lead_created_at DESC, lead_id DESC) AS rn FROM el
-  ) WHERE rn = 1
-)""",
-]
+LEAD_PRODUCT = "1-URGENT"  # driver orders: priority plays the role of the product
+LEAD_LOOKBACK_DAYS = 9_000  # reaches into the driver's order dates from AS_OF
 
 
-@register("eligible_leads", _with(*_ELIGIBLE_CTES) + "SELECT * FROM lle")
-def eligible_leads(spark, sf_dir):
-    """P13 + J3 + W1: leads not in hand-off, eligible status, latest per e-mail."""
+_LEAD_BOUNDS = f"""AND o_orderpriority = '{LEAD_PRODUCT}'
+  AND o_orderdate >= CAST({O.AS_OF} AS DATE) - {LEAD_LOOKBACK_DAYS}"""
+
+
+def _eligible_sql(bounds: str = "") -> str:
+    """One aggregation: the newest lead per address among the eligible ones."""
+    email = _p10(O.synthetic_email("c_name", "o_orderkey"))
+    newest = "(o_orderdate, o_orderkey)"
+    return f"""SELECT max_by(o_orderkey, {newest}) AS lead_id, max_by(o_custkey, {newest}) AS user_id,
+       {email} AS clean_email, max(o_orderdate) AS lead_created_at
+FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE coalesce(o_orderstatus, '') NOT LIKE '%{EXCLUDED_STATUS}' {bounds}
+  AND NOT EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+GROUP BY {email}"""
+
+
+def _eligible(spark, sf_dir, **bounds) -> DataFrame:
     return LD.eligible_leads(
-        A.financing_leads(spark, sf_dir), A.leads_audit(spark, sf_dir), excluded_suffix=EXCLUDED_STATUS
+        A.financing_leads(spark, sf_dir), A.leads_audit(spark, sf_dir), excluded_suffix=EXCLUDED_STATUS, **bounds
     )
 
 
+def warehouse_leads(spark, sf_dir) -> DataFrame:
+    """The lead query of a warehouse recipe."""
+    bounds = {"product": LEAD_PRODUCT, "as_of": AS_OF_DEFAULT, "lookback_days": LEAD_LOOKBACK_DAYS}
+    return LD.leads_with_contact(_eligible(spark, sf_dir, **bounds), A.intents(spark, sf_dir))
+
+
+@register("eligible_leads", _eligible_sql())
+def eligible_leads(spark, sf_dir):
+    """P13 + J3 + W1: leads not in hand-off, eligible status, latest per e-mail."""
+    return _eligible(spark, sf_dir)
+
+
 @register(
     "lead_contact",
-    _with(*_ELIGIBLE_CTES, f"""ic AS (
-  SELECT o.o_orderkey AS id, {_p10(O.synthetic_email('c.c_name', 'o.o_orderkey + 1'))} AS cleaned_email,
-         c.c_name AS name, c.c_mktsegment AS last_name,
-         right('521' || CAST({A.PHONE_BASE} + c.c_custkey AS VARCHAR), 10) AS cleaned_phone_number,
-         o.o_orderdate AS updated_at
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-)""", """li AS (
-  SELECT cleaned_email, name, last_name, cleaned_phone_number FROM (
-    SELECT *, row_number() OVER (PARTITION BY cleaned_email ORDER BY updated_at DESC, id DESC) AS rn
-    FROM ic WHERE cleaned_email IN (SELECT clean_email FROM lle)
-  ) WHERE rn = 1
-)""") + """SELECT lle.lead_id, lle.user_id, lle.clean_email, li.name, li.last_name, li.cleaned_phone_number, lle.lead_created_at
-FROM lle LEFT JOIN li ON lle.clean_email = li.cleaned_email
-WHERE li.cleaned_phone_number IS NOT NULL
-ORDER BY lle.lead_created_at DESC""",
+    f"""SELECT DISTINCT ON (lead.clean_email) lead.*, c.c_name AS name, c.c_mktsegment AS last_name,
+       right('521' || CAST({A.PHONE_BASE} + c.c_custkey AS VARCHAR), 10) AS cleaned_phone_number
+FROM ({_eligible_sql(_LEAD_BOUNDS)}) lead
+JOIN (orders o JOIN customer c ON o.o_custkey = c.c_custkey)
+  ON lead.clean_email = {_p10(O.synthetic_email('c.c_name', 'o.o_orderkey + 1'))}
+ORDER BY lead.clean_email, o.o_orderdate DESC, o.o_orderkey DESC""",
 )
 def lead_contact(spark, sf_dir):
-    """S1 lead query: P10 e-mails, W1/W2 latest rows, J2 semi-join, J4, O2 order."""
-    latest = LD.eligible_leads(
-        A.financing_leads(spark, sf_dir), A.leads_audit(spark, sf_dir), excluded_suffix=EXCLUDED_STATUS
-    )
-    return LD.leads_with_contact(latest, A.intents(spark, sf_dir))
+    """S1 lead query: product and look-back (P12, P13), P10 e-mails, W1/W2
+    latest rows, J2 + J4."""
+    return warehouse_leads(spark, sf_dir)
 
 
 # --------------------------------------------------------------- message selection
@@ -339,8 +333,8 @@ def _raw_phones_spark(spark, sf_dir):
     )
     cust = c.select(F.lit("customer").alias("source"), k.alias("id"), raw.alias("raw"))
     d = read_table(spark, sf_dir, "documents")
-    run = F.regexp_extract(F.col("text"), "[0-9][0-9 ()+-]{8,}[0-9]", 0)
-    docs = d.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), run.alias("raw")).where(F.col("raw") != "")
+    runs = F.regexp_extract_all(F.col("text"), F.lit("[0-9][0-9 ()+-]{8,}[0-9]"), F.lit(0))
+    docs = d.select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.explode_outer(runs).alias("raw"))
     return cust.unionByName(docs)
 
 
@@ -358,8 +352,8 @@ def _raw_phones_spark(spark, sf_dir):
            ELSE ' ' || CAST({A.PHONE_BASE} + c_custkey AS VARCHAR) || ' ' END AS raw
   FROM customer
   UNION ALL
-  SELECT 'document', doc_id, regexp_extract(text, '[0-9][0-9 ()+-]{{8,}}[0-9]', 0)
-  FROM documents WHERE regexp_extract(text, '[0-9][0-9 ()+-]{{8,}}[0-9]', 0) <> ''
+  SELECT 'document', doc_id, raw
+  FROM documents LEFT JOIN (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9 ()+-]{{8,}}[0-9]')) AS raw FROM documents) USING (doc_id)
 )
 SELECT source, id, raw,
        nullif(regexp_extract(trim(raw), '([0-9]{{10}})', 1), '') AS phone_a,
@@ -431,16 +425,13 @@ def redact_documents(spark, sf_dir):
 
 
 # --------------------------------------------------------------- transcripts
-_DIGEST_SQL = """SELECT cleaned_phone,
-       md5(trim(regexp_replace(string_agg(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,
-                                          chr(10) ORDER BY creation_time, src_ord), '\\s+', ' ', 'g'))) AS conversation_digest,
-       count(*) AS n_messages
-FROM {src} GROUP BY cleaned_phone"""
-
-
-@register("conversation_digest", _with(O.messages_cte()) + _DIGEST_SQL.format(src="msgs"))
+@register(
+    "conversation_digest",
+    _with(O.messages_cte())
+    + f"SELECT cleaned_phone, {O.digest_agg()} AS conversation_digest, count(*) AS n_messages FROM msgs GROUP BY cleaned_phone",
+)
 def conversation_digest_q(spark, sf_dir):
-    """F6 + F7: MD5 of the normalised newline-joined transcript per conversation."""
+    """F6 + F7: digest of the normalised transcript per conversation."""
     return conversation_digest(_msgs(spark, sf_dir))
 
 
@@ -653,7 +644,7 @@ def _engagement_sql() -> str:
     + f"""SELECT cleaned_phone, current_engagement_status,
        CASE WHEN st = 'NUNCA_RESPONDIO' THEN 'LLAMAR_LEAD_NUNCA_RESPONDIO'
             WHEN {O.in_list('st', P.INELIGIBLE_CODES)} THEN 'CERRAR_CASO'
-            WHEN st = 'DESINTERES_EXPLICITO' THEN 'CERRAR_CASO'
+            WHEN st = 'DESINTERES_EXPLICITO' AND current_engagement_status = 'EXPLICIT_DISINTEREST' THEN 'CERRAR_CASO'
             WHEN current_engagement_status = 'TECHNICAL_ISSUE_REPORTED' THEN 'ESCALAR_CASO_A_HUMANO'
             WHEN current_engagement_status = 'KUNA_PENDING_RESPONSE' THEN 'RESPONDER_AL_CLIENTE'
             WHEN st = 'PROCESO_EN_CURSO' AND current_engagement_status IN ('ENGAGED_ACTIVE_CONVO', 'KUNA_PENDING_RESPONSE') THEN 'MONITOREAR_CONVERSACION'
@@ -777,39 +768,42 @@ def label_repair(spark, sf_dir):
     return r.select("cleaned_phone", *P.HANDOFF_LABEL_KEYS, "inferred_stall_stage", "had_errors")
 
 
-# FIXED VALUES — raw response shapes the label_parse query derives per conversation.
+# FIXED VALUES — raw response shapes; {text} is the conversation's own last text.
 RESPONSE_SHAPES = [
-    "```yaml\nsummary: Resumen {id}\nprimary_stall_reason_code: GHOSTING\nnext_action_code: INSISTIR\n```",
-    'summary: "Cliente dijo "no sé" ayer"\nprimary_stall_reason_code: OTRO\nnext_action_code: ESPERAR',
-    "summary: Valor con: dos puntos {id}\nprimary_stall_reason_code: GHOSTING",
-    "summary: primera linea\nsegunda linea {id}\nnext_action_code: CERRAR\nprimary_stall_reason_code: OTRO",
-    "- a\n- b {id}",
-    "```\nsummary: ok {id}\ntransfer_context_analysis: nada\nprimary_stall_reason_code: PROCESO_EN_CURSO\n"
-    "next_action_code: ESPERAR\nsuggested_message_es: hola\n```",
+    "```yaml\nsummary: {text}\nprimary_stall_reason_code: GHOSTING\nnext_action_code: INSISTIR\n"
+    "suggested_message_es: 'Hola'\n```",
+    'summary: "Cliente dijo "{text}" ayer"\nprimary_stall_reason_code: OTRO\nnext_action_code: ESPERAR',
+    "summary: Valor con: {text}\nprimary_stall_reason_code: 'GHOSTING'\nnext_action_code: true\n"
+    "suggested_message_es: null\nsuggested_message_es: {text}",
+    "summary: primera linea\n{text}\nnext_action_code: CERRAR\nprimary_stall_reason_code: OTRO\nsuggested_message_es: x",
+    "- a\n- {text}",
+    "```\nsummary: {text}\ntransfer_context_analysis: nada\nprimary_stall_reason_code: PROCESO_EN_CURSO\n"
+    "next_action_code: ESPERAR # seguro\nsuggested_message_es: hola\n```",
+    None,
 ]
 
 
 def raw_responses(spark, sf_dir) -> DataFrame:
-    """A raw model response per conversation (shape by conversation id)."""
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    """A raw model response per conversation: a shape by conversation id around
+    the whole text of its last turn."""
     c = F.col("conv_id")
-    shapes = F.array(*[F.lit(s) for s in RESPONSE_SHAPES])
+    shapes = F.array(*[F.lit(s).cast("string") for s in RESPONSE_SHAPES])
     shape = F.element_at(shapes, (c % len(RESPONSE_SHAPES) + 1).cast("int"))
-    return conv.select(A.phone_of(c).alias("cleaned_phone"),
-                       F.replace(shape, F.lit("{id}"), c.cast("string")).alias("raw_response"))
+    return A.last_texts(spark, sf_dir).select(
+        A.phone_of(c).alias("cleaned_phone"), F.replace(shape, F.lit("{text}"), F.col("text")).alias("raw_response")
+    )
+
 
+PARSED_KEYS = list(P.HANDOFF_LABEL_KEYS)
 
-@register("label_parse")
+
+@register("label_parse", _with(*O.parse_ctes(RESPONSE_SHAPES, PARSED_KEYS)) + "SELECT * FROM parsed")
 def label_parse(spark, sf_dir):
-    """Clean and parse raw responses (Arrow pandas UDF), required keys."""
-    p = LB.parse_labels(raw_responses(spark, sf_dir))
+    """Clean and parse raw responses, required keys."""
+    p = LB.parse_labels(raw_responses(spark, sf_dir), required=PARSED_KEYS)
     return p.select(
-        "cleaned_phone", "error",
-        F.array_join("missing_keys", ",").alias("missing_keys"),
-        F.col("labels")["summary"].alias("summary"),
-        F.col("labels")["primary_stall_reason_code"].alias("primary_stall_reason_code"),
-        F.col("labels")["next_action_code"].alias("next_action_code"),
-        F.col("labels")["transfer_context_analysis"].alias("transfer_context_analysis"),
+        "cleaned_phone", "cleaned", "error", F.array_join("missing_keys", ",").alias("missing_keys"),
+        *[F.try_element_at("labels", F.lit(k)).alias(k) for k in PARSED_KEYS],
     )
 
 
@@ -838,8 +832,7 @@ def _cache(old: DataFrame) -> DataFrame:
     return v1.unionByName(v2).unionByName(bad)
 
 
-_DIGEST_AGG = """md5(trim(regexp_replace(string_agg(strftime(creation_time, '%Y-%m-%d %H:%M:%S') || ' ' || msg_from || ': ' || message,
-                                          chr(10) ORDER BY creation_time, src_ord), '\\s+', ' ', 'g')))"""
+_DIGEST_AGG = O.digest_agg()
 _VERSION_CTES = [
     O.messages_cte(), O.ordinal_cte(),
     "mx AS (SELECT cleaned_phone, max(i) AS last_i FROM om GROUP BY cleaned_phone)",
@@ -931,67 +924,132 @@ def completion_stats(spark, sf_dir):
 
 
 # --------------------------------------------------------------- recipe run and report
-from convolens.plans.recipe import get_recipe, run_recipe  # noqa: E402
+from convolens.plans.recipe import RECIPES, get_recipe, recipe_errors, run_recipe  # noqa: E402
 
 REPORT_RECIPE = "simulation_to_handoff"
 PUBLISH_STAMP = AS_OF_DEFAULT
+# Bounds of the recipes moved into the driver's days, where they bite.
+DRIVER_START, DRIVER_PHASE = "2024-01-02 00:00:00", A.BOT_RECEIVED.lower()
+
+
+def driver_recipe(name: str):
+    """A recipe with its message start and phase marker moved to the driver's data."""
+    r = get_recipe(name)
+    return replace(
+        r,
+        message_start=DRIVER_START if r.message_start else None,
+        phase_start_pattern=DRIVER_PHASE if r.phase_start_pattern else None,
+    )
 
 
 def recipe_result(spark, sf_dir, recipe: str = REPORT_RECIPE) -> DataFrame:
-    r = get_recipe(recipe)
-    return run_recipe(r, A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir), A.label_rows(spark, sf_dir))
+    return run_recipe(driver_recipe(recipe), A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir),
+                      A.label_rows(spark, sf_dir))
+
+
+def _bounds_sql(r) -> str:
+    """Messages of a recipe as ``msgs``: time bounds, leads only, phase cut."""
+    where = ["cleaned_phone IN (SELECT cleaned_phone FROM leads)"]
+    if r.message_start:
+        where.append(f"creation_time >= TIMESTAMP '{r.message_start}'")
+    if r.message_end:
+        where.append(f"creation_time <= TIMESTAMP '{r.message_end}'")
+    if r.lookback_days:
+        where.append(f"creation_time >= {O.AS_OF} - INTERVAL {r.lookback_days} DAY")
+    sql = f"SELECT * FROM said WHERE {' AND '.join(where)}"
+    if r.phase_start_pattern:
+        hit = f"contains(lower(coalesce(message, '')), {O.q(r.phase_start_pattern)})"
+        sql = (f"SELECT * EXCLUDE phase FROM (SELECT *, min(creation_time) FILTER ({hit}) OVER (PARTITION BY cleaned_phone)"
+               f" AS phase FROM ({sql})) WHERE creation_time >= phase")
+    return f"msgs AS ({sql})"
+
+
+_LABEL_TABLE = [
+    "summary", "primary_stall_reason_code", "next_action_code", "transfer_context_analysis", "suggested_message_es",
+    "documentos_enviados_analisis", "enviado_a_validacion", "calidad_atencion_agente", "gps_instalacion_agendada",
+    "objecion_principal_cliente",
+]
 
 
-def _report_oracle(stamp: str | None = None) -> str:
-    r = get_recipe(REPORT_RECIPE)
-    bools = {"NO_USER_MESSAGES_EXIST", "human_transfer", "handoff_invitation_detected", "handoff_finalized",
-             "IS_WITHIN_REACTIVATION_WINDOW", "IS_RECOVERY_PHASE_ELIGIBLE"}
-    have = {"lead_id", "name", "cleaned_phone", "summary", "primary_stall_reason_code", "next_action_code",
-            "suggested_message_es", "transfer_context_analysis", "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE",
-            "HOURS_MINUTES_SINCE_LAST_MESSAGE", "handoff_response", "last_user_message_text",
-            "last_kuna_message_text", "last_message_sender"} | bools
+def _report_oracle(recipe: str, stamp: str | None = None) -> str:
+    r = driver_recipe(recipe)
+    types = dict(FT.feature_columns(r.features()))
+    parts = {
+        "temporal": ("NO_USER_MESSAGES_EXIST", f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)"),
+        "metadata": ("last_message_sender", f"mm AS (SELECT m_agg.cleaned_phone, {O.metadata_select(n=150)} FROM m_agg)"),
+        "handoff": ("handoff_response", f"hh AS (SELECT h_agg.cleaned_phone, {O.handoff_select()} FROM h_agg)"),
+        "template": ("recovery_template_detected", f"rr AS (SELECT r_agg.cleaned_phone, {O.template_select()} FROM r_agg)"),
+        "validation": ("pre_validacion_detected", f"vv AS (SELECT cleaned_phone, {O.validation_expr()} AS pre_validacion_detected FROM om GROUP BY cleaned_phone)"),
+        "transfer": ("human_transfer", f"xx AS (SELECT cleaned_phone, {O.transfer_expr()} AS human_transfer FROM om GROUP BY cleaned_phone)"),
+    }
+    used = [sql for column, sql in parts.values() if column in types]
+    feat = "SELECT * FROM (SELECT DISTINCT cleaned_phone FROM om)" + "".join(
+        f" JOIN {sql.split(' ')[0]} USING (cleaned_phone)" for sql in used)
+    labels = [k.name for k in r.label_keys if k.name not in types and k.name != "conversation_digest"]
+    required = [k for k in r.required_keys if k in labels]
+    enums = {k: v for k, v in r.enums.items() if k in labels}
+    flags = {"NO_USER_MESSAGES_EXIST": "BOOLEAN", "HOURS_MINUTES_SINCE_LAST_MESSAGE": "VARCHAR"}
+    x = ", ".join(
+        ["lab.cleaned_phone", "lab.error_kind", "lab.inferred_stall_stage"]
+        + [f"lab.{k}" if k in _LABEL_TABLE else f"CAST(NULL AS VARCHAR) AS {k}" for k in labels]
+        + [f"feat.{k}" if k in types else f"CAST(NULL AS {t}) AS {k}" for k, t in flags.items()])
+    kinds = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in LB.ERROR_SUMMARIES.items())
+    over = {"summary": f"CASE x.error_kind {kinds} ELSE x.error_kind END",
+            "primary_stall_reason_code": "x.error_kind", "next_action_code": "x.error_kind"}
+    lk = []
+    for k in dict.fromkeys([*labels, *over]):
+        own = f"rep.{k}" if k in required or k in enums else f"x.{k}" if k in labels else "CAST(NULL AS VARCHAR)"
+        lk.append(f"CASE WHEN x.error_kind IS NOT NULL THEN {over[k]} ELSE {own} END AS {k}" if k in over else f"{own} AS {k}")
     cols = []
     for c in dict.fromkeys(r.output_columns):
-        if c not in have:
-            cols.append(f"'' AS {c}")
-        elif c in bools:
-            cols.append(f"CASE WHEN {c} THEN 'True' WHEN NOT {c} THEN 'False' ELSE '' END AS {c}")
-        elif c == "summary":
-            cols.append(f"coalesce(summary, {O.q(P.NO_CONVERSATION_SUMMARY)}) AS summary")
+        if c == "summary":
+            cols.append(f"coalesce(lk.summary, {O.q(P.NO_CONVERSATION_SUMMARY)}) AS summary")
+        elif c == "cache_status":
+            cols.append("CASE WHEN feat.cleaned_phone IS NULL THEN '' WHEN lk.error_kind IS NULL THEN 'FRESH' ELSE 'ERROR' END AS cache_status")
+        elif c in ("lead_id", "name", "cleaned_phone"):
+            cols.append(f"CAST(leads.{c} AS VARCHAR) AS {c}")
+        elif c in types and types[c].typeName() == "boolean":
+            cols.append(f"CASE WHEN feat.{c} THEN 'True' WHEN NOT feat.{c} THEN 'False' ELSE '' END AS {c}")
+        elif c in types:
+            cols.append(f"coalesce(CAST(feat.{c} AS VARCHAR), '') AS {c}")
+        elif c in labels or c in over:
+            cols.append(f"coalesce(CAST(lk.{c} AS VARCHAR), '') AS {c}")
         else:
-            cols.append(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}")
+            cols.append(f"'' AS {c}")
     if stamp:
         cols.append(f"{O.q(stamp)} AS last_updated")
-    kinds = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in LB.ERROR_SUMMARIES.items())
     return _with(
-        O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(), O.metadata_agg_sql(), O.handoff_ctes(), O.labels_cte(),
-        O.leads_cte(),
-        f"f AS (SELECT t_agg.cleaned_phone, {O.temporal_select()} FROM t_agg)",
-        f"mm AS (SELECT m_agg.cleaned_phone, {O.metadata_select()} FROM m_agg)",
-        f"hh AS (SELECT h_agg.cleaned_phone, {O.handoff_select()} FROM h_agg)",
-        f"xx AS (SELECT cleaned_phone, {O.transfer_expr()} AS human_transfer FROM om GROUP BY cleaned_phone)",
-        "x AS (SELECT lab.*, f.NO_USER_MESSAGES_EXIST, f.HOURS_MINUTES_SINCE_LAST_MESSAGE FROM lab JOIN f USING (cleaned_phone))",
-        "rep AS (" + O.repair_sql("x", P.HANDOFF_LABEL_KEYS, _ENUMS, P.CRITICAL_ENUM_KEYS) + ")",
-        f"""lk AS (SELECT rep.cleaned_phone,
-       CASE WHEN lab.error_kind IS NOT NULL THEN CASE lab.error_kind {kinds} END ELSE rep.summary END AS summary,
-       coalesce(lab.error_kind, rep.primary_stall_reason_code) AS primary_stall_reason_code,
-       coalesce(lab.error_kind, rep.next_action_code) AS next_action_code,
-       rep.suggested_message_es, rep.transfer_context_analysis
-  FROM rep JOIN lab USING (cleaned_phone))""",
-        """res AS (SELECT * FROM f JOIN mm USING (cleaned_phone) JOIN hh USING (cleaned_phone) JOIN xx USING (cleaned_phone)
-  LEFT JOIN lk USING (cleaned_phone))""",
-    ) + "SELECT " + ",\n       ".join(cols) + "\nFROM leads LEFT JOIN res USING (cleaned_phone)"
-
-
-@register("report_frame", _report_oracle())
+        O.messages_cte("said"), O.leads_cte(), _bounds_sql(r), O.ordinal_cte(), O.temporal_agg_sql(), O.metadata_agg_sql(),
+        O.handoff_ctes(), O.template_agg_sql(), O.labels_cte(), *used, f"feat AS ({feat})",
+        f"x AS (SELECT {x} FROM lab JOIN feat USING (cleaned_phone))",
+        "rep AS (" + O.repair_sql("x", required, enums, P.CRITICAL_ENUM_KEYS) + ")",
+        f"lk AS (SELECT x.cleaned_phone, x.error_kind, {', '.join(lk)} FROM x JOIN rep USING (cleaned_phone))",
+    ) + "SELECT " + ",\n       ".join(cols) + """
+FROM leads LEFT JOIN feat ON feat.cleaned_phone = leads.cleaned_phone LEFT JOIN lk ON lk.cleaned_phone = leads.cleaned_phone"""
+
+
+def _report(recipe: str) -> QueryFn:
+    def run(spark, sf_dir):
+        return RP.export_prep(recipe_result(spark, sf_dir, recipe), list(get_recipe(recipe).output_columns))
+
+    run.__name__ = f"report_{recipe}"
+    run.__doc__ = f"E4: full run and report of the recipe {recipe}."
+    return run
+
+
+for _name in RECIPES:
+    if _name != REPORT_RECIPE:
+        register(f"report_{_name}", _report_oracle(_name))(_report(_name))
+
+
+@register("report_frame", _report_oracle(REPORT_RECIPE))
 def report_frame(spark, sf_dir):
     """Full recipe run (simulation_to_handoff) and report step: J6 J7 L13 L14
     P14-P17 P20 over all leads; every column as report text."""
-    r = get_recipe(REPORT_RECIPE)
-    return RP.export_prep(recipe_result(spark, sf_dir), list(r.output_columns))
+    return _report(REPORT_RECIPE)(spark, sf_dir)
 
 
-@register("publish_frame", _report_oracle(PUBLISH_STAMP))
+@register("publish_frame", _report_oracle(REPORT_RECIPE, PUBLISH_STAMP))
 def publish_frame(spark, sf_dir):
     """K8: the report as all-text columns plus a 'last updated' stamp."""
     r = get_recipe(REPORT_RECIPE)
@@ -1007,4 +1065,6 @@ WHERE lab.error_kind IS NOT NULL AND lab.cleaned_phone IN (SELECT cleaned_phone
 )
 def error_rows(spark, sf_dir):
     """K6 + J7: the error side-output of a recipe run."""
-    return RP.error_rows(recipe_result(spark, sf_dir))
+    return recipe_errors(get_recipe(REPORT_RECIPE), A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir),
+                         A.label_rows(spark, sf_dir))
+

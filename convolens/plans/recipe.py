@@ -21,7 +21,6 @@ from convolens.operators import features as FT
 from convolens.operators import labels as LB
 from convolens.operators import messages as MS
 from convolens.operators import report as RP
-from convolens.operators.transcript import conversation_digest
 from convolens.session import AS_OF_DEFAULT
 
 SCHEMA_VERSION = 2
@@ -180,7 +179,7 @@ _HANDOFF_OUT = (
 RECIPES: dict[str, Recipe] = {
     "simulation_to_handoff": Recipe(
         name="simulation_to_handoff", version="v17", lead_source="redshift",
-        lead_sql="simulation_to_handoff_redshift.sql", lookback_days=90,
+        lead_sql="lead_contact", lookback_days=90,
         processors=_CHAIN_TMHRVCX,
         label_keys=_keys("summary", "primary_stall_reason_code", "transfer_context_analysis", "next_action_code",
                          "suggested_message_es", "conversation_digest", "last_message_ts",
@@ -264,16 +263,36 @@ def get_recipe(name: str) -> Recipe:
 
 
 def recipe_messages(recipe: Recipe, messages: DataFrame, leads: DataFrame, as_of: str = AS_OF_DEFAULT) -> DataFrame:
-    """S2/S3 + P11/P12 + J2 + J5 for a recipe: bounded, targeted, phase-cut messages."""
+    """S2/S3 + P11/P12 + P1/P2/P7 + J2 + J5 for a recipe: bounded messages with
+    the same key rules as the leads, targeted, phase-cut."""
     m = MS.time_bounds(messages, start=recipe.message_start, end=recipe.message_end,
                        as_of=as_of if recipe.lookback_days else None, lookback_days=recipe.lookback_days)
-    m = MS.for_targets(m, leads)
+    m = MS.for_targets(RP.normalise_keys(m), leads)
     if recipe.phase_start_pattern:
         is_start = F.lower(F.coalesce(F.col("message"), F.lit(""))).contains(recipe.phase_start_pattern)
         m = MS.from_phase_start(m, is_start).drop("phase_start")
     return m
 
 
+def recipe_labels(recipe: Recipe, labels: DataFrame | None, responses: DataFrame | None) -> DataFrame | None:
+    """The label table of a run: given label columns, or raw responses parsed
+    here (L1-L7).  Every label key of the recipe is a column; one that the
+    table lacks is null, so that L8/L10 see it as missing."""
+    if responses is not None:
+        parsed = LB.parse_labels(RP.normalise_keys(responses), required=recipe.required_keys)
+        return LB.label_columns(parsed, [k.name for k in recipe.label_keys])
+    if labels is None:
+        return None
+    lab = RP.normalise_keys(labels)
+    wanted = [k.name for k in recipe.label_keys]
+    extra = [c for c in ("inferred_stall_stage", "error_kind", "error_details") if c in lab.columns and c not in wanted]
+    return lab.select(
+        "cleaned_phone",
+        *[F.col(c) if c in lab.columns else F.lit(None).cast("string").alias(c) for c in wanted],
+        *extra,
+    )
+
+
 def run_recipe(
     recipe: Recipe,
     leads: DataFrame,
@@ -284,38 +303,63 @@ def run_recipe(
     only: list[str] | None = None,
     include: list[str] | None = None,
     exclude: list[str] | None = None,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
-    """One lazy plan: leads -> bounded messages -> feature fold + digest ->
-    label repair (labels are a table of model outputs keyed by phone) ->
-    merge onto leads -> column selection and back-fill."""
+    """One lazy plan: leads -> bounded messages -> one feature fold (with the
+    digest) -> labels joined once and repaired on that row -> merge onto leads
+    -> column selection and back-fill.
+
+    Labels come as a table of label columns (``labels``) or as raw model
+    responses (``responses``: key, ``raw_response``).  ``error`` and
+    ``error_details`` say why a row has no usable label; ``cache_status`` is
+    ERROR for these and FRESH for the other conversations."""
     leads = RP.normalise_lead_keys(leads)
     msgs = recipe_messages(recipe, messages, leads, as_of)
-    feats = FT.conversation_features(msgs, recipe.features(skip, only), as_of=as_of)
-    digest = conversation_digest(msgs).drop("n_messages")
-    results = feats.join(digest, "cleaned_phone", "left")
-    errors = None
-    if labels is not None:
-        lab_cols = [k.name for k in recipe.label_keys if k.name in labels.columns and not k.optional]
-        extra = [c for c in ("inferred_stall_stage", "error_kind") if c in labels.columns]
-        lab = labels.select("cleaned_phone", *lab_cols, *extra)
-        flag_cols = [c for c in ("NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE") if c in feats.columns]
-        lab = lab.join(feats.select("cleaned_phone", *flag_cols), "cleaned_phone")
-        for c in ("NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE"):
-            if c not in lab.columns:
-                lab = lab.withColumn(c, F.lit(None).cast("boolean" if c.startswith("NO_") else "string"))
-        rep = LB.repair_labels(lab, [k for k in recipe.required_keys if k in lab.columns], recipe.enums)
-        if "error_kind" in rep.columns:
-            rep = LB.apply_error_kinds(rep)
-        rep = rep.drop("had_errors", "NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE")
+    specs = [*recipe.features(skip, only), FT.make_feature("digest")]
+    results = FT.conversation_features(msgs, specs, as_of=as_of)
+    nothing = F.lit(None).cast("string")
+    lab = recipe_labels(recipe, labels, responses)
+    if lab is None:
+        results = results.withColumns({"error": nothing, "error_details": nothing})
+    else:
         # Feature columns win over label columns of the same name
-        overlap = [c for c in rep.columns if c in results.columns and c != "cleaned_phone"]
-        results = results.join(rep.drop(*overlap), "cleaned_phone", "left")
-        kind = F.col("error_kind") if "error_kind" in results.columns else F.lit(None).cast("string")
-        results = results.withColumn("cache_status", F.when(kind.isNotNull(), F.lit("ERROR")).otherwise(F.lit("FRESH")))
-        if "error_kind" in results.columns:
-            errors = results.where(kind.isNotNull()).select("cleaned_phone", kind.alias("error"))
-            results = results.drop("error_kind")
-    out = RP.merge_results(leads, results, errors, as_of=as_of)
+        features = [c for c in results.columns if c != "cleaned_phone"]
+        lab = lab.drop(*[c for c in features if c in lab.columns])
+        results = results.join(lab.withColumn("__labelled", F.lit(True)), "cleaned_phone", "left")
+        flags = [c for c in ("NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE") if c not in results.columns]
+        absent = {c: F.lit(None).cast("boolean" if c.startswith("NO_") else "string") for c in flags}
+        for c in ("inferred_stall_stage", "error_kind", "error_details"):
+            if c not in results.columns:
+                absent[c] = nothing
+        results = results.withColumns(absent) if absent else results
+        required = [k for k in recipe.required_keys if k not in features]
+        enums = {k: v for k, v in recipe.enums.items() if k not in features}
+        raw = results.columns
+        repaired = LB.apply_error_kinds(LB.repair_labels(results, required, enums))
+        # a conversation without a label row stays without labels
+        keep = F.coalesce(F.col("__labelled"), F.lit(False))
+        label_cols = [c for c in repaired.columns if c not in ("cleaned_phone", "__labelled", "had_errors", *features, *flags)]
+        results = repaired.select(
+            "cleaned_phone",
+            *[c for c in raw if c in features],
+            *[F.when(keep, F.col(c)).alias(c) for c in label_cols if c != "error_kind"],
+            F.col("error_kind").alias("error"),
+        )
+    status = F.when(F.col("error").isNotNull(), F.lit("ERROR")).otherwise(F.lit("FRESH"))
+    results = results.withColumn("cache_status", status)
+    out = RP.merge_results(leads, results, as_of=as_of)
     out = RP.include_exclude(out, include or list(recipe.include_columns), exclude or list(recipe.exclude_columns))
-    out = RP.backfill_columns(out, list(recipe.output_columns))
-    return out
+    return RP.backfill_columns(out, list(recipe.output_columns))
+
+
+def recipe_errors(
+    recipe: Recipe, leads: DataFrame, messages: DataFrame, labels: DataFrame | None = None,
+    responses: DataFrame | None = None, as_of: str = AS_OF_DEFAULT,
+) -> DataFrame:
+    """K6 + J7: the error side-output alone: labels that failed, for leads with
+    messages in the recipe's bounds; neither features nor digest are computed."""
+    msgs = recipe_messages(recipe, messages, RP.normalise_lead_keys(leads), as_of)
+    lab = recipe_labels(recipe, labels, responses)
+    kind = F.col("error_kind") if "error_kind" in lab.columns else F.lit(None).cast("string")
+    failed = lab.select("cleaned_phone", kind.alias("error")).where(F.col("error").isNotNull())
+    return RP.error_rows(failed.join(msgs.select("cleaned_phone"), "cleaned_phone", "left_semi"))

@@ -1,9 +1,11 @@
 """Adapters from the driver tables to this package's inputs.
 
-The driver's conversations carry random prose, so these adapters place trigger
-sentences by ``(conv_id, turn)`` arithmetic and mute the user in every
-conversation with ``conv_id % 10 = 7`` (see FIXTURES.md §3).  Everything is a
-column expression: the adapters scale with the tables and push down.
+Every conversation row becomes a message with its own whole text.  The driver's
+prose never matches a detector, so trigger sentences are added as further rows
+by ``(conv_id, turn)`` arithmetic, and user turns of every conversation with
+``conv_id % 10 = 7`` are given to the operator, so that some conversations
+have no user (see FIXTURES.md §3).  Everything is a column expression: the
+adapters scale with the tables and push down.
 """
 
 from __future__ import annotations
@@ -34,40 +36,34 @@ def phone_of(conv_id) -> F.Column:
 
 
 def _message_columns(conv: DataFrame) -> DataFrame:
+    """One message per turn (even ``src_ord``) and, where a trigger sentence
+    follows it, a second one at the same time (odd ``src_ord``)."""
     cid, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
-    bot_k = (cid * 3 + turn) % 7
-    user_k = (cid + turn) % 6
-    is_bot = role == "assistant"
-    is_user = role == "user"
-    message = (
-        F.when(is_bot & (cid % 10 == 7) & (turn >= 3), F.lit(BOT_OFFER))
-        .when(is_bot & (bot_k == 0), F.lit(BOT_INVITE))
-        .when(is_bot & (bot_k == 1), F.lit(BOT_OFFER))
-        .when(is_bot & (bot_k == 2), F.lit(BOT_PREVALIDATION))
-        .when(is_bot & (bot_k == 3), F.lit(BOT_TRANSFER))
-        .when(is_bot & (bot_k == 4), F.lit(BOT_RECEIVED))
-        .when(is_user & (user_k == 0), F.lit(USER_YES_WANT))
-        .when(is_user & (user_k == 1), F.lit(USER_NO_THANKS))
-        .when(is_user & (user_k == 2), F.lit(USER_NOT_INTERESTED))
-        .when(is_user & (user_k == 3), F.lit(USER_YES))
-        .otherwise(F.col("text"))
+    muted = cid % 10 == 7
+    bot_k, user_k = (cid * 3 + turn) % 7, (cid + turn) % 6
+    is_bot, is_user = role == "assistant", (role == "user") & ~muted
+    trigger = F.when(is_bot & muted & (turn >= 3), F.lit(BOT_OFFER))
+    for k, text in enumerate([BOT_INVITE, BOT_OFFER, BOT_PREVALIDATION, BOT_TRANSFER, BOT_RECEIVED]):
+        trigger = trigger.when(is_bot & (bot_k == k), F.lit(text))
+    for k, text in enumerate([USER_YES_WANT, USER_NO_THANKS, USER_NOT_INTERESTED, USER_YES]):
+        trigger = trigger.when(is_user & (user_k == k), F.lit(text))
+    said = F.array(
+        F.struct((turn * 2).cast("int").alias("src_ord"), F.col("text").alias("message")),
+        F.struct((turn * 2 + 1).cast("int").alias("src_ord"), trigger.alias("message")),
     )
     seconds = F.lit(EPOCH_BASE) + (cid % 100) * 3600 + turn * (7 + cid % 5) * 60
     return conv.select(
         phone_of(cid).alias("cleaned_phone"),
-        turn.cast("int").alias("src_ord"),
         F.timestamp_seconds(seconds).alias("creation_time"),
         F.when(is_user, "user").when(is_bot, "bot").otherwise("operator").alias("msg_from"),
-        message.alias("message"),
         cid.alias("conv_id"),
-    )
+        F.explode(F.filter(said, lambda m: (m["src_ord"] % 2 == 0) | m["message"].isNotNull())).alias("said"),
+    ).select("cleaned_phone", "said.src_ord", "creation_time", "msg_from", "said.message", "conv_id")
 
 
 def message_rows(spark: SparkSession, sf_dir: str, keep_conv_id: bool = False) -> DataFrame:
     """Canonical messages ``(cleaned_phone, src_ord, creation_time, msg_from, message)``."""
-    conv = read_table(spark, sf_dir, "conversations")
-    conv = conv.where(~((F.col("role") == "user") & (F.col("conv_id") % 10 == 7)))
-    out = _message_columns(conv)
+    out = _message_columns(read_table(spark, sf_dir, "conversations"))
     return out if keep_conv_id else out.drop("conv_id")
 
 
@@ -84,9 +80,7 @@ def leads_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_message_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warehouse-shaped messages ``message_metrics(session_id, creation_time,
     msg_from, operator_alias, message)``; session = conversation."""
-    conv = read_table(spark, sf_dir, "conversations")
-    conv = conv.where(~((F.col("role") == "user") & (F.col("conv_id") % 10 == 7)))
-    m = _message_columns(conv)
+    m = _message_columns(read_table(spark, sf_dir, "conversations"))
     return m.select(
         F.col("conv_id").cast("string").alias("session_id"),
         "src_ord",
@@ -201,20 +195,26 @@ def pick(index: F.Column, values: list) -> F.Column:
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
 
 
+def last_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id`` and the whole text of its last turn."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.groupBy("conv_id").agg(F.coalesce(F.max_by("text", "turn"), F.lit("")).alias("text"))
+
+
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model labels per conversation (what a model would have returned),
-    assigned by arithmetic on the conversation id."""
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    """Model labels per conversation (what a model would have returned): codes
+    by arithmetic on the conversation id, free texts around its last turn."""
+    conv = last_texts(spark, sf_dir)
     c = F.col("conv_id")
     return conv.select(
         phone_of(c).alias("cleaned_phone"),
         c.alias("conv_id"),
         F.when(c % 17 == 5, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("Resumen de la conversación "), c.cast("string"))).alias("summary"),
+        .otherwise(F.concat(F.lit("Resumen: "), F.col("text"))).alias("summary"),
         pick(c % len(STALL_VARIANTS), STALL_VARIANTS).alias("primary_stall_reason_code"),
         pick((c * 7) % len(ACTION_VARIANTS), ACTION_VARIANTS).alias("next_action_code"),
         F.when(c % 4 == 0, F.lit("N/A")).otherwise(F.lit("Pidió hablar con una persona")).alias("transfer_context_analysis"),
-        F.concat(F.lit("Hola, ¿seguimos con tu solicitud? #"), c.cast("string")).alias("suggested_message_es"),
+        F.concat(F.lit("Hola, sobre tu mensaje: "), F.col("text")).alias("suggested_message_es"),
         pick(c % 3, STAGE_VARIANTS).alias("inferred_stall_stage"),
         (c % 9 == 4).alias("explicit_disinterest"),
         (c % 11 == 5).alias("technical_issue"),

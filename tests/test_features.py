@@ -86,10 +86,12 @@ def test_sender_case(make_messages):
 
 def test_metadata_last_sender_operator_and_truncation(make_messages):
     long = "x" * 151
-    r = feats(make_messages, [("p", 30, "user", long), ("p", 20, "operator", "ok")], [FT.Metadata()])["p"]
+    r = feats(make_messages, [("p", 30, "user", long), ("p", 20, "operator", "ok")], [FT.Metadata({"max_message_length": 150})])["p"]
     assert r.last_message_sender == "kuna"
     assert r.last_user_message_text == "x" * 150 + "..."
     assert r.last_kuna_message_text == "ok"
+    whole = feats(make_messages, [("p", 30, "user", long)], [FT.Metadata()])["p"]
+    assert whole.last_user_message_text == long
 
 
 def test_state_sees_only_earlier_flags(make_messages):
@@ -127,7 +129,7 @@ def test_invariants_on_driver_data(spark):
     a = {r.cleaned_phone: r.conversation_digest for r in dig(spark, "/root/testdata/sf0.01").collect()}
     from convolens.operators.transcript import conversation_digest
 
-    b = {r.cleaned_phone: r.conversation_digest for r in conversation_digest(m.orderBy(F.rand(7)), partitions=3).collect()}
+    b = {r.cleaned_phone: r.conversation_digest for r in conversation_digest(m.repartition(3).orderBy(F.rand(7))).collect()}
     assert a == b  # stable under input reordering and partition count
 
 
@@ -142,3 +144,45 @@ def test_feature_fold_has_no_window_and_one_messages_exchange(spark):
     simple = FT.conversation_features(m, [FT.Temporal(), FT.Metadata()])
     p2 = simple._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in p2 and "BroadcastHashJoin" not in p2
+
+
+def test_equal_times_do_not_tie(spark):
+    """Three messages at one time in six input orders give one result; without
+    source positions the content decides, with them the position does."""
+    from datetime import datetime
+    from itertools import permutations
+
+    from convolens.operators.transcript import conversation_digest, conversation_text
+
+    t = datetime(2024, 1, 4)
+    rows = [("p", 0, t, "user", "hola"), ("p", 1, t, "bot", "template: a"), ("p", 2, t, "bot", "template: b")]
+    for columns in (["cleaned_phone", "src_ord", "creation_time", "msg_from", "message"],
+                    ["cleaned_phone", "creation_time", "msg_from", "message"]):
+        seen = set()
+        for order in permutations(rows):
+            df = spark.createDataFrame(list(order), "cleaned_phone string, src_ord int, creation_time timestamp, msg_from string, message string")
+            df = df.select(*columns)
+            f = FT.conversation_features(df, [FT.Metadata(), FT.Template(), FT.Digest()]).first()
+            d, x = conversation_digest(df).first(), conversation_text(df).first()
+            assert d.conversation_digest == f.conversation_digest
+            seen.add((f.last_message_sender, f.last_kuna_message_text, f.consecutive_recovery_templates_count,
+                      d.conversation_digest, x.conversation_text))
+        assert len(seen) == 1
+        if "src_ord" in columns:
+            assert next(iter(seen))[:3] == ("kuna", "template: b", 2)
+
+
+def test_digest_and_text_of_odd_rows(spark):
+    from datetime import datetime
+
+    from convolens.operators.transcript import PLAIN, conversation_digest, conversation_text
+
+    t = datetime(2024, 1, 4, 10)
+    rows = [(None, 0, t, "user", "x"), ("a", 0, t, "user", "  a \n b "), ("b", 0, t, "user", "a b"),
+            ("c", 0, None, None, None), ("d", 0, t, "user", "one"), ("d", 1, datetime(2024, 1, 5), "bot", "two")]
+    df = spark.createDataFrame(rows, "cleaned_phone string, src_ord int, creation_time timestamp, msg_from string, message string")
+    got = {r.cleaned_phone: r for r in conversation_digest(df).collect()}
+    assert set(got) == {None, "a", "b", "c", "d"} and got["d"].n_messages == 2
+    assert got["a"].conversation_digest == got["b"].conversation_digest != got["d"].conversation_digest
+    text = {r.cleaned_phone: r.conversation_text for r in conversation_text(df, style=PLAIN).collect()}
+    assert text["d"] == "2024-01-04 10:00:00 user: one\n2024-01-05 00:00:00 bot: two" and text[None].endswith("x")

@@ -42,15 +42,54 @@ def test_redaction(spark):
     assert out == ["call [PHONE_REDACTED] now", "mail [EMAIL_REDACTED]", "nothing here", "x 123456789 y"]
 
 
-def test_response_cleaning_and_parsing():
-    assert LB.strip_fences("```yaml\na: 1\n```") == "a: 1"
-    assert LB.strip_fences("```\na: 1\n```") == "a: 1"
-    assert LB.strip_fences("a: 1") == "a: 1"
-    assert LB.fix_inner_quotes('reason: "User said "no" ok"') == "reason: 'User said \"no\" ok'"
-    assert LB.parse_mapping("a: 1\nb: two") == ({"a": "1", "b": "two"}, None)
-    mapping, err = LB.parse_mapping("- a\n- b")
-    assert mapping is None and err.startswith("Expected YAML mapping")
-    assert LB.clean_response("key: value") == 'key: value\ntransfer_context_analysis: "N/A"'
+def parsed(spark, *texts, required=("a",)):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, raw_response string")
+    return [r for r in sorted(LB.parse_labels(df, required=list(required)).collect(), key=lambda r: r.i)]
+
+
+def test_response_cleaning(spark):
+    tail = '\ntransfer_context_analysis: "N/A"'
+    cases = {
+        "```yaml\nkey: value\n```": "key: value" + tail,
+        "```\nkey: value\n```": "key: value" + tail,
+        "key: value": "key: value" + tail,
+        'reason: "User said "hello" yesterday"': "reason: 'User said \"hello\" yesterday'" + tail,
+        "a: x: y": 'a: "x: y"' + tail,
+        "a: x\nmore of x\nb: y": "a: x\n  more of x\nb: y" + tail,
+        '"a" : x\ntransfer_context_analysis: z': "a: x\ntransfer_context_analysis: z",
+        "transfer_context_analysis: z\nsuggested_message_es: hi\\nrubbish": "transfer_context_analysis: z\nsuggested_message_es: hi",
+    }
+    assert [r.cleaned for r in parsed(spark, *cases)] == list(cases.values())
+
+
+def test_response_parsing(spark):
+    ok = parsed(spark, "a: 1\nb: two", "a: 'it''s'\nb: \"x \\\"y\\\"\"", "a: one\nthen more\na: last", "b: yes # sure\na:", "a: ~")
+    assert [r.error for r in ok] == [None] * 5
+    assert [(r.labels["a"], r.labels.get("b")) for r in ok] == [
+        ("1", "two"), ("it's", 'x \\"y\\"'), ("last", None), (None, "True"), (None, None)]
+    assert parsed(spark, "x", "- just a list\n- 2\n", None, "", "b: 1")[0].labels is not None  # only the default line
+    assert [r.error for r in parsed(spark, None, "b: 1")] == ["ERROR_LLM_NONE", "Missing keys: a"]
+    none = parsed(spark, "- transfer_context_analysis", "transfer_context_analysis")
+    assert [r.error for r in none] == ["Expected a mapping"] * 2
+
+
+def test_failed_labels_become_error_rows(spark):
+    df = spark.createDataFrame([("p", None), ("q", "summary: x"), ("r", "summary: x\nnext_action_code: ESPERAR")],
+                               "cleaned_phone string, raw_response string")
+    keys = ["summary", "next_action_code"]
+    lab = LB.label_columns(LB.parse_labels(df, required=keys), keys)
+    out = {r.cleaned_phone: r for r in LB.apply_error_kinds(lab).collect()}
+    assert out["p"].summary == "ERROR: LLM summarization failed." and out["p"].next_action_code == "ERROR_LLM_NONE"
+    assert out["q"].next_action_code == "ERROR_PROCESSING" and out["q"].error_details == "Missing keys: next_action_code"
+    assert out["r"].summary == "x" and out["r"].error_kind is None
+    odd = spark.createDataFrame([("a", "Missing keys: summary")], "summary string, error_kind string")
+    assert LB.apply_error_kinds(odd).first().summary == "Missing keys: summary"
+
+
+def test_validation_errors(spark):
+    df = spark.createDataFrame([("x", None, "BAD"), ("x", "y", "OK"), (None, None, None)], "a string, b string, c string")
+    got = [r[0] for r in df.select(LB.validation_errors(["b", "a"], {"c": ["OK"]})).collect()]
+    assert got == [["Missing keys: b", "Invalid value for 'c': 'BAD'"], [], ["Missing keys: a, b"]]
 
 
 def test_label_repair(spark):

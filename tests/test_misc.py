@@ -44,6 +44,9 @@ def test_strict_filter_counts(spark):
     counted, summary = RP.run_summary(df, "leads")
     counted.collect()
     assert summary.get["rows"] == 3
+    twice = df.union(df)
+    assert tuple(RP.key_counts(twice).first()) == (6, 3)
+    assert tuple(RP.key_counts(df.limit(0)).first()) == (0, 0)
 
 
 def test_dotted_feature_path():
