@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from convolens.functions import patterns as P
 from convolens.functions.text import (
     contains_any,
+    lead_name,
     literal_regex,
     rlike_any,
     strip_accents,
@@ -455,6 +456,22 @@ class FollowUps(Feature):
         return {"follow_up_attempts": F.coalesce(a("n"), F.lit(0)).cast("bigint")}
 
 
+class LeadName(Feature):
+    """the name in the first bot greeting that holds one."""
+
+    name = "LeadNameFeature"
+    alias = "lead_name"
+    columns = [("lead_name", T.StringType())]
+    known_params = frozenset()
+
+    def aggregates(self, m):
+        name = lead_name(m.text)
+        return {f"{self.prefix}first": F.min_by(name, F.when(m.is_bot & name.isNotNull(), m.ord))}
+
+    def outputs(self, a, prior, as_of):
+        return {"lead_name": a("first")}
+
+
 class Digest(Feature):
     """the conversation digest, folded with the other features."""
 
@@ -484,7 +501,7 @@ def register_feature(cls: type[Feature]) -> type[Feature]:
 
 
 for _cls in (Temporal, Metadata, Template, Validation, Handoff, HumanTransfer, ConversationState,
-             TransferContext, Recency, LastTimes, FollowUps, Digest):
+             TransferContext, Recency, LastTimes, FollowUps, LeadName, Digest):
     register_feature(_cls)
 
 # The reference's default chain order.

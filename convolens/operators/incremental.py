@@ -9,9 +9,10 @@ same inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convolens.operators.features import order_key
 from convolens.operators.keyed import keyed_aggregate
 from convolens.operators.leads import latest_per_key
 
@@ -21,8 +22,7 @@ KEY = "cleaned_phone"
 def without_last_message(messages: DataFrame, drop_when: Column, key: str = KEY) -> DataFrame:
     """The earlier version of a conversation: its last message removed where
     ``drop_when`` holds (a per-row condition constant within the conversation)."""
-    tie = F.col("src_ord") if "src_ord" in messages.columns else F.lit(0)
-    ordk = F.struct(F.col("creation_time").alias("t"), tie.alias("i"))
+    ordk = order_key(messages.columns)
     last = keyed_aggregate(messages, key, F.max(ordk).alias("__last"))
     j = messages.join(last, key)
     return j.where(~(drop_when & (ordk == F.col("__last")))).drop("__last")
@@ -79,9 +79,21 @@ def completion_stats(status: DataFrame) -> DataFrame:
     )
 
 
-def completed_leads(log: DataFrame, recipe: str, key: str = KEY) -> DataFrame:
-    """The completion records of one campaign, newest first."""
-    return log.where(F.col("recipe") == recipe).orderBy(F.col("completed_at").desc())
+def overall_completion(status: DataFrame) -> DataFrame:
+    """Completed leads over all campaigns, as one row."""
+    return status.agg(F.count_if(F.col("status") == "COMPLETED").alias("total_completed"))
+
+
+def completed_leads(log: DataFrame, recipe: str) -> DataFrame:
+    """The completion records of one campaign."""
+    return log.where(F.col("recipe") == recipe)
+
+
+def recent_completions(log: DataFrame, n: int = 3, key: str = KEY) -> DataFrame:
+    """The last ``n`` completions per campaign (Spark keeps the first ``n``
+    per campaign in every task before the exchange)."""
+    newest = Window.partitionBy("recipe").orderBy(F.desc("completed_at"), F.desc(key))
+    return log.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
 
 
 def mark_complete(rows: DataFrame, path: str) -> None:

@@ -872,18 +872,27 @@ def cache_latest(spark, sf_dir):
                          F.date_format("scored_at", "yyyy-MM-dd HH:mm:ss").alias("scored_at"))
 
 
-def _completion(spark, sf_dir):
-    current, old = _versions(spark, sf_dir)
+def _campaign(conv):
+    return F.concat(F.lit("campaign_"), (conv % 3).cast("string"))
+
+
+def completion_log(old: DataFrame) -> DataFrame:
+    """Completion records of every second conversation's earlier version."""
     conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
-    recipe = F.concat(F.lit("campaign_"), (conv % 3).cast("string"))
-    log = old.where(conv % 2 == 0).select(
-        "cleaned_phone", recipe.alias("recipe"), F.col("conversation_digest").alias("digest"),
+    done = F.to_timestamp(F.lit(AS_OF_DEFAULT)) - F.expr("INTERVAL 2 HOURS") - F.make_dt_interval(mins=(conv % 50).cast("int"))
+    return old.where(conv % 2 == 0).select(
+        "cleaned_phone", _campaign(conv).alias("recipe"), F.col("conversation_digest").alias("digest"),
         F.concat(F.lit("agent_"), (conv % 5).cast("string")).alias("completed_by"),
         F.lit("follow-up done").alias("notes"),
-        (F.to_timestamp(F.lit(AS_OF_DEFAULT)) - F.expr("INTERVAL 2 HOURS")).alias("completed_at"),
+        done.alias("completed_at"),
     )
-    cur = current.select("cleaned_phone", recipe.alias("recipe"), "conversation_digest")
-    return INC.completion_status(cur, log)
+
+
+def _completion(spark, sf_dir):
+    current, old = _versions(spark, sf_dir)
+    conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
+    cur = current.select("cleaned_phone", _campaign(conv).alias("recipe"), "conversation_digest")
+    return INC.completion_status(cur, completion_log(old))
 
 
 _COMPLETION_CTES = _VERSION_CTES + [
@@ -1068,3 +1077,5 @@ def error_rows(spark, sf_dir):
     return recipe_errors(get_recipe(REPORT_RECIPE), A.leads_from_customers(spark, sf_dir), _msgs(spark, sf_dir),
                          A.label_rows(spark, sf_dir))
 
+
+from convolens.plans import queries_more  # noqa: E402, F401  (registers its queries)
