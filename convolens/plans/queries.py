@@ -440,6 +440,11 @@ PROMPT_TEMPLATE = (
     "Hoy es {HOY_ES}. Ultimo mensaje: {LAST_QUERY_TIMESTAMP} (hace {delta_real_time_formateado}).\n"
     "Sin mensajes del usuario: {NO_USER_MESSAGES_EXIST}; desde el ultimo del usuario: "
     "{HOURS_MINUTES_SINCE_LAST_USER_MESSAGE}; desde el ultimo: {HOURS_MINUTES_SINCE_LAST_MESSAGE}.\n"
+    "Minutos: {delta_min}. Estado: {conversation_state}; invitacion: {handoff_invitation_detected} {handoff_response} "
+    "{handoff_finalized}; prevalidacion: {pre_validacion_detected}; plantillas: {recovery_template_detected} "
+    "{consecutive_recovery_templates_count}; persona: {human_transfer}.\n"
+    "Ultimo de {last_message_sender} ({last_message_ts}); usuario: {last_user_message_text}; nosotros: {last_kuna_message_text}.\n"
+    "Ventana: {IS_WITHIN_REACTIVATION_WINDOW} {IS_RECOVERY_PHASE_ELIGIBLE} {LAST_USER_MESSAGE_TIMESTAMP_TZ} {LAST_MESSAGE_TIMESTAMP_TZ}\n"
     "Conversacion:\n{conversation_text}\n"
     "Responde solo en YAML con las llaves {{summary}} y {{next_action_code}}."
 )
@@ -447,19 +452,21 @@ PROMPT_TEMPLATE = (
 
 def prompt_plan(messages: DataFrame, template: str = PROMPT_TEMPLATE, as_of: str = AS_OF_DEFAULT,
                 tz: str = "America/Mexico_City") -> DataFrame:
-    """Render one prompt per conversation and estimate its tokens."""
-    feats = FT.conversation_features(messages, [FT.Temporal({"timezone": tz}), FT.LastTimes()], as_of=as_of)
+    """Render one prompt per conversation and estimate its tokens; the
+    template may name the clock values and every feature column."""
+    specs = FT.chain([("temporal", {"timezone": tz}), *[n for n in FT.DEFAULT_CHAIN if n != "temporal"]])
+    feats = FT.conversation_features(messages, [*specs, FT.LastTimes()], as_of=as_of)
     text = conversation_text(messages, style=PROMPT)
     j = text.join(feats.withColumnRenamed("last_message_time", "__last"), "cleaned_phone")
     as_of_ts = F.to_timestamp(F.lit(as_of))
-    values = {
+    since = seconds_between(as_of_ts, F.col("__last"))
+    values = {n: as_py_text(F.col(n), t.typeName()) for n, t in FT.feature_columns(specs)}
+    values |= {
         "conversation_text": F.col("conversation_text"),
         "HOY_ES": iso_in_zone(as_of_ts, tz),
         "LAST_QUERY_TIMESTAMP": F.coalesce(iso_in_zone(F.col("__last"), "UTC"), F.lit("N/A")),
-        "delta_real_time_formateado": age_text(seconds_between(as_of_ts, F.col("__last"))),
-        "NO_USER_MESSAGES_EXIST": as_py_text(F.col("NO_USER_MESSAGES_EXIST"), "boolean"),
-        "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE": as_py_text(F.col("HOURS_MINUTES_SINCE_LAST_USER_MESSAGE"), "string"),
-        "HOURS_MINUTES_SINCE_LAST_MESSAGE": as_py_text(F.col("HOURS_MINUTES_SINCE_LAST_MESSAGE"), "string"),
+        "delta_min": F.coalesce((since / F.lit(60.0)).cast("string"), F.lit("inf")),
+        "delta_real_time_formateado": age_text(since),
     }
     prompt = render(template, values)
     out = j.select(
@@ -477,14 +484,17 @@ def _prompt_oracle() -> str:
            f"WHEN {age_h} < 48.0 THEN printf('%.1f', {age_h}) || ' h' "
            f"ELSE printf('%.1f', {age_h} / 24.0) || ' días' END")
     sel = O.temporal_select("t")
+    flags = ["NO_USER_MESSAGES_EXIST", "IS_WITHIN_REACTIVATION_WINDOW", "IS_RECOVERY_PHASE_ELIGIBLE", "human_transfer",
+             "handoff_invitation_detected", "handoff_finalized", "pre_validacion_detected", "recovery_template_detected"]
+    texts = [n for n, _ in FT.feature_columns(FT.chain(FT.DEFAULT_CHAIN)) if n not in flags]
     vals = {
         "HOY_ES": O.iso_tz(O.AS_OF),
         "LAST_QUERY_TIMESTAMP": O.iso_tz("t.last_ts", "UTC"),
+        "delta_min": f"CAST({age_m} AS VARCHAR)",
         "delta_real_time_formateado": age,
-        "NO_USER_MESSAGES_EXIST": "CASE WHEN f.NO_USER_MESSAGES_EXIST THEN 'True' ELSE 'False' END",
-        "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE": "coalesce(f.HOURS_MINUTES_SINCE_LAST_USER_MESSAGE, 'None')",
-        "HOURS_MINUTES_SINCE_LAST_MESSAGE": "coalesce(f.HOURS_MINUTES_SINCE_LAST_MESSAGE, 'None')",
         "conversation_text": "x.conversation_text",
+        **{n: f"CASE WHEN f.{n} THEN 'True' WHEN NOT f.{n} THEN 'False' ELSE 'None' END" for n in flags},
+        **{n: f"coalesce(CAST(f.{n} AS VARCHAR), 'None')" for n in texts},
     }
     import string as _s
 
@@ -501,7 +511,16 @@ def _prompt_oracle() -> str:
        string_agg('[' || strftime(creation_time, '%Y-%m-%d %H:%M:%S') || '] ' || msg_from || ': ' || message,
                   '\\n' ORDER BY creation_time, src_ord) AS conversation_text
   FROM msgs GROUP BY cleaned_phone)""",
-                 f"f AS (SELECT t.cleaned_phone, {sel} FROM t)",
+                 O.metadata_agg_sql(), O.handoff_ctes(), O.template_agg_sql(),
+                 f"f0 AS (SELECT t.cleaned_phone, {sel} FROM t)",
+                 f"f1 AS (SELECT m_agg.cleaned_phone, {O.metadata_select()} FROM m_agg)",
+                 f"f2 AS (SELECT h_agg.cleaned_phone, {O.handoff_select()} FROM h_agg)",
+                 f"f3 AS (SELECT r_agg.cleaned_phone, {O.template_select()} FROM r_agg)",
+                 f"""f4 AS (SELECT cleaned_phone, {O.validation_expr()} AS pre_validacion_detected, {O.transfer_expr()} AS human_transfer
+  FROM om GROUP BY cleaned_phone)""",
+                 """f AS (SELECT *, CASE WHEN handoff_invitation_detected THEN 'HANDOFF' WHEN pre_validacion_detected THEN 'POST_VALIDACION'
+       ELSE 'PRE_VALIDACION' END AS conversation_state
+  FROM f0 JOIN f1 USING (cleaned_phone) JOIN f2 USING (cleaned_phone) JOIN f3 USING (cleaned_phone) JOIN f4 USING (cleaned_phone))""",
                  f"""p AS (SELECT x.cleaned_phone, x.n_messages, {age} AS age_text, {prompt} AS prompt
   FROM x JOIN t USING (cleaned_phone) JOIN f USING (cleaned_phone))""") + f"""
 SELECT cleaned_phone, n_messages, age_text, prompt, CAST(strlen(prompt) + {sys_bytes} + 11 AS BIGINT) AS token_estimate FROM p"""

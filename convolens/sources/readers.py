@@ -6,7 +6,10 @@ text: no inference that would drop leading zeros).
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +82,8 @@ def read_leads_csv(spark: SparkSession, path: str, required: list[str] | None =
 
 def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     """Message CSV (quoted fields may hold newlines); ``cleaned_phone``
-    as text, ``creation_time`` parsed per value (mixed formats allowed)."""
+    as text, ``creation_time`` parsed per value (mixed formats allowed); without
+    a ``src_ord`` column rows are numbered in file order."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
            .option("escape", '"').csv(path))
     if "cleaned_phone_number" in raw.columns and "cleaned_phone" not in raw.columns:
@@ -87,7 +91,8 @@ def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     from convolens.functions.timefmt import parse_ts
 
     cols = [F.col("cleaned_phone").cast("string").alias("cleaned_phone")]
-    cols.append((F.col("src_ord").cast("int") if "src_ord" in raw.columns else F.lit(None).cast("int")).alias("src_ord"))
+    position = F.col("src_ord") if "src_ord" in raw.columns else F.monotonically_increasing_id()  # the file's order
+    cols.append(position.cast("long").alias("src_ord"))
     cols += [parse_ts("creation_time").alias("creation_time"), F.col("msg_from"), F.col("message")]
     return raw.select(*cols)
 
@@ -127,18 +132,30 @@ def empty_messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MESSAGE_SCHEMA)
 
 
-def load_leads(spark: SparkSession, recipe, params: dict | None = None, base_dir: str = ".") -> DataFrame:
-    """Lead source by recipe — warehouse query (S1) or CSV."""
-    import os
-
-    if recipe.lead_source in ("redshift", "bigquery"):
-        if not recipe.lead_sql:
-            raise ValueError(f"recipe {recipe.name}: {recipe.lead_source} source needs a query")
-        path = os.path.join(base_dir, recipe.lead_sql)
-        if os.path.exists(path):
-            return query_from_file(spark, path, params)
-        return parameterised_query(spark, recipe.lead_sql, params)
-    return read_leads_csv(spark, os.path.join(base_dir, recipe.lead_path or "leads.csv"))
+def load_leads(spark: SparkSession, recipe, params: dict | None = None, base_dir: str = ".",
+               queries: dict[str, Callable[[], DataFrame]] | None = None) -> DataFrame:
+    """Lead source by recipe.  A warehouse recipe names a lead query: one of
+    ``queries`` (DataFrame plans by name), a ``.sql`` file under ``base_dir``
+    (a missing file is an error) or the SQL text itself; others read a CSV."""
+    if recipe.lead_source not in ("redshift", "bigquery"):
+        return read_leads_csv(spark, os.path.join(base_dir, recipe.lead_path or "leads.csv"))
+    wanted = recipe.lead_sql
+    if not wanted:
+        raise ValueError(f"recipe {recipe.name}: {recipe.lead_source} source needs a query")
+    if queries and wanted in queries:
+        return queries[wanted]()
+    if wanted.endswith(".sql"):
+        return query_from_file(spark, os.path.join(base_dir, wanted), params)
+    if len(wanted.split()) < 2:
+        raise ValueError(f"recipe {recipe.name}: unknown lead query {wanted!r}")
+    return parameterised_query(spark, wanted, params)
+
+
+def newest_partition(df: DataFrame, name: str) -> str | None:
+    """Greatest value of a partition column, from the file listing (a listed
+    path is a URI of a folder name that itself escapes some characters)."""
+    found = [m.group(1) for m in (re.search(rf"/{name}=([^/]+)/", f) for f in df.inputFiles()) if m]
+    return max(unquote(unquote(f)) for f in found) if found else None
 
 
 def daily_extract(spark: SparkSession, path: str, day: str, compute) -> DataFrame:
@@ -149,8 +166,7 @@ def daily_extract(spark: SparkSession, path: str, day: str, compute) -> DataFram
 
     def stored(d: str | None = None) -> DataFrame:
         df = spark.read.parquet(path)
-        if d is None:
-            d = df.agg(F.max("dt")).first()[0]
+        d = newest_partition(df, "dt") if d is None else d
         return df.where(F.col("dt") == d).drop("dt")
 
     try:

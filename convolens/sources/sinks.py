@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.operators.report import export_prep
+from convolens.sources.readers import newest_partition
 
 log = logging.getLogger(__name__)
 
@@ -89,7 +90,7 @@ def read_latest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """The newest run (the filter on the partition column prunes the
     scan to one directory)."""
     df = spark.read.format(fmt).load(path)
-    newest = df.select(F.max("run_ts")).first()[0]
+    newest = newest_partition(df, "run_ts")
     return df.where(F.col("run_ts") == F.lit(newest)).drop("run_ts")
 
 

@@ -1,9 +1,9 @@
 """G1: incremental feature refresh with Structured Streaming.
 
 New message files are read as a stream; each micro-batch (``foreachBatch``)
-1. appends its messages to the history table under partition ``epoch=<id>``,
+1. appends its messages to the history table under ``epoch=<id>/bucket=<hash of key>``,
 2. recomputes the feature chain only for the conversation keys the batch
-   touched (``left_semi`` of the history to those keys),
+   touched (only their buckets of the history are read; ``left_semi`` to the keys),
 3. writes those feature rows under partition ``epoch=<id>``.
 
 Both writes replace their epoch's partition (dynamic partition overwrite), so
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.operators import features as FT
@@ -25,9 +25,16 @@ from convolens.session import AS_OF_DEFAULT, checkpoint_dir
 from convolens.sources.tables import MESSAGE_SCHEMA
 
 
-def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+BUCKETS = 64  # of conversation keys; a batch reads only the history of its own
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("cleaned_phone"), F.lit(BUCKETS)).cast("int")
+
+
+def _write_epoch(df: DataFrame, path: str, epoch_id: int, *partitions: str) -> None:
     (df.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch", *partitions).parquet(path))
 
 
 def refresh_features(
@@ -46,13 +53,18 @@ def refresh_features(
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        if df.isEmpty():
-            return
-        _write_epoch(df, history_path, epoch_id)
-        touched = df.select("cleaned_phone").distinct()
-        history = spark.read.parquet(history_path).drop("epoch")
-        msgs = history.join(touched, "cleaned_phone", "left_semi")
-        _write_epoch(FT.conversation_features(msgs, specs, as_of=as_of), features_path, epoch_id)
+        df = df.withColumn("bucket", _bucket()).persist()
+        try:
+            touched = df.select("cleaned_phone", "bucket").distinct()
+            buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
+            if not buckets:
+                return
+            _write_epoch(df, history_path, epoch_id, "bucket")
+            history = spark.read.parquet(history_path).where(F.col("bucket").isin(buckets)).drop("epoch")
+            msgs = history.join(touched, ["cleaned_phone", "bucket"], "left_semi").drop("bucket")
+            _write_epoch(FT.conversation_features(msgs, specs, as_of=as_of), features_path, epoch_id)
+        finally:
+            df.unpersist()
 
     stream = spark.readStream.schema(MESSAGE_SCHEMA).parquet(source_dir)
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt).queryName(name)
