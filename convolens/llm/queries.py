@@ -175,5 +175,33 @@ SELECT page_id, host, path, rule,
                                    THEN 'block' ELSE 'allow' END) AS verdict,
        labelled, bad
 FROM judged JOIN h_post USING (host)
+""",
+    "op7_decontamination": r"""
+WITH words AS (
+  SELECT 'doc' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark
+), split AS (
+  SELECT row_number() OVER () AS row_no, side, id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM words
+), item_windows AS (
+  SELECT id AS item_id, n, list_slice(ws, i, i + n - 1) AS win
+  FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM (SELECT id, ws, least(10, len(ws)) AS n FROM split WHERE side = 'item') WHERE n > 0)
+), doc_windows AS (
+  SELECT row_no, n, i, list_slice(ws, i, i + n - 1) AS win
+  FROM (SELECT row_no, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM split, (SELECT DISTINCT n FROM item_windows) WHERE side = 'doc' AND len(ws) >= n)
+), met AS (
+  SELECT row_no, i, d.n AS n, item_id FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.win = b.win
+), hit AS (
+  SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(i, i + n)) AS p FROM met) GROUP BY row_no
+), found AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_no, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY row_no
+)
+SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN hit USING (row_no) LEFT JOIN found USING (row_no) WHERE side = 'doc'
 """,
 }
