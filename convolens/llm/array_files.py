@@ -21,6 +21,8 @@ def _store(folder: str):
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
+    from pyarrow.fs import FileType
+
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     aside = f"{root}/.{name}-{uuid.uuid4().hex}"
@@ -28,7 +30,13 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     np.save(data, array)
     with store.open_output_stream(aside) as out:
         out.write(data.getbuffer())
-    store.move(aside, f"{root}/{name}.npy")
+    target = f"{root}/{name}.npy"
+    try:
+        store.move(aside, target)
+    except OSError:  # a store that does not replace files, and another attempt was first
+        if store.get_file_info(target).type != FileType.File:
+            raise
+        store.delete_file(aside)
 
 
 def load(folder: str, name: str) -> np.ndarray:
