@@ -85,3 +85,11 @@ def test_time_bounds_reach_the_parquet_scan(spark, tmp_path):
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(creation_time), LessThanOrEqual(creation_time" in plan
     assert "GreaterThanOrEqu" in plan.split("PushedFilters:")[1]  # the plan text truncates it
+
+
+def test_internal_column_never_reaches_a_report(spark):
+    df = spark.createDataFrame([("1", "a", "t1"), ("2", None, "t2"), ("3", "c", None)],
+                               "lead_id string, summary string, timing_reasoning string")
+    out = RP.export_prep(df, ["lead_id", "summary", "timing_reasoning"])
+    assert out.columns == ["lead_id", "summary"]
+    assert [tuple(r) for r in out.orderBy("lead_id").collect()] == [("1", "a"), ("2", ""), ("3", "c")]
