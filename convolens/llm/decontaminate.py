@@ -234,7 +234,8 @@ def contamination(spans: DataFrame) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit word, with their own columns."""
+    """The rows of ``docs`` without a hit word, with their own columns.  Rows
+    that share an id (or have none) go if one of them is hit."""
     spans = hit_spans(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     hit = contamination(spans).filter("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
     return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")

@@ -76,6 +76,7 @@ def exact_dedup(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
+    """The rows of ``docs`` that stay, with their own columns.  Rows that share
+    an id (or have none) stay if one of them does."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

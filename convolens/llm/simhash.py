@@ -131,7 +131,8 @@ def near_groups(
 
 
 def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group."""
+    """The rows of ``docs`` whose id is the smallest of their group; rows that
+    share that id all stay."""
     groups = near_groups(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -89,6 +89,20 @@ def test_joins_are_repaired_with_reused_ids(tok):
         assert got == tok.encode(data.decode(), add_special_tokens=False).ids
 
 
+def test_joins_of_random_texts(tok):
+    """Chunk borders fall anywhere: inside words, specials, combining marks."""
+    enc = Encoder(PATH)
+    rng = random.Random(11)
+    pool = ["word", "Ä", "ß", "é", "\u0301", "Σ", "<|endoftext|>", "<|start", "'s", "'LL", "12", "!!", "日本", "😀", "İ"]
+    for _ in range(150):
+        glue = rng.choice([" ", "", "\n", "\t ", "\u00a0"])
+        text = "".join(rng.choice(pool) + (glue if rng.random() < 0.5 else "") for _ in range(rng.randint(1, 900)))
+        data = text.encode()
+        shared = {k: enc.packed(c.decode()) for k, c in enumerate(chunk_reuse.chunks(data)) if rng.random() < 0.5}
+        got = np.frombuffer(chunk_reuse.assemble(enc, data, shared), enc.dtype).tolist()
+        assert got == tok.encode(text, add_special_tokens=False).ids
+
+
 def brute_op8(tok, rows):
     out, at = [], 0
     for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
