@@ -238,23 +238,24 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     )
 
     @F.pandas_udf("long")
-    def joined(sizes, crcs):  # only documents that cross a border come here
+    def joined(sizes, crcs):  # null but for documents that cross a border
         import pandas as pd
 
         out = []
         for n, c in zip(sizes, crcs):
             crc = 0
-            for size, piece in zip(n, c):
+            for size, piece in zip(n, c) if n is not None else ():
                 crc = crc_join(crc, int(piece), 4 * int(size))
             out.append(crc)
         return pd.Series(out, dtype="int64")
 
-    crcs, sizes = F.col("pieces.crc"), F.col("pieces.n")
+    crosses = F.size("pieces") > 1
+    pieced = joined(F.when(crosses, F.col("pieces.n")), F.when(crosses, F.col("pieces.crc")))
     columns = [
         "doc_id",
         (F.col("part_start") + F.col("start")).alias("start"),
         "n_tokens",
-        joined(sizes, crcs).alias("ids_crc32"),
+        F.when(crosses, pieced).otherwise(F.col("pieces.crc")[0]).alias("ids_crc32"),
     ]
     if with_ids:
         columns.append(F.aggregate("pieces.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
