@@ -55,8 +55,10 @@ def fit(
     )
     taken = taken.withColumn("excerpt", F.regexp_replace("excerpt", r"\P{L}+", " "))
     once = taken.groupBy("lang", "h").agg(F.max("excerpt").alias("excerpt"))
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    rows = once.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= excerpts)
+    rows = once.withColumn("salt", F.spark_partition_id() % 16)
+    for keys in (["lang", "salt"], ["lang"]):  # the least hashes of each salt first: no task sees a language whole
+        least = Window.partitionBy(*keys).orderBy("h")
+        rows = rows.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= excerpts)
     found: dict[str, list] = {}
     for r in rows.limit(languages * excerpts + 1).collect():
         found.setdefault(r.lang, []).append((r.h, r.excerpt))
