@@ -13,8 +13,9 @@ signed long (ANSI mode raises on overflow).
 Slots number the rows of a shard from 0 without a gap.  A shard is cut into
 ``buckets`` sub-buckets by a hash of the id; rows are numbered inside a
 sub-bucket and shifted by the running count of the earlier ones, so no task
-holds a shard.  ``buckets`` should grow with the table (rows of a shard /
-buckets is what one window partition holds).
+holds a shard.  A window partition holds (rows of a shard / ``buckets``) rows;
+by default there are as many buckets as the session has shuffle partitions,
+which is what grows with the table.
 
 Defined cases: a null id has key 0, a null text zero bytes and crc 0; rows
 that repeat an id share its shard and get different slots; an empty table
@@ -78,9 +79,10 @@ def shard_documents(
     shards: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row."""
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
