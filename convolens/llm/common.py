@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,19 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def id_type(df: DataFrame, id_col: str = "doc_id") -> str:
     return df.schema[id_col].dataType.simpleString()
+
+
+def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is kept.  ``judge`` makes
+    the decision function, once per task; null texts count as empty.  Rows are
+    judged where they are read, one by one: nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            mask = pa.array([keep(t.as_py()) for t in batch.column(0)], pa.bool_())
+            yield pa.RecordBatch.from_struct_array(batch.column(1).filter(mask))
+
+    return docs.select(text_of(text_col).alias("text"), whole).mapInArrow(run, docs.schema)

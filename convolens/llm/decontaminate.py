@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, staged
+from .common import id_and_text, id_type, keep_rows, staged
 
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -233,9 +233,24 @@ def contamination(spans: DataFrame) -> DataFrame:
     )
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit word, with their own columns.  Rows
-    that share an id (or have none) go if one of them is hit."""
-    spans = hit_spans(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    hit = contamination(spans).filter("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")
+def uncontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    span: int = 10,
+    gram: int = 5,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_items: int = 5_000,
+    block_bytes: int = 1 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` without a hit word, with their own columns."""
+    out, passes = docs, 0
+    for items in _blocks(benchmark, item_col, item_text_col, block_items, block_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(Index(items, span, gram))
+
+        def judge(index=index):
+            return lambda text: not index.value.hits(text.encode())[1].any()
+
+        out, passes = keep_rows(staged(out, "uncontaminated") if passes else out, text_col, judge), passes + 1
+    return out

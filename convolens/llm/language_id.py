@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type
+from .common import id_and_text, id_type, keep_rows
 
 UNDETERMINED = "und"
 BLOCK = 8192  # code points compressed at a time
@@ -119,8 +119,17 @@ def predict(
     return rows.mapInArrow(run, f"doc_id {id_type(rows)}, lang_pred string, score double, rejected boolean")
 
 
-def accepted(docs: DataFrame, model: dict[str, bytes], margin: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: dict[str, bytes], margin: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with their own columns."""
-    dropped = predict(docs, model, margin, id_col, text_col).filter("rejected").select(F.col("doc_id").alias("_dropped_id"))
-    dropped = dropped.distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped_id"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        classify = Classifier(shared.value)
+
+        def keep(text: str) -> bool:
+            lang, score = classify(text)
+            return lang != UNDETERMINED and score >= margin
+
+        return keep
+
+    return keep_rows(docs, text_col, judge)
