@@ -65,6 +65,26 @@ def id_type(df: DataFrame, id_col: str = "doc_id") -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` written once as ``row``, its columns, and ``key``, a struct of its
+    own for every row: by id (null ids last), then by text, then any order."""
+    ship_package(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(
+        F.col(id_col).isNull().alias("missing"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_of(text_col)).alias("text"),
+        F.monotonically_increasing_id().alias("n"),
+    )
+    return staged(docs.select(whole.alias("row"), key.alias("key")), name)
+
+
+def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a ``keyed`` table, as they were, whose key is the ``doc_id`` of ``keys``."""
+    kept = keys.select(F.col("doc_id.n").alias("n"))
+    return rows.join(kept, rows["key.n"] == kept["n"], "left_semi").select("row.*")
+
+
 def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is kept.  ``judge`` makes
     the decision function, once per task; null texts count as empty.  Rows are

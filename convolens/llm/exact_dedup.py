@@ -28,21 +28,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_and_text, staged
+from .common import SPACES, id_and_text, keyed, rows_of, staged
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def exact_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    salts: int = 16,
-    digest: Callable[[Column], Column] | None = None,
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, salts: int = 16, digest: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    """One row per document: ``doc_id, chars, text_sha256`` and its group's ``keep_id, keep_chars, group_size``."""
     base = id_and_text(docs, id_col, text_col).select(
         "doc_id",
         F.char_length("text").alias("chars"),
@@ -63,10 +59,20 @@ def exact_dedup(
 
     shared = winners.groupBy("digest").count().filter("count > 1").select("digest")
     if shared.isEmpty():
-        joined = base.drop("norm").join(winners, "digest")
-    else:  # different texts share a digest
-        joined = base.join(groups.select("digest", "norm", *winner), ["digest", "norm"])
-    return joined.select(
+        return base.drop("norm").join(winners, "digest")
+    # different texts share a digest
+    return base.join(groups.select("digest", "norm", *winner), ["digest", "norm"])
+
+
+def exact_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    salts: int = 16,
+    digest: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    return _judged(docs, id_col, text_col, salts, digest).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
@@ -75,8 +81,14 @@ def exact_dedup(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns.  Rows that share
-    an id (or have none) stay if one of them does."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns, each judged by
+    itself whatever other rows share its id.  Rows that repeat both the id and
+    the length of the row that stays all stay, or with ``repeats=False`` one of
+    them: then every group of equal texts leaves exactly one row."""
+    rows = keyed(docs, id_col, text_col, "exact-rows")
+    judged = _judged(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), "key", "text")
+    alike = F.lit(True)
+    for field in ("missing", "id") if repeats else ("n",):
+        alike &= F.col(f"doc_id.{field}").eqNullSafe(F.col(f"keep_id.{field}"))
+    return rows_of(rows, judged.filter(alike & (F.col("chars") == F.col("keep_chars"))))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_type, staged
+from .common import id_and_text, id_type, keyed, rows_of, staged
 from .components import components
 
 _ROWS = 200_000  # shingles hashed at a time; bounds memory on very long texts
@@ -131,8 +131,8 @@ def near_groups(
 
 
 def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group; rows that
-    share that id all stay."""
-    groups = near_groups(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """Exactly one row of ``docs`` per group: of its smallest id (of none, if no
+    row has an id); of several such rows the one whose text hash is smallest."""
+    rows = keyed(docs, id_col, text_col, "near-rows")
+    groups = near_groups(rows.select("key", F.col(f"row.`{text_col}`").alias("text")), shingle, max_bits, id_col="key")
+    return rows_of(rows, groups.filter(F.col("doc_id.n") == F.col("component_id.n")))

@@ -135,6 +135,27 @@ def test_components(spark, shape):
     assert sorted(map(sorted, sets.values())) == sorted(map(sorted, want))
 
 
+HOT_IDS = [
+    (None, "one two three", "a", 0), (None, "one two three", "b", 0), (None, "onetwo three", "c", 0), (None, "alone here", "d", 0),
+    (4, "four five six", "e", 0), (4, "four five six", "e", 0), (4, "quite another text", "f", 0), (3, "quite another  text", "g", 0),
+    (4, "four five  six", "h", 0), (8, "four five six", "i", 0),
+]
+
+
+def test_rows_with_a_null_or_repeated_id_are_judged_one_by_one(spark):
+    df = spark.createDataFrame(HOT_IDS, SCHEMA).repartition(3)
+    exact = tuples(deduplicated(df, repeats=False).select("doc_id", "text"))
+    assert exact == sorted([(None, "one two three"), (None, "alone here"), (4, "four five  six"), (3, "quite another  text")], key=repr)
+    assert sorted((r.digest for r in deduplicated(df).collect())) == ["a", "b", "d", "g", "h"]
+    groups = {}
+    for d, t, x, _ in HOT_IDS:
+        groups.setdefault(brute_fp(t), []).append((d is None, d, x))
+    near = one_per_group(df, max_bits=0)
+    assert near.columns == df.columns
+    kept = [(brute_fp(r.text), r.doc_id) for r in near.collect()]
+    assert sorted(kept, key=repr) == sorted(((f, min(g, key=lambda r: r[:1] + (r[1] or 0,))[1]) for f, g in groups.items()), key=repr)
+
+
 def brute_jump(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0
