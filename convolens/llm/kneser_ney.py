@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased), then one end per
 text; the first token's context is a start mark.  Words are named by XXH64.
@@ -6,26 +6,30 @@ text; the first token's context is a start mark.  Words are named by XXH64.
 Counting
   1. Word counts: local counts per task, one ``groupBy``; sorted by hash into
      range partitions, each an array file.  A word's index is its rank.
-  2. Pair counts: a task sorts and counts its pairs (two indices in one 64-bit
-     key) and sends them, packed, to shards.  Shards are key ranges of equal
-     token mass, taken from the word counts; a word that is the context of
-     more than one share of the tokens is cut into several ranges.  Each shard
-     merges its parts into one sorted array file and reports counts of counts
-     and partial statistics of its words.
-  3. Word statistics: partial sums per index block become dense array files
-     (tokens that follow a word, its discount mass, its distinct contexts).
+  2. Counts of pairs, then of triples and so on up to ``order``: a task sorts
+     and counts its grams (the index of the context's entry among the shorter
+     grams, and the word, in one 64-bit key) and sends them, packed, to shards.
+     Shards are key ranges of equal token mass, taken from the counts of the
+     contexts; a context of more than one share of the tokens is cut into
+     several ranges.  Each shard merges its parts into one sorted array file.
+     A gram's index is its rank over all files.
+  3. Statistics, from the longest grams down: partial sums per file of the
+     shorter grams become dense array files beside it (tokens that follow a
+     context, its discount mass, and a gram's distinct contexts).
 
 Scoring needs no shuffle: workers memory-map the array files and look up the
-sorted words and pairs of a batch of texts.
+sorted words and grams of a batch of texts.
 
-The driver holds scalars and the cuts between shards, nothing per word or
-pair.  What is counted is every token of every training text.
+The driver holds scalars, the cuts between shards and figures per file,
+nothing per word or gram.  What is counted is every token of every text.
 
-``p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p1(w)`` with
-``g(v) = (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v)``; ``p1`` is the same form
-over numbers of distinct contexts, interpolated with ``1 / (V + 1)``, the
-share of an unknown word; an unknown context leaves ``p1(w)``.  Discounts come
-from the counts of counts; where these give none, they are 1/2, 1 and 3/2.
+``p(w|vu) = max(c(vuw) - D(c(vuw)), 0) / c(vu) + g(vu) p(w|u)`` with
+``g(vu) = (D1 N1(vu) + D2 N2(vu) + D3 N3+(vu)) / c(vu)``; the lower orders have
+the same form over numbers of distinct contexts (grams that begin with the
+start mark have none and keep their counts), the lowest interpolated with
+``1 / (V + 1)``, the share of an unknown word; an unknown context leaves the
+lower order.  Discounts come from the counts of counts, per order; where these
+give none, they are 1/2, 1 and 3/2.
 
 Defined cases: null and empty texts are one end token; with no training text
 every probability is 1 (N = V = 0); repeated ids give repeated rows; an empty
@@ -36,7 +40,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -96,6 +100,20 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
         yield run()
 
 
+@dataclass(frozen=True)
+class Level:
+    """The grams of one length; an entry's index is its rank over all files."""
+
+    n: int
+    shift: int  # key = index of the gram without its last word << shift, plus that word
+    shards: tuple[int, ...]  # number of each file
+    cuts: tuple[int, ...]  # least key of each file but the first
+    sizes: tuple[int, ...]  # entries of each file
+    masses: tuple[int, ...]  # tokens of each file
+    counts: str  # name of the counts that score: raw ones, or distinct contexts
+    discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+
+
 @dataclass(frozen=True)
 class Model:
     """Places and scalars of a trained model; small enough for a closure."""
@@ -104,18 +122,25 @@ class Model:
     parts: tuple[int, ...] = ()  # words in each word file
     firsts: tuple[int, ...] = ()  # first hash of each word file
     labels: tuple[int, ...] = ()  # part of each word file's name
-    shards: tuple[int, ...] = ()  # number of each pair file
-    cuts: tuple[int, ...] = ()  # least key of each pair file but the first
     tokens: int = 0
-    discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    levels: tuple[Level, ...] = ()  # from pairs up
     lower_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    pairs: int = 0
-    lower_rest: float = 1.0  # mass that the lower order gives to the uniform
+    lower_rest: float = 1.0  # mass that the lowest order gives to the uniform
 
     @property
     def words(self) -> int:
         return sum(self.parts)
 
+    @property
+    def pairs(self) -> int:
+        return sum(self.levels[0].sizes) if self.levels else 0
+
+    def units(self, n: int) -> tuple[tuple, tuple]:
+        """Names and sizes of the files of grams of length ``n``; of words, the start mark is the last."""
+        if n == 1:
+            return (*self.labels, START), (*self.parts, 1)
+        return self.levels[n - 2].shards, self.levels[n - 2].sizes
+
 
 def _index(model: Model, hashes: np.ndarray) -> np.ndarray:
     """Index of each of some ascending hashes, -1 where unknown."""
@@ -132,30 +157,65 @@ def _index(model: Model, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _of_words(model: Model, name: str, index: np.ndarray, dtype) -> np.ndarray:
-    """Values of a word statistic at ascending indices (-1: 0)."""
-    out = np.zeros(len(index), dtype)
-    bases = np.cumsum((0, *model.parts))
-    edges = np.searchsorted(index, bases).tolist()
+def _values(model: Model, n: int, name: str, index: np.ndarray, dtype=np.int64) -> np.ndarray:
+    """Values of a statistic of grams of length ``n`` at any indices (-1: 0)."""
+    asked, place = np.unique(index, return_inverse=True)
+    out = np.zeros(len(asked), dtype)
+    labels, sizes = model.units(n)
+    bases = np.cumsum((0, *sizes))
+    edges = np.searchsorted(asked, bases).tolist()
     for part, (low, high) in enumerate(zip(edges, edges[1:])):
         if high > low:
-            out[low:high] = _mapped(model.folder, f"{name}-{model.labels[part]}")[index[low:high] - bases[part]]
+            out[low:high] = _mapped(model.folder, f"{name}-{labels[part]}")[asked[low:high] - bases[part]]
+    return out[place]
+
+
+def _entries(model: Model, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Index of the grams of some contexts and words, -1 where unknown."""
+    out = np.full(len(word), -1, np.int64)
+    both = np.flatnonzero((word >= 0) & (context >= 0))
+    keys, place = np.unique((context[both] << level.shift) + word[both], return_inverse=True)
+    found = np.full(len(keys), -1, np.int64)
+    bases = np.cumsum((0, *level.sizes)).tolist()
+    edges = [0, *np.searchsorted(keys, np.array(level.cuts, np.int64)).tolist(), len(keys)]
+    for base, shard, low, high in zip(bases, level.shards, edges, edges[1:]):
+        if high > low:
+            known = _mapped(model.folder, f"keys{level.n}-{shard}")
+            at = np.minimum(np.searchsorted(known, keys[low:high]), len(known) - 1)
+            found[low:high] = np.where(known[at] == keys[low:high], base + at, -1)
+    out[both] = found[place]
     return out
 
 
-def _pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
-    """Counts of ascending keys."""
-    out = np.zeros(len(keys), np.int64)
-    edges = [0, *np.searchsorted(keys, np.array(model.cuts, np.int64)).tolist(), len(keys)]
-    for shard, low, high in zip(model.shards, edges, edges[1:]):
-        if high > low:
-            known = _mapped(model.folder, f"pairs-{shard}")
-            at = np.minimum(np.searchsorted(known, keys[low:high]), len(known) - 1)
-            hit = known[at] == keys[low:high]
-            out[low:high] = np.where(hit, _mapped(model.folder, f"counts-{shard}")[at], 0)
+def _before(entry: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
+    """The entry that ends one token earlier; ``start`` at a text's first token."""
+    out = np.concatenate(([start], entry[:-1]))
+    out[firsts] = start
     return out
 
 
+def _contexts(model: Model, index: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For pairs, triples ...: index of the context of each token, and of the
+    gram it ends (none for a length the model has not counted)."""
+    context = _before(index, firsts, model.words)
+    for level in model.levels:
+        entry = _entries(model, level, context, index)
+        yield context, entry
+        context = _before(entry, firsts, -1)
+    yield context, None
+
+
+def _shorter(model: Model, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Index of grams of ``n`` words without their first word."""
+    if n == 2:
+        return word
+    if n == 3:
+        head = _values(model, 2, "keys2", context) & 0xFFFFFFFF
+    else:
+        head = _values(model, n - 1, f"shorter{n - 1}", context)
+    return _entries(model, model.levels[n - 3], head, word)
+
+
 @lru_cache(maxsize=256)  # bounds open files; older maps are opened again
 def _mapped(folder: str, name: str) -> np.ndarray:
     return load(folder, name)
@@ -178,6 +238,10 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32) if counts.max() < 1 << 32 else counts
+
+
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """Of counts of counts 1 to 4."""
     if all(n[:3]):
@@ -192,8 +256,10 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
-def train(docs: DataFrame, text_col: str = "text", share: int = SHARE) -> Model:
-    """Count a model over all rows of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text", share: int = SHARE, order: int = 2) -> Model:
+    """Count a model of grams of up to ``order`` words over all rows of ``docs``."""
+    if order < 2:
+        raise ValueError("the order of a model is 2 or more")
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/llm/kneser-ney-{uuid.uuid4().hex}"
     texts = id_and_text(docs, text_col, text_col).select("text")
@@ -225,103 +291,160 @@ def train(docs: DataFrame, text_col: str = "text", share: int = SHARE) -> Model:
     if n_words >= 1 << 31:
         raise ValueError("more distinct words than a pair key holds")
 
-    # 2. Shards: equal shares of token mass over contexts (the start mark is the last).
-    bases, before = np.cumsum([0, *sizes]).tolist(), np.cumsum([0, *mass]).tolist()
     labels = tuple(p.part for p in parts)
+    model = Model(folder, tuple(sizes), tuple(p["first"] for p in parts), labels, tokens)
+
+    # 2. Grams, from pairs up to the order (a longer gram names its context by index).
+    n_docs = texts.count()
+    for n in range(2, order + 1):
+        level = _count(spark, texts, model, n, mass, n_docs, share, order)
+        if not level.shards:  # no text is that long
+            levels = (*model.levels[:-1], replace(model.levels[-1], counts=f"counts{n - 1}"))
+            model = replace(model, levels=levels)
+            break
+        model = replace(model, levels=(*model.levels, level))
+
+    # 3. Statistics, from the longest grams down.
+    for k in reversed(range(len(model.levels))):
+        model = _statistics(spark, model, k)
+    return model
+
+
+def _count(spark, texts: DataFrame, model: Model, n: int, word_mass: list, n_docs: int, share: int, order: int) -> Level:
+    """Count the grams of ``n`` words into array files, key ranges of equal token
+    mass over contexts (the start mark is the last)."""
+    folder, n_words = model.folder, model.words
+    shift = 32 if n == 2 else n_words.bit_length()
+    below = model.units(n - 1)
+    names, sizes, masses, name = (
+        (model.labels, model.parts, word_mass, "word_counts") if n == 2 else (*below, model.levels[-1].masses, f"counts{n - 1}")
+    )
+    bases, before = np.cumsum([0, *sizes]).tolist(), np.cumsum([0, *masses]).tolist()
+    if bases[-1].bit_length() + shift > 63:
+        raise ValueError("more distinct contexts than a key holds")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                counts = load(folder, f"word_counts-{labels[k]}")
+                counts = load(folder, f"{name}-{names[k]}").astype(np.int64)
                 total = before[k] + np.cumsum(counts)
-                full = total // share - (total - counts) // share  # cuts that fall into each word
+                full = total // share - (total - counts) // share  # cuts that fall into each context
                 keys = []
                 for at in np.flatnonzero(full):
                     pieces = int(full[at])
-                    keys += [(bases[k] + int(at) << 32) + n_words * j // pieces for j in range(pieces)]
+                    keys += [(bases[k] + int(at) << shift) + n_words * j // pieces for j in range(pieces)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["cut"])
 
-    per_file = spark.range(0, len(parts), 1, len(parts)).mapInArrow(cut, "cut long")
-    cuts = sorted(r.cut for r in per_file.collect())
-    starts = n_words << 32
-    n_docs = texts.count()
-    pieces = n_docs // share + 1
-    cuts += [starts + n_words * j // pieces for j in range(pieces)]
+    per_file = spark.range(0, len(names), 1, len(names)).mapInArrow(cut, "cut long")
+    cuts = [r.cut for r in per_file.collect()]
+    if n == 2:
+        pieces = n_docs // share + 1
+        cuts += [(n_words << shift) + n_words * j // pieces for j in range(pieces)]
     cuts = sorted({c for c in cuts if c > 0})
-    shared_cuts = spark.sparkContext.broadcast(np.array(cuts, np.int64))
-    model = Model(folder, tuple(sizes), tuple(p["first"] for p in parts), labels, tokens=tokens)
-
-    def local_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens_, firsts in _gathered(batches, 0):
-            unique, place = np.unique(tokens_, return_inverse=True)
-            index = _index(model, unique)[place]
-            context = np.concatenate(([0], index[:-1]))
-            context[firsts] = n_words
-            keys, counts = np.unique((context << 32) + index, return_counts=True)
-            edges = [0, *np.searchsorted(keys, shared_cuts.value).tolist(), len(keys)]
-            full = [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            payload = [_pack(keys[a:b], counts[a:b]) for _, a, b in full]
+    shared = spark.sparkContext.broadcast((model, np.array(cuts, np.int64)))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, edges_ = shared.value
+        for _, tokens, firsts in _gathered(batches, 0):
+            unique, place = np.unique(tokens, return_inverse=True)
+            index = _index(known, unique)[place]
+            *_, (context, _) = _contexts(known, index, firsts)
+            full = context >= 0
+            keys, counts = np.unique((context[full] << shift) + index[full], return_counts=True)
+            edges = [0, *np.searchsorted(keys, edges_).tolist(), len(keys)]
+            sent = [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            payload = [_pack(keys[a:b], counts[a:b]) for _, a, b in sent]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in full], pa.int32()), pa.array(payload, pa.binary())], ["shard", "payload"]
+                [pa.array([s for s, _, _ in sent], pa.int32()), pa.array(payload, pa.binary())], ["shard", "payload"]
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "shard", "n1", "n2", "n3", "n4", "pairs", "payload"]
-        kinds = [*[pa.int32()] * 2, *[pa.int64()] * 5, pa.binary()]
-        blocks = np.array(bases, np.int64)  # the start mark is a block of its own
-
-        def close(shard: int, held: list) -> Iterator[pa.RecordBatch]:
+        def close(shard: int, held: list) -> pa.RecordBatch:
             keys, counts = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
+            order_ = np.argsort(keys, kind="stable")
+            keys, counts = keys[order_], counts[order_]
             at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             keys, counts = keys[at], np.add.reduceat(counts, at)
-            save(folder, f"pairs-{shard}", keys)
-            save(folder, f"counts-{shard}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-            rows = [(-1, shard, *((counts == k).sum() for k in (1, 2, 3, 4)), len(keys), b"")]
-            contexts, words_ = keys >> 32, keys & 0xFFFFFFFF
-            at = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
-            sums = [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-            sums[0:1] = [sums[0] & 0xFFFFFFFF, sums[0] >> 32]
-            follow, contexts_of = np.unique(words_, return_counts=True)
-            for index, values in ((contexts[at], sums), (follow, [contexts_of])):
-                edges = np.searchsorted(index, blocks).tolist() + [len(index)]
-                for block, (a, b) in enumerate(zip(edges, edges[1:])):
-                    if b > a:
-                        rows.append((block, shard, 0, 0, 0, 0, 0, _pack(index[a:b], *(v[a:b] for v in values))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            save(folder, f"keys{n}-{shard}", keys)
+            save(folder, f"counts{n}-{shard}", _narrow(counts))
+            if 2 < n < order:
+                word = keys & ((1 << shift) - 1)
+                save(folder, f"shorter{n}-{shard}", _shorter(shared.value[0], n, keys >> shift, word))
+            row = [shard, len(keys), int(counts.sum())]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["shard", "size", "mass"])
 
         shard, held = None, []
         for batch in batches:
             for own, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if own != shard:
                     if held:
-                        yield from close(shard, held)
+                        yield close(shard, held)
                     shard, held = own, []
                 held.append(_unpack(payload.as_py()))
         if held:
-            yield from close(shard, held)
+            yield close(shard, held)
 
-    partials = staged(
-        texts.mapInArrow(local_pairs, "shard int, payload binary")
+    listing = staged(
+        texts.mapInArrow(local, "shard int, payload binary")
         .repartition(len(cuts) + 1, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(merge, "block int, shard int, n1 long, n2 long, n3 long, n4 long, pairs long, payload binary"),
-        "pair-statistics",
+        .mapInArrow(merge, "shard long, size long, mass long"),
+        "gram-files",
     )
-    seen = partials.filter("block < 0").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "pairs")]).first()
+    files = listing.orderBy("shard").collect()  # one row per file
+    shards = tuple(f.shard for f in files)
+    return Level(
+        n, shift, shards, tuple(cuts[s - 1] for s in shards[1:]), tuple(f["size"] for f in files),
+        tuple(f.mass for f in files), f"counts{n}" if n == order else f"contexts{n}",
+    )
+
+
+def _statistics(spark, model: Model, k: int) -> Model:
+    """What follows each context of level ``k``, and the distinct contexts of the
+    grams one word shorter, as dense array files beside those."""
+    level, folder = model.levels[k], model.folder
+    n, labels, sizes = level.n, *model.units(level.n - 1)
+    bases = np.cumsum([0, *sizes])
+    shared = spark.sparkContext.broadcast(model)
+    names = ["block", "n1", "n2", "n3", "n4", "payload"]
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                keys = load(folder, f"keys{n}-{level.shards[s]}")
+                counts = load(folder, f"{level.counts}-{level.shards[s]}").astype(np.int64)
+                context, word = keys >> level.shift, keys & ((1 << level.shift) - 1)
+                rows = [(-1, *(int((counts == c).sum()) for c in (1, 2, 3, 4)), b"")]
+                at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+                sums = [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+                sums[0:1] = [sums[0] & 0xFFFFFFFF, sums[0] >> 32]
+                follow, contexts_of = np.unique(_shorter(known, n, context, word), return_counts=True)
+                for index, values in ((context[at], sums), (follow, [contexts_of])):
+                    edges = np.searchsorted(index, bases).tolist()
+                    for block, (a, b) in enumerate(zip(edges, edges[1:])):
+                        if b > a:
+                            rows.append((block, 0, 0, 0, 0, _pack(index[a:b], *(v[a:b] for v in values))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    schema = "block int, n1 long, n2 long, n3 long, n4 long, payload binary"
+    shards = spark.range(0, len(level.shards), 1, len(level.shards))
+    partials = staged(shards.mapInArrow(partial, schema), "gram-statistics")
+    seen = partials.filter("block < 0").agg(*[F.sum(c).alias(c) for c in names[1:5]]).first()
     discounts = _discounts([seen.n1, seen.n2, seen.n3, seen.n4])
-    shards = tuple(sorted(r.shard for r in partials.filter("block < 0").select("shard").collect()))
 
-    # 3. Statistics per word, one file per word file.
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(block: int, sums: np.ndarray) -> pa.RecordBatch:
             low, high, one, two, more, contexts = sums
-            label = (*labels, START)[block]
-            save(folder, f"followed-{label}", low + (high << 32))
-            save(folder, f"rest-{label}", discounts[0] * one + discounts[1] * two + discounts[2] * more)
-            save(folder, f"contexts-{label}", contexts)
-            got = [(contexts == k).sum() for k in (1, 2, 3, 4)] + [(contexts >= 3).sum()]
+            label = labels[block]
+            save(folder, f"followed{n}-{label}", _narrow(low + (high << 32)))
+            save(folder, f"rest{n}-{label}", discounts[0] * one + discounts[1] * two + discounts[2] * more)
+            if n > 2:  # grams that begin with the start mark have no context: their own count stays
+                own = load(folder, f"counts{n - 1}-{label}")
+                contexts = np.where(contexts > 0, contexts, own)
+            save(folder, f"contexts{n - 1}-{label}", _narrow(contexts))
+            got = [(contexts == c).sum() for c in (1, 2, 3, 4)] + [(contexts >= 3).sum()]
             return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()) for g in got], ["n1", "n2", "n3", "n4", "more"])
 
         own, sums = None, None
@@ -330,69 +453,50 @@ def train(docs: DataFrame, text_col: str = "text", share: int = SHARE) -> Model:
                 if block != own:
                     if sums is not None:
                         yield close(own, sums)
-                    own, sums = block, np.zeros((6, (*sizes, 1)[block]), np.int64)
-                index, *values = _unpack(payload.as_py())
-                index -= bases[block]
-                for k, v in zip(range(5) if len(values) > 1 else (5,), values):
-                    sums[k, index] += v
+                    own, sums = block, np.zeros((6, sizes[block]), np.int64)
+                payload = payload.as_py()
+                if payload:
+                    index, *values = _unpack(payload)
+                    index -= bases[block]
+                    for c, v in zip(range(5) if len(values) > 1 else (5,), values):
+                        sums[c, index] += v
         if sums is not None:
             yield close(own, sums)
 
+    every = spark.range(len(labels)).select(F.col("id").cast("int").alias("block"), F.lit(b"").alias("payload"))
     lower = staged(
         partials.filter("block >= 0")
         .select("block", "payload")
-        .repartition(len(parts) + 1, "block")
+        .union(every)
+        .repartition(len(labels), "block")
         .sortWithinPartitions("block")
         .mapInArrow(per_block, "n1 long, n2 long, n3 long, n4 long, more long"),
-        "word-statistics",
+        "context-statistics",
     )
-    n = lower.agg(*[F.sum(c).alias(c) for c in lower.columns]).first()
-    lower_discounts = _discounts([n.n1, n.n2, n.n3, n.n4])
-    rest = lower_discounts[0] * n.n1 + lower_discounts[1] * n.n2 + lower_discounts[2] * n.more
-    return Model(
-        folder, model.parts, model.firsts, labels, shards, tuple(cuts[k - 1] for k in shards[1:]),
-        tokens, discounts, lower_discounts, seen.pairs, rest / seen.pairs,
-    )
+    model = replace(model, levels=(*model.levels[:k], replace(level, discounts=discounts), *model.levels[k + 1 :]))
+    if n > 2:
+        return model
+    got = lower.agg(*[F.sum(c).alias(c) for c in lower.columns]).first()
+    lowest = _discounts([got.n1, got.n2, got.n3, got.n4])
+    rest = lowest[0] * got.n1 + lowest[1] * got.n2 + lowest[2] * got.more
+    return replace(model, lower_discounts=lowest, lower_rest=rest / model.pairs)
 
 
 def _scores(model: Model, tokens: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
     """Per document: tokens, known tokens, base score, score."""
     n_words, total = model.words, model.tokens
     unique, place = np.unique(tokens, return_inverse=True)
-    index = _index(model, unique) if n_words else np.full(len(unique), -1, np.int64)
-    known = index >= 0
-    at = index[known]
-
-    def spread(name: str, dtype) -> np.ndarray:
-        out = np.zeros(len(unique), dtype)
-        if n_words:
-            out[known] = _of_words(model, name, at, dtype)
-        return out
-
-    counts = spread("word_counts", np.int64)
+    found = _index(model, unique) if n_words else np.full(len(unique), -1, np.int64)
+    counts = _values(model, 1, "word_counts", found)
     base = np.log10((counts + 0.5) / (total + 0.5 * (n_words + 1)))[place]
-    contexts = spread("contexts", np.int64)
+    contexts = _values(model, 1, "contexts1", found)
     p1 = np.maximum(contexts - _discount(contexts, model.lower_discounts), 0) / max(model.pairs, 1)
-    p1 += model.lower_rest / (n_words + 1)
-
-    def of_context(name: str, dtype) -> np.ndarray:
-        values = spread(name, dtype)[place]
-        out = np.concatenate((np.zeros(1, dtype), values[:-1]))
-        out[firsts] = _mapped(model.folder, f"{name}-{START}")[0] if n_words else 0
-        return out
-
-    p = p1[place]
-    if n_words:
-        word = index[place]
-        context = np.concatenate(([0], word[:-1]))
-        context[firsts] = n_words
-        both = np.flatnonzero((word >= 0) & (context >= 0))
-        keys = (context[both] << 32) + word[both]
-        order = np.argsort(keys)
-        pair = np.zeros(len(tokens), np.int64)
-        pair[both[order]] = _pair_counts(model, keys[order])
-        followed, rest = of_context("followed", np.float64), of_context("rest", np.float64)
-        higher = np.maximum(pair - _discount(pair, model.discounts), 0) + rest * p
+    p = (p1 + model.lower_rest / (n_words + 1))[place]
+    for level, (context, entry) in zip(model.levels, _contexts(model, found[place], firsts)):
+        times = _values(model, level.n, level.counts, entry)
+        followed = _values(model, level.n - 1, f"followed{level.n}", context)
+        rest = _values(model, level.n - 1, f"rest{level.n}", context, np.float64)
+        higher = np.maximum(times - _discount(times, level.discounts), 0) + rest * p
         p = np.where(followed > 0, higher / np.maximum(followed, 1), p)
     sizes = np.diff(np.append(firsts, len(tokens)))
     return [

@@ -83,6 +83,62 @@ def test_small(spark, share):
     check(kneser_ney.score(texts, kneser_ney.train(df, share=share)), rows, train)
 
 
+class BruteOrder(Brute):
+    """Any order, by recursion over tuples of words."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        seqs = [("<s>", *tokens(t)) for t in texts]
+        grams = {n: Counter(s[i : i + n] for s in seqs for i in range(len(s) - n + 1)) for n in range(2, order + 1)}
+        self.levels = {order: grams[order]}
+        for n in range(order - 1, 1, -1):
+            left = Counter(g[1:] for g in grams[n + 1])
+            self.levels[n] = {g: k if g[0] == "<s>" else left[g] for g, k in grams[n].items()}
+        self.ds = {n: discounts(c.values()) for n, c in self.levels.items()}
+        self.after = defaultdict(list)
+        for counts in self.levels.values():
+            for g, k in counts.items():
+                self.after[g[:-1]].append(k)
+        self.order = order
+
+    def pn(self, w, context):
+        if not context:
+            return self.p1(w)
+        lower, after = self.pn(w, context[1:]), self.after.get(context)
+        if not after:
+            return lower
+        d = self.ds[len(context) + 1]
+        k = self.levels[len(context) + 1].get((*context, w), 0)
+        return (max(k - d[min(k, 3)], 0) + sum(d[min(x, 3)] for x in after) * lower) / sum(after)
+
+    def row(self, text):
+        s = ("<s>", *tokens(text))
+        score = sum(math.log10(self.pn(s[i], s[max(i - self.order + 1, 0) : i])) for i in range(1, len(s)))
+        return (*super().row(text)[:4], score)
+
+
+@pytest.mark.parametrize("order, share", [(3, 2_000_000), (3, 3), (4, 5)])
+def test_higher_orders(spark, order, share):
+    train = ["a b c a b", "A B\ta b", "the a the b the c the d the e", "", None, "x", "a b c", "the the the the", "é ÉÀ z", "a b d", "c a b c"]
+    rows = [(1, "a b c"), (2, "new words a b c"), (3, None), (4, ""), (5, "the " * 500), (None, "É é"), (6, "c b a the e d x"), (7, "c a b c a b d x")]
+    brute = BruteOrder(train, order)
+    for context in [("<s>",), ("<s>", "a"), ("a", "b"), ("the", "the", "the")]:
+        assert sum(brute.pn(w, context) for w in [*brute.c, "unknown"]) == pytest.approx(1)
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(train)], SCHEMA).repartition(3)
+    texts = spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)
+    got = kneser_ney.score(texts, kneser_ney.train(df, share=share, order=order)).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=repr)
+    want = sorted(((d, *brute.row(t)) for d, t in rows), key=repr)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    np.testing.assert_allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9, atol=1e-9)
+    assert all(r.score == 0 for r in kneser_ney.score(texts, kneser_ney.train(df.filter("doc_id < 0"), order=order)).collect())
+
+
+def test_texts_shorter_than_the_order(spark):
+    df = spark.createDataFrame([(1, "", "", 0), (2, None, "", 0)], SCHEMA)
+    check(kneser_ney.score(df, kneser_ney.train(df, order=4)), [(1, ""), (2, None)], ["", None])
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     rows = [(1, "a b"), (2, None)]
