@@ -9,6 +9,7 @@ from . import chunk_reuse, kneser_ney, language_id, token_counts, token_files
 from .common import documents
 from .decontaminate import contamination, hit_spans
 from .exact_dedup import exact_dedup
+from .line_dedup import line_counts, line_dedup
 from .sharding import shard_documents
 from .simhash import near_groups
 from .url_reputation import judge_urls
@@ -87,6 +88,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(line_dedup(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE = {
@@ -203,5 +209,22 @@ WITH words AS (
 SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN hit USING (row_no) LEFT JOIN found USING (row_no) WHERE side = 'doc'
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT row_no, doc_id, n_lines, unnest(ls) AS line, unnest(range(n_lines)) AS pos
+  FROM (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, len(ls) AS n_lines FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row_no) >= 3
+), judged AS (
+  SELECT k.*, r.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS lost FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY row_no, doc_id, n_lines
 """,
 }
