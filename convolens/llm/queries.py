@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_counts, line_dedup
 from .sharding import shard_documents
 from .simhash import near_groups
+from .source_divergence import source_divergence
 from .url_reputation import judge_urls
 from .vocab import tokenizer_path
 
@@ -88,6 +89,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(line_dedup(documents(spark, sf_dir)))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -209,6 +215,43 @@ WITH words AS (
 SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM split LEFT JOIN hit USING (row_no) LEFT JOIN found USING (row_no) WHERE side = 'doc'
+""",
+    "op11_source_divergence": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), said AS (
+  SELECT row_no, lang, source, term, count(*) AS n FROM (SELECT row_no, lang, source, unnest(ws) AS term FROM split) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS c FROM said GROUP BY lang, term HAVING count(*) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM split
+), counted AS (
+  SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS c FROM said JOIN kept USING (lang, term) GROUP BY lang, source, term
+), langs AS (
+  SELECT lang, sum(c) AS n, count(*) AS v FROM kept GROUP BY lang
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM groups g LEFT JOIN counted USING (lang, source) GROUP BY g.lang, g.source
+), probs AS (
+  SELECT s.lang, s.source, k.term, coalesce(d.c, 0) AS c,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(d.c, 0) + 1)) // (s.n + l.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS BIGINT) AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counted d ON d.lang = s.lang AND d.source = s.source AND d.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM probs WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
     "op13_line_dedup": r"""
 WITH lines AS (
