@@ -13,6 +13,7 @@ from .line_dedup import line_counts, line_dedup
 from .sharding import shard_documents
 from .simhash import near_groups
 from .source_divergence import source_divergence
+from .token_align import align
 from .url_reputation import judge_urls
 from .vocab import tokenizer_path
 
@@ -21,6 +22,7 @@ SHINGLE, MAX_BITS = 3, 3
 SHARDS = 16
 SPAN = 10  # words of a benchmark window
 WORD_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
 RULES = [
     ("allow", "com", "/"),
@@ -93,6 +95,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(line_dedup(documents(spark, sf_dir)))
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_alignment": op12_token_alignment,
     "op13_line_dedup": op13_line_dedup,
 }
 
