@@ -1,7 +1,7 @@
 """Token counts by section through offset-mapped attribution.
 
-A document's fields are laid end to end, each closed by ``separator``, and
-the whole is encoded once with a byte-level BPE.  Such an encoding is
+A document's fields are laid end to end, with ``separator`` between them (so
+none for a single field), and the whole is encoded once with a byte-level BPE.  Such an encoding is
 lossless, so the byte lengths of the tokens give the character span of each
 token; the spans are joined to the section intervals by binary search.  A
 section is a run of characters of one field: the whole field, or its lines
@@ -14,11 +14,11 @@ given by one rule:
 ``most``   to the section with most of its characters, the first of equals,
 ``split``  to all its sections, in proportion to characters.
 
-The counts of a document always sum to its number of tokens.  A separator
-belongs to the section it closes.
+The counts of a document always sum to its number of tokens: with one field,
+those of its own text.  A separator belongs to the section it closes.
 
 Defined cases: a null field counts as empty; an empty field, and so an empty
-document, has one empty section; a token without a whole character (part of a
+document, has one empty section (without a token, where no separator follows); a token without a whole character (part of a
 multi-byte one) spans that character; repeated ids give repeated rows; an
 empty table gives an empty result; columns not named as fields are ignored.
 """
@@ -120,7 +120,8 @@ def token_counts(
         """The laid-out text; each section's field, number and end."""
         of, number, ends, at, whole = [], [], [], 0, []
         for k, text in enumerate(texts):
-            whole += [text, separator]
+            closing = separator if k + 1 < len(texts) else ""
+            whole += [text, closing]
             size = len(text)
             if lines and "\n" in text:
                 points = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -128,11 +129,11 @@ def token_counts(
                 cuts = [c for c in cuts if c < size] + [size]
             else:
                 cuts = [size]
-            cuts[-1] += len(separator)
+            cuts[-1] += len(closing)
             of += [k] * len(cuts)
             number += range(len(cuts))
             ends += [at + c for c in cuts]
-            at += size + len(separator)
+            at += size + len(closing)
         return "".join(whole), np.array(of), np.array(number), np.array(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

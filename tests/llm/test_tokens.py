@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -159,25 +160,14 @@ def brute_spans(text):
 
 
 def brute_op10(rows, rule):
+    """Sections are lines with their line break; the tokens are those of the text itself."""
     out = []
     for d, t, *_ in rows:
-        whole = (t or "") + "\n"
-        lines = (t or "").split("\n")
-        if len(lines) > 1 and not lines[-1]:
-            lines = lines[:-1]
-            ends, at = [], 0
-            for line in lines:
-                at += len(line) + 1
-                ends.append(at)
-            ends[-1] = len(whole)
-        else:
-            ends, at = [], 0
-            for line in lines:
-                at += len(line) + 1
-                ends.append(at)
+        lines = re.findall(r"[^\n]*\n|[^\n]+", t or "") or [""]
+        ends = [sum(map(len, lines[: k + 1])) for k in range(len(lines))]
         counts, crossing = [0.0] * len(ends), [0] * len(ends)
         starts = [0, *ends[:-1]]
-        for a, b in brute_spans(whole):
+        for a, b in brute_spans(t or ""):
             parts = [(k, min(b, ends[k]) - max(a, starts[k])) for k in range(len(ends)) if min(b, ends[k]) > max(a, starts[k])]
             if len(parts) > 1:
                 for k, _ in parts:
@@ -193,6 +183,18 @@ def brute_op10(rows, rule):
     return sorted(out, key=repr)
 
 
+def test_token_counts_sum_to_the_document(spark):
+    """Against the tokenizers library's file of the same vocabulary."""
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows += [(-1, None), (-2, ""), (-3, "long words and lines\n" * 20_000), (-4, "\n")]
+    schema = "doc_id long, text string, field string, section int, n_tokens string, char_start long"  # clashing names
+    df = spark.createDataFrame([(d, t, "f", 1, "n", 2) for d, t in rows], schema)
+    got = token_counts.token_counts(df, RANKS, P.PATTERN, ["text"]).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in got} == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x in rows}
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     rows = [(1, "one two\n\n\n  three\n\nfour"), (2, None), (3, ""), (4, "日本\n語😀é\n\n"), (5, "\n"), (5, "\n"), (None, "x\n y"), (6, "line\n" * 300)]
@@ -206,7 +208,7 @@ def test_token_counts_fields_and_query(spark):
     df = spark.createDataFrame(rows, "doc_id long, title string, body string")
     got = token_counts.token_counts(df, RANKS, P.PATTERN, ["title", "body"], lines=False).collect()
     for d, t, b in rows:
-        total = len(brute_spans((t or "") + "\n" + b + "\n"))
+        total = len(brute_spans((t or "") + "\n" + b))
         assert sum(r.n_tokens for r in got if r.doc_id == d) == total
         assert [r.field for r in sorted(got, key=lambda r: r.char_start) if r.doc_id == d] == ["title", "body"]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
