@@ -14,7 +14,7 @@ equal ends are *links*; the ends cut a document's tokens into groups.
 
 How often an id pair is linked in the corpus is counted in Spark.  The counts
 are at most (ids of A) x (ids of B), whatever the corpus; they are stored as
-arrays sorted by pair, a range of B ids a file, which workers memory-map.
+arrays sorted by pair, by B id modulo ``PARTS``, which workers memory-map.
 
 Encoding looks up repeated words: a word is a pre-token of A (the file's
 settings are checked, and the text must be ASCII or Latin-1 letters), and a
@@ -148,14 +148,13 @@ class Pieces:
         self._memo = _Memo(lambda word: self._model.encode(word[1:]), self.dtype)
 
     def ids(self, text: str) -> np.ndarray:
-        if self._by_words:
-            out = np.frombuffer(b"".join(map(self._memo.__getitem__, _SPACED(" " + text))), self.dtype)
-            if self.spelled(out) == b" " + text.encode():
-                return out
-        return np.array(self._model.encode(text), self.dtype)
+        if self._by_words and _SPACE not in text:
+            return np.frombuffer(b"".join(map(self._memo.__getitem__, _SPACED(" " + text))), self.dtype)
+        return self.whole(text)
 
-    def spelled(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def whole(self, text: str) -> np.ndarray:
+        """The ids by the library, without words looked up."""
+        return np.array(self._model.encode(text), self.dtype)
 
 
 @lru_cache(maxsize=2)
@@ -173,24 +172,50 @@ class Tokens(NamedTuple):
     end: np.ndarray
 
 
+class Spelling:
+    """Strings by number, written out in a row."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self._strings = pa.array(strings, pa.large_binary())
+        self.lengths = np.array([len(x) for x in strings], np.int64)
+
+    def __call__(self, numbers: np.ndarray) -> bytes:
+        data = self._strings.take(pa.array(numbers)).buffers()[2]
+        return data.slice(0, int(self.lengths[numbers].sum())).to_pybytes() if data else b""
+
+
 def _side(ids: list[np.ndarray], lengths: np.ndarray) -> Tokens:
     flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
     end = np.cumsum(lengths[flat])
     return Tokens(flat, np.repeat(np.arange(len(ids)), [len(i) for i in ids]), end - lengths[flat], end)
 
 
+@lru_cache(maxsize=2)
+def _spellings(a_path: str, b_path: str) -> tuple[Spelling, Spelling]:
+    return tuple(Spelling(side.tokens) for side in _sides(a_path, b_path))
+
+
 def tokens_of(texts: list[str], a_path: str, b_path: str) -> tuple[Tokens, Tokens]:
     """Both sides of a batch of texts; texts that are not spelled right have no tokens."""
-    a, b = _sides(a_path, b_path)
-    found: tuple[list, list] = ([], [])
-    for text in texts:
-        ids = (a.ids(text), b.ids(text)) if text else (np.zeros(0, a.dtype), np.zeros(0, b.dtype))
-        whole = b" " + text.encode()
-        if b"".join(map(a.tokens.__getitem__, ids[0].tolist())) != whole or b.spelled(ids[1]) != whole:
-            ids = (ids[0][:0], ids[1][:0])
-        for held, own in zip(found, ids):
-            held.append(own)
-    return tuple(_side(ids, np.array([len(t) for t in side.tokens], np.int64)) for ids, side in zip(found, (a, b)))
+    sides, spell = _sides(a_path, b_path), _spellings(a_path, b_path)
+    wholes = [b" " + t.encode() if t else b"" for t in texts]
+    ids = [[side.ids(t) if t else np.zeros(0, side.dtype) for t in texts] for side in sides]
+
+    def right(side: int, of: list[int]) -> bool:
+        """Whether the side's tokens of these texts spell them."""
+        lengths = [int(spell[side].lengths[ids[side][i]].sum()) for i in of]
+        if lengths != [len(wholes[i]) for i in of]:
+            return False
+        return spell[side](np.concatenate([ids[side][i] for i in of])) == b"".join(wholes[i] for i in of)
+
+    everything = list(range(len(texts)))
+    if texts and not (right(0, everything) and right(1, everything)):
+        for i in everything:
+            if not right(1, [i]):
+                ids[1][i] = sides[1].whole(texts[i])
+            if not (right(0, [i]) and right(1, [i])):
+                ids[0][i], ids[1][i] = ids[0][i][:0], ids[1][i][:0]
+    return tuple(_side(own, s.lengths) for own, s in zip(ids, spell))
 
 
 def overlapping(a: Tokens, b: Tokens) -> pd.DataFrame:
@@ -232,18 +257,24 @@ def aligned(a: Tokens, b: Tokens) -> Aligned:
 
 
 class _Printed:
-    """Ids with the mark that follows them, as bytes."""
+    """Ids with the mark that follows them."""
 
     def __init__(self, size_a: int, size_b: int) -> None:
         self.first_b = 2 * size_a
-        self.text = [b"%d%s" % (i, m) for i in range(size_a) for m in (b",", b"|")]
-        self.text += [b"%d%s" % (i, m) for i in range(size_b) for m in (b",", b";")]
+        text = [b"%d%s" % (i, m) for i in range(size_a) for m in (b",", b"|")]
+        self.text = Spelling(text + [b"%d%s" % (i, m) for i in range(size_b) for m in (b",", b";")])
 
-    def groups(self, a: Tokens, b: Tokens, al: Aligned) -> np.ndarray:
+    def digests(self, a: Tokens, b: Tokens, al: Aligned, sizes: np.ndarray) -> list[str]:
+        """The digest of each document's groups; ``sizes``: its tokens of both sides."""
         codes = np.empty(len(a.ids) + len(b.ids), np.int64)
         codes[al.place_a] = 2 * a.ids + al.ends_a
         codes[al.place_b] = self.first_b + 2 * b.ids + al.ends_b
-        return codes
+        line, ends = self.text(codes), np.concatenate(([0], np.cumsum(self.text.lengths[codes])))
+        after = np.cumsum(sizes)
+        return [
+            hashlib.sha256(line[ends[j - n] : ends[j] - 1]).hexdigest() if n else ""
+            for n, j in zip(sizes.tolist(), after.tolist())
+        ]
 
 
 @lru_cache(maxsize=1)
@@ -309,11 +340,7 @@ def _per_document(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 a, b = tokens_of([t or "" for t in part.column(1).to_pylist()], a_path, b_path)
                 al = aligned(a, b)
                 n_a, n_b, n_links = (np.bincount(d, minlength=n) for d in (a.doc, b.doc, a.doc[al.link_a]))
-                codes, digests, at = printed.groups(a, b, al), [], 0
-                for size in (n_a + n_b).tolist():
-                    line = b"".join(map(printed.text.__getitem__, codes[at : at + size].tolist()))
-                    digests.append(hashlib.sha256(line[:-1]).hexdigest() if size else "")
-                    at += size
+                digests = printed.digests(a, b, al, n_a + n_b)
                 space = size_a * size_b
                 pair = a.doc[al.link_a] * space + b.ids[al.link_b] * size_a + a.ids[al.link_a]
                 pair, times = np.unique(pair, return_counts=True)
@@ -331,15 +358,15 @@ def _per_document(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def pair_counts(documents: DataFrame, size_a: int, size_b: int, folder: str) -> list[int]:
-    """Write the corpus-wide counts of all pairs as array files, a range of B
-    ids each, and return the numbers of the files there are."""
+def pair_counts(documents: DataFrame, size_a: int, folder: str) -> list[int]:
+    """Write the corpus-wide counts of all pairs as array files, by B id modulo
+    ``PARTS``, and return the numbers of the files there are."""
     counts = (
         documents.select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
         .groupBy(F.col("p.pairs").alias("pair"))
         .agg(F.sum("p.times").alias("n"))
     )
-    part = F.expr(f"cast(pair div {size_a} * {PARTS} div {size_b} as int)")
+    part = F.expr(f"cast(pair div {size_a} % {PARTS} as int)")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -349,7 +376,7 @@ def pair_counts(documents: DataFrame, size_a: int, size_b: int, folder: str) ->
         of_b = pair // size_a
         new = np.flatnonzero(np.concatenate(([True], np.diff(of_b) != 0)))
         best = np.repeat(np.maximum.reduceat(n, new), np.diff(np.concatenate((new, [len(n)])))) == n
-        number = int(of_b[0]) * PARTS // size_b
+        number = int(of_b[0]) % PARTS
         save(folder, f"pair-{number}", pair)
         save(folder, f"count-{number}", n | np.where(best, _BEST, 0))
         yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32())})
@@ -369,15 +396,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     linked in the corpus; it is best if no other A id is linked to its B id more often."""
     spark = docs.sparkSession
     documents = staged(_per_document(_rows(docs, id_col, text_col), a_path, b_path), "aligned")
-    size_a, size_b = (side.size for side in _sides(a_path, b_path))
+    size_a = _sides(a_path, b_path)[0].size
     folder = f"{checkpoint_dir(spark).rstrip('/')}/llm/pair-counts-{uuid.uuid4().hex}"
-    pair_counts(documents, size_a, size_b, folder)
+    pair_counts(documents, size_a, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, times = (batch[c].flatten().to_numpy() for c in ("pairs", "times"))
             found = np.zeros(len(pairs), np.int64)
-            part = pairs // size_a * PARTS // size_b
+            part = pairs // size_a % PARTS
             for number in np.unique(part).tolist():
                 own = part == number
                 at = np.searchsorted(_loaded(folder, f"pair-{number}"), pairs[own])
