@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,18 @@ def rows_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(kept, rows["key.n"] == kept["n"], "left_semi").select("row.*")
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``size`` bytes of text, or one row."""
+    first, held = 0, 0
+    for i, own in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > first and held + (own or 0) > size:
+            yield first, i
+            first, held = i, 0
+        held += own or 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is kept.  ``judge`` makes
     the decision function, once per task; null texts count as empty.  Rows are

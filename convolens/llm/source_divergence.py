@@ -14,8 +14,8 @@ Method: single-pass in-memory indexing.
    documents) until ``block`` entries are held, then spills a run sorted by
    term, cut by hash shard into pieces (compressed, with their first term).
 2. Pieces go to their shard, ordered by first term.  The shard's task merges
-   them with a heap; a piece joins the heap when the merge reaches its first
-   term, so open pieces are all that is held.  A term comes out once, whole.
+   them with a heap of the open pieces; a piece is opened when the merge
+   reaches its first term.  A term comes out once, whole.
 3. Sums over all kept terms are not formed pair by pair.  A pair of groups is
    first charged as if no term had both: a sum over the distinct counts of each
    group.  The terms that several groups hold are then streamed in term order,
@@ -42,13 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolens.session import ship_package
 
-from .common import staged, text_of
+from .common import slices, staged, text_of
 
 SCALE = 1_000_000_000
 _CHUNK = 1 << 20  # bytes of a text that are split into terms at a time
@@ -63,91 +63,197 @@ _TERM_BYTES = bytes(
 
 
 def terms_of(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a UTF-8 text, in lists of bounded length."""
-    data = text.translate(_TERM_BYTES)
+    """The terms of a long UTF-8 text, in lists of bounded length."""
     at = 0
-    while at < len(data):
+    while at < len(text):
         end = at + _CHUNK
-        if end < len(data):
-            end = data.rfind(b" ", at, end) + 1 or data.find(b" ", end) + 1 or len(data)
-        yield data[at:end].split()
-        at = end
-
-
-def shard_of(term: bytes, shards: int) -> int:
-    return zlib.crc32(term) % shards
+        data = text[at:end].translate(_TERM_BYTES)
+        if end < len(text):
+            cut = data.rfind(b" ") + 1
+            while not cut and end < len(text):  # a long term
+                more = text[end : end + _CHUNK].translate(_TERM_BYTES)
+                end += _CHUNK
+                cut = len(data) + more.rfind(b" ") + 1 if b" " in more else 0
+                data += more
+            data = data[:cut] if cut else data
+        yield data.split()
+        at += len(data)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of each term occurrence in some texts: the text's number; the term."""
+    _, offsets, data = texts.buffers()
+    plain = pa.py_buffer((data.to_pybytes() if data else b"").translate(_TERM_BYTES))
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), offsets, plain, offset=texts.offset))
+    text, words = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy()), lists.flatten()
+    found = pc.greater(pc.binary_length(words), 0)
+    return text[found.to_numpy(zero_copy_only=False)], words.filter(found)
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the sums of the values of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], *[np.add.reduceat(v[order], first) if len(key) else v for v in values]
 
 
 class Block:
-    """Postings of the documents read since the last spill."""
+    """Postings ``(group, term, occurrences, documents)`` of the texts read since the last spill."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.entries = 0
 
-    def add(self, group: tuple[str, str], text: bytes) -> None:
-        counts, docs = self.groups.setdefault(group, (Counter(), Counter()))
-        before, own = len(counts), set()
+    def _hold(self, terms: pa.Array, *entries: np.ndarray) -> None:
+        self.held.append((terms, *entries))
+        self.entries += len(entries[0])
+
+    def add(self, groups: list[tuple[str, str]], texts: pa.Array) -> None:
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64)
+        text, words = _words(texts)
+        coded = words.dictionary_encode()
+        n = len(coded.dictionary)
+        own, times = _summed(text * n + coded.indices.to_numpy(), np.ones(len(text), np.int64))
+        key, count, docs = _summed(group[own // n] * n + own % n, times, np.ones(len(own), np.int64)) if n else (own, times, times)
+        if n:
+            self._hold(coded.dictionary, key // n, key % n, count, docs)
+
+    def add_long(self, group: tuple[str, str], text: bytes) -> None:
+        counts: Counter = Counter()
         for terms in terms_of(text):
             counts.update(terms)
-            own.update(terms)
-        docs.update(own)
-        self.entries += len(counts) - before
+        code = np.full(len(counts), self.groups.setdefault(group, len(self.groups)), np.int64)
+        terms = pa.array([t.decode() for t in counts], pa.string())
+        number = np.arange(len(counts))
+        self._hold(terms, code, number, np.array(list(counts.values()), np.int64), np.ones(len(counts), np.int64))
 
     def run(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
         """``(shard, first term, piece)`` of the block in term order, and an empty block."""
-        names = sorted(self.groups)
-        rows = [(t, g, c, self.groups[name][1][t]) for g, name in enumerate(names) for t, c in self.groups[name][0].items()]
-        rows.sort(key=lambda r: (r[0], r[1]))
-        by_shard: dict[int, list] = {}
-        for row in rows:
-            by_shard.setdefault(shard_of(row[0], shards), []).append(row)
-        packer = zstandard.ZstdCompressor(level=1)
-        for shard, own in by_shard.items():
-            for at in range(0, len(own), _PIECE):
-                terms, *numbers = zip(*own[at : at + _PIECE])
-                content = (names, b"\n".join(terms), *[np.array(n, np.int64).tobytes() for n in numbers])
-                yield shard, terms[0], packer.compress(pickle.dumps(content, 5))
+        coded = pa.concat_arrays([h[0] for h in self.held]).dictionary_encode()
+        code, at = coded.indices.to_numpy(), 0
+        terms = []
+        for known, _, number, _, _ in self.held:
+            terms.append(code[at + number])
+            at += len(known)
+        order = pc.sort_indices(coded.dictionary)
+        vocabulary = coded.dictionary.take(order)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        shard = np.array([shard_of(t, shards) for t in vocabulary.cast(pa.binary()).to_pylist()], np.int64)
+        group, count, docs = (np.concatenate([h[i] for h in self.held]) for i in (1, 3, 4))
+        term, n = rank[np.concatenate(terms)], len(self.groups)
+        key, count, docs = _summed((shard[term] * len(order) + term) * n + group, count, docs)
+        group, term = key % n, key // n % len(order)
+        of_shard = key // n // len(order)
+        names = pickle.dumps(list(self.groups))
+        cuts = np.flatnonzero(np.diff(of_shard, prepend=-1))
+        for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+            for at in range(start, end, _PIECE):
+                own = slice(at, min(at + _PIECE, end))
+                entries = pa.RecordBatch.from_arrays(
+                    [vocabulary.take(pa.array(term[own])), *(pa.array(v[own]) for v in (group, count, docs))],
+                    schema=pa.schema(
+                        [("term", pa.string()), ("group", pa.int64()), ("count", pa.int64()), ("docs", pa.int64())],
+                        {b"groups": names},
+                    ),
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, entries.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(entries)
+                yield int(of_shard[at]), vocabulary[int(term[at])].as_py().encode(), sink.getvalue().to_pybytes()
         self.__init__()
 
 
-def piece_entries(piece: bytes) -> Iterator[tuple[bytes, tuple[str, str], int, int]]:
-    """``(term, group, occurrences, documents)``, ascending."""
-    names, terms, *numbers = pickle.loads(zstandard.ZstdDecompressor().decompress(piece))
-    groups, counts, docs = (np.frombuffer(n, np.int64).tolist() for n in numbers)
-    return zip(terms.split(b"\n"), map(names.__getitem__, groups), counts, docs)
+def shard_of(term: bytes, shards: int) -> int:
+    return zlib.crc32(term) % shards
 
 
-def merged(pieces: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, dict[tuple[str, str], list[int]]]]:
-    """Each term once with its groups' ``[occurrences, documents]``; pieces
-    come as ``(first term, piece)`` ordered by first term."""
-    heap: list[tuple] = []
-    term, found = None, {}
+class _Piece:
+    """A piece of a run that is being merged."""
 
-    def drained(until: bytes | None) -> Iterator[tuple]:
-        nonlocal term, found
-        while heap and (until is None or heap[0][0] < until):
-            now, group, n, count, docs, entries = heap[0]
-            if now != term:
-                if found:
-                    yield term, found
-                term, found = now, {}
-            sums = found.setdefault(group, [0, 0])
-            sums[0] += count
-            sums[1] += docs
-            if (entry := next(entries, None)) is None:
-                heapq.heappop(heap)
+    def __init__(self, piece: bytes, groups: dict[tuple[str, str], int]) -> None:
+        table = pa.ipc.open_stream(piece).read_all()
+        code = np.array([groups.setdefault(g, len(groups)) for g in pickle.loads(table.schema.metadata[b"groups"])], np.int64)
+        self.table = table.set_column(1, "group", pa.array(code[table["group"].to_numpy()])).combine_chunks()
+        self.at = 0
+
+    def head(self) -> bytes:
+        return self.table["term"][self.at].as_py().encode()
+
+    def until(self, term: bytes | None) -> pa.Table:
+        """The entries from here to a term, which are passed."""
+        low, high = self.at, len(self.table)
+        while term is not None and low < high:
+            mid = (low + high) // 2
+            if self.table["term"][mid].as_py().encode() < term:
+                low = mid + 1
             else:
-                heapq.heapreplace(heap, (entry[0], entry[1], n, entry[2], entry[3], entries))
+                high = mid
+        out = self.table.slice(self.at, high - self.at)
+        self.at = high
+        return out
+
 
+def merged(pieces: Iterator[tuple[bytes, bytes]], rows: int = 300_000) -> Iterator[pa.Table]:
+    """Each ``(term, lang, source)`` once with its ``count`` and ``docs``, whole terms in every table.
+
+    Pieces come as ``(first term, piece)`` ordered by first term.  A heap holds
+    the open pieces by their next term; what lies before the next piece's first
+    term is complete, and comes off the heap when there are ``rows`` of it or
+    more open."""
+    groups: dict[tuple[str, str], int] = {}
+    heap: list[tuple[bytes, int, _Piece]] = []
+
+    def taken(until: bytes | None) -> Iterator[pa.Table]:
+        parts = []
+        while heap and (until is None or heap[0][0] < until):
+            _, n, piece = heapq.heappop(heap)
+            parts.append(piece.until(until))
+            if piece.at < len(piece.table):
+                heapq.heappush(heap, (piece.head(), n, piece))
+        if parts:
+            sums = pa.concat_tables(parts).group_by(["term", "group"]).aggregate([("count", "sum"), ("docs", "sum")])
+            code, names = sums["group"].combine_chunks(), list(groups)
+            yield pa.table(
+                {
+                    "lang": pa.array([la for la, _ in names], pa.string()).take(code),
+                    "source": pa.array([so for _, so in names], pa.string()).take(code),
+                    "term": sums["term"], "count": sums["count_sum"], "docs": sums["docs_sum"],
+                }
+            )
+
+    held = 0
     for n, (first, piece) in enumerate(pieces):
-        yield from drained(first)
-        entries = piece_entries(piece)
-        t, group, count, docs = next(entries)
-        heapq.heappush(heap, (t, group, n, count, docs, entries))
-    yield from drained(None)
-    if found:
-        yield term, found
+        if held >= rows:
+            yield from taken(first)
+            held = sum(len(p.table) - p.at for _, _, p in heap)
+        opened = _Piece(piece, groups)
+        heapq.heappush(heap, (opened.head(), n, opened))
+        held += len(opened.table)
+    yield from taken(None)
+
+
+def _kept(sums: pa.Table, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """``lang, term, total, holders`` of the terms with enough documents."""
+    terms = sums.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("count", "sum")])
+    terms = terms.filter(pc.greater_equal(terms["docs_sum"], min_docs))
+    held = sums.join(terms, ["lang", "term"], join_type="inner").sort_by([("lang", "ascending"), ("term", "ascending")])
+    held = held.combine_chunks()
+    if not len(held):
+        return
+    lang, term = (held[c].combine_chunks().dictionary_encode() for c in ("lang", "term"))
+    key = lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    columns = [held[c].combine_chunks() for c in ("source", "count")]
+    holders = pa.StructArray.from_arrays(columns, ["source", "count"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), holders)
+    at = pa.array(first)
+    out = pa.table(
+        {"lang": held["lang"].take(at), "term": held["term"].take(at), "total": held["count_sum"].take(at), "holders": lists}
+    )
+    yield from out.to_batches(max_chunksize=10_000)
 
 
 def postings(docs: DataFrame, min_docs: int, block: int, shards: int) -> DataFrame:
@@ -155,43 +261,32 @@ def postings(docs: DataFrame, min_docs: int, block: int, shards: int) -> DataFra
 
     def spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Block()
-        pack = lambda rows: pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "first", "piece"]
-        )
+        names, kinds = ["shard", "first", "piece"], (pa.int32(), pa.binary(), pa.binary())
+
+        def run() -> Iterator[pa.RecordBatch]:
+            for piece in held.run(shards) if held.entries else ():
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(piece, kinds)], names)
+
         for batch in batches:
-            for lang, source, text in zip(*batch.columns):
-                held.add((lang.as_py(), source.as_py()), text.as_buffer().to_pybytes())
+            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for first, after in slices(batch.column(2), _CHUNK):
+                texts = batch.column(2).slice(first, after - first)
+                if after - first == 1 and pc.binary_length(texts)[0].as_py() > _CHUNK:
+                    held.add_long(groups[first], texts[0].as_buffer().to_pybytes())
+                else:
+                    held.add(groups[first:after], texts)
                 if held.entries >= block:
-                    yield pack(list(held.run(shards)))
-        if held.entries:
-            yield pack(list(held.run(shards)))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("source", pa.string()), ("count", pa.int64())]))
-        kinds = {"lang": pa.string(), "term": pa.string(), "total": pa.int64(), "holders": kind}
-        rows: list[tuple] = []
-        pack = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds)
-        )
-        pieces = ((f.as_py(), p.as_py()) for batch in batches for f, p in zip(batch["first"], batch["piece"]))
-        for term, found in merged(pieces):
-            langs: dict[str, list] = {}
-            for (lang, source), (count, n) in found.items():
-                langs.setdefault(lang, []).append((source, count, n))
-            for lang, of in langs.items():
-                if sum(n for _, _, n in of) >= min_docs:
-                    holders = [{"source": s, "count": c} for s, c, _ in of]
-                    rows.append((lang, term.decode(), sum(c for _, c, _ in of), holders))
-            if len(rows) >= 2_000:
-                yield pack()
-                rows.clear()
-        if rows:
-            yield pack()
+                    yield from run()
+        yield from run()
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sums in merged((f.as_py(), p.as_py()) for batch in batches for f, p in zip(batch["first"], batch["piece"])):
+            yield from _kept(sums, min_docs)
 
     runs = docs.mapInArrow(spilled, "shard int, first binary, piece binary")
     at_shard = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("first")
     schema = "lang string, term string, total long, holders array<struct<source: string, count: long>>"
-    return at_shard.mapInArrow(summed, schema)
+    return at_shard.mapInArrow(frequencies, schema)
 
 
 def probability(count: Column, n: Column, terms: Column) -> Column:

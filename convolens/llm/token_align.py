@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from convolens.session import checkpoint_dir, ship_package
 
 from .array_files import load, save
-from .common import id_type, staged
+from .common import id_type, slices, staged
 
 MEMO = 400_000
 PARTS = 64  # files of pair counts
@@ -282,18 +282,6 @@ def _printed(size_a: int, size_b: int) -> _Printed:
     return _Printed(size_a, size_b)
 
 
-def _batches(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``_BATCH_BYTES`` of text, or one row."""
-    first, held = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(column).to_pylist()):
-        if i > first and held + (size or 0) > _BATCH_BYTES:
-            yield first, i
-            first, held = i, 0
-        held += size or 0
-    if first < len(column):
-        yield first, len(column)
-
-
 def overlaps(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per overlapping pair of tokens: ``doc_id``, token numbers ``a, b``
     in the document, ``a_id, b_id``, byte ranges in the space and the text
@@ -302,7 +290,7 @@ def overlaps(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, after in _batches(batch.column(1)):
+            for first, after in slices(batch.column(1), _BATCH_BYTES):
                 part = batch.slice(first, after - first)
                 a, b = tokens_of([t or "" for t in part.column(1).to_pylist()], a_path, b_path)
                 pairs = overlapping(a, b).sort_values(["a", "b"])
@@ -334,7 +322,7 @@ def _per_document(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
         size_a, size_b = (side.size for side in _sides(a_path, b_path))
         printed = _printed(size_a, size_b)
         for batch in batches:
-            for first, after in _batches(batch.column(1)):
+            for first, after in slices(batch.column(1), _BATCH_BYTES):
                 part = batch.slice(first, after - first)
                 n = part.num_rows
                 a, b = tokens_of([t or "" for t in part.column(1).to_pylist()], a_path, b_path)

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from convolens.llm import source_divergence as sd
-from convolens.llm.source_divergence import Block, merged, piece_entries, source_divergence, terms_of
+from convolens.llm.source_divergence import Block, merged, source_divergence, terms_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, p long, n int, rank int"  # clashing names
 _rng = random.Random(5)
@@ -20,7 +21,7 @@ ROWS = [
     (903, "lonely words here", "yy", "s"), (904, "other words there", "yy", "t"),  # a language that keeps no term
     (905, "solo SOLO solo", "zz", "one"), (905, "solo SOLO solo", "zz", "one"), (905, "solo SOLO solo", "zz", "one"),
     (None, "wa Wb, wc", "en", "b"),
-    (906, "waa " * 100_000 + "tail", "en", "long"),
+    (906, "waa " * 100_000 + "tail", "en", "long"), (907, "waa wab! " * 200_000 + "tail", "en", "longer"),
 ]
 
 
@@ -76,8 +77,6 @@ def test_empty_table(spark):
 
 def test_corrections_do_not_depend_on_batches(monkeypatch):
     """Terms cut over batches, pairs over blocks, sums over flushes: the same totals."""
-    import pyarrow as pa
-
     rng = random.Random(3)
     rows = sorted(
         (la, f"t{t:03}", f"s{s}", rng.randint(1, 10**9), rng.randint(1, 10**6))
@@ -107,30 +106,37 @@ def test_corrections_do_not_depend_on_batches(monkeypatch):
     assert totals(cut) == expected and totals([whole]) == expected
 
 
-def test_heap_merge_gives_each_term_once():
+@pytest.mark.parametrize("rows", [1, 40, 10**9])
+def test_heap_merge_gives_each_term_once(rows):
     rng = random.Random(1)
     block, pieces, expected = Block(), [], {}
     for n in range(300):
-        words = [f"k{rng.randint(0, 80)}" for _ in range(rng.randint(0, 12))]
-        words = ["x" + "abcdefghij"[int(w[1:]) % 10] * (int(w[1:]) // 10 + 1) for w in words]
-        group = ("l", rng.choice("ab"))
-        block.add(group, " ".join(words).encode())
-        for w in words:
-            expected.setdefault(w.encode(), {}).setdefault(group, [0, 0])[0] += 1
-        for w in set(words):
-            expected[w.encode()][group][1] += 1
-        if block.entries > 15:
+        texts, groups = [], []
+        for _ in range(3):
+            words = ["x" + "abcdefghij"[k % 10] * (k // 10 + 1) for k in rng.choices(range(80), k=rng.randint(0, 12))]
+            group = ("l", rng.choice("ab"))
+            texts.append(", ".join(words).upper())
+            groups.append(group)
+            for w in words:
+                expected.setdefault((*group, w), [0, 0])[0] += 1
+            for w in set(words):
+                expected[*group, w][1] += 1
+        block.add(groups[:2], pa.array(["skipped", *texts[:2]])[1:])
+        block.add_long(groups[2], texts[2].encode())
+        if block.entries > 60:
             pieces += [(first, piece) for _, first, piece in block.run(1)]
     pieces += [(first, piece) for _, first, piece in block.run(1)]
     assert len(pieces) > 20 and block.entries == 0
-    got = list(merged(iter(sorted(pieces))))
-    assert [t for t, _ in got] == sorted(expected) and dict(got) == expected
-    assert all(list(piece_entries(p)) == sorted(piece_entries(p)) for _, p in pieces)
+    tables = list(merged(iter(sorted(pieces)), rows))
+    got = [tuple(r.values()) for t in tables for r in t.to_pylist()]
+    assert len(got) == len(expected) and {r[:3]: list(r[3:]) for r in got} == expected
+    ends = [(min(t["term"].to_pylist()), max(t["term"].to_pylist())) for t in tables]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))  # whole terms, in term order
 
 
 def test_terms_of_long_texts(monkeypatch):
     monkeypatch.setattr(sd, "_CHUNK", 7)
-    for text in ("", "a", "Ab,cD é_f", "x" * 50, "ab " * 20 + "y" * 30 + " z", "   ", "日本語の文 x"):
+    for text in ("", "a", "Ab,cD é_f", "x" * 50, "ab " * 20 + "y" * 30 + " z", "   ", "日本語の文 x", "a" * 7, " " * 20 + "b"):
         lists = list(terms_of(text.encode()))
         expected = re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())
         assert [w for part in lists for w in part] == expected

@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from convolens.llm import token_align as ta
+from convolens.llm.common import slices
 from convolens.llm.queries import op12_token_alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -114,12 +116,9 @@ def test_query_on_driver_documents(spark, libraries):
     assert rows_of(df) == brute(libraries, texts)
 
 
-def test_batches_are_cut_by_bytes_and_align_alike(monkeypatch):
-    import pyarrow as pa
-
+def test_batches_are_cut_by_bytes_and_align_alike():
     texts = [x or "" for _, x in TEXTS]
-    monkeypatch.setattr(ta, "_BATCH_BYTES", 60)
-    cuts = list(ta._batches(pa.array(texts)))
+    cuts = list(slices(pa.array(texts), 60))
     assert [c for c, _ in cuts] == [0, *[d for _, d in cuts[:-1]]] and cuts[-1][1] == len(texts) and len(cuts) > 4
     assert all(j - i == 1 or sum(len(t.encode()) for t in texts[i:j]) <= 60 for i, j in cuts)
     whole = ta.overlapping(*ta.tokens_of(texts, A, B))
