@@ -1,25 +1,24 @@
 """Per-conversation feature operators (T, M, R, V, H, X, C) and their fold.
 
-Each feature is a small spec: optional *anchor* aggregates (phase 1, e.g. the
-position of the first hand-off invitation), *aggregates* (phase 2, may refer
-to anchors) and *outputs* (column expressions over the aggregated row that may
-read columns produced by features earlier in the chain).
-
-The fold turns a list of specs into at most two aggregations keyed by the
-conversation key:
-
-* phase 1 (only when a spec needs anchors): ``groupBy(key).agg(anchors)`` —
-  partial aggregation, one small row per key;
-* the anchors are joined back to the messages (sort-merge or broadcast as AQE
-  decides; a hot key is split by AQE skew handling, the join side is unique
-  per key);
-* phase 2: one ``groupBy(key).agg(...)`` over all specs, then one ``select``.
-
-No window is partitioned by the conversation key and nothing collects a
-conversation into one row, so a conversation holding a large share of all
-messages is still reduced map-side by partial aggregation.  Order-dependent
-features use the unique ordering key of ``order_key`` with ``max_by`` /
-``min_by`` instead of a dense message ordinal.
+Each feature is a small spec: optional *anchors* (aggregates of a segment that
+its other aggregates refer to, e.g. the position of the first hand-off
+invitation), *aggregates* with the way they *merge*, and *outputs* (column
+expressions over the aggregated row that may read columns produced by features
+earlier in the chain).
+
+The fold turns a list of specs into one scan of the messages:
+
+* without anchors: one ``groupBy(key).agg(...)`` with partial aggregation;
+* with anchors: messages are dealt by ``(key, segment)`` once
+  (``operators/segments.py``); the anchors are window aggregates over that
+  partitioning and the aggregates follow on it without another exchange.  The
+  states of a conversation's segments, if it has several, are then merged in
+  order.
+
+A segment is the whole conversation unless that holds a large share of all
+messages; then it is a bounded stretch of it.  Nothing collects a conversation
+into one row.  Order-dependent features use the unique ordering key of
+``order_key`` with ``max_by`` / ``min_by`` instead of a dense message ordinal.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable, ClassVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +41,7 @@ from convolens.functions.text import (
     truncate_text,
 )
 from convolens.functions.timefmt import hours_minutes, iso_in_zone, seconds_between, ts_text19
-from convolens.operators.keyed import keyed_aggregate
+from convolens.operators.segments import MERGES, SEGMENT, Cuts, Merge, cuts_of, merge_states
 from convolens.operators.transcript import digest_of, digest_parts
 from convolens.session import AS_OF_DEFAULT
 
@@ -100,14 +99,19 @@ class Feature:
     def p(self, key: str, default=None):
         return self.params.get(key, default)
 
-    # phase 1 -----------------------------------------------------------------
+    # per segment ---------------------------------------------------------------
     def anchors(self, m: Msg) -> dict[str, Column]:
         return {}
 
-    # phase 2 -----------------------------------------------------------------
     def aggregates(self, m: Msg) -> dict[str, Column]:
         return {}
 
+    def merges(self) -> dict[str, str | Merge]:
+        """How each aggregate of two neighbouring segments becomes one: a name
+        in :data:`MERGES` or a function ``(left, right, name) -> Column``.
+        Without one a conversation is never cut (and cannot be kept as a state)."""
+        return {}
+
     # final projection ----------------------------------------------------------
     def outputs(self, a: Agg, prior: dict[str, Column], as_of: Column) -> dict[str, Column]:
         raise NotImplementedError
@@ -145,6 +149,9 @@ class Temporal(Feature):
             f"{self.prefix}last_user": F.max(F.when(m.is_user_l, m.t)),
         }
 
+    def merges(self):
+        return {n: "max" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         if self.p("skip_detailed_temporal", False):
             return {
@@ -188,20 +195,23 @@ class Metadata(Feature):
 
     def aggregates(self, m):
         return {
-            f"{self.prefix}sender": F.max_by(m.sender_l, m.ord),
-            f"{self.prefix}user_text": F.max_by(m.raw_text, F.when(m.is_user_l, m.ord)),
-            f"{self.prefix}kuna_text": F.max_by(m.raw_text, F.when(m.is_kuna_l, m.ord)),
-            f"{self.prefix}ts": F.max_by(m.t, m.ord),
+            f"{self.prefix}sender": F.max_by(F.struct(m.sender_l.alias("v")), m.ord),
+            f"{self.prefix}user_text": F.max_by(F.struct(m.raw_text.alias("v")), F.when(m.is_user_l, m.ord)),
+            f"{self.prefix}kuna_text": F.max_by(F.struct(m.raw_text.alias("v")), F.when(m.is_kuna_l, m.ord)),
+            f"{self.prefix}ts": F.max_by(F.struct(m.t.alias("v")), m.ord),
         }
 
+    def merges(self):
+        return {n: "last" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         n = self.p("max_message_length")
         cut = (lambda c: truncate_text(c, int(n))) if n is not None else (lambda c: c)
         return {
-            "last_message_sender": F.when(a("sender") == "user", F.lit("user")).otherwise(F.lit("kuna")),
-            "last_user_message_text": cut(F.coalesce(a("user_text"), F.lit("N/A"))),
-            "last_kuna_message_text": cut(F.coalesce(a("kuna_text"), F.lit("N/A"))),
-            "last_message_ts": ts_text19(a("ts")),
+            "last_message_sender": F.when(a("sender")["v"] == "user", F.lit("user")).otherwise(F.lit("kuna")),
+            "last_user_message_text": cut(F.coalesce(a("user_text")["v"], F.lit("N/A"))),
+            "last_kuna_message_text": cut(F.coalesce(a("kuna_text")["v"], F.lit("N/A"))),
+            "last_message_ts": ts_text19(a("ts")["v"]),
         }
 
 
@@ -242,8 +252,15 @@ class Template(Feature):
         if self._count():
             brk = _anchor(self, "break")
             out[f"{self.prefix}run"] = F.count(F.when(brk.isNull() | (m.ord > brk), F.lit(1)))
+            out[f"{self.prefix}broken"] = F.max(brk.isNotNull())
         return out
 
+    def merges(self):
+        run, broken = f"{self.prefix}run", f"{self.prefix}broken"
+        goes_on = lambda left, right, _: F.when(right(broken), right(run)).otherwise(left(run) + right(run))
+        every = {f"{self.prefix}last_bot_hit": "last", run: goes_on, broken: "any"}
+        return {n: every[n] for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         detected = F.coalesce(a("last_bot_hit"), F.lit(False)) if self._active() else F.lit(False)
         run = a("run").cast("int") if self._count() else F.lit(0)
@@ -265,6 +282,9 @@ class Validation(Feature):
         hit = contains_any(strip_accents(F.lower(m.text)), P.PRE_VALIDATION_PHRASES)
         return {f"{self.prefix}hit": F.bool_or(m.is_bot & hit)}
 
+    def merges(self):
+        return {n: "any" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         if self.p("skip_validacion_detection", False):
             return {"pre_validacion_detected": F.lit(False)}
@@ -303,6 +323,23 @@ class Handoff(Feature):
             f"{self.prefix}inv_seen": F.max(inv.isNotNull()),
             f"{self.prefix}reply": F.min_by(m.text, F.when(m.is_user & after, m.ord)),
             f"{self.prefix}done": F.bool_or(m.is_bot & after & done),
+            # for an invitation in an earlier segment
+            f"{self.prefix}first_user": F.min_by(m.text, F.when(m.is_user, m.ord)),
+            f"{self.prefix}any_done": F.bool_or(m.is_bot & done),
+        }
+
+    def merges(self):
+        if not self._invite():
+            return {}
+        inv, reply, done, first_user, any_done = (
+            f"{self.prefix}{n}" for n in ("inv_seen", "reply", "done", "first_user", "any_done")
+        )
+        return {
+            inv: "any",
+            reply: lambda l, r, _: F.when(l(inv), F.coalesce(l(reply), r(first_user))).otherwise(r(reply)),  # noqa: E741
+            done: lambda l, r, _: F.when(l(inv), F.coalesce(l(done), F.lit(False)) | r(any_done)).otherwise(r(done)),  # noqa: E741
+            first_user: "first",
+            any_done: "any",
         }
 
     def outputs(self, a, prior, as_of):
@@ -357,6 +394,9 @@ class HumanTransfer(Feature):
         hit = rlike_any(strip_accents(m.text), literal_regex(phrases), ignore_case=True)
         return {f"{self.prefix}hit": F.bool_or(m.is_bot & hit)}
 
+    def merges(self):
+        return {n: "any" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         if self.p("skip_human_transfer_detection", False):
             return {"human_transfer": F.lit(False)}
@@ -400,7 +440,19 @@ class TransferContext(Feature):
 
     def aggregates(self, m):
         first = _anchor(self, "first")
-        return {f"{self.prefix}ctx": F.max_by(m.text, F.when(m.is_user & (m.ord < first), m.ord))}
+        return {
+            f"{self.prefix}ctx": F.max_by(m.text, F.when(m.is_user & (m.ord < first), m.ord)),
+            f"{self.prefix}seen": F.max(first.isNotNull()),
+            f"{self.prefix}last_user": F.max_by(m.text, F.when(m.is_user, m.ord)),  # for a transfer in a later segment
+        }
+
+    def merges(self):
+        ctx, seen, last_user = (f"{self.prefix}{n}" for n in ("ctx", "seen", "last_user"))
+        return {
+            ctx: lambda l, r, _: F.when(l(seen), l(ctx)).when(r(seen), F.coalesce(r(ctx), l(last_user))),  # noqa: E741
+            seen: "any",
+            last_user: "last",
+        }
 
     def outputs(self, a, prior, as_of):
         return {"transfer_user_context": a("ctx")}
@@ -417,6 +469,9 @@ class Recency(Feature):
     def aggregates(self, m):
         return {f"{self.prefix}last": F.max(m.t), f"{self.prefix}last_user": F.max(F.when(m.is_user_l, m.t))}
 
+    def merges(self):
+        return {n: "max" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         return {
             "hours_since_last_message": seconds_between(as_of, a("last")) / F.lit(3600.0),
@@ -435,6 +490,9 @@ class LastTimes(Feature):
     def aggregates(self, m):
         return {f"{self.prefix}last": F.max(m.t), f"{self.prefix}last_user": F.max(F.when(m.is_user_l, m.t))}
 
+    def merges(self):
+        return {n: "max" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         return {"last_message_time": a("last"), "last_user_message_time": a("last_user")}
 
@@ -452,6 +510,9 @@ class FollowUps(Feature):
         is_op = F.coalesce(m.sender_l == "operator", F.lit(False))
         return {f"{self.prefix}n": F.count_if(is_op & (m.t >= start))}
 
+    def merges(self):
+        return {n: "sum" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         return {"follow_up_attempts": F.coalesce(a("n"), F.lit(0)).cast("bigint")}
 
@@ -468,6 +529,9 @@ class LeadName(Feature):
         name = lead_name(m.text)
         return {f"{self.prefix}first": F.min_by(name, F.when(m.is_bot & name.isNotNull(), m.ord))}
 
+    def merges(self):
+        return {n: "first" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         return {"lead_name": a("first")}
 
@@ -483,6 +547,9 @@ class Digest(Feature):
     def aggregates(self, m):
         return {f"{self.prefix}{n}": c for n, c in digest_parts().items()}
 
+    def merges(self):
+        return {n: "sum" for n in self.aggregates(Msg())}
+
     def outputs(self, a, prior, as_of):
         return {"conversation_digest": digest_of(a("n"), a("high"), a("low"))}
 
@@ -575,38 +642,74 @@ def with_order_key(messages: DataFrame) -> DataFrame:
     return messages.withColumn(ORD, order_key(messages.columns))
 
 
+def state_merges(specs: list[Feature]) -> dict[str, Merge] | None:
+    """The merge of every state column of a chain, or None if one is not declared."""
+    out: dict[str, Merge] = {}
+    for f in specs:
+        declared = f.merges()
+        for name in f.aggregates(Msg()):
+            if name not in declared:
+                return None
+            how = declared[name]
+            out[name] = MERGES[how] if isinstance(how, str) else how
+    return out
+
+
+def _base(messages: DataFrame, key: str) -> DataFrame:
+    needed = [key, "creation_time", "msg_from", "message"] + (["src_ord"] if "src_ord" in messages.columns else [])
+    return with_order_key(messages.select(*needed, *[c for c in (SEGMENT,) if c in messages.columns]))
+
+
+def segment_states(messages: DataFrame, specs: list[Feature], key: str = "cleaned_phone") -> DataFrame:
+    """The state of each ``(key, segment)``: one exchange, in which the anchors
+    are window aggregates and the state follows on the same partitioning."""
+    m = Msg(key)
+    base = _base(messages, key)
+    anchors = {n: c for f in specs for n, c in f.anchors(m).items()}
+    if anchors:
+        together = Window.partitionBy(key, SEGMENT)
+        base = base.withColumns({n: c.over(together) for n, c in anchors.items()})
+    aggs = {n: c for f in specs for n, c in f.aggregates(m).items()} or {"__rows": F.count(F.lit(1))}
+    return base.groupBy(key, SEGMENT).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def feature_outputs(states: DataFrame, specs: list[Feature], as_of: str, key: str = "cleaned_phone") -> DataFrame:
+    """The chain's columns from one state per key; later features overwrite
+    earlier columns of the same name."""
+    as_of_col = F.to_timestamp(F.lit(as_of))
+    cols: dict[str, Column] = {}
+    for f in specs:
+        cols.update(f.outputs(Agg(f.prefix), dict(cols), as_of_col))
+    return states.select(F.col(key), *[c.alias(n) for n, c in cols.items()])
+
+
 def conversation_features(
     messages: DataFrame,
     specs: list[Feature],
     as_of: str = AS_OF_DEFAULT,
     key: str = "cleaned_phone",
+    cuts: Cuts | None = None,
 ) -> DataFrame:
-    """Fold a feature chain into (at most) two aggregations keyed by ``key``.
+    """Fold a feature chain over each conversation; one row per key with
+    the chain's columns.
 
-    Output: one row per conversation key with the chain's columns; later
-    features overwrite earlier columns of the same name.
-    """
+    ``cuts`` says where hot conversations are cut; by default they are looked
+    for (a sketch of the key column, run at once) if the chain has anchors and
+    can be merged."""
     m = Msg(key)
-    needed = [key, "creation_time", "msg_from", "message"] + (["src_ord"] if "src_ord" in messages.columns else [])
-    base = with_order_key(messages.select(*needed))
-    anchors: dict[str, Column] = {}
-    for f in specs:
-        anchors.update(f.anchors(m))
-    if anchors:
-        # see operators/keyed.py: keeps the join back splittable by AQE skew handling
-        firsts = keyed_aggregate(base, key, *[c.alias(n) for n, c in anchors.items()])
-        base = base.join(firsts, key)
-    aggs: dict[str, Column] = {}
-    for f in specs:
-        aggs.update(f.aggregates(m))
-    if not aggs:
-        aggs["__rows"] = F.count(F.lit(1))
-    grouped = base.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
-    as_of_col = F.to_timestamp(F.lit(as_of))
-    cols: dict[str, Column] = {}
-    for f in specs:
-        cols.update(f.outputs(Agg(f.prefix), dict(cols), as_of_col))
-    return grouped.select(F.col(key), *[c.alias(n) for n, c in cols.items()])
+    if not any(f.anchors(m) for f in specs):
+        aggs = {n: c for f in specs for n, c in f.aggregates(m).items()} or {"__rows": F.count(F.lit(1))}
+        states = _base(messages, key).groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
+        return feature_outputs(states, specs, as_of, key)
+    merges = state_merges(specs)
+    if merges is None:
+        cuts = Cuts()
+    elif cuts is None:
+        cuts = cuts_of(messages, key)
+    states = segment_states(cuts.assign(messages, key), specs, key)
+    if cuts.rows:
+        states = merge_states(states, merges, [key], SEGMENT)
+    return feature_outputs(states, specs, as_of, key)
 
 
 def chain(names_and_params: list[tuple[str, dict]] | list[str]) -> list[Feature]:

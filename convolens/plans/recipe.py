@@ -21,6 +21,7 @@ from convolens.operators import features as FT
 from convolens.operators import labels as LB
 from convolens.operators import messages as MS
 from convolens.operators import report as RP
+from convolens.operators.segments import cuts_of
 from convolens.session import AS_OF_DEFAULT
 
 SCHEMA_VERSION = 2
@@ -262,12 +263,17 @@ def get_recipe(name: str) -> Recipe:
     return RECIPES[name]
 
 
-def recipe_messages(recipe: Recipe, messages: DataFrame, leads: DataFrame, as_of: str = AS_OF_DEFAULT) -> DataFrame:
-    """S2/S3 + P11/P12 + P1/P2/P7 + J2 + J5 for a recipe: bounded messages with
-    the same key rules as the leads, targeted, phase-cut."""
+def bounded_messages(recipe: Recipe, messages: DataFrame, as_of: str = AS_OF_DEFAULT) -> DataFrame:
+    """P11/P12 + P1/P2/P7: the messages in the recipe's time bounds, with the
+    same key rules as the leads."""
     m = MS.time_bounds(messages, start=recipe.message_start, end=recipe.message_end,
                        as_of=as_of if recipe.lookback_days else None, lookback_days=recipe.lookback_days)
-    m = MS.for_targets(RP.normalise_keys(m), leads)
+    return RP.normalise_keys(m)
+
+
+def recipe_messages(recipe: Recipe, messages: DataFrame, leads: DataFrame, as_of: str = AS_OF_DEFAULT) -> DataFrame:
+    """S2/S3 + J2 + J5 for a recipe: bounded messages, targeted, phase-cut."""
+    m = MS.for_targets(bounded_messages(recipe, messages, as_of), leads)
     if recipe.phase_start_pattern:
         is_start = F.lower(F.coalesce(F.col("message"), F.lit(""))).contains(recipe.phase_start_pattern)
         m = MS.from_phase_start(m, is_start).drop("phase_start")
@@ -316,7 +322,10 @@ def run_recipe(
     leads = RP.normalise_lead_keys(leads)
     msgs = recipe_messages(recipe, messages, leads, as_of)
     specs = [*recipe.features(skip, only), FT.make_feature("digest")]
-    results = FT.conversation_features(msgs, specs, as_of=as_of)
+    cuts = None
+    if any(f.anchors(FT.Msg()) for f in specs):  # looked for before the targets are met: a scan of the key column
+        cuts = cuts_of(bounded_messages(recipe, messages, as_of))
+    results = FT.conversation_features(msgs, specs, as_of=as_of, cuts=cuts)
     nothing = F.lit(None).cast("string")
     lab = recipe_labels(recipe, labels, responses)
     if lab is None:

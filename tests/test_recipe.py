@@ -81,8 +81,8 @@ def test_a_run_scans_its_inputs_few_times(spark, threshold):
         if threshold:
             spark.conf.set(key, threshold)
         conversations, customers, python = plan_counts(Q.recipe_result(spark, SF))
-        # messages: one scan for the anchors, one for the features; labels: one
-        assert conversations <= 3 and customers <= 3 and python == 0
+        # messages: one scan; labels: one
+        assert conversations <= 2 and customers <= 3 and python == 0
         conversations, customers, python = plan_counts(Q.QUERIES["error_rows"](spark, SF))
         assert conversations <= 2 and customers <= 1 and python == 0
     finally:

@@ -1,9 +1,10 @@
-"""A conversation holding most of the rows: the feature fold still reduces it
-map-side and AQE splits the join back of the anchors."""
+"""A conversation holding most of the rows: the feature fold cuts it into
+bounded segments, and joins on it are split."""
 
 from pyspark.sql import functions as F
 
 from convolens.operators import features as FT
+from convolens.operators.segments import SEGMENT, cuts_of
 from convolens.operators.transcript import PLAIN, conversation_chunks, conversation_digest, conversation_text
 
 
@@ -29,11 +30,12 @@ def test_hot_key_is_split_and_results_match(spark):
             F.when(F.col("id") % 3 == 0, "user").otherwise("bot").alias("msg_from"),
             F.when(F.col("id") % 97 == 0, "No pierdas la oportunidad").otherwise(F.lit("texto")).alias("message"),
         ).repartition(16)
-        out = FT.conversation_features(base, [FT.Handoff(), FT.Template()])
+        cuts = cuts_of(base, least=10_000, rows=2_000)
+        assert [k for k, _ in cuts.rows] == ["5500000001"]
+        out = FT.conversation_features(base, [FT.Handoff(), FT.Template()], cuts=cuts)
         rows = {r.cleaned_phone: r for r in out.collect()}
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan  # the hot conversation's join partition was split
-        assert "Window" not in plan
+        sizes = [r["count"] for r in cuts.assign(base, "cleaned_phone").groupBy("cleaned_phone", SEGMENT).count().collect()]
+        assert max(sizes) < 4_000  # no task gets the hot conversation whole
         hot = rows["5500000001"]
         assert hot.handoff_invitation_detected is True
         assert len(rows) == 1 + len({i % 500 for i in range(n) if i % 10 >= 7})
