@@ -90,33 +90,35 @@ def cuts_of(
     return Cuts(tuple((r["k"], sorted({t for t in r["cuts"] or [] if t is not None})) for r in times.collect()))  # one row per hot key
 
 
-def merge_states(states: DataFrame, merges: dict[str, Merge], by: list[str], order: str) -> DataFrame:
-    """One row per ``by`` from states that follow each other in ``order``."""
-    names = list(merges)
-    held = F.array_sort(F.collect_list(F.struct(order, F.struct(*names).alias("state"))))
-    grouped = states.groupBy(*by).agg(F.transform(held, lambda s: s["state"]).alias("__states"))
+def _merged(merges: dict[str, Merge], states: DataFrame) -> Callable[[Column, Column], Column]:
+    """The merge of two state structs, in the types of the ``states`` columns."""
+    at = lambda s: lambda name: s[name]
+    kinds = {n: states.schema[n].dataType for n in merges}
+    return lambda left, right: F.struct(*[m(at(left), at(right), n).cast(kinds[n]).alias(n) for n, m in merges.items()])
 
-    def merged(left: Column, right: Column) -> Column:
-        at = lambda s: lambda name: s[name]
-        return F.struct(*[merges[n](at(left), at(right), n).cast(states.schema[n].dataType).alias(n) for n in names])
 
-    rest = F.slice("__states", 2, F.size("__states"))
-    one = F.when(F.size("__states") == 1, F.get("__states", F.lit(0))).otherwise(
-        F.reduce(rest, F.get("__states", F.lit(0)), merged)
-    )
+def _ordered(states: DataFrame, merges: dict[str, Merge], by: list[str], order: str) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct(order, F.struct(*merges).alias("state"))))
+    return states.groupBy(*by).agg(held.alias("__states"))
+
+
+def merge_states(states: DataFrame, merges: dict[str, Merge], by: list[str], order: str) -> DataFrame:
+    """One row per ``by`` from states that follow each other in ``order``."""
+    grouped = _ordered(states, merges, by, order).withColumn("__states", F.transform("__states", lambda s: s["state"]))
+    first, rest = F.get("__states", F.lit(0)), F.slice("__states", 2, F.size("__states"))
+    one = F.when(F.size("__states") == 1, first).otherwise(F.reduce(rest, first, _merged(merges, states)))
     return grouped.select(*by, one.alias("__state")).select(*by, "__state.*")
 
 
-def join_states(left: DataFrame, right: DataFrame, merges: dict[str, Merge], by: str) -> DataFrame:
-    """States of ``left`` merged with the later ones of ``right`` (either may lack a key)."""
-    renamed = right.select(F.col(by).alias("__by"), *[F.col(n).alias(f"__r_{n}") for n in merges])
-    has = {"l": F.col("__in_l"), "r": F.col("__in_r")}
-    marked = left.select(by, *merges, F.lit(True).alias("__in_l"))
-    renamed = renamed.withColumn("__in_r", F.lit(True))
-    met = marked.join(renamed, marked[by].eqNullSafe(renamed["__by"]), "full")
-    l_at, r_at = (lambda n: F.col(n)), (lambda n: F.col(f"__r_{n}"))
-    columns = [
-        F.when(has["l"].isNull(), r_at(n)).when(has["r"].isNull(), l_at(n)).otherwise(m(l_at, r_at, n)).cast(left.schema[n].dataType).alias(n)
-        for n, m in merges.items()
-    ]
-    return met.select(F.when(has["l"].isNull(), F.col("__by")).otherwise(F.col(by)).alias(by), *columns)
+def split_states(states: DataFrame, merges: dict[str, Merge], by: str, order: str) -> DataFrame:
+    """Like :func:`merge_states`, with the last state apart: ``by``, the last
+    state's ``order``, ``before`` (the merged earlier states, null if none),
+    ``last`` and ``whole`` as structs."""
+    grouped = _ordered(states, merges, [by], order)
+    merged = _merged(merges, states)
+    n = F.size("__states")
+    earlier = F.transform(F.slice("__states", 1, n - 1), lambda s: s["state"])
+    before = F.when(n > 1, F.reduce(F.slice(earlier, 2, n), F.get(earlier, F.lit(0)), merged))
+    out = grouped.select(by, F.get("__states", n - 1).alias("__last"), before.alias("before"))
+    out = out.select(by, F.col("__last")[order].alias(order), "before", F.col("__last")["state"].alias("last"))
+    return out.withColumn("whole", F.when(F.col("before").isNull(), F.col("last")).otherwise(merged(F.col("before"), F.col("last"))))

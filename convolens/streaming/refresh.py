@@ -1,40 +1,114 @@
 """G1: incremental feature refresh with Structured Streaming.
 
-New message files are read as a stream; each micro-batch (``foreachBatch``)
-1. appends its messages to the history table under ``epoch=<id>/bucket=<hash of key>``,
-2. recomputes the feature chain only for the conversation keys the batch
-   touched (only their buckets of the history are read; ``left_semi`` to the keys),
-3. writes those feature rows under partition ``epoch=<id>``.
-
-Both writes replace their epoch's partition (dynamic partition overwrite), so
-a micro-batch re-run after a failure (the checkpoint replays the epoch)
-leaves exactly one copy.  ``latest_features`` keeps the newest epoch per key.
-The checkpoint lives under the cluster's shared ``spark.checkpoint.dir``.
+New message files are read as a stream.  What is kept between batches is not
+features but mergeable states (``operators/segments.py``), one per conversation
+and day and one per conversation:
+
+* ``messages``  the history, partitioned by day and epoch;
+* ``days``      the state of each (conversation, day) ever touched;
+* ``running``   per conversation the state of its last day and, merged, of all
+  days before it.
+
+A micro-batch appends its messages, recomputes the states of the days it
+touches (only these days of only these conversations are read back, so rows
+that arrive late within a day fall into place), and merges them with the running state.
+A conversation whose batch reaches back before its last day is merged again
+from its day states, of which there is one a day.  What a batch reads is thus
+its own days and one state per conversation it touches, however long the
+history.
+
+The state tables and the features are versioned tables (``sources/versioned.py``)
+written under the epoch as token, and the messages replace their epoch's
+partitions, so a replayed epoch leaves one copy of everything.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.operators import features as FT
-from convolens.operators.leads import latest_per_key
+from convolens.operators.segments import SEGMENT, cuts_of, merge_states, split_states
 from convolens.session import AS_OF_DEFAULT, checkpoint_dir
 from convolens.sources.tables import MESSAGE_SCHEMA
-
-
-BUCKETS = 64  # of conversation keys; a batch reads only the history of its own
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("cleaned_phone"), F.lit(BUCKETS)).cast("int")
-
-
-def _write_epoch(df: DataFrame, path: str, epoch_id: int, *partitions: str) -> None:
-    (df.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("epoch", *partitions).parquet(path))
+from convolens.sources.versioned import VersionedTable
+
+KEY, DAY = "cleaned_phone", "day"
+_BEFORE = -(1 << 31)  # the place of a running state before all days
+_CUTS_A_DAY = 1_000  # more than segments.CUTS
+
+
+class FeatureStates:
+    """The tables of a refresh under ``path``, and the merge of a batch into them."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, features_path: str, specs: list[FT.Feature], as_of: str, least: int = 1_000_000
+    ) -> None:
+        self.spark, self.specs, self.as_of, self.least = spark, specs, as_of, least
+        self.merges = FT.state_merges(specs)
+        if self.merges is None:
+            raise ValueError("every feature of an incremental chain must declare how its aggregates merge")
+        self.messages_path = f"{path}/messages"
+        self.days = VersionedTable(spark, f"{path}/days", [KEY, DAY])
+        self.running = VersionedTable(spark, f"{path}/running", [KEY])
+        self.features = VersionedTable(spark, features_path, [KEY])
+
+    def update(self, batch: DataFrame, epoch: int) -> None:
+        """Merge the messages of one epoch; an epoch that was merged before changes nothing."""
+        token = f"epoch-{epoch}"
+        if self.features.has(token):
+            return
+        batch = batch.withColumn(DAY, F.coalesce(F.unix_date(F.to_date("creation_time")), F.lit(_BEFORE + 1))).persist()
+        try:
+            days = [r[0] for r in batch.select(DAY).distinct().collect()]  # a number a day
+            if not days:
+                return
+            (batch.withColumn("epoch", F.lit(int(epoch))).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(DAY, "epoch").parquet(self.messages_path))
+            touched = batch.groupBy(KEY, DAY).agg(F.count(F.lit(1)).alias("n")).select(KEY, DAY)
+            seen = Observation("messages")
+            self.days.add(self._day_states(touched, days, seen), token)
+            fresh = self.days.read().join(touched, [KEY, DAY], "left_semi")  # as written
+            known = Observation("states")
+            self.running.add(self._running(fresh, known), token)
+            whole = self.running.read().join(touched.select(KEY).distinct(), KEY, "left_semi").select(KEY, "whole.*")
+            self.features.add(
+                FT.feature_outputs(whole, self.specs, self.as_of), token,
+                epoch=epoch, messages_read=seen.get["rows"], states_read=known.get["rows"],
+            )
+        finally:
+            batch.unpersist()
+
+    def history(self, days: list[int]) -> DataFrame:
+        """The messages of some days (only their partitions are read)."""
+        return self.spark.read.parquet(self.messages_path).where(F.col(DAY).isin(days)).drop("epoch")
+
+    def _day_states(self, touched: DataFrame, days: list[int], seen: Observation) -> DataFrame:
+        messages = self.history(days).join(touched, [KEY, DAY], "left_semi")
+        cuts = cuts_of(messages, KEY, least=self.least, rows=max(2, self.least // 4))
+        observed = messages.observe(seen, F.count(F.lit(1)).alias("rows"))
+        placed = cuts.assign(observed, KEY).withColumn(SEGMENT, F.col(DAY).cast("long") * _CUTS_A_DAY + F.col(SEGMENT))
+        states = FT.segment_states(placed, self.specs, KEY).withColumn(DAY, F.floor(F.col(SEGMENT) / _CUTS_A_DAY).cast("int"))
+        return merge_states(states, self.merges, [KEY, DAY], SEGMENT) if cuts.rows else states.drop(SEGMENT)
+
+    def _running(self, fresh: DataFrame, known: Observation) -> DataFrame:
+        """The running states of the touched conversations."""
+        state = list(self.merges)
+        first = fresh.groupBy(KEY).agg(F.min(DAY).alias("first"))
+        held = self.running.read()
+        if held is None:
+            # the first batch: nothing to read, but the observation wants a row count
+            return split_states(fresh.observe(known, F.lit(0).cast("long").alias("rows")), self.merges, KEY, DAY)
+        prior = held.join(first, KEY).observe(known, F.count(F.lit(1)).alias("rows")).withColumn("late", F.col("first") < F.col(DAY))
+        on_time = prior.where(~F.col("late"))
+        earlier = on_time.where("before is not null").select(KEY, F.lit(_BEFORE).alias(DAY), "before.*")
+        latest = on_time.where(F.col("first") != F.col(DAY)).select(KEY, DAY, "last.*")
+        late = prior.where("late").select(KEY)
+        again = self.days.read().join(late, KEY, "left_semi").select(KEY, DAY, *state)
+        new = fresh.join(late, KEY, "left_anti").select(KEY, DAY, *state)
+        return split_states(earlier.unionByName(latest).unionByName(new).unionByName(again), self.merges, KEY, DAY)
 
 
 def refresh_features(
@@ -49,30 +123,17 @@ def refresh_features(
 ):
     """Start the refresh query; with ``available_now`` it processes every file
     present at start, then stops (``trigger(availableNow=True)``)."""
-    specs = specs or FT.chain(FT.DEFAULT_CHAIN)
+    states = FeatureStates(spark, history_path, features_path, specs or FT.chain(FT.DEFAULT_CHAIN), as_of)
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-
-    def batch(df: DataFrame, epoch_id: int) -> None:
-        df = df.withColumn("bucket", _bucket()).persist()
-        try:
-            touched = df.select("cleaned_phone", "bucket").distinct()
-            buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
-            if not buckets:
-                return
-            _write_epoch(df, history_path, epoch_id, "bucket")
-            history = spark.read.parquet(history_path).where(F.col("bucket").isin(buckets)).drop("epoch")
-            msgs = history.join(touched, ["cleaned_phone", "bucket"], "left_semi").drop("bucket")
-            _write_epoch(FT.conversation_features(msgs, specs, as_of=as_of), features_path, epoch_id)
-        finally:
-            df.unpersist()
-
     stream = spark.readStream.schema(MESSAGE_SCHEMA).parquet(source_dir)
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt).queryName(name)
+    writer = stream.writeStream.foreachBatch(states.update).option("checkpointLocation", ckpt).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
 def latest_features(spark: SparkSession, features_path: str) -> DataFrame:
     """The current feature row per conversation (newest epoch wins)."""
-    df = spark.read.parquet(features_path)
-    return latest_per_key(df, ["cleaned_phone"], ["epoch"]).drop("epoch")
+    rows = VersionedTable(spark, features_path, [KEY]).read()
+    if rows is None:
+        raise ValueError(f"no features were written to {features_path}")
+    return rows

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from convolens.functions import patterns as P
 from convolens.operators import features as FT
-from convolens.operators.segments import CUTS, SEGMENT, Cuts, cuts_of, hot_keys, join_states, merge_states
+from convolens.operators.segments import CUTS, SEGMENT, Cuts, cuts_of, hot_keys, merge_states, split_states
 from convolens.sources import adapters as A
 
 SCHEMA = "cleaned_phone string, src_ord int, creation_time timestamp, msg_from string, message string"
@@ -42,15 +42,16 @@ def test_any_cuts_give_the_whole_fold(spark, seed):
     assert len(whole) == 40 and by_key(FT.conversation_features(df, SPECS, cuts=cuts)) == whole
 
 
-def test_states_of_earlier_and_later_messages_join(spark):
-    """What the incremental refresh does: a stored state and a newer one."""
+def test_split_states_keep_the_last_apart(spark):
     df = spark.createDataFrame(conversations(seed=9), SCHEMA).where("creation_time is not null")
     merges = FT.state_merges(SPECS)
-    at = lambda where: FT.segment_states(df.where(where).withColumn(SEGMENT, F.lit(0)), SPECS).drop(SEGMENT)
-    border = F.lit(T0 + timedelta(minutes=5))
-    joined = join_states(at(F.col("creation_time") < border), at(F.col("creation_time") >= border), merges, "cleaned_phone")
-    got = by_key(FT.feature_outputs(joined, SPECS, "2024-01-05 00:00:00"))
-    assert got == by_key(FT.conversation_features(df, SPECS, as_of="2024-01-05 00:00:00", cuts=Cuts()))
+    states = FT.segment_states(df.withColumn(SEGMENT, F.minute("creation_time")), SPECS)
+    split = split_states(states, merges, "cleaned_phone", SEGMENT)
+    assert by_key(split.select("cleaned_phone", "whole.*")) == by_key(merge_states(states, merges, ["cleaned_phone"], SEGMENT))
+    last = states.groupBy("cleaned_phone").agg(F.max(SEGMENT).alias(SEGMENT))
+    assert by_key(split.select("cleaned_phone", SEGMENT, "last.*")) == by_key(states.join(last, ["cleaned_phone", SEGMENT]))
+    alone = states.groupBy("cleaned_phone").count().where("count = 1").count()
+    assert split.where("before is null").count() == alone > 0
 
 
 def test_merging_is_associative(spark):
