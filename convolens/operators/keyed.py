@@ -17,4 +17,5 @@ from pyspark.sql import functions as F
 
 def keyed_aggregate(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
     bucket = F.xxhash64(F.col(key)).alias("__bucket")
+    aggs = aggs or (F.count(F.lit(1)).alias("__n"),)
     return df.groupBy(bucket, F.col(key)).agg(*aggs).drop("__bucket")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolens.functions.phones import phone_right10
 from convolens.operators.features import order_key
 from convolens.operators.keyed import keyed_aggregate
+from convolens.operators.prefix import PLACE, with_prefix
 
 
 def target_keys(leads: DataFrame, key: str = "cleaned_phone") -> DataFrame:
-    """J2 key list: distinct, non-blank keys."""
+    """J2 key list: distinct, non-blank keys.  Grouped so that a join on the key
+    does not take over its partitioning (``operators/keyed.py``)."""
     k = F.col(key)
-    return leads.select(k.alias(key)).where(k.isNotNull() & (F.trim(k) != "")).distinct()
+    return keyed_aggregate(leads.select(k.alias(key)).where(k.isNotNull() & (F.trim(k) != "")), key).select(key)
 
 
 def messages_with_sessions(message_metrics: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -77,15 +79,8 @@ def limit_conversations(messages: DataFrame, n: int, key: str = "cleaned_phone")
 
 
 def with_ordinal(messages: DataFrame, key: str = "cleaned_phone") -> DataFrame:
-    """``msg_idx``, the dense place of a message in its conversation.  Rows
-    are numbered per conversation and day; the counts of earlier days (one row
-    per conversation and day) are added, so a window partition is one day."""
-    rows = messages.withColumn("__day", F.to_date("creation_time"))
-    within = Window.partitionBy(key, "__day").orderBy(order_key(messages.columns))
-    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = rows.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__n")).select(
-        F.col(key).alias("__key"), F.col("__day").alias("__d"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
-    numbered = rows.withColumn("__place", F.row_number().over(within) - 1)
-    met = numbered.join(days, numbered[key].eqNullSafe(days["__key"]) & numbered["__day"].eqNullSafe(days["__d"]))
-    return met.withColumn("msg_idx", F.col("__place") + F.col("__before")).drop("__day", "__key", "__d", "__before", "__place")
+    """``msg_idx``, the dense place of a message in its conversation: the
+    count of earlier messages, as a running sum over stretches of the sorted
+    table (``operators/prefix.py``), so a hot conversation or day is no task."""
+    one = {"msg_idx": F.lit(1).cast("long")}
+    return with_prefix(messages, key, order_key(messages.columns), one)[0].drop(PLACE)

@@ -6,10 +6,9 @@ the conversation's normalised lines (which carry their times), so it is a
 plain partial aggregation: a conversation holding most of all messages is
 combined map-side, and the order rows arrive in cannot matter.
 
-A transcript is assembled in two steps: the lines of one conversation and day
-become a chunk row, and only where a whole text is asked for (a prompt is one
-string) the chunks of a conversation are joined.  No step sees a conversation
-message by message in one task.
+A transcript is a sequence of chunk rows cut by a byte budget: running sums of
+bytes along the sorted messages (``operators/prefix.py``) place every line, so
+no cell and no task grows with a conversation.
 """
 
 from __future__ import annotations
@@ -19,10 +18,12 @@ from pyspark.sql import functions as F
 
 from convolens.functions.text import normalize_ws
 from convolens.functions.timefmt import ts_text19
+from convolens.operators.prefix import PLACE, with_prefix
 
 PLAIN = "plain"  # "{time19} {from}: {msg}", lines joined by a newline
 PROMPT = "prompt"  # F8: "[{time19}] {from}: {msg}", lines joined by the two characters \\n
 PROMPT_SEPARATOR = "\\n"
+CHUNK_BYTES = 1 << 20
 
 
 def render_line(style: str = PLAIN) -> Column:
@@ -53,28 +54,47 @@ def conversation_digest(messages: DataFrame, key: str = "cleaned_phone") -> Data
     return parts.select(key, digest.alias("conversation_digest"), F.col("__n").alias("n_messages"))
 
 
-def conversation_chunks(messages: DataFrame, key: str = "cleaned_phone", style: str = PROMPT) -> DataFrame:
-    """``(key, day, chunk_text, n_messages)``: the ordered lines of each day."""
+def conversation_chunks(
+    messages: DataFrame, key: str = "cleaned_phone", style: str = PROMPT, budget: int = CHUNK_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """The ordered transcript as ``(key, chunk_no, text)``, whose texts
+    in a row are the whole, none over ``budget`` bytes; and its sums
+    ``(key, n_messages, n_bytes, n_chunks)``.
+
+    A line is placed by the bytes up to its end; lines longer than half the
+    budget are cut.  So a chunk is what ends within one half budget, plus at
+    most one half before, and chunks have no gaps in their numbers."""
     from convolens.operators.features import order_key
 
+    half = max(budget // 2, 16)
+    size = half // 4  # characters of at most four bytes
     separator = PROMPT_SEPARATOR if style == PROMPT else "\n"
-    lines = messages.select(
-        key,
-        F.to_date("creation_time").alias("day"),
-        F.struct(order_key(messages.columns).alias("o"), render_line(style).alias("line")).alias("__row"),
-    )
-    rows = F.array_sort(F.collect_list("__row"))
-    return lines.groupBy(key, "day").agg(
-        F.array_join(F.transform(rows, lambda r: r["line"]), separator).alias("chunk_text"),
-        F.count(F.lit(1)).alias("n_messages"),
+    line = F.concat(F.lit(separator), render_line(style))
+    rows = messages.select(key, order_key(messages.columns).alias("__o"), line.alias("__line"))
+    starts = F.sequence(F.lit(0), F.floor((F.length("__line") - 1) / size).cast("int"))
+    pieces = rows.select(key, "__o", F.posexplode(F.transform(starts, lambda i: F.substring("__line", i * size + 1, F.lit(size)))).alias("piece", "text"))
+    measures = {
+        "n_messages": (F.col("piece") == 0).cast("long"),
+        "n_bytes": F.octet_length("text").cast("long"),
+    }
+    placed, sums = with_prefix(pieces, key, F.struct("__o", "piece"), measures)
+    first = (F.col("n_messages") == 0) & (F.col("piece") == 0)  # no separator before the first line
+    of = F.floor((F.col("n_bytes") + F.octet_length("text") - 1) / half).cast("long")
+    own = F.when(first, F.substring("text", F.lit(len(separator) + 1), F.length("text"))).otherwise(F.col("text"))
+    held = placed.select(key, of.alias("chunk_no"), F.struct(PLACE, own.alias("text")).alias("__row"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("__row")), lambda r: r["text"]), "")
+    sums = sums.select(
+        key, "n_messages", (F.col("n_bytes") - len(separator)).alias("n_bytes"),
+        (F.floor((F.col("n_bytes") - 1) / half) + 1).cast("long").alias("n_chunks"),
     )
+    return held.groupBy(key, "chunk_no").agg(text.alias("text")), sums
 
 
 def conversation_text(messages: DataFrame, key: str = "cleaned_phone", style: str = PROMPT) -> DataFrame:
-    """``(key, conversation_text, n_messages)``, the ordered transcript."""
-    separator = PROMPT_SEPARATOR if style == PROMPT else "\n"
-    chunks = F.array_sort(F.collect_list(F.struct("day", "chunk_text")))
-    return conversation_chunks(messages, key, style).groupBy(key).agg(
-        F.array_join(F.transform(chunks, lambda c: c["chunk_text"]), separator).alias("conversation_text"),
-        F.sum("n_messages").alias("n_messages"),
-    )
+    """``(key, conversation_text, n_messages)``, the ordered transcript in
+    one cell: for conversations known to be small (see ``conversation_chunks``)."""
+    chunks, sums = conversation_chunks(messages, key, style)
+    held = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
+    whole = chunks.groupBy(key).agg(F.array_join(F.transform(held, lambda c: c["text"]), "").alias("conversation_text"))
+    counted = sums.select(F.col(key).alias("__key"), "n_messages")
+    return whole.join(counted, whole[key].eqNullSafe(counted["__key"])).drop("__key")

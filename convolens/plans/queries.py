@@ -203,8 +203,8 @@ from convolens.functions.timefmt import age_text, iso_in_zone, seconds_between
 from convolens.operators import leads as LD  # noqa: E402
 from convolens.operators import messages as MS  # noqa: E402
 from convolens.operators import report as RP  # noqa: E402
-from convolens.operators.prompt import SYSTEM_MESSAGE, render, token_estimate, as_py_text  # noqa: E402
-from convolens.operators.transcript import PROMPT, conversation_text  # noqa: E402
+from convolens.operators.prompt import SYSTEM_MESSAGE, around, as_py_text, prompt_chunks  # noqa: E402
+from convolens.operators.transcript import CHUNK_BYTES  # noqa: E402
 from convolens.sources.tables import read_table  # noqa: E402
 
 EXCLUDED_STATUS = "F"  # driver orders: status 'F' plays the role of a rejected profile
@@ -450,31 +450,27 @@ PROMPT_TEMPLATE = (
 )
 
 
+PROMPT_BUDGET = 4096  # bytes of a chunk
+
+
 def prompt_plan(messages: DataFrame, template: str = PROMPT_TEMPLATE, as_of: str = AS_OF_DEFAULT,
-                tz: str = "America/Mexico_City") -> DataFrame:
-    """Render one prompt per conversation and estimate its tokens; the
-    template may name the clock values and every feature column."""
+                tz: str = "America/Mexico_City", budget: int = CHUNK_BYTES) -> DataFrame:
+    """Render one prompt per conversation, as chunk rows, and estimate
+    its tokens; the template may name the clock values and every feature column."""
     specs = FT.chain([("temporal", {"timezone": tz}), *[n for n in FT.DEFAULT_CHAIN if n != "temporal"]])
     feats = FT.conversation_features(messages, [*specs, FT.LastTimes()], as_of=as_of)
-    text = conversation_text(messages, style=PROMPT)
-    j = text.join(feats.withColumnRenamed("last_message_time", "__last"), "cleaned_phone")
     as_of_ts = F.to_timestamp(F.lit(as_of))
-    since = seconds_between(as_of_ts, F.col("__last"))
+    since = seconds_between(as_of_ts, F.col("last_message_time"))
     values = {n: as_py_text(F.col(n), t.typeName()) for n, t in FT.feature_columns(specs)}
     values |= {
-        "conversation_text": F.col("conversation_text"),
         "HOY_ES": iso_in_zone(as_of_ts, tz),
-        "LAST_QUERY_TIMESTAMP": F.coalesce(iso_in_zone(F.col("__last"), "UTC"), F.lit("N/A")),
+        "LAST_QUERY_TIMESTAMP": F.coalesce(iso_in_zone(F.col("last_message_time"), "UTC"), F.lit("N/A")),
         "delta_min": F.coalesce((since / F.lit(60.0)).cast("string"), F.lit("inf")),
         "delta_real_time_formateado": age_text(since),
     }
-    prompt = render(template, values)
-    out = j.select(
-        "cleaned_phone", "n_messages",
-        values["delta_real_time_formateado"].alias("age_text"),
-        prompt.alias("prompt"),
-    )
-    return out.withColumn("token_estimate", token_estimate(F.col("prompt")))
+    texts = feats.select("cleaned_phone", *[c.alias(n) for n, c in values.items()])
+    out = prompt_chunks(messages, texts, template, keep=("delta_real_time_formateado",), budget=budget)
+    return out.withColumnRenamed("delta_real_time_formateado", "age_text")
 
 
 def _prompt_oracle() -> str:
@@ -492,25 +488,35 @@ def _prompt_oracle() -> str:
         "LAST_QUERY_TIMESTAMP": O.iso_tz("t.last_ts", "UTC"),
         "delta_min": f"CAST({age_m} AS VARCHAR)",
         "delta_real_time_formateado": age,
-        "conversation_text": "x.conversation_text",
         **{n: f"CASE WHEN f.{n} THEN 'True' WHEN NOT f.{n} THEN 'False' ELSE 'None' END" for n in flags},
         **{n: f"coalesce(CAST(f.{n} AS VARCHAR), 'None')" for n in texts},
     }
     import string as _s
 
-    parts = []
-    for lit, field, _, _ in _s.Formatter().parse(PROMPT_TEMPLATE):
-        if lit:
-            parts.append(O.q(lit))
-        if field is not None:
-            parts.append(f"({vals[field]})")
-    prompt = " || ".join(parts)
+    def filled(template: str) -> str:
+        parts = []
+        for lit, field, _, _ in _s.Formatter().parse(template):
+            if lit:
+                parts.append(O.q(lit))
+            if field is not None:
+                parts.append(f"({vals[field]})")
+        return " || ".join(parts)
+
+    head, tail = map(filled, around(PROMPT_TEMPLATE, "conversation_text"))
     sys_bytes = len(SYSTEM_MESSAGE.encode("utf-8"))
+    half, size, edge = PROMPT_BUDGET // 2, PROMPT_BUDGET // 8, PROMPT_BUDGET // 4
+    cut = lambda text: f"unnest(range(0, (length({text}) - 1) // {edge} + 1)) AS i"
     return _with(O.messages_cte(), O.ordinal_cte(), O.temporal_agg_sql(name="t"),
-                 """x AS (SELECT cleaned_phone, count(*) AS n_messages,
-       string_agg('[' || strftime(creation_time, '%Y-%m-%d %H:%M:%S') || '] ' || msg_from || ': ' || message,
-                  '\\n' ORDER BY creation_time, src_ord) AS conversation_text
-  FROM msgs GROUP BY cleaned_phone)""",
+                 """line AS (SELECT cleaned_phone, row_number() OVER (PARTITION BY cleaned_phone ORDER BY creation_time, src_ord) AS rn,
+       '\\n[' || strftime(creation_time, '%Y-%m-%d %H:%M:%S') || '] ' || msg_from || ': ' || message AS line FROM msgs)""",
+                 f"""piece AS (SELECT cleaned_phone, rn, piece, substr(line, piece * {size} + 1, {size}) AS text
+  FROM (SELECT *, unnest(range(0, (length(line) - 1) // {size} + 1)) AS piece FROM line))""",
+                 """placed AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY cleaned_phone ORDER BY rn, piece) AS upto FROM piece)""",
+                 f"""chunk AS (SELECT cleaned_phone, CAST((upto - 1) // {half} AS BIGINT) AS no,
+       string_agg(CASE WHEN rn = 1 AND piece = 0 THEN substr(text, 3) ELSE text END, '' ORDER BY rn, piece) AS text
+  FROM placed GROUP BY ALL)""",
+                 """x AS (SELECT cleaned_phone, count(DISTINCT rn) AS n_messages, max(upto) - 2 AS n_bytes FROM placed GROUP BY cleaned_phone)""",
+                 """c AS (SELECT cleaned_phone, count(*) AS n FROM chunk GROUP BY cleaned_phone)""",
                  O.metadata_agg_sql(), O.handoff_ctes(), O.template_agg_sql(),
                  f"f0 AS (SELECT t.cleaned_phone, {sel} FROM t)",
                  f"f1 AS (SELECT m_agg.cleaned_phone, {O.metadata_select()} FROM m_agg)",
@@ -521,15 +527,22 @@ def _prompt_oracle() -> str:
                  """f AS (SELECT *, CASE WHEN handoff_invitation_detected THEN 'HANDOFF' WHEN pre_validacion_detected THEN 'POST_VALIDACION'
        ELSE 'PRE_VALIDACION' END AS conversation_state
   FROM f0 JOIN f1 USING (cleaned_phone) JOIN f2 USING (cleaned_phone) JOIN f3 USING (cleaned_phone) JOIN f4 USING (cleaned_phone))""",
-                 f"""p AS (SELECT x.cleaned_phone, x.n_messages, {age} AS age_text, {prompt} AS prompt
-  FROM x JOIN t USING (cleaned_phone) JOIN f USING (cleaned_phone))""") + f"""
-SELECT cleaned_phone, n_messages, age_text, prompt, CAST(strlen(prompt) + {sys_bytes} + 11 AS BIGINT) AS token_estimate FROM p"""
+                 f"""p0 AS (SELECT x.cleaned_phone, x.n_messages, c.n AS middle, x.n_bytes, {age} AS age_text, {head} AS head, {tail} AS tail
+  FROM x JOIN t USING (cleaned_phone) JOIN f USING (cleaned_phone) JOIN c USING (cleaned_phone))""",
+                 f"""p AS (SELECT *, (length(head) - 1) // {edge} + 1 AS n_head, n_head + middle + (length(tail) - 1) // {edge} + 1 AS n_chunks,
+       CAST(strlen(head) + strlen(tail) + n_bytes + {sys_bytes} + 11 AS BIGINT) AS token_estimate FROM p0)""",
+                 f"""parts AS (
+  SELECT cleaned_phone, i AS chunk_no, substr(head, i * {edge} + 1, {edge}) AS text FROM (SELECT *, {cut("head")} FROM p)
+  UNION ALL SELECT cleaned_phone, n_head + no, text FROM chunk JOIN p USING (cleaned_phone)
+  UNION ALL SELECT cleaned_phone, n_head + middle + i, substr(tail, i * {edge} + 1, {edge}) FROM (SELECT *, {cut("tail")} FROM p))""") + """
+SELECT cleaned_phone, CAST(chunk_no AS BIGINT) AS chunk_no, parts.text, CAST(n_chunks AS BIGINT) AS n_chunks, n_messages, token_estimate, age_text
+FROM parts JOIN p USING (cleaned_phone)"""
 
 
 @register("prompt_render", _prompt_oracle())
 def prompt_render(spark, sf_dir):
-    """Prompt text per conversation, age text and token estimate."""
-    return prompt_plan(_msgs(spark, sf_dir))
+    """The prompt of each conversation in chunks, age text and token estimate."""
+    return prompt_plan(_msgs(spark, sf_dir), budget=PROMPT_BUDGET)
 
 
 # --------------------------------------------------------------- runs over subsets of conversations

@@ -68,16 +68,17 @@ class FeatureStates:
             (batch.withColumn("epoch", F.lit(int(epoch))).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(DAY, "epoch").parquet(self.messages_path))
             touched = batch.groupBy(KEY, DAY).agg(F.count(F.lit(1)).alias("n")).select(KEY, DAY)
-            seen = Observation("messages")
-            self.days.add(self._day_states(touched, days, seen), token)
+            read = {}
+            seen, known = Observation("messages"), Observation("states")
+            if not self.days.has(token):  # else the epoch died after this step
+                self.days.add(self._day_states(touched, days, seen), token)
+                read["messages_read"] = seen.get["rows"]
             fresh = self.days.read().join(touched, [KEY, DAY], "left_semi")  # as written
-            known = Observation("states")
-            self.running.add(self._running(fresh, known), token)
+            if not self.running.has(token):
+                self.running.add(self._running(fresh, known), token)
+                read["states_read"] = known.get["rows"]
             whole = self.running.read().join(touched.select(KEY).distinct(), KEY, "left_semi").select(KEY, "whole.*")
-            self.features.add(
-                FT.feature_outputs(whole, self.specs, self.as_of), token,
-                epoch=epoch, messages_read=seen.get["rows"], states_read=known.get["rows"],
-            )
+            self.features.add(FT.feature_outputs(whole, self.specs, self.as_of), token, epoch=epoch, **read)
         finally:
             batch.unpersist()
 

@@ -1,9 +1,14 @@
 """A conversation holding most of the rows: the feature fold cuts it into
 bounded segments, and joins on it are split."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from convolens.operators import features as FT
+from convolens.operators.features import order_key
+from convolens.operators.messages import for_targets
+from convolens.operators.prefix import PLACE, with_prefix
 from convolens.operators.segments import SEGMENT, cuts_of
 from convolens.operators.transcript import PLAIN, conversation_chunks, conversation_digest, conversation_text
 
@@ -52,8 +57,31 @@ def test_hot_key_is_split_and_results_match(spark):
         text = conversation_text(base, style=PLAIN).where("cleaned_phone = '5500000001'").first()
         lines = text.conversation_text.split("\n")
         assert len(lines) == len(hot_ids) and lines == sorted(lines)
-        chunks = conversation_chunks(base).where("cleaned_phone = '5500000001'")
-        assert chunks.count() == len({(1704067200 + i) // 86400 for i in hot_ids})
+
+        # chunks of the hot conversation (one day holds it) stay under the budget
+        chunks, sums = conversation_chunks(base, style=PLAIN, budget=5_000)
+        own = chunks.where("cleaned_phone = '5500000001'").orderBy("chunk_no").collect()
+        assert max(len(r.text.encode()) for r in own) <= 5_000 and len(own) > 200
+        assert [r.chunk_no for r in own] == list(range(len(own))) and "".join(r.text for r in own) == text.conversation_text
+        total = sums.where("cleaned_phone = '5500000001'").first()
+        assert (total.n_messages, total.n_bytes, total.n_chunks) == (len(hot_ids), len(text.conversation_text), len(own))
+
+        # the place of a message: the hot day lies in several stretches
+        order = order_key(base.columns)
+        placed, _ = with_prefix(base, "cleaned_phone", order, {"n": F.lit(1).cast("long")}, partitions=16)
+        hot_rows = placed.where("cleaned_phone = '5500000001'").withColumn("stretch", F.shiftright(PLACE, 33)).collect()
+        assert [r.src_ord for r in sorted(hot_rows, key=lambda r: r.n)] == hot_ids and sorted(r.n for r in hot_rows) == list(range(len(hot_ids)))
+        shares = Counter(r.stretch for r in hot_rows)
+        assert len(shares) >= 8 and max(shares.values()) < len(hot_ids) / 4
+
+        # the semi-join with the targets is split on the hot phone
+        targets = spark.createDataFrame([("5500000001",), ("5500001003",), ("5500000001",), (None,), (" ",)], "cleaned_phone string")
+        met = for_targets(base, targets)
+        assert met.count() == len(hot_ids) + sum(i % 500 == 3 for i in range(n) if i % 10 >= 7)
+        met.write.format("noop").mode("overwrite").save()
+        plan = met._jdf.queryExecution().executedPlan()
+        met.collect()
+        assert "skew=true" in plan.toString()
     finally:
         for k, v in old.items():
             if v is None:
