@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from convolens.functions import patterns as P
 from convolens.functions.phones import is_strict_phone, phone_first10
 from convolens.functions.text import blank_sentinels
+from convolens.operators.keyed import keyed_aggregate
 
 KEY = "cleaned_phone"
 
@@ -47,6 +48,23 @@ def normalise_lead_keys(leads: DataFrame, key: str = KEY) -> DataFrame:
     return normalise_keys(leads, key)
 
 
+#: Columns that say which of a key's rows is the newest, in this order, where a table has them.
+NEWEST = ("scored_at", "turn")
+
+
+def one_per_key(df: DataFrame, key: str = KEY, newest: tuple[str, ...] = NEWEST) -> DataFrame:
+    """One row per key, as a result holds one per phone: the newest by the
+    columns of ``newest`` that exist (null the oldest), of equally new ones the
+    greatest by its other columns.  A partial aggregate: a hot key is combined
+    map-side."""
+    rest = [c for c in df.columns if c != key]
+    order = [F.col(c) for c in newest if c in rest] + [F.col(c).cast("string") for c in rest if c not in newest]
+    if not order:
+        return keyed_aggregate(df, key).select(key)
+    row = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
+    return keyed_aggregate(df, key, row).select(key, "__row.*")
+
+
 def strict_phone_filter(df: DataFrame, col: str = KEY, observation: Observation | None = None) -> DataFrame:
     """Keep rows whose trimmed phone is exactly ten digits; kept/skipped
     counts are collected by an ``Observation`` while the job runs (no extra job)."""

@@ -254,11 +254,12 @@ def pick_sql(expr: str, values: list) -> str:
     return f"CAST(CASE ({expr}) {parts} END AS VARCHAR)"
 
 
-def labels_cte(name: str = "lab") -> str:
-    """Twin of ``adapters.label_rows``."""
+def labels_cte(name: str = "lab", per_turn: bool = False) -> str:
+    """Twin of ``adapters.label_rows`` (every turn) or ``latest_labels``."""
+    newest = "" if per_turn else "QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"
     c = "conv_id"
     return f"""{name} AS (
-  SELECT CAST({A.PHONE_BASE} + {c} AS VARCHAR) AS cleaned_phone, {c} AS conv_id,
+  SELECT CAST({A.PHONE_BASE} + {c} AS VARCHAR) AS cleaned_phone, {c} AS conv_id, turn,
          CASE WHEN {c} % 17 = 5 THEN NULL ELSE 'Resumen: ' || text END AS summary,
          {pick_sql(f"{c} % {len(A.STALL_VARIANTS)}", A.STALL_VARIANTS)} AS primary_stall_reason_code,
          {pick_sql(f"({c} * 7) % {len(A.ACTION_VARIANTS)}", A.ACTION_VARIANTS)} AS next_action_code,
@@ -275,7 +276,7 @@ def labels_cte(name: str = "lab") -> str:
          {pick_sql(f"{c} % {len(A.OBJECTION_VARIANTS)}", A.OBJECTION_VARIANTS)} AS objecion_principal_cliente,
          CASE WHEN {c} % 13 = 6 THEN 'ERROR_PROCESSING' WHEN {c} % 29 = 11 THEN 'ERROR_LLM_NONE'
               WHEN {c} % 31 = 30 THEN 'ERROR_UNEXPECTED' END AS error_kind
-  FROM (SELECT conv_id, coalesce(arg_max(text, turn), '') AS text FROM conversations GROUP BY conv_id)
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations {newest})
 )"""
 
 
@@ -325,8 +326,9 @@ def repair_sql(src: str, required: list[str], enums: dict[str, list[str]], criti
 
 
 def parse_ctes(shapes: list, keys: list[str]) -> list[str]:
-    """L1-L7 over one raw response per conversation, line by line: the lines
-    are rows, a window finds the key a line stands under."""
+    """L1-L7 over one raw response per turn (``rid``), line by line: the lines
+    are rows, a window finds the key a line stands under, and every scalar of a
+    value (list items and nested values too) is a row of its own."""
     from convolens.operators import labels as LB
 
     def re_(pattern: str) -> str:
@@ -342,53 +344,138 @@ def parse_ctes(shapes: list, keys: list[str]) -> list[str]:
     fences = f"regexp_replace(regexp_replace(raw, {q(LB.OPEN_FENCE)}, ''), '```$', '')"
     colons = sub(quotes(trim_(fences)), LB.COLON_VALUE_LINE, '\\1"\\2"\\4')
     later = quotes(sub(sub("t", LB.DOUBLED_SUMMARY, 'summary: "\\2"'), LB.LOOSE_KEY, "\\1: \\2"))
-    value = trim_("regexp_replace(v, '\\s#.*$', '')")
+    # the terminator key cuts what an escaped newline sets off behind it
+    key, mark = q(LB.TERMINATOR_KEY), q(LB.ESCAPED_NEWLINE + LB.TERMINATOR_KEY)
+    behind = (f"CASE WHEN contains(u, {mark}) THEN string_split(u, {mark})[-1] WHEN contains(u, {key}) "
+              f"THEN substr(u, instr(u, {key}) + {len(LB.TERMINATOR_KEY)}) ELSE '' END")
+    cut = f"replace(substr(u, 1, length(u) - length(behind)) || string_split(behind, {q(LB.ESCAPED_NEWLINE)})[1], {q(LB.ESCAPED_TAB)}, '  ')"
+    start = lambda pattern: f"CASE WHEN regexp_matches(x, {re_(pattern)}) THEN chr(1) ELSE '' END || {trim_('x')}"
+    parts = lambda pattern: (
+        f"list_transform(string_split(array_to_string(list_transform(lines, lambda x: {start(pattern)}), ' '), chr(1))[2:], lambda y: {trim_('y')})"
+    )
+    plain = "regexp_replace(text, '\\s#.*$', '', 'g')"
+    single = "length(text) > 1 AND starts_with(text, chr(39)) AND ends_with(text, chr(39))"
+    double = "length(text) > 1 AND starts_with(text, '\"') AND ends_with(text, '\"')"
+    inner = "substr(text, 2, length(text) - 2)"
+    slash = "chr(92)"
+    read = f"replace(replace(replace(replace(x, {slash} || 'n', chr(10)), {slash} || 't', chr(9)), {slash} || chr(34), chr(34)), {slash} || '/', '/')"
+    halves = f"string_split({inner}, {slash} || {slash})"
+    strange = f"""regexp_matches(x, '\\\\(?:[^nt"/]|$)') OR contains(replace(x, {slash} || chr(34), ''), chr(34))"""
+    wanted = "[" + ", ".join(q(k) for k in keys) + "]"
+    missing = f"list_sort(list_filter({wanted}, lambda x: NOT list_contains(list(w.k), x)))"
     return [
         f"""raws AS (
-  SELECT conv_id, replace({pick_sql(f"conv_id % {len(shapes)}", shapes)}, '{{text}}', coalesce(arg_max(text, turn), '')) AS raw
-  FROM conversations GROUP BY conv_id
+  SELECT row_number() OVER () AS rid, conv_id, turn,
+         replace({pick_sql(f"(conv_id + turn) % {len(shapes)}", shapes)}, '{{text}}', coalesce(text, '')) AS raw
+  FROM conversations
 )""",
         f"""moved AS (
-  SELECT conv_id, string_agg(CASE WHEN under AND NOT is_key AND regexp_matches(line, '^\\S') THEN '  ' || line ELSE line END,
-                             chr(10) ORDER BY n) AS t
+  SELECT rid, string_agg(CASE WHEN under AND NOT is_key AND regexp_matches(line, '^\\S') THEN '  ' || line ELSE line END,
+                         chr(10) ORDER BY n) AS t
   FROM (SELECT *, regexp_matches(line, {re_(LB.KEY_LINE)}) AS is_key,
-               bool_or(regexp_matches(line, {re_(LB.KEY_LINE)})) OVER (PARTITION BY conv_id ORDER BY n) AS under
-        FROM (SELECT conv_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n
-              FROM (SELECT conv_id, string_split({colons}, chr(10)) AS lines FROM raws)))
-  GROUP BY conv_id
+               bool_or(regexp_matches(line, {re_(LB.KEY_LINE)})) OVER (PARTITION BY rid ORDER BY n) AS under
+        FROM (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS n
+              FROM (SELECT rid, string_split({colons}, chr(10)) AS lines FROM raws)))
+  GROUP BY rid
 )""",
         f"""cleans AS (
-  SELECT conv_id, {trim_(f"CASE WHEN contains(u, 'transfer_context_analysis') THEN u ELSE rtrim(u, ' ' || chr(10) || chr(13) || chr(9)) || chr(10) || {q(P.TRANSFER_DEFAULT_LINE)} END")} AS cleaned
-  FROM (SELECT conv_id, {later} AS u FROM moved WHERE t IS NOT NULL)
+  SELECT rid, {trim_(f"CASE WHEN contains(c, 'transfer_context_analysis') THEN c ELSE rtrim(c, ' ' || chr(10) || chr(13) || chr(9)) || chr(10) || {q(P.TRANSFER_DEFAULT_LINE)} END")} AS cleaned
+  FROM (SELECT rid, {cut} AS c FROM (SELECT *, {behind} AS behind FROM (SELECT rid, {later} AS u FROM moved WHERE t IS NOT NULL)))
 )""",
-        f"""pieces AS (
-  SELECT *, count(*) FILTER (WHERE is_top) OVER (PARTITION BY conv_id ORDER BY n) AS entry,
-         CASE WHEN is_top THEN regexp_extract(line, {re_(LB.TOP_KEY)}, 2) ELSE line END AS piece
+        f"""split AS (
+  SELECT *, count(*) FILTER (WHERE is_top) OVER (PARTITION BY rid ORDER BY n) AS entry
   FROM (SELECT *, regexp_matches(line, {re_(LB.TOP_KEY)}) AS is_top
-        FROM (SELECT conv_id, unnest(string_split(cleaned, chr(10))) AS line,
+        FROM (SELECT rid, unnest(string_split(cleaned, chr(10))) AS line,
                      generate_subscripts(string_split(cleaned, chr(10)), 1) AS n FROM cleans))
 )""",
-        f"""pairs AS (
-  SELECT conv_id, entry, max(regexp_extract(line, {re_(LB.TOP_KEY)}, 1)) FILTER (WHERE is_top) AS k,
-         coalesce(string_agg({trim_("piece")}, ' ' ORDER BY n) FILTER (WHERE regexp_matches(piece, '\\S')), '') AS v
-  FROM pieces WHERE entry > 0 GROUP BY conv_id, entry
+        f"""entries AS (
+  SELECT rid, entry, max(regexp_extract(line, {re_(LB.TOP_KEY)}, 1)) FILTER (WHERE is_top) AS k,
+         {trim_(f"max(regexp_extract(line, {re_(LB.TOP_KEY)}, 2)) FILTER (WHERE is_top)")} AS head,
+         coalesce(list(line ORDER BY n) FILTER (WHERE NOT is_top), []) AS rest,
+         entry = max(entry) OVER (PARTITION BY rid) AS final
+  FROM split WHERE entry > 0 GROUP BY rid, entry
+)""",
+        f"""kinds AS (
+  SELECT *, CASE WHEN regexp_matches(head, {re_(LB.BLOCK_SCALAR)}) THEN 'block'
+                 WHEN head = '' AND regexp_matches(lines[1], {re_(LB.LIST_LINE)}) THEN 'list'
+                 WHEN head = '' AND regexp_matches(lines[1], {re_(LB.NESTED_KEY)}) THEN 'map'
+                 WHEN regexp_matches(head, '^\\[.*\\]$') AND len(lines) = 0 THEN 'flow'
+                 WHEN regexp_matches(head, '^\\{{.*\\}}$') AND len(lines) = 0 THEN 'as is' ELSE 'scalar' END AS kind
+  FROM (SELECT *, list_filter(rest, lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(x, '^\\s*#')) AS lines FROM entries)
+)""",
+        f"""body AS (
+  SELECT rid, entry, n, line, lag(line) OVER (PARTITION BY rid, entry ORDER BY n) AS prev
+  FROM (SELECT rid, entry, unnest(cut) AS line, generate_subscripts(cut, 1) AS n
+        FROM (SELECT rid, entry, list_transform(rest, lambda x: CASE WHEN regexp_matches(x, '\\S') THEN substr(x, indent + 1) ELSE '' END) AS cut
+              FROM (SELECT *, length(regexp_extract(list_filter(rest, lambda x: regexp_matches(x, '\\S'))[1], '^( *)', 1)) AS indent
+                    FROM kinds WHERE kind = 'block')))
+)""",
+        """blocks AS (
+  SELECT rid, entry, CASE WHEN regexp_matches(head, '^[|>]-') OR bare = '' THEN bare
+                          WHEN final AND NOT ends_with(whole, chr(10)) THEN whole
+                          WHEN regexp_matches(head, '^[|>][+]') THEN whole || CASE WHEN final THEN '' ELSE chr(10) END ELSE bare || chr(10) END AS v
+  FROM (SELECT *, rtrim(whole, chr(10)) AS bare FROM (
+    SELECT k.rid, k.entry, any_value(head) AS head, any_value(final) AS final, coalesce(CASE WHEN starts_with(any_value(head), '|') THEN string_agg(line, chr(10) ORDER BY n)
+             ELSE string_agg(CASE WHEN line = '' THEN chr(10) WHEN n = 1 OR prev = '' THEN line
+                                  WHEN starts_with(line, ' ') OR starts_with(prev, ' ') THEN chr(10) || line ELSE ' ' || line END, '' ORDER BY n) END, '') AS whole
+    FROM kinds k LEFT JOIN body b ON b.rid = k.rid AND b.entry = k.entry WHERE kind = 'block' GROUP BY k.rid, k.entry))
+)""",
+        f"""texts AS (
+  SELECT rid, entry, kind, unnest(ts) AS part, generate_subscripts(ts, 1) AS n FROM (
+    SELECT rid, entry, kind, CASE kind WHEN 'list' THEN {parts(LB.LIST_LINE)} WHEN 'map' THEN {parts(LB.NESTED_KEY)}
+             WHEN 'flow' THEN CASE WHEN trim(substr(head, 2, length(head) - 2)) = '' THEN [] ELSE string_split(substr(head, 2, length(head) - 2), ',') END
+             ELSE [array_to_string(list_transform(list_concat([head], lines), lambda x: {trim_('x')}), ' ')] END AS ts
+    FROM kinds WHERE kind NOT IN ('block', 'as is'))
+)""",
+        f"""scalars AS (
+  SELECT *, CASE WHEN {single} THEN replace({inner}, chr(39) || chr(39), chr(39))
+                 WHEN {double} THEN array_to_string(list_transform({halves}, lambda x: {read}), {slash})
+                 WHEN {in_list(plain, LB.NULL_WORDS)} OR starts_with(text, '#') THEN NULL
+                 WHEN {in_list(plain, LB.TRUE_WORDS)} THEN 'True' WHEN {in_list(plain, LB.FALSE_WORDS)} THEN 'False'
+                 ELSE {trim_(plain)} END AS v,
+         CASE WHEN {single} THEN NOT contains(replace({inner}, chr(39) || chr(39), ''), chr(39))
+              WHEN {double} THEN len(list_filter({halves}, lambda x: {strange})) = 0
+              ELSE NOT (starts_with(text, chr(39)) OR starts_with(text, '"') OR regexp_matches(text, {re_(LB.NO_PLAIN_START)})
+                        OR contains({plain}, ': ') OR ends_with({plain}, ':')) END AS ok
+  FROM (SELECT rid, entry, kind, n, regexp_extract(part, {re_(LB.LOOSE_ENTRY)}, 1) AS name,
+               CASE kind WHEN 'list' THEN regexp_replace(part, '^-\\s*', '') WHEN 'map' THEN regexp_extract(part, {re_(LB.LOOSE_ENTRY)}, 2)
+                         ELSE {trim_('part')} END AS text FROM texts)
+)""",
+        """printed AS (
+  SELECT *, CASE WHEN v IS NULL THEN 'None'
+                 WHEN NOT regexp_matches(text, '^[''"]') AND (v IN ('True', 'False') OR regexp_matches(v, '^[-+]?\\d+(?:\\.\\d+)?$')) THEN v
+                 WHEN contains(v, chr(39)) AND NOT contains(v, '"') THEN '"' || v || '"'
+                 ELSE chr(39) || replace(v, chr(39), chr(92) || chr(39)) || chr(39) END AS shown
+  FROM scalars
+)""",
+        """strict AS (
+  SELECT k.rid, k.entry, k.k, CASE k.kind WHEN 'block' THEN any_value(b.v) WHEN 'as is' THEN any_value(k.head)
+           WHEN 'map' THEN '{' || string_agg(chr(39) || name || chr(39) || ': ' || shown, ', ' ORDER BY n) || '}'
+           WHEN 'scalar' THEN any_value(p.v) ELSE '[' || coalesce(string_agg(shown, ', ' ORDER BY n), '') || ']' END AS v,
+         k.kind <> 'scalar' OR bool_and(p.ok) AS ok
+  FROM kinds k LEFT JOIN blocks b ON b.rid = k.rid AND b.entry = k.entry LEFT JOIN printed p ON p.rid = k.rid AND p.entry = k.entry
+  GROUP BY k.rid, k.entry, k.k, k.kind
+)""",
+        f"""broken AS (
+  SELECT rid FROM split WHERE entry = 0 AND NOT regexp_matches(line, {re_(LB.PRELUDE)})
+  UNION SELECT rid FROM strict WHERE NOT ok
+  UNION SELECT rid FROM cleans WHERE rid NOT IN (SELECT rid FROM entries)
 )""",
         f"""vals AS (
-  SELECT conv_id, k, arg_max(struct_pack(x := CASE
-           WHEN length(v) > 1 AND starts_with(v, chr(39)) AND ends_with(v, chr(39)) THEN replace(substr(v, 2, length(v) - 2), chr(39) || chr(39), chr(39))
-           WHEN length(v) > 1 AND starts_with(v, '"') AND ends_with(v, '"') THEN regexp_replace(substr(v, 2, length(v) - 2), '\\\\(["\\\\])', '\\1', 'g')
-           WHEN {in_list(value, LB.NULL_WORDS)} THEN NULL
-           WHEN {in_list(value, LB.TRUE_WORDS)} THEN 'True' WHEN {in_list(value, LB.FALSE_WORDS)} THEN 'False'
-           ELSE {value} END), entry).x AS v
-  FROM pairs GROUP BY conv_id, k
+  SELECT rid, k, arg_max(struct_pack(x := v), place).x AS v FROM (
+    SELECT rid, entry AS place, k, v FROM strict WHERE rid NOT IN (SELECT rid FROM broken)
+    UNION ALL
+    SELECT rid, n, regexp_extract(line, {re_(LB.LOOSE_ENTRY)}, 1), coalesce(nullif({trim_(f"regexp_extract(line, {re_(LB.LOOSE_ENTRY)}, 2)")}, ''), 'N/A')
+    FROM split WHERE rid IN (SELECT rid FROM broken) AND regexp_matches(line, {re_(LB.LOOSE_ENTRY)})
+  ) GROUP BY rid, k
 )""",
         f"""parsed AS (
-  SELECT CAST({A.PHONE_BASE} + r.conv_id AS VARCHAR) AS cleaned_phone, any_value(c.cleaned) AS cleaned,
+  SELECT CAST({A.PHONE_BASE} + any_value(r.conv_id) AS VARCHAR) AS cleaned_phone, any_value(r.turn) AS turn, any_value(c.cleaned) AS cleaned,
          CASE WHEN any_value(r.raw) IS NULL THEN 'ERROR_LLM_NONE' WHEN count(w.k) = 0 THEN 'Expected a mapping'
-              WHEN count(DISTINCT w.k) FILTER ({in_list('w.k', keys)}) < {len(keys)} THEN 'Missing keys: ' || list_aggregate(list_sort(list_filter([{", ".join(q(k) for k in keys)}], lambda x: NOT list_contains(list(w.k), x))), 'string_agg', ', ') END AS error,
-         CASE WHEN count(w.k) > 0 THEN coalesce(list_aggregate(list_sort(list_filter([{", ".join(q(k) for k in keys)}], lambda x: NOT list_contains(list(w.k), x))), 'string_agg', ','), '') END AS missing_keys,
+              WHEN len({missing}) > 0 THEN 'Missing keys: ' || list_aggregate({missing}, 'string_agg', ', ') END AS error,
+         CASE WHEN count(w.k) > 0 THEN coalesce(list_aggregate({missing}, 'string_agg', ','), '') END AS missing_keys,
          {", ".join(f"max(w.v) FILTER (w.k = {q(k)}) AS {k}" for k in keys)}
-  FROM raws r LEFT JOIN cleans c USING (conv_id) LEFT JOIN vals w USING (conv_id)
-  GROUP BY r.conv_id
+  FROM raws r LEFT JOIN cleans c USING (rid) LEFT JOIN vals w USING (rid)
+  GROUP BY r.rid
 )""",
     ]

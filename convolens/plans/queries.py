@@ -640,7 +640,7 @@ def next_action(spark, sf_dir):
     """B1-B5 + B12 + J9: silence band, stall -> initial action (lookup),
     recovery override, message and transfer-context gating."""
     feats = _rule_features(spark, sf_dir, ["human_transfer", "transfer_context"])
-    lab = A.label_rows(spark, sf_dir).select("cleaned_phone", "primary_stall_reason_code", "suggested_message_es")
+    lab = A.latest_labels(spark, sf_dir).select("cleaned_phone", "primary_stall_reason_code", "suggested_message_es")
     dim = RU.lookup_table(spark, P.STALL_INITIAL_ACTION, ["primary_stall_reason_code", "initial_action"])
     j = RU.code_lookup(feats.join(lab, "cleaned_phone"), dim, "primary_stall_reason_code")
     action = RU.next_action("initial_action", "IS_RECOVERY_PHASE_ELIGIBLE")
@@ -692,7 +692,7 @@ FROM e""",
 def engagement_status(spark, sf_dir):
     """B6 + B7: engagement status and the engagement recipe's next action."""
     feats = _rule_features(spark, sf_dir)
-    lab = A.label_rows(spark, sf_dir)
+    lab = A.latest_labels(spark, sf_dir)
     j = feats.join(lab, "cleaned_phone")
     status = RU.engagement_status("NO_USER_MESSAGES_EXIST", "last_message_sender", "hours_since_last_user_message",
                                   "hours_since_last_message", "explicit_disinterest", "technical_issue")
@@ -724,7 +724,7 @@ def campaign_action(spark, sf_dir):
     """B8 + B9 + B11 + J9: campaign status split at 48 h of user silence,
     status -> action + context lookup, RESPOND_* messages, follow-up count."""
     feats = _rule_features(spark, sf_dir, [("follow_ups", {"campaign_start": CAMPAIGN_START})])
-    lab = A.label_rows(spark, sf_dir).select("cleaned_phone", "campaign_label", "suggested_message_es")
+    lab = A.latest_labels(spark, sf_dir).select("cleaned_phone", "campaign_label", "suggested_message_es")
     j = feats.join(lab, "cleaned_phone").withColumn(
         "current_engagement_status",
         RU.campaign_status("campaign_label", "NO_USER_MESSAGES_EXIST", "hours_since_last_user_message"),
@@ -771,7 +771,7 @@ def _curated_sql() -> str:
 def smart_summary(spark, sf_dir):
     """B10 + P18 + F15: smart summary per lead and the curated 12-column report."""
     leads = A.leads_from_customers(spark, sf_dir).select(F.col("name").alias("nombre"), "cleaned_phone")
-    lab = A.label_rows(spark, sf_dir)
+    lab = A.latest_labels(spark, sf_dir)
     j = leads.join(lab, "cleaned_phone", "left").withColumn(
         "resumen_general",
         RU.smart_summary("documentos_enviados_analisis", "enviado_a_validacion", "calidad_atencion_agente",
@@ -794,7 +794,7 @@ _ENUMS = {"primary_stall_reason_code": P.STALL_REASONS, "next_action_code": P.NE
 def label_repair(spark, sf_dir):
     """Validate labels against the recipe keys / enums and repair them."""
     feats = FT.conversation_features(_msgs(spark, sf_dir), [FT.Temporal()])
-    lab = A.label_rows(spark, sf_dir)
+    lab = A.latest_labels(spark, sf_dir)
     j = lab.join(feats.select("cleaned_phone", "NO_USER_MESSAGES_EXIST", "HOURS_MINUTES_SINCE_LAST_MESSAGE"), "cleaned_phone")
     r = LB.repair_labels(j, P.HANDOFF_LABEL_KEYS, _ENUMS, P.CRITICAL_ENUM_KEYS)
     return r.select("cleaned_phone", *P.HANDOFF_LABEL_KEYS, "inferred_stall_stage", "had_errors")
@@ -812,17 +812,26 @@ RESPONSE_SHAPES = [
     "```\nsummary: {text}\ntransfer_context_analysis: nada\nprimary_stall_reason_code: PROCESO_EN_CURSO\n"
     "next_action_code: ESPERAR # seguro\nsuggested_message_es: hola\n```",
     None,
+    "summary: |\n  {text}\n  otra linea\n\n  fin\nnext_action_code: ESPERAR\nsuggested_message_es: >-\n  uno\n  dos\n\n"
+    "  tres\n    mas\nprimary_stall_reason_code: OTRO",
+    "summary:\n  - {text}\n  - 'b c'\n  - 3\n  - true\n  - dos\n    lineas\nnext_action_code: [CERRAR, 2, 'x y']\n"
+    "primary_stall_reason_code: GHOSTING\nsuggested_message_es:\n  tono: amable\n  texto: \"hola\"",
+    "summary: x\n  next_action_code: CERRAR\n  primary_stall_reason_code:\n  suggested_message_es: {text}",
+    "Claro, el analisis:\nsummary: {text}\nnext_action_code: INSISTIR\nprimary_stall_reason_code: OTRO\nsuggested_message_es: hola",
+    "summary: 'uno\\tdos'\nnext_action_code: @nadie\nprimary_stall_reason_code: OTRO\nsuggested_message_es: {text}",
+    "summary: >\n  {text}\n  sigue\nnext_action_code: |+\n  CERRAR\n\nprimary_stall_reason_code: \"OTRO\"\n"
+    "suggested_message_es: \"a\\\\nb \\/ c\"",
 ]
 
 
 def raw_responses(spark, sf_dir) -> DataFrame:
-    """A raw model response per conversation: a shape by conversation id around
-    the whole text of its last turn."""
-    c = F.col("conv_id")
+    """A raw model response per turn: a shape by conversation and turn around
+    the whole text of the turn."""
     shapes = F.array(*[F.lit(s).cast("string") for s in RESPONSE_SHAPES])
-    shape = F.element_at(shapes, (c % len(RESPONSE_SHAPES) + 1).cast("int"))
-    return A.last_texts(spark, sf_dir).select(
-        A.phone_of(c).alias("cleaned_phone"), F.replace(shape, F.lit("{text}"), F.col("text")).alias("raw_response")
+    shape = F.element_at(shapes, ((F.col("conv_id") + F.col("turn")) % len(RESPONSE_SHAPES) + 1).cast("int"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return read_table(spark, sf_dir, "conversations").select(
+        A.phone_of(F.col("conv_id")).alias("cleaned_phone"), "turn", F.replace(shape, F.lit("{text}"), text).alias("raw_response")
     )
 
 
@@ -834,7 +843,7 @@ def label_parse(spark, sf_dir):
     """Clean and parse raw responses, required keys."""
     p = LB.parse_labels(raw_responses(spark, sf_dir), required=PARSED_KEYS)
     return p.select(
-        "cleaned_phone", "cleaned", "error", F.array_join("missing_keys", ",").alias("missing_keys"),
+        "cleaned_phone", "turn", "cleaned", "error", F.array_join("missing_keys", ",").alias("missing_keys"),
         *[F.try_element_at("labels", F.lit(k)).alias(k) for k in PARSED_KEYS],
     )
 

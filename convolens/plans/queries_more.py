@@ -56,7 +56,7 @@ FROM leads WHERE cleaned_phone NOT IN (SELECT cleaned_phone FROM lab)""",
 )
 def scored_and_unscored(spark, sf_dir):
     """Scored conversations and a default row for every other lead."""
-    scored = A.label_rows(spark, sf_dir).select("cleaned_phone", "summary")
+    scored = A.latest_labels(spark, sf_dir).select("cleaned_phone", "summary")
     return RP.scored_and_unscored(scored, A.leads_from_customers(spark, sf_dir), UNSCORED)
 
 
@@ -150,15 +150,15 @@ def _label_errors_sql() -> str:
     for k, allowed in Q._ENUMS.items():
         text = O.q(f"Invalid value for '{k}': '")
         found.append(f"CASE WHEN {k} IS NOT NULL AND NOT {O.in_list(k, allowed)} THEN {text} || {k} || chr(39) END")
-    return f"SELECT cleaned_phone, nullif(concat_ws('; ', {', '.join(found)}), '') AS errors FROM lab"
+    return f"SELECT cleaned_phone, turn, nullif(concat_ws('; ', {', '.join(found)}), '') AS errors FROM lab"
 
 
-@register("label_errors", _with(O.labels_cte()) + _label_errors_sql())
+@register("label_errors", _with(O.labels_cte(per_turn=True)) + _label_errors_sql())
 def label_errors(spark, sf_dir):
     """The validation errors of every label row."""
     errors = LB.validation_errors(P.HANDOFF_LABEL_KEYS, Q._ENUMS)
     lab = A.label_rows(spark, sf_dir)
-    return lab.select("cleaned_phone", F.when(F.size(errors) > 0, F.array_join(errors, "; ")).alias("errors"))
+    return lab.select("cleaned_phone", "turn", F.when(F.size(errors) > 0, F.array_join(errors, "; ")).alias("errors"))
 
 
 @register(
@@ -170,7 +170,7 @@ def label_errors(spark, sf_dir):
        CASE WHEN NOT coalesce(known, false) THEN {O.q(P.NO_CONVERSATION_SUMMARY)}
             WHEN p.error = 'ERROR_LLM_NONE' THEN {O.q(LB.ERROR_SUMMARIES["ERROR_LLM_NONE"])}
             WHEN p.error IS NOT NULL THEN {O.q(LB.ERROR_SUMMARIES["ERROR_PROCESSING"])} ELSE p.summary END AS summary
-FROM leads LEFT JOIN (SELECT *, true AS known FROM parsed) p USING (cleaned_phone)""",
+FROM leads LEFT JOIN (SELECT *, true AS known FROM parsed QUALIFY row_number() OVER (PARTITION BY cleaned_phone ORDER BY turn DESC) = 1) p USING (cleaned_phone)""",
 )
 def response_run(spark, sf_dir):
     """A recipe run from raw model responses: parse failures and missing keys

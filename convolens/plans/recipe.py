@@ -283,13 +283,18 @@ def recipe_messages(recipe: Recipe, messages: DataFrame, leads: DataFrame, as_of
 def recipe_labels(recipe: Recipe, labels: DataFrame | None, responses: DataFrame | None) -> DataFrame | None:
     """The label table of a run: given label columns, or raw responses parsed
     here (L1-L7).  Every label key of the recipe is a column; one that the
-    table lacks is null, so that L8/L10 see it as missing."""
+    table lacks is null, so that L8/L10 see it as missing.  One row per key is
+    left, the newest (``one_per_key``): a lead has one result, also when several
+    rows' phones normalise to its key."""
     if responses is not None:
-        parsed = LB.parse_labels(RP.normalise_keys(responses), required=recipe.required_keys)
+        held = ["cleaned_phone", "raw_response", *RP.NEWEST]
+        rows = RP.normalise_keys(responses)
+        newest = RP.one_per_key(rows.select(*[c for c in held if c in rows.columns]))
+        parsed = LB.parse_labels(newest, required=recipe.required_keys)
         return LB.label_columns(parsed, [k.name for k in recipe.label_keys])
     if labels is None:
         return None
-    lab = RP.normalise_keys(labels)
+    lab = RP.one_per_key(RP.normalise_keys(labels))
     wanted = [k.name for k in recipe.label_keys]
     extra = [c for c in ("inferred_stall_stage", "error_kind", "error_details") if c in lab.columns and c not in wanted]
     return lab.select(

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.operators.report import one_per_key
 from convolens.sources.tables import read_table
 
 PHONE_BASE = 5500000000
@@ -195,20 +196,16 @@ def pick(index: F.Column, values: list) -> F.Column:
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
 
 
-def last_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id`` and the whole text of its last turn."""
-    conv = read_table(spark, sf_dir, "conversations")
-    return conv.groupBy("conv_id").agg(F.coalesce(F.max_by("text", "turn"), F.lit("")).alias("text"))
-
-
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model labels per conversation (what a model would have returned): codes
-    by arithmetic on the conversation id, free texts around its last turn."""
-    conv = last_texts(spark, sf_dir)
+    """Model labels, a row per turn (what a model would have returned for the
+    conversation so far): codes by arithmetic on the conversation id, free texts
+    around the turn's whole text."""
+    conv = read_table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     c = F.col("conv_id")
     return conv.select(
         phone_of(c).alias("cleaned_phone"),
         c.alias("conv_id"),
+        "turn",
         F.when(c % 17 == 5, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Resumen: "), F.col("text"))).alias("summary"),
         pick(c % len(STALL_VARIANTS), STALL_VARIANTS).alias("primary_stall_reason_code"),
@@ -228,3 +225,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(c % 29 == 11, F.lit("ERROR_LLM_NONE"))
         .when(c % 31 == 30, F.lit("ERROR_UNEXPECTED")).alias("error_kind"),
     )
+
+
+def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest label row of each conversation."""
+    return one_per_key(label_rows(spark, sf_dir))
