@@ -196,7 +196,7 @@ class _Piece:
         return out
 
 
-def merged(pieces: Iterator[tuple[bytes, bytes]], rows: int = 300_000) -> Iterator[pa.Table]:
+def merged(pieces: Iterator[tuple[bytes, bytes]], rows: int = 100_000) -> Iterator[pa.Table]:
     """Each ``(term, lang, source)`` once with its ``count`` and ``docs``, whole terms in every table.
 
     Pieces come as ``(first term, piece)`` ordered by first term.  A heap holds
@@ -387,7 +387,7 @@ def source_divergence(
     docs: DataFrame,
     min_docs: int = 3,
     top: int = 200,
-    block: int = 400_000,
+    block: int = 200_000,
     shards: int | None = None,
     lang_col: str = "lang",
     source_col: str = "source",
