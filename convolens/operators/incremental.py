@@ -1,33 +1,25 @@
 """Incrementality: result cache by digest (C2, C3, J8), completion tracking
 (C4-C6), campaign statistics (A6, A7).
 
-The cache and the completion log are append-only tables; "latest per key" is
-a partial aggregation (see :func:`convolens.operators.leads.latest_per_key`),
-so no table is rewritten in place and a re-run after a lost executor reads the
-same inputs.
+The cache is a maintained table (:class:`ResultCache`), the completion log an
+append-only one; "latest per key" is a partial aggregation (see
+:func:`convolens.operators.leads.latest_per_key`), so nothing is rewritten in
+place and a re-run after a lost executor reads the same inputs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convolens.operators.features import order_key
-from convolens.operators.keyed import keyed_aggregate
 from convolens.operators.leads import latest_per_key
+from convolens.operators.transcript import digest_of, digest_parts, line_parts
+from convolens.sources.versioned import VersionedTable
 
 KEY = "cleaned_phone"
 
 
-def without_last_message(messages: DataFrame, drop_when: Column, key: str = KEY) -> DataFrame:
-    """The earlier version of a conversation: its last message removed where
-    ``drop_when`` holds (a per-row condition constant within the conversation)."""
-    ordk = order_key(messages.columns)
-    last = keyed_aggregate(messages, key, F.max(ordk).alias("__last"))
-    j = messages.join(last, key)
-    return j.where(~(drop_when & (ordk == F.col("__last")))).drop("__last")
-
-
 def latest_cache(cache: DataFrame, key: str = KEY) -> DataFrame:
     """The newest usable entry per digest (a null payload is a corrupt
     entry and counts as a miss).  Identical conversations share a digest; a
@@ -102,6 +94,51 @@ def mark_complete(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def append_cache(results: DataFrame, path: str) -> None:
-    """K7: append result rows that carry a digest to the cache table."""
-    results.where(F.col("conversation_digest").isNotNull()).write.mode("append").parquet(path)
+class ResultCache:
+    """C3 + K7: the results of handled conversations as a maintained table, one
+    row per (key, digest): a snapshot plus the runs since (``VersionedTable``).
+    Looking results up reads this table and no earlier messages."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = KEY) -> None:
+        self.key = key
+        self.table = VersionedTable(spark, path, [key, "conversation_digest"])
+
+    def add(self, results: DataFrame, run: str | None = None) -> None:
+        """Store a run's results: rows with a digest and a payload (a corrupt
+        entry must not hide an older good one), the newest of equal keys.  A
+        run that is stored twice under its name is there once."""
+        usable = results.where(F.col("conversation_digest").isNotNull() & F.col("payload").isNotNull())
+        self.table.add(latest_per_key(usable, [self.key, "conversation_digest"], ["scored_at", "payload"]), run)
+
+    def rows(self, like: DataFrame) -> DataFrame:
+        """All entries; ``like`` gives the key's type while there are none."""
+        found = self.table.read()
+        if found is None:
+            kind = like.schema[self.key].dataType.simpleString()
+            found = like.sparkSession.createDataFrame([], f"{self.key} {kind}, conversation_digest string, payload string, scored_at timestamp")
+        return found
+
+    def needed(self, current: DataFrame) -> DataFrame:
+        """The conversations without a stored result."""
+        return score_needed(current, self.rows(current), self.key)
+
+    def hits(self, current: DataFrame) -> DataFrame:
+        """The conversations with one, and it."""
+        return cache_hits(current, self.rows(current), self.key)
+
+
+def version_digests(messages: DataFrame, drop_when: Column, key: str = KEY) -> DataFrame:
+    """The digest of every conversation now and before its last message (where
+    ``drop_when`` held then, else now): ``key, conversation_digest, n_messages,
+    old_digest, old_messages``, in one aggregation.  A digest is made of sums,
+    so the last message's part is taken off them."""
+    parts = digest_parts()
+    own = line_parts()
+    last = F.max_by(F.struct(*[own[n].alias(n) for n in parts], drop_when.alias("__drop")), order_key(messages.columns))
+    sums = messages.groupBy(key).agg(*[c.alias(f"__{n}") for n, c in parts.items()], last.alias("__last"))
+    less = {n: F.col(f"__{n}") - F.when(F.col("__last.__drop"), F.col(f"__last.{n}")).otherwise(F.lit(0)) for n in parts}
+    same = lambda n: less[n].cast(sums.schema[f"__{n}"].dataType)
+    return sums.select(
+        key, digest_of(*[F.col(f"__{n}") for n in parts]).alias("conversation_digest"), F.col("__n").alias("n_messages"),
+        digest_of(*map(same, parts)).alias("old_digest"), same("n").alias("old_messages"),
+    )

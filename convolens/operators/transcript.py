@@ -36,11 +36,16 @@ def render_line(style: str = PLAIN) -> Column:
     return F.concat(t, F.lit(" "), who, F.lit(": "), msg)
 
 
+def line_parts() -> dict[str, Column]:
+    """What one line adds to its conversation's digest."""
+    line = F.md5(normalize_ws(render_line(PLAIN)))
+    half = lambda at: F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(20,0)")
+    return {"n": F.lit(1).cast("long"), "high": half(1), "low": half(16)}
+
+
 def digest_parts() -> dict[str, Column]:
     """Aggregates a digest is made of: rows and two sums of line hashes."""
-    line = F.md5(normalize_ws(render_line(PLAIN)))
-    half = lambda at: F.sum(F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(20,0)"))
-    return {"n": F.count(F.lit(1)), "high": half(1), "low": half(16)}
+    return {n: F.sum(c) for n, c in line_parts().items()}
 
 
 def digest_of(n: Column, high: Column, low: Column) -> Column:

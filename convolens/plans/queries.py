@@ -4,6 +4,7 @@ lazy DataFrame; ``ORACLE`` holds the DuckDB SQL twin of each (where one exists).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from typing import Callable
 
@@ -14,8 +15,9 @@ from convolens.functions import patterns as P
 from convolens.operators import features as FT
 from convolens.operators.transcript import conversation_digest
 from convolens.plans import oracle as O
-from convolens.session import AS_OF_DEFAULT, tune_session
+from convolens.session import AS_OF_DEFAULT, checkpoint_dir, tune_session
 from convolens.sources import adapters as A
+from convolens.sources.stage import staged
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -850,27 +852,40 @@ def label_parse(spark, sf_dir):
 
 # --------------------------------------------------------------- incremental
 def _versions(spark, sf_dir):
+    """Every conversation's digest now, and as it was handled before: without
+    its last message where ``conv_id % 3 = 0``.  Both from one scan."""
     m = A.message_rows(spark, sf_dir, keep_conv_id=True)
-    current = conversation_digest(m)
-    old_msgs = INC.without_last_message(m, F.col("conv_id") % 3 == 0)
-    old = conversation_digest(old_msgs)
+    both = INC.version_digests(m, F.col("conv_id") % 3 == 0)
+    current = both.select("cleaned_phone", "conversation_digest", "n_messages")
+    old = both.where("old_messages > 0").select(
+        "cleaned_phone", F.col("old_digest").alias("conversation_digest"), F.col("old_messages").alias("n_messages")
+    )
     return current, old
 
 
-def _cache(old: DataFrame) -> DataFrame:
+def _stored(spark, old: DataFrame) -> INC.ResultCache:
+    """The results of three earlier runs, stored as they would have been."""
+    cache = INC.ResultCache(spark, f"{checkpoint_dir(spark).rstrip('/')}/result-cache/{uuid.uuid4().hex}")
+    for run, rows in enumerate(_runs(staged(old, "handled"))):
+        cache.add(rows, f"run-{run}")
+    return cache
+
+
+def _runs(old: DataFrame) -> list[DataFrame]:
+    """Result rows: all conversations, a later run over some, and corrupt entries."""
     conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
     as_of = F.to_timestamp(F.lit(AS_OF_DEFAULT))
     base = old.select("cleaned_phone", "conversation_digest", "n_messages", conv.alias("conv_id"))
-    v1 = base.select("cleaned_phone", "conversation_digest",
-                     F.concat(F.lit("v1:"), F.col("n_messages").cast("string")).alias("payload"),
-                     (as_of - F.expr("INTERVAL 1 DAY")).alias("scored_at"))
-    v2 = base.where(F.col("conv_id") % 4 == 0).select(
-        "cleaned_phone", "conversation_digest",
-        F.concat(F.lit("v2:"), F.col("n_messages").cast("string")).alias("payload"),
-        (as_of - F.expr("INTERVAL 1 HOUR")).alias("scored_at"))
-    bad = base.where(F.col("conv_id") % 5 == 1).select(
-        "cleaned_phone", "conversation_digest", F.lit(None).cast("string").alias("payload"), as_of.alias("scored_at"))
-    return v1.unionByName(v2).unionByName(bad)
+
+    def run(where, payload, at):
+        return base.where(where).select("cleaned_phone", "conversation_digest", payload.alias("payload"), at.alias("scored_at"))
+
+    text = lambda v: F.concat(F.lit(v), F.col("n_messages").cast("string"))
+    return [
+        run(F.lit(True), text("v1:"), as_of - F.expr("INTERVAL 1 DAY")),
+        run(F.col("conv_id") % 4 == 0, text("v2:"), as_of - F.expr("INTERVAL 1 HOUR")),
+        run(F.col("conv_id") % 5 == 1, F.lit(None).cast("string"), as_of),
+    ]
 
 
 _DIGEST_AGG = O.digest_agg()
@@ -896,7 +911,7 @@ WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.payload IS NOT NULL AND c.cleane
 def score_needed(spark, sf_dir):
     """C2 + J8: conversations whose current digest has no usable cache entry."""
     current, old = _versions(spark, sf_dir)
-    return INC.score_needed(current.select("cleaned_phone", "conversation_digest"), _cache(old))
+    return _stored(spark, old).needed(current.select("cleaned_phone", "conversation_digest"))
 
 
 @register(
@@ -908,7 +923,7 @@ def score_needed(spark, sf_dir):
 def cache_latest(spark, sf_dir):
     """Newest usable cache entry per digest (corrupt entries skipped)."""
     _, old = _versions(spark, sf_dir)
-    latest = INC.latest_cache(_cache(old))
+    latest = INC.latest_cache(_stored(spark, old).rows(old))
     return latest.select("conversation_digest", "cleaned_phone", "payload",
                          F.date_format("scored_at", "yyyy-MM-dd HH:mm:ss").alias("scored_at"))
 
@@ -932,6 +947,7 @@ def completion_log(old: DataFrame) -> DataFrame:
 def _completion(spark, sf_dir):
     current, old = _versions(spark, sf_dir)
     conv = F.col("cleaned_phone").cast("bigint") - F.lit(A.PHONE_BASE)
+    old = staged(old, "handled")
     cur = current.select("cleaned_phone", _campaign(conv).alias("recipe"), "conversation_digest")
     return INC.completion_status(cur, completion_log(old))
 

@@ -191,7 +191,7 @@ def response_run(spark, sf_dir):
 def cache_hits(spark, sf_dir):
     """The newest cached result of every unchanged conversation."""
     current, old = Q._versions(spark, sf_dir)
-    return INC.cache_hits(current, Q._cache(old)).select("cleaned_phone", "conversation_digest", "payload")
+    return Q._stored(spark, old).hits(current).select("cleaned_phone", "conversation_digest", "payload")
 
 
 def _log(spark, sf_dir) -> DataFrame:

@@ -6,18 +6,24 @@ text: no inference that would drop leading zeros).
 
 from __future__ import annotations
 
+import logging
 import os
 import re
-from collections.abc import Callable
-from urllib.parse import unquote
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convolens.functions.phones import phone_last10_strict
 from convolens.functions.timefmt import parse_ts_month_first
+from convolens.sources.stage import staged
 from convolens.sources.tables import MESSAGE_SCHEMA
+from convolens.sources.versioned import VersionedTable
+
+log = logging.getLogger(__name__)
 
 _PLACEHOLDER = re.compile(r"%\((\w+)\)s")
 
@@ -53,8 +59,7 @@ def query_from_file(spark: SparkSession, path: str, params: dict | None = None)
 def jdbc_query(spark: SparkSession, url: str, query: str, partition_column: str | None = None,
                lower: int | None = None, upper: int | None = None, num_partitions: int = 16, **options) -> DataFrame:
     """S1/S3 against a warehouse: a JDBC read, split into ranges of
-    ``partition_column`` so executors fetch in parallel (the driver's
-    batching of keys and concurrency cap become partitions and tasks)."""
+    ``partition_column`` so executors fetch in parallel."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)
     if partition_column:
         reader = (reader.option("dbtable", f"({query}) q").option("partitionColumn", partition_column)
@@ -64,6 +69,50 @@ def jdbc_query(spark: SparkSession, url: str, query: str, partition_column: str
     return reader.load()
 
 
+def fetch_batches(keys: DataFrame, fetch: Callable[[list], Iterable[tuple]], schema: str, batch_size: int = 500,
+                  concurrency: int = 10) -> tuple[DataFrame, DataFrame]:
+    """S3: rows of a source that is asked by batches of keys.
+
+    ``keys`` (one column) are made distinct and dealt to ``concurrency`` tasks,
+    each of which calls ``fetch(batch)`` for up to ``batch_size`` keys at a time;
+    it gives tuples of ``schema``.  A batch that raises is logged as a row and
+    left out; it is an error only if every batch failed.  Returns the rows and
+    the failures ``(keys, error)``.  The result is stored, so the source is asked
+    once however often the frames are read (a lost task asks again)."""
+    key = keys.columns[0]
+    names = T.StructType.fromDDL(schema).fieldNames()
+    kept = keys.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct().repartition(concurrency)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+
+        def asked(batch: list) -> pd.DataFrame:
+            try:
+                rows = [dict(zip(names, r)) for r in fetch(batch)]
+                out = [{"row": r, "keys": None, "error": None} for r in rows]
+                return pd.DataFrame([*out, {"row": None, "keys": [str(k) for k in batch], "error": None}])
+            except Exception as exc:  # this batch only
+                return pd.DataFrame([{"row": None, "keys": [str(k) for k in batch], "error": f"{type(exc).__name__}: {exc}"}])
+
+        for frame in frames:
+            held += frame["key"].tolist()
+            while len(held) >= batch_size:
+                yield asked(held[:batch_size])
+                held = held[batch_size:]
+        if held:
+            yield asked(held)
+
+    answers = staged(kept.mapInPandas(run, f"row struct<{schema}>, keys array<string>, error string"), "fetched")
+    batches = answers.where(F.col("keys").isNotNull())
+    counts = batches.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("failed"), F.first("error", True).alias("error")).first()
+    if counts["n"] and counts["n"] == counts["failed"]:
+        raise RuntimeError(f"all {counts['n']} batches failed; one of them: {counts['error']}")
+    if counts["failed"]:
+        log.warning("%d of %d batches failed; one of them: %s", counts["failed"], counts["n"], counts["error"])
+    rows = answers.where(F.col("row").isNotNull()).select("row.*")
+    return rows, batches.where(F.col("error").isNotNull()).select("keys", "error")
+
+
 def read_leads_csv(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
     """Header CSV with every column as text; required columns are checked
     against the header; an empty file gives an empty frame with those columns."""
@@ -71,7 +120,7 @@ def read_leads_csv(spark: SparkSession, path: str, required: list[str] | None =
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if not df.columns:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in required]))
-    df = df.toDF(*[c.strip() for c in df.columns])
+    df = df.toDF(*[c.removeprefix("\ufeff").strip() for c in df.columns])
     if "cleaned_phone_number" in df.columns and "cleaned_phone" not in df.columns:
         df = df.withColumnRenamed("cleaned_phone_number", "cleaned_phone")
     missing = [c for c in required if c not in df.columns]
@@ -80,21 +129,66 @@ def read_leads_csv(spark: SparkSession, path: str, required: list[str] | None =
     return df
 
 
+def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV whose quoted fields may hold newlines, split over tasks like any text.
+
+    A line begins a record if the number of quotes before it is even.  Each
+    block of the file (a task's byte range) counts its quotes and its possible
+    records; running sums over the blocks (one row each) and inside a block tell
+    the record every line belongs to.  Text columns as in the header, and
+    ``record_no``, ascending in the order of files and records (the header of
+    the first file is 0)."""
+    names = [c.removeprefix("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    )
+    place = F.monotonically_increasing_id()
+    lines = lines.withColumns({"place": place, "quotes": F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))})
+
+    # quotes before each block, then the records that begin in it
+    blocks = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("file", "block").orderBy("place")
+    before = F.coalesce(F.sum("quotes").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = lines.withColumn("odd", before % 2)
+    blank = F.trim("line").isin("", "\r")
+    counted = parts.groupBy("file", "block").agg(
+        F.sum("quotes").alias("q"),
+        F.count_if((F.col("odd") == 0) & ~blank).alias("even"), F.count_if((F.col("odd") == 1) & ~blank).alias("odd"),
+    )
+    counted = counted.withColumn("inside", F.coalesce(F.sum("q").over(of_file), F.lit(0)) % 2)
+    counted = counted.withColumn("n", F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odd")))
+    offsets = counted.select("file", "block", "inside", F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("earlier"))
+
+    met = parts.join(offsets, ["file", "block"]).withColumn("begins", (F.col("odd") == F.col("inside")) & ~blank)
+    inner = (F.col("odd") != F.col("inside"))
+    run = F.sum(F.col("begins").cast("long")).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumn("record_no", F.col("earlier") + run - 1).where(F.col("begins") | inner)
+    held = F.array_sort(F.collect_list(F.struct("block", "place", "line")))
+    text = F.regexp_replace(F.array_join(F.transform(held, lambda x: x["line"]), "\n"), r"\r$", "")
+    records = met.groupBy("file", "record_no").agg(text.alias("text"))
+    first = Window.partitionBy("file").orderBy("block")
+    heads = offsets.withColumn("place", F.row_number().over(first)).where("place = 1").select("file", F.col("earlier").alias("head"))
+    body = records.join(heads, "file").where(F.col("record_no") != F.col("head"))
+    fields = F.from_csv("text", ", ".join(f"`{c}` string" for c in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return body.select("record_no", fields.alias("f")).select("record_no", "f.*")
+
+
 def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     """Message CSV (quoted fields may hold newlines); ``cleaned_phone``
     as text, ``creation_time`` parsed per value (mixed formats allowed); without
     a ``src_ord`` column rows are numbered in file order."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-           .option("escape", '"').csv(path))
+    raw = read_quoted_csv(spark, path)
     if "cleaned_phone_number" in raw.columns and "cleaned_phone" not in raw.columns:
         raw = raw.withColumnRenamed("cleaned_phone_number", "cleaned_phone")
     from convolens.functions.timefmt import parse_ts
 
-    cols = [F.col("cleaned_phone").cast("string").alias("cleaned_phone")]
-    position = F.col("src_ord") if "src_ord" in raw.columns else F.monotonically_increasing_id()  # the file's order
-    cols.append(position.cast("long").alias("src_ord"))
-    cols += [parse_ts("creation_time").alias("creation_time"), F.col("msg_from"), F.col("message")]
-    return raw.select(*cols)
+    position = F.col("src_ord") if "src_ord" in raw.columns else F.col("record_no")  # the file's order
+    return raw.select(
+        F.col("cleaned_phone").cast("string").alias("cleaned_phone"), position.cast("long").alias("src_ord"),
+        parse_ts("creation_time").alias("creation_time"), "msg_from", "message",
+    )
 
 
 def read_records_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -151,39 +245,23 @@ def load_leads(spark: SparkSession, recipe, params: dict | None = None, base_dir
     return parameterised_query(spark, wanted, params)
 
 
-def newest_partition(df: DataFrame, name: str) -> str | None:
-    """Greatest value of a partition column, from the file listing (a listed
-    path is a URI of a folder name that itself escapes some characters)."""
-    found = [m.group(1) for m in (re.search(rf"/{name}=([^/]+)/", f) for f in df.inputFiles()) if m]
-    return max(unquote(unquote(f)) for f in found) if found else None
-
-
 def daily_extract(spark: SparkSession, path: str, day: str, compute) -> DataFrame:
-    """Reuse the day's stored extract (partition ``dt=day``) when present;
-    otherwise compute, write the partition, and read it back.  If computing
-    fails, fall back to the newest stored partition."""
-    from pyspark.errors import AnalysisException
-
-    def stored(d: str | None = None) -> DataFrame:
-        df = spark.read.parquet(path)
-        d = newest_partition(df, "dt") if d is None else d
-        return df.where(F.col("dt") == d).drop("dt")
-
-    try:
-        existing = spark.read.parquet(path).where(F.col("dt") == day).limit(1).count()
-    except AnalysisException:
-        existing = 0
-    if existing:
-        return stored(day)
+    """Reuse the day's stored extract when present; otherwise compute,
+    store it as the latest version, and read it back.  If computing fails, fall
+    back to the newest stored extract.  An extract is seen whole or not at all."""
+    table = VersionedTable(spark, path)
+    if table.manifest().notes.get("day") == day:
+        return table.read()
     try:
-        fresh = compute()
-        (fresh.withColumn("dt", F.lit(day)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path))
-        return stored(day)
+        table.replace(compute(), day=day)
     except AnalysisException:
         raise
     except Exception:
-        return stored()
+        stored = table.read()
+        if stored is None:
+            raise
+        return stored
+    return table.read()
 
 
 def union_chunks(chunks: list[DataFrame]) -> DataFrame:

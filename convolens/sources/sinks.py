@@ -1,8 +1,9 @@
 """Sinks: K1-K5, K7, K10.
 
 Writes go through Spark's commit protocol (task output is published once, so
-a retried task after a lost executor does not duplicate rows).  "Latest" is a
-partition value, not a symbolic link: readers prune to the newest run.
+a retried task after a lost executor does not duplicate rows).  "Latest" is the
+newest manifest of a versioned table, not a symbolic link: a run is seen whole
+or not at all (``sources/versioned.py``).
 """
 
 from __future__ import annotations
@@ -11,16 +12,21 @@ import logging
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from convolens.operators.report import export_prep
-from convolens.sources.readers import newest_partition
+from convolens.sources.versioned import VersionedTable
 
 log = logging.getLogger(__name__)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """K1: header, minimal quoting with '"' escaped by '"', nulls as ''."""
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = True) -> str:
+    """K1: header, UTF-8 with a byte-order mark (it leads each file's header),
+    minimal quoting with '"' escaped by '"', nulls as ''."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .option("nullValue", "").option("emptyValue", "").csv(path))
     return path
@@ -80,18 +86,29 @@ def run_stamp(now: datetime | None = None) -> str:
     return now.strftime("%Y-%m-%dT%H-%M")
 
 
-def write_versioned(df: DataFrame, path: str, run_ts: str, fmt: str = "parquet") -> str:
-    """K5: append one run as partition ``run_ts=...`` (dated runs + latest)."""
-    df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").format(fmt).save(path)
+def write_versioned(df: DataFrame, path: str, run_ts: str | None = None) -> str:
+    """K5: write one run and make it the latest.  A run that died is never
+    seen; one that is written twice under its id is there once."""
+    run_ts = run_ts or run_stamp()
+    VersionedTable(df.sparkSession, path).replace(df, token=run_ts, run_ts=run_ts)
     return path
 
 
-def read_latest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The newest run (the filter on the partition column prunes the
-    scan to one directory)."""
-    df = spark.read.format(fmt).load(path)
-    newest = newest_partition(df, "run_ts")
-    return df.where(F.col("run_ts") == F.lit(newest)).drop("run_ts")
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest run."""
+    rows = VersionedTable(spark, path).read()
+    if rows is None:
+        raise FileNotFoundError(f"no run was written to {path}")
+    return rows
+
+
+def read_run(spark: SparkSession, path: str, run_ts: str) -> DataFrame:
+    """K5: the run of a given id."""
+    table = VersionedTable(spark, path)
+    for number in reversed(table.numbers()):
+        if table.manifest(number).notes.get("run_ts") == run_ts:
+            return table.read(number)
+    raise FileNotFoundError(f"no run {run_ts} in {path}")
 
 
 def write_errors(errors: DataFrame, path: str, run_ts: str) -> str:

@@ -87,18 +87,23 @@ class VersionedTable:
         self._files = _Files(spark, self.root)
 
     # reading -----------------------------------------------------------------
-    def manifest(self) -> Manifest:
-        numbers = [int(n[:-5]) for n in self._files.names(_FOLDER) if n.endswith(".json")]
-        return self._manifest(max(numbers)) if numbers else Manifest()
-
-    def _manifest(self, number: int) -> Manifest:
+    def numbers(self) -> list[int]:
+        """The versions there are, ascending."""
+        return sorted(int(n[:-5]) for n in self._files.names(_FOLDER) if n.endswith(".json"))
+
+    def manifest(self, number: int | None = None) -> Manifest:
+        """The latest version's manifest, or that of a version."""
+        if number is None:
+            numbers = self.numbers()
+            if not numbers:
+                return Manifest()
+            number = numbers[-1]
         m = json.loads(self._files.read(f"{_FOLDER}/{number:012d}.json"))
         return Manifest(number, m["snapshot"], tuple(m["deltas"]), tuple(m["tokens"]), m["notes"])
 
     def read(self, number: int | None = None) -> DataFrame | None:
         """The latest version (or an earlier one by its number); None if nothing was written."""
-        found = self.manifest() if number is None else self._manifest(number)
-        return self._rows(found)
+        return self._rows(self.manifest(number))
 
     def _rows(self, m: Manifest) -> DataFrame | None:
         if not m.folders:
@@ -156,8 +161,8 @@ class VersionedTable:
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the ``keep`` latest versions names."""
-        numbers = sorted(int(n[:-5]) for n in self._files.names(_FOLDER) if n.endswith(".json"))
-        used = {f for n in numbers[-keep:] for f in self._manifest(n).folders}
+        numbers = self.numbers()
+        used = {f for n in numbers[-keep:] for f in self.manifest(n).folders}
         gone = [n for n in self._files.names("") if n.startswith("data-") and n not in used] if numbers else []
         for name in gone:
             self._files._fs.delete(self._files.path(name), True)

@@ -121,10 +121,10 @@ def test_columns_by_processor_and_result_schema():
 def test_cache_and_completion_log_round_trip(spark, tmp_path):
     res = spark.createDataFrame([("p", "d1", "x", T0), ("q", None, "y", T0)],
                                 "cleaned_phone string, conversation_digest string, payload string, scored_at timestamp")
-    path = str(tmp_path / "cache")
-    INC.append_cache(res, path)
-    INC.append_cache(res.where("cleaned_phone = 'p'").selectExpr("cleaned_phone", "'d2' conversation_digest", "payload", "scored_at"), path)
-    cache = spark.read.parquet(path)
+    cache = INC.ResultCache(spark, str(tmp_path / "cache"))
+    cache.add(res)
+    cache.add(res.where("cleaned_phone = 'p'").selectExpr("cleaned_phone", "'d2' conversation_digest", "payload", "scored_at"))
+    cache = cache.rows(res)
     assert sorted(r.conversation_digest for r in cache.collect()) == ["d1", "d2"]
     now = spark.createDataFrame([("p", "d2"), ("q", "d9")], "cleaned_phone string, conversation_digest string")
     assert [r.cleaned_phone for r in INC.cache_hits(now, cache).collect()] == ["p"]
