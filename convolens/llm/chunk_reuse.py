@@ -142,9 +142,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _Out(["doc_id", "text_name", "pos", "name"], [batch.schema.field(0).type, pa.binary(), pa.int32(), pa.binary()])
+            met: set = set()  # equal rows have equal places: once a batch
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_py().encode()
                 whole = _name(data)
+                if (key, whole) in met:
+                    continue
+                met.add((key, whole))
                 for k, chunk in enumerate(chunks(data)):
                     out.add(key, whole, k, _name(chunk))
                 if out.full():
@@ -176,13 +180,18 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
         small = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data = [t.as_py().encode() for t in batch.column(1)]
+            rows: dict[tuple, list] = {}  # equal rows leave once, with their number
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_py().encode()
+                row = rows.setdefault((key, _name(data)), [0, data])
+                row[0] += 1
+            keys, held = list(rows), list(rows.values())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array([_name(d) for d in data], pa.binary()),
-                    pa.array([-1] * len(data), pa.int32()),
-                    pa.array([small.compress(d) for d in data], pa.binary()),
+                    pa.array([k for k, _ in keys], batch.schema.field(0).type),
+                    pa.array([name for _, name in keys], pa.binary()),
+                    pa.array([-copies for copies, _ in held], pa.int32()),
+                    pa.array([small.compress(data) for _, data in held], pa.binary()),
                 ],
                 ["doc_id", "text_name", "pos", "payload"],
             )
@@ -194,32 +203,33 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         large = zstandard.ZstdDecompressor()
         key, copies, data, shared, out = None, 0, b"", {}, None
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             if copies:
                 ids = np.frombuffer(assemble(enc, data, shared), enc.dtype)
-                decoded = enc.decode(ids)
+                row = (key[0], ids.astype("<u4").tobytes(), enc.decode(ids))
                 for _ in range(copies):
-                    out.add(key[0], ids.astype("<u4").tobytes(), decoded)
+                    out.add(*row)
+                    if out.full():
+                        yield out.take()
 
         for batch in batches:
             out = out or _Out(["doc_id", "ids", "decoded"], [batch.schema.field(0).type, pa.binary(), pa.string()])
             ids, marks, positions, payloads = batch.columns
             for own, mark, pos, payload in zip(ids.to_pylist(), marks.to_pylist(), positions.to_pylist(), payloads):
                 if (own, mark) != key:
-                    close()
-                    if out.full():
-                        yield out.take()
+                    yield from close()
                     key, copies, data, shared = (own, mark), 0, b"", {}
                 if pos < 0:
                     if not copies:
                         data = large.decompress(payload.as_py())
-                    copies += 1
+                    copies -= pos
                 else:
                     shared[pos] = payload.as_py()
-        close()
         if out is not None:
+            yield from close()
             yield out.take()
 
+    # ``pos``: a chunk's place, or minus the number of equal rows whose text this is
     places = staged(
         rows.mapInArrow(names, f"doc_id {of_id}, text_name binary, pos int, name binary"), "chunk-places"
     )

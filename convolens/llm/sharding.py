@@ -10,22 +10,24 @@ Everything is a column expression.  The walk is one ``aggregate`` over at most
 ``n`` steps; the key is held as two 32-bit halves, so no product overflows a
 signed long (ANSI mode raises on overflow).
 
-Slots number the rows of a shard from 0 without a gap.  A shard is cut into
-``buckets`` sub-buckets by a hash of the id; rows are numbered inside a
-sub-bucket and shifted by the running count of the earlier ones, so no task
-holds a shard.  A window partition holds (rows of a shard / ``buckets``) rows;
-by default there are as many buckets as the session has shuffle partitions,
-which is what grows with the table.
-
-Defined cases: a null id has key 0, a null text zero bytes and crc 0; rows
-that repeat an id share its shard and get different slots; an empty table
-gives an empty result; other columns are ignored.
+Slots number the rows of a shard from 0 without a gap, by id, then text.  They
+are running counts along the rows sorted by (shard, id, text), which are
+range-partitioned with a number of each row as the last key: neither a shard nor
+a hot id nor a group of equal rows is a task (``operators/prefix.py``).
+
+Defined cases: an integer id is its own key, any other (text, say) its 64-bit
+hash; a null id has key 0, a null text zero bytes and crc 0; rows that repeat an
+id share its shard and get different slots; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from convolens.operators.prefix import with_prefix
 
 _MASK = 0xFFFFFFFF
 _MULTIPLIER = 2862933555777941757  # fixed value of the published algorithm
@@ -74,45 +76,24 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"]).cast("int")
 
 
-def shard_documents(
-    docs: DataFrame,
-    shards: int,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    buckets: int | None = None,
-) -> DataFrame:
+def key_of(df: DataFrame, id_col: str) -> Column:
+    """The 64-bit key of an id."""
+    whole = isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    key = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return F.coalesce(key, F.lit(0).cast("long"))
+
+
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        jump_hash(F.col(id_col), shards).alias("shard"),
-        jump_hash(F.col(id_col), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    counts = (
-        docs.select(
-            jump_hash(F.col(id_col), shards).alias("shard"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("bucket"),
-        )
-        .groupBy("shard", "bucket")
-        .agg(F.count("*").alias("n"))
-    )
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("rank", F.row_number().over(within) - 1)
-        .join(offsets, ["shard", "bucket"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("offset") + F.col("rank")).cast("long").alias("slot"),
-            "grown_shard",
-        )
+        F.lit("key").alias("law"),
+        jump_hash(key_of(docs, id_col), shards).alias("shard"),
+        jump_hash(key_of(docs, id_col), shards + 1).alias("grown_shard"),
     )
+    order = F.struct("doc_id", "text_crc32", "size", F.monotonically_increasing_id())
+    placed, _ = with_prefix(rows, "shard", order, {"slot": F.lit(1).cast("long")})
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

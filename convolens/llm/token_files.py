@@ -98,8 +98,11 @@ def write_tokens(
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/llm/tokens-{uuid.uuid4().hex}"
     rows = id_and_text(docs, id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     of_id = id_type(rows)
+    # a hot id is cut at its texts, and equal rows anywhere: a task gets a share of the rows
+    rows = rows.withColumn("n", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange("doc_id", F.substring("text", 1, 32), "n")
+    ordered = ranged.sortWithinPartitions("doc_id", "text", "n").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -194,3 +194,32 @@ def test_sharding(spark, small):
             slots.setdefault(r.shard, []).append(r.slot)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert shard_documents(spark.createDataFrame([], SCHEMA), 16).count() == 0
+
+
+def test_sharding_of_text_ids_hot_ids_and_clashing_names(spark):
+    names = "doc_id string, text string, size int, slot string, law int, shard string, grown_shard int, msg_idx int"
+    rows = [(None, f"row {i % 40}") for i in range(700)] + [(f"id-{i}", f"t{i}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, 1, "s", 2, "x", 3, 4) for i, t in rows], names).repartition(6)
+    got = shard_documents(df, 16).collect()
+    key = lambda i: xxhash.xxh64(i.encode(), seed=42).intdigest() if i is not None else 0
+    want = [(i, len(t) + 1, zlib.crc32(t.encode()), brute_jump(key(i), 16), brute_jump(key(i), 17)) for i, t in rows]
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got), key=repr) == sorted(want, key=repr)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append((r.slot, r.doc_id is not None, r.doc_id or "", r.text_crc32))
+    for own in slots.values():
+        assert [s for s, *_ in sorted(own)] == list(range(len(own)))
+        assert [x[1:] for x in sorted(own)] == sorted(x[1:] for x in own)  # by id, then text
+
+
+def test_a_hot_id_is_spread_over_tasks(spark):
+    """A null id on 70 % of the rows, most of them equal rows."""
+    from convolens.operators.prefix import PLACE, with_prefix
+
+    rows = [(None, "the same row")] * 2_800 + [(i, f"t{i}") for i in range(1_200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(r.slot for r in shard_documents(df, 1).collect()) == list(range(4_000))
+    order = F.struct("doc_id", "text", F.monotonically_increasing_id())
+    placed, _ = with_prefix(df.withColumn("shard", F.lit(0)), "shard", order, {"slot": F.lit(1).cast("long")}, partitions=16)
+    tasks = [r["count"] for r in placed.groupBy(F.shiftright(PLACE, 33)).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < 700

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -125,6 +126,33 @@ def test_token_files_small(spark, small, tok, kind, block):
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
 
 
+def test_one_null_id_on_most_rows(spark, tok):
+    """Token files and chunk reuse with 70 % of the rows under a null id, most of them equal."""
+    rows = [(None, "the same row " + PASSAGE)] * 250 + [(None, f"own text {i}") for i in range(100)] + [(i, PASSAGE) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        path = token_files.write_tokens(df, PATH, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = {r["part"]: r["sum(n)"] for r in spark.read.parquet(path).selectExpr("part", "size(lengths) n").groupBy("part").sum("n").collect()}
+    assert len(parts) >= 6 and max(parts.values()) < 150  # 350 rows of one id
+    got = sorted((repr(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_files.read_documents(spark, path).collect())
+    want = sorted((repr(d), n, c) for d, _, n, c in brute_op8(tok, rows))
+    assert got == want
+    starts = sorted((r.start, r.n_tokens, r.doc_id is not None, r.doc_id or 0) for r in token_files.read_documents(spark, path).collect())
+    assert all(a[0] + a[1] == b[0] and a[2:] <= b[2:] for a, b in zip(starts, starts[1:])) and starts[0][0] == 0
+    encoded = chunk_reuse.encode_decode(df, PATH)
+    found = Counter((r.doc_id, np.frombuffer(r.ids, "<u4").tobytes()) for r in encoded.collect())
+    ids = {t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for _, t in rows}
+    assert found == Counter((d, ids[t]) for d, t in rows)
+
+
+def test_equal_rows_come_out_again(spark):
+    df = spark.createDataFrame([(1, PASSAGE)] * 40 + [(2, "x")], "doc_id long, text string").coalesce(1)
+    assert chunk_reuse.encode_decode(df, PATH).count() == 41
+
+
 def test_token_files_empty(spark):
     path = token_files.write_tokens(spark.createDataFrame([], SCHEMA), PATH, 2)
     assert token_files.read_documents(spark, path).count() == 0
