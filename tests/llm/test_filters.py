@@ -84,8 +84,27 @@ def test_decontamination_query(spark):
     assert any(r[5] for r in want) and not all(r[5] for r in want)
 
 
-@pytest.mark.parametrize("block_items", [5000, 2])
-def test_decontamination_cases(spark, block_items):
+def test_a_benchmark_item_of_six_megabytes_is_joined(spark, monkeypatch):
+    """One long item, passages of it in documents, and a passage that most documents share."""
+    item = " ".join(f"w{(i * i) % 99_991}x{i % 7}" for i in range(640_000))
+    assert len(item) > 5_500_000
+    at = lambda k, n: " ".join(item.split(" ")[k : k + n])
+    hot = at(300_000, 25)
+    docs = [(i, f"own words {i} before {hot} and after {i}") for i in range(300)] + [
+        (1_000, at(5, 12)), (1_001, at(639_980, 20)), (1_002, at(7, 9)), (1_003, at(100, 30) + " x " + at(50, 11)), (1_004, None), (1_005, "clean")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([("long", item), ("short", "own words 7"), ("twice", hot)], "item_id string, text string")
+    got = {r.doc_id: r for r in hit_spans(d, b).collect()}
+    assert [tuple(s) for s in got[5].spans] == [(4, 29)] and list(got[5]["items"]) == ["long", "twice"]
+    assert [tuple(s) for s in got[7].spans] == [(0, 3), (4, 29)] and list(got[7]["items"]) == ["long", "short", "twice"]
+    assert [tuple(s) for s in got[1_000].spans] == [(0, 12)] and [tuple(s) for s in got[1_001].spans] == [(0, 20)]
+    assert not got[1_002].spans and not got[1_005].spans and got[1_004].n_words == 0
+    assert [tuple(s) for s in got[1_003].spans] == [(0, 30), (31, 42)] and len(got) == len(docs)
+    assert sorted(r.doc_id for r in uncontaminated(d, b).collect()) == [1_002, 1_004, 1_005]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])  # sent to the tasks; joined
+def test_decontamination_cases(spark, most):
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, long), (10, "Short Item"), (2, "a b c d e f"), (2, "same id again x"), (None, "no id here"), (3, None), (4, ""), (5, "..."), (6, "zé 日本"), (7, long)]
     part = " ".join(f"w{i}" for i in range(20, 30))
@@ -96,9 +115,9 @@ def test_decontamination_cases(spark, block_items):
     schema = "doc_id long, text string, spans string, items string, n_words int"
     d = spark.createDataFrame([(*r, "", "", 1) for r in docs], schema)
     b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
-    got = contamination(hit_spans(d, b, block_items=block_items))
+    got = contamination(hit_spans(d, b, broadcast_windows=most))
     assert sorted_rows(got) == brute_op7(docs, items)
-    clean = uncontaminated(d, b, block_items=block_items)
+    clean = uncontaminated(d, b, broadcast_windows=most)
     assert clean.schema == d.schema
     assert sorted_rows(clean.select("doc_id")) == sorted(((r[0],) for r in brute_op7(docs, items) if not r[5]), key=repr)
     assert uncontaminated(d, b.limit(0)).count() == len(docs) and uncontaminated(d.limit(0), b).count() == 0
