@@ -6,13 +6,22 @@ become one space, and it is cut into blocks so that every part of a long text
 is compressed next to the dictionary.  Each block is compressed with each
 language's dictionary; the language with the smallest total wins.  The score
 is ``1 - smallest / second smallest`` clipped to 0..1; a text whose score is
-below ``margin`` is marked ``rejected``.
+below the margin for its length is ``rejected``: no language stands out, as in
+a language that was not learned, or in a few letters.
+
+``fit_margins`` finds the margins on labelled texts that are not in the
+dictionaries.  Per length (letters, in powers of two) a margin is the least lead
+from which on ``rate`` of the texts are right, and at least ``slack`` times the
+lead that all but ``tail`` of the right ones have: what leads much less than
+known languages do is not one of them.  A length without ``least`` texts takes
+the margin of the nearest that has.
 
 ``fit`` collects at most ``excerpts`` excerpts of ``excerpt_chars`` code
 points for each of at most ``languages`` languages (about 100 KB a language):
 a documented bound, not growing with the table.  Which texts are taken is
 decided by a hash of the text, equal texts counting once; the excerpt's place
-in the text by the same hash.
+in the text by the same hash.  ``fit_margins`` scores at most ``texts`` whole
+texts, those of least hash.  ``learning`` splits labelled rows for the two.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; with no learned language every text is; with one, the score is 1;
@@ -67,6 +76,60 @@ def fit(
     return {lang: "\n".join(e for _, e in sorted(found[lang])).encode() for lang in sorted(found)}
 
 
+def learning(labelled: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Labelled rows for the dictionaries (three quarters) and for the margins, by text."""
+    fold = F.pmod(F.xxhash64(F.lit(3), F.col(text_col)), F.lit(4))
+    return labelled.filter(fold != 0), labelled.filter(fold == 0)
+
+
+def _size_class(letters: int) -> int:
+    return max(letters, 1).bit_length()
+
+
+def fit_margins(
+    labelled: DataFrame,
+    model: dict[str, bytes],
+    text_col: str = "text",
+    lang_col: str = "lang",
+    texts: int = 2_000,
+    rate: float = 0.98,
+    slack: float = 0.5,
+    tail: float = 0.01,
+    least: int = 20,
+) -> dict[int, float]:
+    """The margin of each length class there are enough texts of."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(
+        F.struct(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(text_col).alias("text")
+    )
+    sample = rows.orderBy("doc_id.h", "doc_id.lang").limit(texts)
+    scored = predict(sample, model).select("doc_id.lang", "lang_pred", "score", "letters").collect()  # at most ``texts``
+    by_class: dict[int, list] = {}
+    for r in scored:
+        by_class.setdefault(_size_class(r.letters), []).append((r.score, r.lang_pred == r.lang))
+    margins = {}
+    for size, own in by_class.items():
+        if len(own) < least:
+            continue
+        own.sort(reverse=True)
+        right = good = 0
+        for n, (_, ok) in enumerate(own, 1):
+            right += ok
+            if right >= rate * n:
+                good = n  # so many of the greatest leads are right often enough
+        accurate = 0.0 if good == len(own) else own[good - 1][0] if good else 1.0
+        leads = [score for score, ok in own if ok]
+        usual = leads[max(0, int(len(leads) * (1 - tail)) - 1)] if leads else 0.0
+        margins[size] = max(accurate, slack * usual)
+    return margins
+
+
+def margin_for(margins: dict[int, float] | float, letters: int) -> float:
+    if isinstance(margins, float):
+        return margins
+    size = _size_class(letters)
+    return margins[min(margins, key=lambda c: (abs(c - size), c))] if margins else 0.0
+
+
 class Classifier:
     def __init__(self, model: dict[str, bytes], level: int = 9) -> None:
         import zstandard
@@ -81,26 +144,27 @@ class Classifier:
             press = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
             self._press.append((lang, press.compress))
 
-    def __call__(self, text: str) -> tuple[str, float]:
+    def __call__(self, text: str) -> tuple[str, float, int]:
+        """Language, score, and letters (runs of others count as one)."""
         if not self._press or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        if len(self._press) == 1:
-            return self._press[0][0], 1.0
+            return UNDETERMINED, 0.0, 0
         text = _OTHER.sub(" ", text.lower())
+        if len(self._press) == 1:
+            return self._press[0][0], 1.0, len(text)
         blocks = [text[i : i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
         sizes = sorted((sum(len(press(b)) for b in blocks), lang) for lang, press in self._press)
         (best, lang), (second, _) = sizes[:2]
-        return lang, 1 - best / second
+        return lang, 1 - best / second, len(text)
 
 
 def predict(
     docs: DataFrame,
     model: dict[str, bytes],
-    margin: float = 0.0,
+    margin: dict[int, float] | float = 0.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` per row."""
+    """``doc_id, lang_pred, score, rejected, letters`` per row."""
     rows = id_and_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -112,14 +176,15 @@ def predict(
                 batch.column(0),
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),
-                pa.array([f[0] == UNDETERMINED or f[1] < margin for f in found], pa.bool_()),
+                pa.array([f[0] == UNDETERMINED or f[1] < margin_for(margin, f[2]) for f in found], pa.bool_()),
+                pa.array([f[2] for f in found], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected", "letters"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type(rows)}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"doc_id {id_type(rows)}, lang_pred string, score double, rejected boolean, letters long")
 
 
-def accepted(docs: DataFrame, model: dict[str, bytes], margin: float, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: dict[str, bytes], margin: dict[int, float] | float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -127,8 +192,8 @@ def accepted(docs: DataFrame, model: dict[str, bytes], margin: float, text_col:
         classify = Classifier(shared.value)
 
         def keep(text: str) -> bool:
-            lang, score = classify(text)
-            return lang != UNDETERMINED and score >= margin
+            lang, score, letters = classify(text)
+            return lang != UNDETERMINED and score >= margin_for(margin, letters)
 
         return keep
 

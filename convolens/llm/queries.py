@@ -49,9 +49,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = language_id.fit(docs.filter(fold("doc_id", 4) != 2))
-    return language_id.predict(docs, model).select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    words, held = language_id.learning(docs.filter(fold("doc_id", 4) != 2))
+    model = language_id.fit(words)
+    return language_id.predict(docs, model, language_id.fit_margins(held, model)).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
     )
 
 

@@ -52,6 +52,66 @@ def test_language_cases(spark):
         language_id.fit(spark.createDataFrame(train, schema), languages=1)
 
 
+def labelled_documents(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    return [d for d in docs if d[1]], "doc_id long, text string, lang string"
+
+
+def test_rejection_of_unlearned_and_mixed_languages(spark):
+    rows, schema = labelled_documents(spark)
+    known = spark.createDataFrame([r for r in rows if r[2] != "fr"], schema)
+    words, held = language_id.learning(known)
+    model = language_id.fit(words)
+    margins = language_id.fit_margins(held, model)
+    assert margins and all(0 <= m < 0.3 for m in margins.values())
+    long = [r for r in rows if len(r[1]) > 300]
+    rejected = lambda texts: [
+        r.rejected for r in language_id.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model, margins).collect()
+    ]
+    unlearned = rejected([t for _, t, la in long if la == "fr"])
+    clean = rejected([t for _, t, la in long if la != "fr"])
+    german, spanish = ([t for _, t, la in long if la == x] for x in ("de", "es"))
+    def halves(n, a=german, b=spanish):  # as many letters of either, in turns
+        return " ".join(x for k in range(0, 300, 60) for x in (a[n % len(a)][k : k + 60], b[n % len(b)][k : k + 60]))
+    mixed = rejected([halves(n) for n in range(60)])
+    share = lambda xs: sum(xs) / len(xs)
+    print("rejected: unlearned", share(unlearned), "mixed", share(mixed), "known", share(clean))
+    assert share(unlearned) > 0.9 and share(clean) < 0.02 and share(mixed) > 3 * share(clean)
+    # without margins nothing of that is caught
+    bare = language_id.predict(spark.createDataFrame([(1, t) for _, t, la in long if la == "fr"], "doc_id long, text string"), model)
+    assert not any(r.rejected for r in bare.collect())
+
+
+def test_the_choice_is_the_smallest_total(spark):
+    """Brute force: every block against every dictionary, compressed here."""
+    import zstandard
+
+    rows, schema = labelled_documents(spark)
+    model = language_id.fit(spark.createDataFrame(rows, schema))
+    some = rows[:120] + [(-1, "x" * 30_000 + " the house", "en"), (-2, "the " + "la " * 20_000, "es")]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(some, schema), model).collect()}
+    for doc, text, _ in some:
+        letters = re.sub(r"[\W\d_]+", " ", text.lower())
+        totals = {}
+        for lang, content in model.items():
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(
+                9, source_size=language_id.BLOCK, dict_size=len(content), write_content_size=False, write_dict_id=False)
+            press = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
+            totals[lang] = sum(len(press.compress(letters[i : i + 8192].encode())) for i in range(0, len(letters), 8192))
+        least = min(totals.values())
+        assert got[doc].lang_pred == min(la for la, n in totals.items() if n == least), doc  # ties: the first by name
+        second = sorted(totals.values())[1]
+        assert abs(got[doc].score - (1 - least / second)) < 1e-12
+
+
+def test_margins_by_length():
+    margins = {4: 0.5, 8: 0.2, 9: 0.0}
+    at = lambda n: language_id.margin_for(margins, n)
+    assert [at(1), at(15), at(40), at(200), at(300), at(10**6)] == [0.5, 0.5, 0.5, 0.2, 0.0, 0.0]
+    assert language_id.margin_for(0.3, 5) == 0.3 and language_id.margin_for({}, 5) == 0.0
+
+
 def brute_op7(docs, items, span=10):
     def words(t):
         t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
