@@ -17,9 +17,12 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    classify = language_id.Classifier(language_id.fit(docs))
+    words, held = language_id.learning(docs)
+    model = language_id.fit(words)
+    margins = language_id.fit_margins(held, model)
+    classify = language_id.Classifier(model)
     judged = [(d, t, *classify(t or "")) for d, t in rows]
-    rows = [(d, t) for d, t, lang, score in judged if lang != "und" and score >= corpus_pipeline.MARGIN]
+    rows = [(d, t) for d, t, lang, score, letters in judged if lang != "und" and score >= language_id.margin_for(margins, letters)]
     keep = {r[0] for r in brute_dedup(rows) if r[3]}
     rows = [r for r in rows if r[0] in keep]
     keep = {r[0] for r in brute_near(rows) if r[0] == r[2]}
