@@ -1,7 +1,8 @@
 """URL filtering by rules and empirical-Bayes host reputation.
 
 Rules judge a url by host (and subdomains) and path prefix; the longest rule
-that fits wins.  Urls no rule fits are judged by the reputation of their host,
+that fits wins, of equally long ones the blocking one, then the greatest by
+host and path.  Urls no rule fits are judged by the reputation of their host,
 learned from labelled page outcomes (1 bad, 0 good, null unlabelled):
 
 * counts of bad among labelled pages per host, registered domain and public
@@ -28,15 +29,19 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Public suffixes of two labels (a parameter; extend it as needed).
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.ar", "com.au", "com.br", "com.mx", "gov.uk", "org.uk")
+#: Some public suffixes of two labels, for where no list is given: pass the
+#: whole public list, one rule a row, as ``suffixes``.
+SOME_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.ar", "com.au", "com.br", "com.mx", "gov.uk", "org.uk")
+_IP = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$"
 MOST_RULES = 1000
 
 
@@ -85,16 +90,39 @@ def judged_by_rules(
     )
 
 
-def _levels(host: Column, suffixes: tuple[str, ...]) -> list[Column]:
-    """Registered domain and suffix of a host."""
-    labels = F.split(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.")
-    size = F.size(labels)
-    tail = lambda n: F.array_join(F.slice(labels, F.greatest(size - (n - 1), F.lit(1)), n), ".")
-    two = tail(2).isin(list(suffixes))
-    return [
-        F.when(two, tail(3)).otherwise(tail(2)).alias("domain"),
-        F.when(two, tail(2)).otherwise(tail(1)).alias("suffix"),
-    ]
+def suffix_rules(spark: SparkSession, rules: Iterable[str]) -> DataFrame:
+    """A rule table from suffixes in the public list's notation: ``co.uk``,
+    ``*.ck`` (any one label), ``!www.ck`` (an exception to that)."""
+    return spark.createDataFrame([(r,) for r in rules], "suffix string")
+
+
+def with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` with their registered domain and public suffix, by joining the
+    ends of each host with the rules.  The rule with most labels decides, an
+    exception before any; without one the last label is the suffix.  The domain
+    is the suffix and one label more; a suffix is its own domain, and so is an
+    IP address, under the suffix ``ip``.  User and port are no part of it."""
+    bare = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
+    rows = hosts.withColumn("__bare", bare).withColumn("__labels", F.split("__bare", r"\."))
+    size = F.size("__labels")
+    tail = lambda n: F.array_join(F.slice("__labels", F.greatest(size - n + 1, F.lit(1)), n), ".")
+    ends = rows.select("host", "__labels", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    way = lambda rule, exception, n: F.struct(rule.alias("rule"), F.lit(exception).alias("exception"), n.alias("labels"))
+    n = F.col("n")
+    ways = F.array(
+        way(tail(n), False, n), way(F.concat(F.lit("*."), tail(n - 1)), False, n), way(F.concat(F.lit("!"), tail(n)), True, n - 1)
+    )
+    listed = suffixes.select(F.lower(F.trim("suffix")).alias("rule")).distinct()
+    met = ends.select("host", F.inline(ways)).join(listed, "rule")
+    best = met.groupBy("host").agg(F.max(F.struct("exception", "labels"))["labels"].alias("__n"))
+    known = rows.join(best.withColumnRenamed("host", "__host"), rows["host"] == F.col("__host"), "left").drop("__host")
+    of = F.coalesce("__n", F.lit(1))
+    ip = F.col("__bare").rlike(_IP)
+    return known.select(
+        *hosts.columns,
+        F.when(ip, F.col("__bare")).otherwise(tail(of + 1)).alias("domain"),
+        F.when(ip, F.lit("ip")).otherwise(tail(of)).alias("suffix"),
+    )
 
 
 def _shrunk(units: DataFrame, prior: Column, name: str) -> DataFrame:
@@ -115,14 +143,14 @@ def _shrunk(units: DataFrame, prior: Column, name: str) -> DataFrame:
     )
 
 
-def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """``host, labelled, bad, rate, deviation`` from ``host, outcome`` rows."""
-    hosts = staged(
-        outcomes.groupBy("host").agg(
-            F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("bad")
-        ).select("*", *_levels(F.col("host"), suffixes)),
-        "hosts",
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``host, labelled, bad, rate, deviation`` from ``host, outcome`` rows;
+    ``suffixes`` has the public suffix list in a column ``suffix``."""
+    suffixes = suffixes if suffixes is not None else suffix_rules(outcomes.sparkSession, SOME_SUFFIXES)
+    counted = outcomes.groupBy("host").agg(
+        F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("bad")
     )
+    hosts = staged(with_levels(counted, suffixes), "hosts")
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.agg(*counts).first()
     base = ((total.bad or 0) + 0.5) / ((total.n or 0) + 1.0)
@@ -151,6 +179,7 @@ def judge_urls(
     limit: float = 0.5,
     id_col: str = "page_id",
     url_col: str = "url",
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, labelled, bad`` per page; the pages
     a rule judges are the labelled ones."""
@@ -159,7 +188,7 @@ def judge_urls(
         "host", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).alias("outcome")
     )
     blocked = F.col("rate") - z * F.col("deviation") > limit
-    host = reputations(outcomes).select(
+    host = reputations(outcomes, suffixes).select(
         "host", "labelled", "bad", F.when(blocked, "block").otherwise("allow").alias("host_verdict")
     )
     return judged.join(host, "host").select(

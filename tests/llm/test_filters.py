@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from convolens.llm import language_id
 from convolens.llm.decontaminate import contamination, hit_spans, uncontaminated
-from convolens.llm.url_reputation import host_of, judge_urls, judged_by_rules, path_of, reputations
+from convolens.llm.url_reputation import host_of, judge_urls, judged_by_rules, path_of, reputations, suffix_rules, with_levels
 
 SF = "/root/testdata/sf0.01"
 TINY = "/root/testdata/sf0.001"
@@ -196,6 +196,31 @@ def test_url_parts(spark):
     assert got == cases
 
 
+def test_domains_by_a_suffix_list(spark):
+    listed = suffix_rules(spark, ["com", "co.nz", "com.cn", "*.ck", "!www.ck", "blogspot.com", "CO.UK ", "co.nz"])
+    want = {
+        "a.b.example.com": ("example.com", "com"), "x.co.nz": ("x.co.nz", "co.nz"), "y.x.co.nz": ("x.co.nz", "co.nz"),
+        "a.com.cn": ("a.com.cn", "com.cn"), "com.cn": ("com.cn", "com.cn"), "s.other.ck": ("s.other.ck", "other.ck"),
+        "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "me.blogspot.com": ("me.blogspot.com", "blogspot.com"),
+        "shop.co.uk": ("shop.co.uk", "co.uk"), "u@h.example.org:8080": ("example.org", "org"), "localhost": ("localhost", "localhost"),
+        "10.0.0.1": ("10.0.0.1", "ip"), "10.0.0.2:80": ("10.0.0.2", "ip"), "[::1]:443": ("[::1]", "ip"), "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h, 1) for h in want], "host string, n int")
+    got = {r.host: (r.domain, r.suffix) for r in with_levels(hosts, listed).collect()}
+    assert got == want
+    none = with_levels(hosts, listed.limit(0))
+    assert {r.host: r.domain for r in none.collect()}["x.co.nz"] == "co.nz"  # no list: the last label is the suffix
+    assert with_levels(hosts.limit(0), listed).count() == 0
+
+
+def test_equally_long_rules_and_a_long_url(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("allow", "b.a.com", "/"), ("block", "a.com", "/xy/")]
+    long = "http://b.a.com/" + "z/" * 100_000 + "?" + "q" * 100_000
+    df = spark.createDataFrame([(1, "http://a.com/x1"), (2, "http://b.a.com/xy/"), (3, long)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, rules).collect()}
+    assert got == {1: ("a.com/x", "block"), 2: ("a.com/xy/", "block"), 3: ("b.a.com/", "allow")}
+
+
 def test_rules_and_reputation(spark):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
     rows = [
