@@ -166,7 +166,6 @@ HANDOFF_LABEL_KEYS = [
     "summary", "primary_stall_reason_code", "transfer_context_analysis", "next_action_code",
     "suggested_message_es",
 ]
-OPTIONAL_LABEL_KEYS = ["conversation_digest", "last_message_ts"]
 CRITICAL_ENUM_KEYS = ["primary_stall_reason_code", "next_action_code"]
 
 # Stall codes that make a lead ineligible (engagement recipe next action).
@@ -176,9 +175,6 @@ INELIGIBLE_CODES = [
     "PRODUCTO_INCORRECTO_COMPRADOR",
 ]
 
-# Error kinds written for failed label rows.
-ERROR_KINDS = ["ERROR_LLM_NONE", "ERROR_PROCESSING", "ERROR_UNEXPECTED"]
-
 # Curated 12-column projection of the formalisation report.
 CURATED_COLUMNS = [
     "agente", "asset_id", "nombre", "correo", "cleaned_phone", "lead_created_at",

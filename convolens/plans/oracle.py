@@ -144,14 +144,6 @@ def ts19(expr: str) -> str:
 
 
 # ---------------------------------------------------------------- features
-TEMPORAL_COLS = [
-    "HOURS_MINUTES_SINCE_LAST_USER_MESSAGE", "HOURS_MINUTES_SINCE_LAST_MESSAGE",
-    "IS_WITHIN_REACTIVATION_WINDOW", "IS_RECOVERY_PHASE_ELIGIBLE",
-    "LAST_USER_MESSAGE_TIMESTAMP_TZ", "LAST_MESSAGE_TIMESTAMP_TZ", "NO_USER_MESSAGES_EXIST",
-]
-METADATA_COLS = ["last_message_sender", "last_user_message_text", "last_kuna_message_text", "last_message_ts"]
-
-
 def temporal_agg_sql(src: str = "om", key: str = "cleaned_phone", name: str = "t_agg") -> str:
     return f"""{name} AS (
   SELECT {key},

@@ -56,19 +56,6 @@ def query_from_file(spark: SparkSession, path: str, params: dict | None = None)
     return parameterised_query(spark, sql, params)
 
 
-def jdbc_query(spark: SparkSession, url: str, query: str, partition_column: str | None = None,
-               lower: int | None = None, upper: int | None = None, num_partitions: int = 16, **options) -> DataFrame:
-    """S1/S3 against a warehouse: a JDBC read, split into ranges of
-    ``partition_column`` so executors fetch in parallel."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if partition_column:
-        reader = (reader.option("dbtable", f"({query}) q").option("partitionColumn", partition_column)
-                  .option("lowerBound", lower).option("upperBound", upper).option("numPartitions", num_partitions))
-    else:
-        reader = reader.option("query", query)
-    return reader.load()
-
-
 def fetch_batches(keys: DataFrame, fetch: Callable[[list], Iterable[tuple]], schema: str, batch_size: int = 500,
                   concurrency: int = 10) -> tuple[DataFrame, DataFrame]:
     """S3: rows of a source that is asked by batches of keys.

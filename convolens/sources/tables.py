@@ -22,11 +22,6 @@ MESSAGE_SCHEMA = T.StructType([
     T.StructField("message", T.StringType(), True),
 ])
 
-# Lead table: the key column plus an open tail of lead attributes.
-LEAD_KEY = "cleaned_phone"
-
-REQUIRED_MESSAGE_COLUMNS = ["creation_time", "msg_from", "message", "cleaned_phone"]
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame (parquet: pushdown and pruning apply)."""
