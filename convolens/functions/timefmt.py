@@ -117,22 +117,23 @@ def ts_text19(col: Column | str) -> Column:
 
 
 def parse_ts(col: Column | str) -> Column:
-    """parse ISO-like text (fraction, 'T', '+00:00', ' UTC' suffix) or null."""
-    c = F.trim(_c(col).cast("string"))
-    c = F.regexp_replace(c, r"\s*UTC$", "")
-    return F.coalesce(
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
+    """parse ISO-like text (fraction, 'T', '+00:00', ' UTC' suffix) or null.
+    The shape of the text says which format to try, so each is parsed once."""
+    c = F.regexp_replace(F.trim(_c(col).cast("string")), r"\s*UTC$", "")
+    return (
+        F.when(c.rlike(r"^\d{4}-\d\d-\d\d "), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]")))
+        .when(c.rlike(r"^\d{4}-\d\d-\d\dT"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]")))
+        .when(c.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
     )
 
 
 def parse_ts_month_first(col: Column | str) -> Column:
     """Lenient sheet dates, month first (M/d/yyyy[ H:mm[:ss]]) or ISO."""
     c = F.trim(_c(col).cast("string"))
-    return F.coalesce(
-        F.try_to_timestamp(c, F.lit("M/d/yyyy H:mm:ss")),
-        F.try_to_timestamp(c, F.lit("M/d/yyyy H:mm")),
-        F.try_to_timestamp(c, F.lit("M/d/yyyy")),
-        parse_ts(c),
+    shape = r"^\d{1,2}/\d{1,2}/\d{4}"
+    return (
+        F.when(c.rlike(shape + r" \d{1,2}:\d\d:\d\d$"), F.try_to_timestamp(c, F.lit("M/d/yyyy H:mm:ss")))
+        .when(c.rlike(shape + r" \d{1,2}:\d\d$"), F.try_to_timestamp(c, F.lit("M/d/yyyy H:mm")))
+        .when(c.rlike(shape + "$"), F.try_to_timestamp(c, F.lit("M/d/yyyy")))
+        .otherwise(parse_ts(c))
     )
