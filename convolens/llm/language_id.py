@@ -101,8 +101,10 @@ def fit_margins(
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(
         F.struct(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(text_col).alias("text")
     )
-    sample = rows.orderBy("doc_id.h", "doc_id.lang").limit(texts)
-    scored = predict(sample, model).select("doc_id.lang", "lang_pred", "score", "letters").collect()  # at most ``texts``
+    # the hashes are chosen first, so that no task is sent more than the texts taken
+    chosen = rows.select(F.col("doc_id.h").alias("h")).distinct().orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+    sample = rows.filter(F.col("doc_id.h") <= F.lit(chosen)).dropDuplicates(["doc_id"])  # equal texts count once
+    scored = predict(sample, model).select("doc_id.lang", "lang_pred", "score", "letters").collect()  # one a text and label
     by_class: dict[int, list] = {}
     for r in scored:
         by_class.setdefault(_size_class(r.letters), []).append((r.score, r.lang_pred == r.lang))
