@@ -93,7 +93,7 @@ def judged_by_rules(
 def suffix_rules(spark: SparkSession, rules: Iterable[str]) -> DataFrame:
     """A rule table from suffixes in the public list's notation: ``co.uk``,
     ``*.ck`` (any one label), ``!www.ck`` (an exception to that)."""
-    return spark.createDataFrame([(r,) for r in rules], "suffix string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in rules]).cast("array<string>")).alias("suffix"))
 
 
 def with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
