@@ -13,7 +13,10 @@ ball around each of its own parts; matches are verified on all 64 bits.  The
 numbers of table rows and probes per fingerprint are fixed, so the work does
 not grow with the size of a group of copies; a hot table key is split by the
 adaptive skew join.  Reachability is found by random contraction
-(``components``).
+(``components``).  Tables with a row or more per fingerprint are joined by
+sort-merge, whatever size they are taken for: Spark sizes a Parquet table by its
+compressed files and an exploded one no larger for its probes, and would send
+them whole through the driver.
 
 Defined cases: null and empty texts have fingerprint 0, which links like any
 other; a text with fewer words than the shingle length has one shingle, the
@@ -100,7 +103,7 @@ def links(fps: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
     table = fps.select(F.col("fp").alias("u"), F.explode(F.array(*own)).alias("key")).select("u", "key.part", "key.value")
     probes = fps.select(F.col("fp").alias("v"), F.explode(F.concat(*near)).alias("key")).select("v", "key.part", "key.value")
     within = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
-    return table.join(probes, ["part", "value"]).filter((F.col("u") < F.col("v")) & within).select("u", "v")
+    return table.join(probes.hint("merge"), ["part", "value"]).filter((F.col("u") < F.col("v")) & within).select("u", "v")
 
 
 def near_groups(
