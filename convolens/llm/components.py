@@ -5,7 +5,8 @@ least round-dependent hash; nodes with one pick become one node and the edges
 between different picks go on.  The expected number of nodes shrinks by a
 constant factor whatever the shape (a chain of a million nodes takes about 30
 rounds, a star two).  All state is in written tables; picks are partial
-aggregates, so a hub with many neighbours is combined map-side.
+aggregates, so a hub with many neighbours is combined map-side.  Picks go whole
+through the driver, as a broadcast, only in a round of at most ``SENT`` edges.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Edges of a round whose picks, two an edge at most, may be broadcast.
+SENT = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(u, v)``; two nodes have
@@ -28,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels: DataFrame | None = None
     turn = 0
     while True:
-        if live.isEmpty():
+        n_live = live.count()
+        if n_live == 0:
             return labels if labels is not None else live.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = live.union(live.select("v", "u"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
@@ -38,6 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("u").alias("node"), F.least(rank("u"), F.col("best"))["x"].alias("pick")),
             "picks",
         )
+        if n_live > SENT:  # Spark would go by the size of the compressed file
+            picks = picks.hint("merge")
         pick_u = picks.select(F.col("node").alias("u"), F.col("pick").alias("pu"))
         pick_v = picks.select(F.col("node").alias("v"), F.col("pick").alias("pv"))
         live = staged(

@@ -119,14 +119,14 @@ def near_groups(
     fps = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     label = components(links(fps, max_bits, segments))
     labelled = staged(
-        fps.join(label, fps["fp"] == label["node"], "left").select(
+        fps.join(label.hint("merge"), fps["fp"] == label["node"], "left").select(
             "fp", "first", F.coalesce("component", "fp").alias("component")
         ),
         "simhash-labels",
     )
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = labelled.join(smallest, "component").select("fp", "component_id")
-    return by_doc.join(of_fp, "fp").select(
+    of_fp = labelled.join(smallest.hint("merge"), "component").select("fp", "component_id")
+    return by_doc.join(of_fp.hint("merge"), "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
