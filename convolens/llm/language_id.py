@@ -20,8 +20,10 @@ the margin of the nearest that has.
 points for each of at most ``languages`` languages (about 100 KB a language):
 a documented bound, not growing with the table.  Which texts are taken is
 decided by a hash of the text, equal texts counting once; the excerpt's place
-in the text by the same hash.  ``fit_margins`` scores at most ``texts`` whole
-texts, those of least hash.  ``learning`` splits labelled rows for the two.
+in the text by the same hash.  ``learning`` splits labelled rows for the two.
+``fit_margins`` scores every whole text it is given, equal ones counting once; the
+rates are running sums along the leads, over range-partitioned rows, and the
+driver gets one margin a length.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; with no learned language every text is; with one, the score is 1;
@@ -38,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convolens.operators.prefix import with_prefix
+
 from .common import id_and_text, id_type, keep_rows
 
 UNDETERMINED = "und"
@@ -91,7 +95,6 @@ def fit_margins(
     model: dict[str, bytes],
     text_col: str = "text",
     lang_col: str = "lang",
-    texts: int = 2_000,
     rate: float = 0.98,
     slack: float = 0.5,
     tail: float = 0.01,
@@ -101,28 +104,32 @@ def fit_margins(
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(
         F.struct(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h")).alias("doc_id"), F.col(text_col).alias("text")
     )
-    # the hashes are chosen first, so that no task is sent more than the texts taken
-    chosen = rows.select(F.col("doc_id.h").alias("h")).distinct().orderBy("h").limit(texts).agg(F.max("h")).first()[0]
-    sample = rows.filter(F.col("doc_id.h") <= F.lit(chosen)).dropDuplicates(["doc_id"])  # equal texts count once
-    scored = predict(sample, model).select("doc_id.lang", "lang_pred", "score", "letters").collect()  # one a text and label
-    by_class: dict[int, list] = {}
-    for r in scored:
-        by_class.setdefault(_size_class(r.letters), []).append((r.score, r.lang_pred == r.lang))
-    margins = {}
-    for size, own in by_class.items():
-        if len(own) < least:
-            continue
-        own.sort(reverse=True)
-        right = good = 0
-        for n, (_, ok) in enumerate(own, 1):
-            right += ok
-            if right >= rate * n:
-                good = n  # so many of the greatest leads are right often enough
-        accurate = 0.0 if good == len(own) else own[good - 1][0] if good else 1.0
-        leads = [score for score, ok in own if ok]
-        usual = leads[max(0, int(len(leads) * (1 - tail)) - 1)] if leads else 0.0
-        margins[size] = max(accurate, slack * usual)
-    return margins
+    scored = predict(rows, model).select("doc_id.*", "lang_pred", "score", "letters").distinct()  # equal texts count once
+    by_lead = scored.groupBy(F.length(F.bin(F.greatest("letters", F.lit(1)))).alias("size"), "score").agg(
+        F.count("*").alias("n"), F.sum((F.col("lang_pred") == F.col("lang")).cast("long")).alias("right")
+    )
+    measures = {"n_before": F.col("n"), "right_before": F.col("right")}  # of greater leads
+    placed, whole = with_prefix(by_lead, "size", -F.col("score"), measures)
+    whole = whole.select("size", F.col("n_before").alias("n_all"), F.col("right_before").alias("right_all"))
+    right = F.col("right_before") + F.col("right")
+    often = F.when(F.col("right") > 0, right >= F.lit(rate) * (F.col("n_before") + F.col("right"))).otherwise(
+        right >= F.lit(rate) * (F.col("n_before") + 1)
+    )  # of equal leads the right ones come first
+    usual = right >= F.greatest(F.floor(F.col("right_all") * F.lit(1 - tail)), F.lit(1))
+    margins = (
+        placed.join(F.broadcast(whole), "size")
+        .filter(F.col("n_all") >= least)
+        .groupBy("size", "n_all", "right_all")
+        .agg(F.min(F.when(often, F.col("score"))).alias("accurate"), F.max(F.when(usual, F.col("score"))).alias("usual"))
+        .select(
+            "size",
+            F.greatest(
+                F.when(F.col("right_all") >= F.lit(rate) * F.col("n_all"), 0.0).otherwise(F.coalesce("accurate", F.lit(1.0))),
+                F.lit(slack) * F.coalesce("usual", F.lit(0.0)),
+            ).alias("margin"),
+        )
+    )
+    return {r["size"]: r["margin"] for r in margins.collect()}  # a row per power of two
 
 
 def margin_for(margins: dict[int, float] | float, letters: int) -> float:
